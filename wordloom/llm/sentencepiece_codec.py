@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import re
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +26,7 @@ from .common import struct, table, text_rows
 
 SPACE = "▁"
 #: Distinct chunks that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 
 _live: dict[str, Codec] = {}
 
@@ -39,36 +40,33 @@ class Codec:
         self.piece = [sp.id_to_piece(i) for i in ids]
         self.byte = {i: int(self.piece[i][1:-1], 16) for i in ids if sp.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte.items()}
-        self.silent = {i for i in ids if sp.is_control(i)}
         self.id = {self.piece[i]: i for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
-        self.score = {p: sp.get_score(i) for p, i in self.id.items()}
+        self.rank = {p: -sp.get_score(i) for p, i in self.id.items()}
+        self.shown = [None if sp.is_byte(i) else "" if sp.is_control(i) else self.piece[i].replace(SPACE, " ") for i in ids]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or ("\n" in p and p != "\n") for p in self.id):
             raise ValueError("a piece spans what is cut at: this vocabulary has pieces over more than one word")
-        self.chunks = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
+        ends = re.escape(separable(self.id))
+        bare = f"{SPACE}*{LETTER}++(?=[{ends}])|" if ends else ""
+        self.chunks = re.compile(f"{bare}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk by the agenda; a merged pair leaves its right symbol empty."""
-        symbols, score = list(chunk), self.score
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, int, str]] = []
-
-        def propose(left: int, right: int) -> None:
-            if left >= 0 and right < n and (s := score.get(pair := symbols[left] + symbols[right])) is not None:
-                heapq.heappush(agenda, (-s, left, right, pair))
-
-        for i in range(n - 1):
-            propose(i, i + 1)
+        rank, symbols, n = self.rank.get, list(chunk), len(chunk)
+        before, after = list(range(-1, n)), list(range(1, n + 2))
+        agenda = [(r, i, i + 1, pair) for i in range(n - 1) if (r := rank(pair := chunk[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
             _, left, right, pair = heapq.heappop(agenda)
-            if symbols[left] and symbols[right] and after[left] == right and symbols[left] + symbols[right] == pair:
-                symbols[left], symbols[right] = pair, ""
-                after[left] = after[right]
-                if after[right] < n:
-                    before[after[right]] = left
-                propose(before[left], left)
-                propose(left, after[left])
+            if after[left] != right or not symbols[right] or symbols[left] + symbols[right] != pair:
+                continue  # one of the two has been merged meanwhile
+            symbols[left], symbols[right] = pair, ""
+            after[left] = follows = after[right]
+            before[follows] = left
+            if follows < n and (r := rank(wider := pair + symbols[follows])) is not None:
+                heapq.heappush(agenda, (r, left, follows, wider))
+            if (earlier := before[left]) >= 0 and (r := rank(wider := symbols[earlier] + pair)) is not None:
+                heapq.heappush(agenda, (r, earlier, left, wider))
         out: list[int] = []
         for s in filter(None, symbols):
             if (i := self.id.get(s)) is not None:
@@ -79,16 +77,18 @@ class Codec:
 
     def text_of(self, ids: list[int]) -> str:
         """Pieces with their spaces, byte pieces joined into characters; the space of the dummy prefix is still there."""
+        shown = [self.shown[i] for i in ids]
+        if None not in shown:
+            return "".join(shown)
         out, run = [], bytearray()
-        for i in ids:
-            if i in self.byte:
+        for i, text in zip(ids, shown, strict=True):
+            if text is None:
                 run.append(self.byte[i])
                 continue
             if run:
                 out.append(run.decode(errors="replace"))
                 run.clear()
-            if i not in self.silent:
-                out.append(self.piece[i].replace(SPACE, " "))
+            out.append(text)
         return "".join(out) + run.decode(errors="replace")
 
     def decode(self, ids: list[int]) -> str:
@@ -105,9 +105,10 @@ class Codec:
         back = self.library.decode(theirs, num_threads=1)
         for c, ids, text in zip(new, theirs, back, strict=True):
             own = self.merge(c)
-            if own != ids or self.decode(own) != text:
+            shown = self.text_of(own)
+            if own != ids or (shown[1:] if c[0] == SPACE else shown) != text:
                 raise ValueError(f"not as the library has it: {c!r}")
-            self.known[c] = len(own), ",".join(map(str, own)), self.text_of(own)
+            self.known[c] = len(own), ",".join(map(str, own)), shown
 
     def parts(self, text: str) -> list[tuple[int, str, str]]:
         """Of each chunk of a text, its number of ids, the ids in decimal joined by commas, and its decoding."""
@@ -122,6 +123,15 @@ class Codec:
         return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(",")]
 
 
+LETTER = r"[^\W\d_]"
+
+
+def separable(pieces: Iterable[str]) -> str:
+    """ASCII marks that no piece has behind a letter: texts can be cut there."""
+    joined = {x[1] for p in pieces for x in re.findall(f"(?=({LETTER}.))", p)}
+    return "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
+
+
 def _codec(key: str, model) -> Codec:
     if key not in _live:
         _live.clear()
