@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licences, lines, quality, sentencepiece_codec, simhash, token_counts
+from . import decontaminate, language, licences, lines, personal, quality, sentencepiece_codec, simhash, token_counts, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_language": language.op2_language,
     "op3_simhash": simhash.op3_simhash,
     "op4_sentencepiece": sentencepiece_codec.op4_sentencepiece,
+    "op5_personal_data": personal.op5_personal_data,
     "op6_line_dedup": lines.op6_line_dedup,
     "op7_licences": licences.op7_licences,
     "op8_quality": quality.op8_quality,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {"op1_decontamination": decontaminate.ORACLE, "op6_line_dedup": lines.ORACLE, "op7_licences": licences.oracle(), "op8_quality": quality.ORACLE}
