@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case; every other byte stays. As 256 bytes for bytes.translate.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -15,6 +16,16 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORDS = bytes(LOWER[b] if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256))
 
 
+#: Columns that operators add for themselves begin with this; columns of documents don't.
+OWN = "_wordloom_"
+
+
+def besides(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, in any case: results that an operator adds take the place of columns named like them."""
+    taken = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

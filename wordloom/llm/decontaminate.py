@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS, byte_rows, staged, table
+from .common import OWN, WORDS, besides, byte_rows, staged, table
 
 WINDOW = 13
 #: Benchmark words in a block at most (but for one item longer than that): what the driver and each worker hold.
@@ -119,20 +119,23 @@ def _blocks(benchmark: DataFrame, block_words: int):
         yield n, [(r.item, r.text.encode()) for r in part.toLocalIterator()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with hits: struct<n_words, ranges of hit words, spans of characters, items>; ranges of several blocks are merged."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "hits") -> DataFrame:
+    """docs with a column of struct<n_words, ranges of hit words, spans of characters, items>; ranges of several blocks are merged.
+
+    A column of docs that has its name gives way; all others stay.
+    """
     spark = docs.sparkSession
-    out, n = docs, 1
+    out, n = besides(docs, into), 1
     for k, (n, block) in enumerate(_blocks(benchmark, block_words)):
-        out = out.withColumn("hits" if n == 1 else f"_hits{k}", _hits(F.col("text"), spark, block, window))
+        out = out.withColumn(into if n == 1 else f"{OWN}hits{k}", _hits(F.col("text"), spark, block, window))
         if n > 1:
             out = staged(out, "decontaminate")  # so that a worker holds one block's automaton at a time
     if n == 1:
         return out
-    parts = [f"_hits{k}" for k in range(n)]
+    parts = [f"{OWN}hits{k}" for k in range(n)]
     both = lambda field: _merged_column(F.flatten(F.array(*(F.col(f"{p}.{field}") for p in parts))))
     items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{p}.items") for p in parts)))))
-    return out.withColumn("hits", F.struct(F.col("_hits0.n_words").alias("n_words"), both("ranges").alias("ranges"), both("spans").alias("spans"), items.alias("items"))).drop(*parts)
+    return out.withColumn(into, F.struct(F.col(f"{OWN}hits0.n_words").alias("n_words"), both("ranges").alias("ranges"), both("spans").alias("spans"), items.alias("items"))).drop(*parts)
 
 
 def _merged_column(ranges: Column) -> Column:
@@ -156,7 +159,8 @@ def contaminated(hits: str = "hits") -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the contaminated ones."""
-    return contamination(docs, benchmark, **options).where(~contaminated()).drop("hits")
+    hits = f"{OWN}hits"
+    return contamination(docs, benchmark, into=hits, **options).where(~contaminated(hits)).drop(hits)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

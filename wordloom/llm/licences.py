@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import OWN, besides, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Least share of a template's words in place.
@@ -73,16 +73,17 @@ def postings(found: list[dict], seen: dict[str, int]) -> dict[str, list[tuple[in
 
 
 def places(docs: DataFrame, found: list[dict] | None = None) -> DataFrame:
-    """docs with n_words and places: array<struct<at, label, base, share>> of all verified places."""
+    """docs with n_words and places: array<struct<at, label, base, share>> of all verified places; columns of these names give way."""
+    docs = besides(docs, "n_words", "places")
     found = found or templates()
     index = postings(found, rarity(docs, sorted({w for x in found for w in x["words"]})))
     known = F.array(*(F.struct(F.array(*map(F.lit, x["words"])).alias("words"), F.lit(x["label"]).alias("label"), F.lit(x["base"]).alias("base"), F.lit(x["least"]).alias("least"), F.lit(x["key"]).alias("key"), F.lit(x["key_len"]).alias("key_len")) for x in found))
     posted = F.create_map(*(y for w, ps in index.items() for y in (F.lit(w), F.array(*(F.struct(F.lit(t).alias("t"), F.lit(r).alias("r")) for t, r in ps)))))
-    out = docs.withColumn("_words", words_of(F.col("text")))
-    words = F.col("_words")
+    out = docs.withColumn(f"{OWN}words", words_of(F.col("text")))
+    words = F.col(f"{OWN}words")
     rare = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"].isin(list(index)))
     agreed = F.array_distinct(F.flatten(F.transform(rare, lambda x: F.transform(F.element_at(posted, x["w"]), lambda p: F.struct(p["t"].alias("t"), (x["i"] - p["r"]).alias("at"))))))
-    out = out.withColumn("_candidates", agreed)
+    out = out.withColumn(f"{OWN}candidates", agreed)
 
     def verified(c: Column) -> Column:
         x = F.get(known, c["t"])
@@ -91,8 +92,8 @@ def places(docs: DataFrame, found: list[dict] | None = None) -> DataFrame:
         inside = c["at"] + x["key"] >= 0
         return F.struct(c["at"].alias("at"), x["label"].alias("label"), x["base"].alias("base"), F.when(inside & key & (in_place >= x["least"]), in_place / F.size(x["words"])).otherwise(0.0).alias("share"))
 
-    checked = F.when(F.size("_candidates") > 0, F.filter(F.transform("_candidates", verified), lambda p: p["share"] > 0)).otherwise(F.expr("cast(array() as array<struct<at:int,label:string,base:boolean,share:double>>)"))
-    return out.select(*docs.columns, F.size("_words").cast("long").alias("n_words"), checked.alias("places"))
+    checked = F.when(F.size(f"{OWN}candidates") > 0, F.filter(F.transform(f"{OWN}candidates", verified), lambda p: p["share"] > 0)).otherwise(F.expr("cast(array() as array<struct<at:int,label:string,base:boolean,share:double>>)"))
+    return out.select(*docs.columns, F.size(f"{OWN}words").cast("long").alias("n_words"), checked.alias("places"))
 
 
 def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import OWN, besides, table
 
 LINES = 3
 WRAP = 25
@@ -35,47 +35,49 @@ def lines_of(text: Column) -> Column:
 
 
 def with_windows(docs: DataFrame) -> DataFrame:
-    """docs with _windows, array<long>: a hash of each three consecutive lines, by the first one's place.
+    """docs with windows, array<long>: a hash of each three consecutive lines, by the first one's place.
 
     The line hashes are a column of their own: inside a lambda an expression would be evaluated for each element.
     """
-    hashed = docs.withColumn("_hashes", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.trim(x, F.lit(_BLANKS)))))
-    starts = F.sequence(F.lit(0), F.size("_hashes") - LINES)
-    windows = F.transform(starts, lambda i: F.xxhash64(*(F.get("_hashes", i + k) for k in range(LINES))))
-    return hashed.withColumn("_windows", F.when(F.size("_hashes") >= LINES, windows)).drop("_hashes")
+    hashed = docs.withColumn(f"{OWN}hashes", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.trim(x, F.lit(_BLANKS)))))
+    starts = F.sequence(F.lit(0), F.size(f"{OWN}hashes") - LINES)
+    windows = F.transform(starts, lambda i: F.xxhash64(*(F.get(f"{OWN}hashes", i + k) for k in range(LINES))))
+    return hashed.withColumn(f"{OWN}windows", F.when(F.size(f"{OWN}hashes") >= LINES, windows)).drop(f"{OWN}hashes")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """With the order among documents and a hash that tells documents apart."""
-    return docs.withColumn("_at", F.coalesce("doc_id", F.lit(_LAST))).withColumn("_key", F.xxhash64("doc_id", "text"))
+    return docs.withColumn(f"{OWN}at", F.coalesce("doc_id", F.lit(_LAST))).withColumn(f"{OWN}key", F.xxhash64("doc_id", "text"))
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """_at, _key, starts: for each document with later occurrences, where these windows begin."""
+    """The order, the key and where windows begin: for each document with later occurrences, where these windows begin."""
     keyed = with_windows(_keyed(docs.select("doc_id", "text")))
     # Not posexplode: from that a filter is inferred that would compute the windows a second time
-    windows = keyed.select("_at", "_key", F.posexplode_outer("_windows").alias("_pos", "_window")).where("_window is not null")
-    place = F.struct("_at", "_key", "_pos")
-    firsts = windows.groupBy("_window").agg(F.count("*").alias("_n"), F.min(place).alias("_first")).where("_n > 1").drop("_n")
-    later = windows.join(firsts, "_window").where(place > F.col("_first"))
-    return later.groupBy("_at", "_key").agg(F.collect_set("_pos").alias("starts"))
+    windows = keyed.select(f"{OWN}at", f"{OWN}key", F.posexplode_outer(f"{OWN}windows").alias(f"{OWN}pos", f"{OWN}window")).where(f"{OWN}window is not null")
+    place = F.struct(f"{OWN}at", f"{OWN}key", f"{OWN}pos")
+    firsts = windows.groupBy(f"{OWN}window").agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
+    later = windows.join(firsts, f"{OWN}window").where(place > F.col(f"{OWN}first"))
+    return later.groupBy(f"{OWN}at", f"{OWN}key").agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text cleaned and n_removed, the number of lines removed."""
-    found = _keyed(docs).join(repeated_starts(docs), ["_at", "_key"], "left")
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (LINES - 1)))))
-    found = found.withColumn("_lines", F.when(F.col("starts").isNotNull(), lines_of(F.col("text"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), covered)
-    cleaned = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "")
-    found = found.withColumn("n_removed", F.when(F.col("starts").isNull(), 0).otherwise(F.size(covered)).cast("long"))
-    return found.withColumn("text", F.when(F.col("starts").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns, "n_removed")
+def dedup_lines(docs: DataFrame, into: str = "n_removed") -> DataFrame:
+    """docs with text cleaned and, as another column, the number of lines removed; a column of docs that has its name gives way."""
+    docs = besides(docs, into)
+    found = _keyed(docs).join(repeated_starts(docs), [f"{OWN}at", f"{OWN}key"], "left")
+    covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.sequence(s, s + (LINES - 1)))))
+    found = found.withColumn(f"{OWN}lines", F.when(F.col(f"{OWN}starts").isNotNull(), lines_of(F.col("text"))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), covered)
+    cleaned = F.array_join(F.transform(kept, lambda i: F.get(f"{OWN}lines", i)), "")
+    found = found.withColumn(into, F.when(F.col(f"{OWN}starts").isNull(), 0).otherwise(F.size(covered)).cast("long"))
+    return found.withColumn("text", F.when(F.col(f"{OWN}starts").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns, into)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with text cleaned and n_chars counted anew; documents of which no word is left go."""
-    cleaned = dedup_lines(docs).where((F.col("n_removed") == 0) | F.col("text").rlike(_WORD))
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("n_removed")
+    removed = f"{OWN}removed"
+    cleaned = dedup_lines(docs, removed).where((F.col(removed) == 0) | F.col("text").rlike(_WORD))
+    return cleaned.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(removed)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_rows, staged, table
+from .common import LOWER, OWN, byte_rows, staged, table
 from .components import components
 
 SHINGLE = 3
@@ -161,7 +161,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     named = docs.join(staged(keep, "keep"), "doc_id", "left_semi")
     by = Window.partitionBy("doc_id").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    named = named.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth")
+    named = named.withColumn(f"{OWN}nth", F.row_number().over(by)).where(f"{OWN}nth = 1").drop(f"{OWN}nth")
     return named.select(*docs.columns).union(docs.where("doc_id is null"))
 
 

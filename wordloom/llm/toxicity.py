@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_rows
+from .common import besides, staged, table, text_rows
 
 #: Toxic documents, words of either kind, and documents for the curve that fitting takes at most.
 BAGS, WORDS, CURVE = 3000, 6000, 4000
@@ -350,7 +350,8 @@ def curve(f: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
-    """docs with score and predicted."""
+    """docs with score and predicted; columns of docs that have these names give way."""
+    docs = besides(docs, "score", "predicted")
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     slope, offset = model["curve"]
