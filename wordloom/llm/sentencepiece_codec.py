@@ -27,6 +27,9 @@ from .common import struct, table, text_rows
 SPACE = "▁"
 #: Distinct chunks that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
+#: Symbols up to which a list is a faster agenda than a heap.
+FEW = 48
+NEVER = float("inf")
 
 _live: dict[str, Codec] = {}
 
@@ -45,13 +48,36 @@ class Codec:
         self.shown = [None if sp.is_byte(i) else "" if sp.is_control(i) else self.piece[i].replace(SPACE, " ") for i in ids]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or ("\n" in p and p != "\n") for p in self.id):
             raise ValueError("a piece spans what is cut at: this vocabulary has pieces over more than one word")
-        ends = re.escape(separable(self.id))
-        bare = f"{SPACE}*{LETTER}++(?=[{ends}])|" if ends else ""
+        bare = f"{SPACE}*{LETTER}++(?:{separable(self.id)})|"
         self.chunks = re.compile(f"{bare}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
         self.known: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, chunk: str) -> list[int]:
-        """Ids of a chunk by the agenda; a merged pair leaves its right symbol empty."""
+        """Ids of a chunk by the agenda of its adjacent pairs."""
+        out: list[int] = []
+        for s in self.merged_few(chunk) if len(chunk) <= FEW else self.merged_many(chunk):
+            if (i := self.id.get(s)) is not None:
+                out.append(i)
+            else:
+                out += [self.byte_id[b] for b in s.encode()]
+        return out
+
+    def merged_few(self, chunk: str) -> list[str]:
+        """The agenda as a list of ranks in place: its least, the leftmost one among equals, is the next pair."""
+        rank, symbols = self.rank.get, list(chunk)
+        agenda = [rank(chunk[i : i + 2], NEVER) for i in range(len(chunk) - 1)]
+        while agenda and (least := min(agenda)) is not NEVER:
+            i = agenda.index(least)
+            symbols[i] = pair = symbols[i] + symbols.pop(i + 1)
+            agenda.pop(i)
+            if i < len(agenda):
+                agenda[i] = rank(pair + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + pair, NEVER)
+        return symbols
+
+    def merged_many(self, chunk: str) -> Iterable[str]:
+        """The agenda as a heap, for long chunks; a merged pair leaves its right symbol empty."""
         rank, symbols, n = self.rank.get, list(chunk), len(chunk)
         before, after = list(range(-1, n)), list(range(1, n + 2))
         agenda = [(r, i, i + 1, pair) for i in range(n - 1) if (r := rank(pair := chunk[i : i + 2])) is not None]
@@ -67,13 +93,7 @@ class Codec:
                 heapq.heappush(agenda, (r, left, follows, wider))
             if (earlier := before[left]) >= 0 and (r := rank(wider := symbols[earlier] + pair)) is not None:
                 heapq.heappush(agenda, (r, earlier, left, wider))
-        out: list[int] = []
-        for s in filter(None, symbols):
-            if (i := self.id.get(s)) is not None:
-                out.append(i)
-            else:
-                out += [self.byte_id[b] for b in s.encode()]
-        return out
+        return filter(None, symbols)
 
     def text_of(self, ids: list[int]) -> str:
         """Pieces with their spaces, byte pieces joined into characters; the space of the dummy prefix is still there."""
@@ -127,9 +147,13 @@ LETTER = r"[^\W\d_]"
 
 
 def separable(pieces: Iterable[str]) -> str:
-    """ASCII marks that no piece has behind a letter: texts can be cut there."""
-    joined = {x[1] for p in pieces for x in re.findall(f"(?=({LETTER}.))", p)}
-    return "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in joined)
+    """A pattern of places behind letters where texts can be cut: before ASCII marks, but for letters that a piece joins to them."""
+    joined: dict[str, set[str]] = {c: set() for c in map(chr, range(33, 127)) if not c.isalnum()}
+    for p in pieces:
+        for pair in re.findall(f"(?=({LETTER}.))", p):
+            if pair[1] in joined:
+                joined[pair[1]].add(pair[0])
+    return "|".join(f"(?={re.escape(c)})" + (f"(?<![{''.join(sorted(letters))}])" if letters else "") for c, letters in joined.items())
 
 
 def _codec(key: str, model) -> Codec:
