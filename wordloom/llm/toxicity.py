@@ -36,6 +36,8 @@ from .common import besides, staged, table, text_rows
 #: Toxic documents, words of either kind, and documents for the curve that fitting takes at most.
 BAGS, WORDS, CURVE = 3000, 6000, 4000
 LANDMARKS = 600
+#: Weight of the words of either kind against the machine's norm.
+COST = 5000.0
 DECAY = 0.6
 SPAN = 5
 #: Letters of a word that count; longer words are cut into overlapping parts of this length.
@@ -146,7 +148,7 @@ def machine(toxic: list[str], clean: list[str], codes: dict[str, int]) -> dict:
     white = vectors / np.sqrt(np.maximum(values, 1e-6))
     x = np.hstack([kernel(toxic + clean, marks, codes) @ white, np.ones((len(toxic) + len(clean), 1))])
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    cost = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)) * 200
+    cost = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)) * COST
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
@@ -204,6 +206,16 @@ def chosen(bags: list[set[str]], sure: set[str], values: dict[str, float]) -> li
     return sorted(found)
 
 
+def stretched(words: Iterable[str]) -> list[str]:
+    """Words with a letter inserted in each of three places, so that the machine learns to tolerate it."""
+    out = []
+    for w in words:
+        if len(w) > 5:
+            for n, at in enumerate(sorted({3, len(w) // 2 + 1, len(w) - 1})):
+                out.append((w[:at] + "xeo"[n] + w[at:])[:LENGTH])
+    return out
+
+
 class Scorer:
     def __init__(self, model: dict):
         self.model = model
@@ -325,7 +337,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
         hard = harmless.select("word", _decisions(F.col("word"), spark, model).alias("f")).orderBy(F.desc("f"), "word").limit(WORDS // 4).collect()
         clean = list(dict.fromkeys([*clean, *(r.word for r in hard)]))
         words = chosen(bags, sure, dict(zip(suspected, decisions(suspected, model).tolist(), strict=True))) or words
-        model = machine(words, clean, codes)
+        model = machine([*words, *stretched(sure)], clean, codes)
     sample = _some(known.where("label = 0"), sizes[0], CURVE).union(_some(known.where("label = 1"), sizes[1], CURVE // 4))
     rows = sample.select("label", worst_word(F.col("text"), spark, model).alias("f")).collect()
     return model | {"curve": curve(np.array([r.f for r in rows]), np.array([r.label for r in rows], float))}
