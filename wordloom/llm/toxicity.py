@@ -6,15 +6,16 @@ letters, the product of their decayed occurrences, normalised; gaps and inserted
 to a span of SPAN letters. The machine is trained on words as the parts of labelled documents: a toxic document has at
 least one toxic word, a clean one has none, wrong labels apart. Suspected are words in more toxic documents than chance
 explains; first chosen are those in many different neighbourhoods, with words that cover the other documents, and the
-machine then chooses anew twice, each time with the harmless words that it took for toxic. Kernel values with the landmarks, whitened, are the features
-(Nystroem), and as these are linear in subsequences, the machine folds into one weight for each three letters.
+machine then chooses anew twice, each time with the harmless words that it took for toxic. Toxic words with a letter
+inserted are trained on too. Kernel values with the landmarks, whitened, are the features (Nystroem), and as these are
+linear in subsequences, the machine folds into one weight for each three letters.
 
 A text's score is its worst word's decision value through a logistic curve fitted on labelled documents.
 
-Labels are used of documents that aren't held out; word counts by label cover all of them, while machine and curve are
-fitted on bounded samples (BAGS, WORDS, CURVE). Null or wordless texts score like a text of harmless words. Without labels of
-both kinds all scores are 0. Rows of labels with the same doc_id count once, as toxic if one is. Repeated documents are
-each scored.
+Machine and curve are fitted on a bounded sample of labelled documents that aren't held out (LABELLED, and of these
+BAGS, WORDS, CURVE); every document is scored. Null or wordless texts score like a text of harmless words. Without
+labels of both kinds all scores are 0. Rows of labels with the same doc_id count once, as toxic if one is. Repeated
+documents are each scored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import besides, staged, table, text_rows
 
-#: Toxic documents, words of either kind, and documents for the curve that fitting takes at most.
+#: Clean and toxic documents to learn from at most, by a hash of their ids.
+LABELLED = (20_000, 5000)
+#: Of them, toxic documents, words of either kind, and documents for the curve that fitting takes at most.
 BAGS, WORDS, CURVE = 3000, 6000, 4000
 LANDMARKS = 600
 #: Weight of the words of either kind against the machine's norm.
@@ -308,8 +311,10 @@ def _some(docs: DataFrame, n: int, most: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The machine with its curve, of docs(doc_id, text) and labels(doc_id, toxic); None without labels of both kinds."""
     spark = docs.sparkSession
-    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = docs.where(~held_out()).select("doc_id", "text").join(marks, "doc_id").select("doc_id", "text", F.when(F.col("toxic") > 0, 1).otherwise(0).alias("label"))
+    marks = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
+    few = [marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in enumerate(LABELLED)]
+    # A broadcast of LABELLED rows at most, so that texts stay where they are
+    known = docs.select("doc_id", "text").join(F.broadcast(few[0].union(few[1])), "doc_id")
     known = staged(known, "labelled")
     sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
