@@ -5,7 +5,7 @@ from __future__ import annotations
 from .functions import deconjugation, text_queries, tokens  # noqa: F401
 from .operators import browsing, difficulty, export, frequency, hierarchy, text_stats  # noqa: F401
 from .plans.registry import ORACLES, QUERIES
-from .sources import script_queries  # noqa: F401
+from .sources import script_queries, user_dictionary  # noqa: F401
 from .streaming import rates  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
