@@ -248,7 +248,7 @@ def test_later_passages_go_and_first_ones_stay(spark):
     rows = [(2, f"own start here\n{passage}\nown end"), (1, f"{passage}\nfirst one"), (3, "quite\nanother\ntext"), (4, passage)]
     found = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1].text == rows[1][1] and found[3].text == rows[2][1]
-    assert found[2].text == "own start here\nown end" and found[2].n_removed == 3 and found[4].text == ""
+    assert found[2].text == "own start here\nown end" and found[2].n_removed == 5 and found[4].text == ""
 
 
 # 7

@@ -1,8 +1,8 @@
 """Line dedup (6), in DataFrame operations only: overlapping windows of three lines, later occurrences removed.
 
-A line is what stands between line ends, wrapped after 25 words, with the white space before it and its line end. So a
-passage of over 50 words in whole lines always has three lines and is one window at least, however few line ends it
-has. Lines are hashed without the white space around them, three consecutive ones make a window, and windows are met
+A line is what stands between line ends, wrapped after 12 words, with the white space before it and its line end. So a
+passage of over 50 words that stands alike behind a line end holds three whole lines, one window at least, wherever it
+begins and ends and however few line ends it has. Lines are hashed without the white space around them, three consecutive ones make a window, and windows are met
 across all documents by their hash. The first occurrence, by doc_id (null last), then text hash, then position, stays;
 the lines that any later occurrence covers are removed together.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import OWN, besides, table
 
 LINES = 3
-WRAP = 25
+WRAP = 12
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _INLINE = r"[\x20\x09\x0B-\x0D]"
@@ -87,7 +87,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,24}(?:[\x20\x09\x0B-\x0D]*\n)?') AS l FROM documents),
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,11}(?:[\x20\x09\x0B-\x0D]*\n)?') AS l FROM documents),
 u AS (SELECT doc_id, l, list_transform(l, lambda x: trim(x, e' \t\n\x0b\x0c\r')) AS h FROM d),
 w AS (SELECT doc_id, i, h[i:i + 2] AS win FROM (SELECT doc_id, h, unnest(range(1, len(h) - 1)) AS i FROM u)),
 later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
