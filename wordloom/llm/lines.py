@@ -61,23 +61,37 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return later.groupBy(f"{OWN}at", f"{OWN}key").agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts"))
 
 
+def _with_kept(docs: DataFrame) -> DataFrame:
+    """docs with their lines and the places of those kept; both null where nothing is removed."""
+    found = _keyed(docs).join(repeated_starts(docs), [f"{OWN}at", f"{OWN}key"], "left")
+    found = found.withColumn(f"{OWN}lines", F.when(F.col(f"{OWN}starts").isNotNull(), lines_of(F.col("text"))))
+    covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.sequence(s, s + (LINES - 1)))))
+    return found.withColumn(f"{OWN}kept", F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), covered))
+
+
+def _cleaned() -> Column:
+    return F.array_join(F.transform(f"{OWN}kept", lambda i: F.get(f"{OWN}lines", i)), "")
+
+
 def dedup_lines(docs: DataFrame, into: str = "n_removed") -> DataFrame:
     """docs with text cleaned and, as another column, the number of lines removed; a column of docs that has its name gives way."""
     docs = besides(docs, into)
-    found = _keyed(docs).join(repeated_starts(docs), [f"{OWN}at", f"{OWN}key"], "left")
-    covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.sequence(s, s + (LINES - 1)))))
-    found = found.withColumn(f"{OWN}lines", F.when(F.col(f"{OWN}starts").isNotNull(), lines_of(F.col("text"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), covered)
-    cleaned = F.array_join(F.transform(kept, lambda i: F.get(f"{OWN}lines", i)), "")
-    found = found.withColumn(into, F.when(F.col(f"{OWN}starts").isNull(), 0).otherwise(F.size(covered)).cast("long"))
-    return found.withColumn("text", F.when(F.col(f"{OWN}starts").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns, into)
+    found = _with_kept(docs)
+    whole = F.col(f"{OWN}starts").isNull()
+    removed = F.when(whole, 0).otherwise(F.size(f"{OWN}lines") - F.size(f"{OWN}kept")).cast("long")
+    return found.withColumn(into, removed).withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned())).select(*docs.columns, into)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with text cleaned and n_chars counted anew; documents of which no word is left go."""
-    removed = f"{OWN}removed"
-    cleaned = dedup_lines(docs, removed).where((F.col(removed) == 0) | F.col("text").rlike(_WORD))
-    return cleaned.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(removed)
+    """docs with text cleaned and n_chars counted anew; documents of which no line is left go.
+
+    They go by the number of lines kept: a filter on the cleaned text would be pushed below the column of lines, whose
+    expression would then be evaluated for each line.
+    """
+    whole = F.col(f"{OWN}starts").isNull()
+    found = _with_kept(docs).where(whole | (F.size(f"{OWN}kept") > 0))
+    found = found.withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned()))
+    return found.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
