@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +28,17 @@ def besides(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
+#: Texts in an Arrow batch at most. Batches are held whole, off the heap and in a worker, and texts may be long.
+BATCH = 500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH rows; called where a function over whole texts is planned."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,6 +60,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_resident: dict[str, Any] = {}
+
+
+def resident(key: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from task to task, one thing at a time: workers outlive queries, and what they keep would add up."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]
+
+
 def byte_rows(column: pa.Array, step: int = 256) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each value, made a few rows at a time so that a batch is never held twice."""
     for at in range(0, len(column), step):

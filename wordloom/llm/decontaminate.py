@@ -22,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, WORDS, besides, byte_rows, staged, table
+from .common import OWN, WORDS, besides, byte_rows, resident, staged, table, text_batches
 
 WINDOW = 13
 #: Benchmark words in a block at most (but for one item longer than that): what the driver and each worker hold.
 BLOCK_WORDS = 2_000_000
 
 _word = re.compile(rb"[^ ]+")
-_live: dict[str, Matcher] = {}
-
 
 class Matcher:
     """The automaton of one block. items: (item_id or None, text)."""
@@ -83,16 +81,14 @@ def offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
 
 
 def _matcher(key: str, items, window: int) -> Matcher:
-    if key not in _live:
-        _live.clear()
-        _live[key] = Matcher(items.value, window)
-    return _live[key]
+    return resident(key, lambda: Matcher(items.value, window))
 
 
 _HITS = "struct<n_words:bigint,ranges:array<struct<start:int,end:int>>,spans:array<struct<start:int,end:int>>,items:array<string>>"
 
 
 def _hits(text: Column, spark: SparkSession, block: list[tuple[str | None, bytes]], window: int) -> Column:
+    text_batches(spark)
     key, items = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
 
     @F.arrow_udf(_HITS)

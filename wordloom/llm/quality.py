@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_rows, staged, struct, table
+from .common import byte_rows, staged, struct, table, text_batches
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -82,6 +82,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", limit: float = HOST
 
 def judged(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """doc_id, source, the metrics, base_failed and kept, of documents with doc_id, text and source."""
+    text_batches(docs.sparkSession)
     rows = docs.select("doc_id", "source", metrics(F.col("text")).alias("m")).select("doc_id", "source", "m.*")
     rows = staged(rows.withColumn("base_failed", F.expr(f"({RULES['short']}) or ({RULES['repeats']})")), "quality")
     hosts = host_verdicts(rows, limit=limit).select(F.col("source").alias("host"), "bad")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import struct, table, text_rows
+from .common import resident, struct, table, text_batches, text_rows
 
 SPACE = "▁"
 #: Distinct chunks that a worker remembers before it starts afresh.
@@ -31,8 +31,6 @@ REMEMBERED = 400_000
 FEW = 48
 NEVER = float("inf")
 
-_live: dict[str, Codec] = {}
-
 
 class Codec:
     def __init__(self, model: bytes):
@@ -157,13 +155,11 @@ def separable(pieces: Iterable[str]) -> str:
 
 
 def _codec(key: str, model) -> Codec:
-    if key not in _live:
-        _live.clear()
-        _live[key] = Codec(model.value)
-    return _live[key]
+    return resident(key, lambda: Codec(model.value))
 
 
 def _shared(spark: SparkSession, model_path: str):
+    text_batches(spark)
     with open(model_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary
     return uuid.uuid4().hex, model

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, OWN, byte_rows, staged, table
+from .common import LOWER, OWN, byte_rows, staged, table, text_batches
 from .components import components
 
 SHINGLE = 3
@@ -141,6 +141,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp (a signed long) and component_id of each row of documents with doc_id and text."""
+    text_batches(docs.sparkSession)
     rows = staged(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
     stars = components(near_edges(prints, bucket))

@@ -20,13 +20,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import struct, table, text_rows
+from .common import resident, struct, table, text_batches, text_rows
 
 #: Distinct merged pre-tokens that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
 
-_live: dict[str, PretokenCounter] = {}
-
 
 class PretokenCounter:
     """Counts tokens of texts for one tokenizer file; built once in a worker."""
@@ -108,14 +106,12 @@ def byte_symbols() -> list[str]:
 
 def _counter(key: str, shared) -> PretokenCounter:
     """The worker's counter for this key: workers outlive tasks, and so does what they remember."""
-    if key not in _live:
-        _live.clear()
-        _live[key] = PretokenCounter(*shared.value)
-    return _live[key]
+    return resident(key, lambda: PretokenCounter(*shared.value))
 
 
 def count_tokens(text: Column, spark: SparkSession, tokenizer_path: str) -> Column:
     """The number of tokens of each text; tokenizer_path is a file of the driver, and its content is what executors get."""
+    text_batches(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     shared = spark.sparkContext.broadcast((spec, whole_tokens(spec)))  # bounded by the vocabulary

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import besides, staged, table, text_rows
+from .common import besides, resident, staged, table, text_batches, text_rows
 
 #: Clean and toxic documents to learn from at most, by a hash of their ids.
 LABELLED = (20_000, 5000)
@@ -55,8 +55,6 @@ REMEMBERED = 400_000
 #: Marks and digits that imitate letters.
 LOOKS = str.maketrans("013457@$!", "oleastasi")
 _marks = re.compile(r"[\W\d_]+")
-_live: dict[str, Scorer] = {}
-
 
 def words_of(text: str) -> list[str]:
     """The words of a text, each with a sign for its beginning; single letters in a row make one more."""
@@ -237,14 +235,12 @@ class Scorer:
 
 
 def _scorer(key: str, shared) -> Scorer:
-    if key not in _live:
-        _live.clear()
-        _live[key] = Scorer(shared.value)
-    return _live[key]
+    return resident(key, lambda: Scorer(shared.value))
 
 
 def worst_word(text: Column, spark: SparkSession, model: dict) -> Column:
     """The decision value of each text's worst word."""
+    text_batches(spark)
     key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(model)  # one table of fixed size
 
     @F.arrow_udf("double")
