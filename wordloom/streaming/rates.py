@@ -16,7 +16,7 @@ def rates(events: DataFrame, width: str, slide: str | None = None) -> DataFrame:
 
 def watched(events: DataFrame, late: str = "10 minutes", width: str = "60 seconds") -> DataFrame:
     """The fixed windows of a stream of events; later ones than the watermark are dropped."""
-    return rates(events.withWatermark("ts", late), width)
+    return rates(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
