@@ -251,6 +251,23 @@ def test_later_passages_go_and_first_ones_stay(spark):
     assert found[2].text == "own start here\nown end" and found[2].n_removed == 5 and found[4].text == ""
 
 
+def test_stage_finds_passages_at_any_offset(spark):
+    passage = [f"w{i}" for i in range(51)]
+    ends = " ".join(passage[:20]) + "\n" + " ".join(passage[20:])
+    rows = [(0, "first " + " ".join(passage) + " end", 0), (1, "begun " + ends + " done", 0)]
+    rows += [(10 + k, " ".join([*(f"a{k}x{i}" for i in range(k)), *passage, *(f"b{k}x{i}" for i in range(40))]), 0) for k in range(26)]
+    near = passage[:]
+    near.insert(3, "inserted")
+    rows += [(50, " ".join(near + [f"w{i}" for i in range(51, 60)]), 0), (60, "own\nlines " + " ".join(f"u{i}" for i in range(80)), 0)]
+    found = {r.doc_id: r.text for r in lines.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    known = {i: t for i, t, _ in rows}
+    assert found[0] == known[0] and found[60] == known[60]
+    for i in (1, *range(10, 36), 50):
+        left = [w for w in found[i].split() if w[0] == "w"]
+        assert len(left) <= 2 * (lines.SPREAD - 1), i
+        assert [w for w in found[i].split() if w[0] != "w"] == [w for w in known[i].split() if w[0] != "w"], i
+
+
 # 7
 
 

@@ -1,10 +1,16 @@
 """Line dedup (6), in DataFrame operations only: overlapping windows of three lines, later occurrences removed.
 
 A line is what stands between line ends, wrapped after 12 words, with the white space before it and its line end. So a
-passage of over 50 words that stands alike behind a line end holds three whole lines, one window at least, wherever it
-begins and ends and however few line ends it has. Lines are hashed without the white space around them, three consecutive ones make a window, and windows are met
-across all documents by their hash. The first occurrence, by doc_id (null last), then text hash, then position, stays;
-the lines that any later occurrence covers are removed together.
+passage of over 50 words that stands alike behind a line end holds three whole lines, one window at least. A passage
+that begins mid-line at another count of words need not. Lines are hashed without the white space around them, three
+consecutive ones make a window, and windows are met across all documents by their hash. The first occurrence, by doc_id
+(null last), then text hash, then position, stays; the lines that any later occurrence covers are removed together.
+
+dedup_lines() and the query do this, as the query's SQL says. without_repeats(), the pipeline's stage, has further
+windows that begin where the content says so: of each SPREAD words in a row, at the one with the least hash (the last
+of such), they take that word and the WINDOW - 1 after it. So any passage of WINDOW + SPREAD - 1 = 51 words or more holds
+a whole one that begins alike wherever the passage stands, line ends or not; at most SPREAD - 1 words at either end of a
+passage stay. There the words that any later occurrence covers are removed.
 
 A text of fewer than three lines has no window and stays as it is, as does any text without a later occurrence; from
 others the white space at the end goes too. Rows with the same doc_id and the same text are one document: each gets its
@@ -20,13 +26,19 @@ from .common import OWN, besides, table
 
 LINES = 3
 WRAP = 12
+#: Words in a window that begins by content, and words of which one at least begins a window.
+WINDOW, SPREAD = 36, 16
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _INLINE = r"[\x20\x09\x0B-\x0D]"
 #: Java's possessive quantifiers keep long lines from backtracking.
 _LINE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}++{_WORD}++){{0,{WRAP - 1}}}+(?:{_INLINE}*+\n)?+"
+_ONE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}*+\n)?+"
 _BLANKS = " \t\n\x0b\x0c\r"
 _LAST = (1 << 63) - 1
+#: Added to the places of windows that begin by content, which are words; other windows' places are lines.
+_BY_WORD = 1 << 30
+_LOW = (1 << 31) - 1
 
 
 def lines_of(text: Column) -> Column:
@@ -34,6 +46,11 @@ def lines_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
 
 
+def words_of(text: Column) -> Column:
+    """array<string>: the words of a text with the white space before each and its line end; joined like lines."""
+    return F.regexp_extract_all(text, F.lit(_ONE), F.lit(0))
+
+
 def with_windows(docs: DataFrame) -> DataFrame:
     """docs with windows, array<long>: a hash of each three consecutive lines, by the first one's place.
 
@@ -45,16 +62,45 @@ def with_windows(docs: DataFrame) -> DataFrame:
     return hashed.withColumn(f"{OWN}windows", F.when(F.size(f"{OWN}hashes") >= LINES, windows)).drop(f"{OWN}hashes")
 
 
+def with_word_windows(docs: DataFrame) -> DataFrame:
+    """docs with word_starts, array<long>, and word_windows, array<long>: where windows begin by content, and their hashes.
+
+    A word's hash and its place share a long, so that the least of SPREAD words, found by doubling, tells its place.
+    """
+    words, least, starts = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts"
+    found = docs.withColumn(words, F.transform(words_of(F.col("text")), lambda x: F.xxhash64(F.trim(x, F.lit(_BLANKS)))))
+    found = found.withColumn(least, F.transform(words, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(_LOW)), 32) + (_LOW - i)))
+    step = 1
+    while step < SPREAD:
+        found = found.withColumn(least, F.zip_with(least, F.slice(least, step + 1, F.size(words)), lambda x, y: F.least(x, y)))
+        step *= 2
+    places = F.array_distinct(F.transform(least, lambda x: _LOW - x.bitwiseAND(F.lit(_LOW))))
+    found = found.withColumn(starts, F.filter(places, lambda p: p + WINDOW <= F.size(words)))
+    hashed = F.transform(starts, lambda p: F.xxhash64(F.lit("words"), F.slice(words, p.cast("int") + 1, WINDOW)))
+    return found.withColumn(f"{OWN}word_windows", hashed).drop(words, least)
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """With the order among documents and a hash that tells documents apart."""
     return docs.withColumn(f"{OWN}at", F.coalesce("doc_id", F.lit(_LAST))).withColumn(f"{OWN}key", F.xxhash64("doc_id", "text"))
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """The order, the key and where windows begin: for each document with later occurrences, where these windows begin."""
+def repeated_starts(docs: DataFrame, by_content: bool = False) -> DataFrame:
+    """The order, the key and where windows begin: for each document with later occurrences, where these windows begin.
+
+    by_content adds the windows that begin by content; their places have _BY_WORD added.
+    """
     keyed = with_windows(_keyed(docs.select("doc_id", "text")))
-    # Not posexplode: from that a filter is inferred that would compute the windows a second time
-    windows = keyed.select(f"{OWN}at", f"{OWN}key", F.posexplode_outer(f"{OWN}windows").alias(f"{OWN}pos", f"{OWN}window")).where(f"{OWN}window is not null")
+    if by_content:
+        keyed = with_word_windows(keyed)
+        line_places = F.transform(f"{OWN}windows", lambda w, i: F.struct(i.cast("int").alias(f"{OWN}pos"), w.alias(f"{OWN}window")))
+        word_places = F.zip_with(f"{OWN}word_starts", f"{OWN}word_windows", lambda p, w: F.struct((p + _BY_WORD).cast("int").alias(f"{OWN}pos"), w.alias(f"{OWN}window")))
+        none = F.array().cast(f"array<struct<{OWN}pos:int,{OWN}window:bigint>>")
+        both = F.concat(F.coalesce(line_places, none), F.coalesce(word_places, none))
+        windows = keyed.select(f"{OWN}at", f"{OWN}key", F.explode_outer(both).alias("w")).select(f"{OWN}at", f"{OWN}key", "w.*").where(f"{OWN}window is not null")
+    else:
+        # Not posexplode: from that a filter is inferred that would compute the windows a second time
+        windows = keyed.select(f"{OWN}at", f"{OWN}key", F.posexplode_outer(f"{OWN}windows").alias(f"{OWN}pos", f"{OWN}window")).where(f"{OWN}window is not null")
     place = F.struct(f"{OWN}at", f"{OWN}key", f"{OWN}pos")
     firsts = windows.groupBy(f"{OWN}window").agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
     later = windows.join(firsts, f"{OWN}window").where(place > F.col(f"{OWN}first"))
@@ -69,6 +115,20 @@ def _with_kept(docs: DataFrame) -> DataFrame:
     return found.withColumn(f"{OWN}kept", F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), covered))
 
 
+def _with_kept_words(docs: DataFrame) -> DataFrame:
+    """docs with their words, as lines, and the places of those kept, by windows of both kinds; both null where nothing is removed."""
+    lines, of_line, first = f"{OWN}lines", f"{OWN}of_line", f"{OWN}line_starts"
+    found = _keyed(docs).join(repeated_starts(docs, by_content=True), [f"{OWN}at", f"{OWN}key"], "left")
+    found = found.withColumn(lines, F.when(F.col(f"{OWN}starts").isNotNull(), F.transform(lines_of(F.col("text")), lambda x: words_of(x))))
+    found = found.withColumn(of_line, F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, F.size(x))))).withColumn(lines, F.flatten(lines))
+    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    found = found.withColumn(first, F.filter(every, lambda i: (i == 0) | (F.get(of_line, i) != F.get(of_line, i - 1))))
+    by_word = lambda s: F.sequence(s - _BY_WORD, s - _BY_WORD + (WINDOW - 1))
+    by_line = lambda s: F.sequence(F.get(first, s), F.coalesce(F.get(first, s + LINES), F.size(lines)) - 1)
+    covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.when(s >= _BY_WORD, by_word(s)).otherwise(by_line(s)))))
+    return found.withColumn(f"{OWN}kept", F.array_except(every, covered))
+
+
 def _cleaned() -> Column:
     return F.array_join(F.transform(f"{OWN}kept", lambda i: F.get(f"{OWN}lines", i)), "")
 
@@ -83,13 +143,13 @@ def dedup_lines(docs: DataFrame, into: str = "n_removed") -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with text cleaned and n_chars counted anew; documents of which no line is left go.
+    """docs with text cleaned by windows of both kinds and n_chars counted anew; documents of which no word is left go.
 
-    They go by the number of lines kept: a filter on the cleaned text would be pushed below the column of lines, whose
-    expression would then be evaluated for each line.
+    They go by what a generator leaves: any other filter on kept words would be pushed below the columns that these are
+    made from, whose expressions would then be evaluated for each word.
     """
-    whole = F.col(f"{OWN}starts").isNull()
-    found = _with_kept(docs).where(whole | (F.size(f"{OWN}kept") > 0))
+    whole, stays = F.col(f"{OWN}starts").isNull(), f"{OWN}stays"
+    found = _with_kept_words(docs).select("*", F.explode_outer(F.when(whole | (F.size(f"{OWN}kept") > 0), F.array(F.lit(True)))).alias(stays)).where(f"{stays} is not null")
     found = found.withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned()))
     return found.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
