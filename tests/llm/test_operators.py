@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -94,6 +95,18 @@ def test_kneser_ney_is_a_distribution():
         assert abs(np.exp2(language.log_probabilities(model, grams)[:, 0].astype(float)).sum() - 1) < 1e-4
 
 
+def test_a_hot_language_leaves_the_strings_of_others(spark):
+    rng = np.random.default_rng(6)
+    hot = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 100_000))) for _ in range(11)]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]  # not held out
+    rows = list(zip(ids, [*hot * 3, "quick brown fox jumps"], ["hot"] * 33 + ["small"]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.string_counts(language.learning(docs)).count() > 1_000_000
+    model = language.learn(docs)
+    assert model["langs"] == ["hot", "small"]
+    assert {r.lang_pred for r in language.identified(docs.where("lang = 'small'"), model).collect()} == {"small"}
+
+
 # 3
 
 
