@@ -1,6 +1,7 @@
 """Operators against brute force and libraries on small inputs, and what they do with odd tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -320,26 +321,57 @@ def brute_kernel(a, b):
 
 
 def test_kernel():
-    words = ["^idiot", "^idxiot", "^banana", "^worthless", "^abab"]
-    values = toxicity.kernel(words, words, toxicity.alphabet(words))
-    assert np.allclose(values, [[brute_kernel(a, b) for b in words] for a in words])
+    words = sorted(["^idiot", "^idxiot", "^banana", "^worthless", "^abab", "^idiooooooot", "^soooooooooooo", "^日本語", "^日本話"])
+    values = toxicity.kernels(words, toxicity.Phrases([(w,) for w in words], words))
+    assert np.allclose(values, [[brute_kernel(a, b) for b in words] for a in words], atol=1e-5)
+    assert toxicity.parts("abcdefghijklmnop") == ["^abcdefghijklmno", "ijklmnop"] and toxicity.parts("ab") == ["^ab"]
 
 
-def test_machine_tolerates_gaps():
+def insults():
     rng = random.Random(4)
-    clean = ["^" + "".join(rng.choice(["ka", "lo", "mi", "ten", "sur", "ba"]) for _ in range(3)) for _ in range(300)]
-    model = toxicity.machine(["^idiot", "^moron", "^worthless", "^stupid"], clean, toxicity.alphabet([*clean, "^idiot", "^moron", "^worthless", "^stupid"]))
-    scorer = toxicity.Scorer(model)
-    bad = [scorer.worst(x) for x in ("you idiot!", "i.d.i.o.t", "i d i o t", "st-upid", "worthlesss", "m0ron", "stupidd")]
-    assert min(bad) > 0 > max(scorer.worst(x) for x in ("kalomi tensurba", "bamiten", ""))
+    clean = [tuple("^" + "".join(rng.choice(["ka", "lo", "mi", "ten", "sur", "ba"]) for _ in range(3)) for _ in range(2)) for _ in range(600)]
+    bad = ["^idiot", "^moron", "^worthless", "^stupid"]
+    return [(rng.choice(clean)[0], rng.choice(bad)) for _ in range(60)] + clean[400:], clean[:400]
+
+
+def test_machine_tolerates_gaps():
+    scorer = toxicity.Scorer(toxicity.fitted(*insults()))
+    bad = [scorer.worst(x)[0] for x in ("you idiot!", "i.d.i.o.t", "i d i o t", "st-upid", "worthlesss", "m0ron", "stupidd", "ka idxiot")]
+    assert min(bad) > max(scorer.worst(x)[0] for x in ("kalomi tensurba", "bamiten", "")) + 0.3
+
+
+def test_scores_are_those_of_the_kernel(spark):
+    model = toxicity.fitted(*insults()) | {"curve": [1.5, 0.5, 0.25, -1.0]}
+    rows = ["you idiot. kalomi tensurba, worthless bamiten", "kalomi tensurba. kalomi tensurba!", "", None, "st-upid\n" * 3, "x " * 50]
+    found = toxicity.toxicity(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+
+    def decision(phrase):
+        return model["bias"] + sum(a * sum(brute_kernel(w, u) for w in phrase for u in mark if len(w) > 2 and len(u) > 2) for a, mark in zip(model["alpha"], model["marks"], strict=True))
+
+    for r, text in zip(found, rows, strict=True):
+        values = sorted((decision(p) for p in set(toxicity.phrases(text or ""))), reverse=True)[:3]
+        values = [min(max(x, -2), 3) for x in values + [-2] * (3 - len(values))]
+        assert abs(r.score - 1 / (1 + np.exp(1.0 - np.dot(model["curve"][:3], values)))) < 1e-3, text
+        assert r.predicted == int(r.score >= 0.5)
+
+
+def test_fits_alike_under_any_hash_seed():
+    import subprocess
+    import sys
+
+    code = "import tests.llm.test_operators as t, hashlib; m = t.toxicity.fitted(*t.insults()); print(hashlib.sha256(m['weights'].round(4).tobytes()).hexdigest(), m['marks'])"
+    runs = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env={**os.environ, "PYTHONHASHSEED": seed}).stdout for seed in ("1", "2", "3")}
+    assert len(runs) == 1
 
 
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    found = toxicity.toxicity(docs, toxicity.learn(docs, labels)).where(toxicity.held_out()).join(labels, "doc_id").where("lang = 'en'").select("toxic", "predicted").toPandas()
-    recall, clean = found[found.toxic == 1].predicted.mean(), 1 - found[found.toxic == 0].predicted.mean()
-    assert recall > 0.8 and clean > 0.9
+    found = toxicity.toxicity(docs, toxicity.learn(docs, labels)).where(toxicity.held_out()).join(labels, "doc_id").select("lang", "toxic", "predicted").toPandas()
+    for lang in ("en", "fr", "es", "de"):
+        own = found[found.lang == lang]
+        assert own[own.toxic == 1].predicted.mean() > (0.6 if lang == "de" else 0.8), lang
+        assert own[own.toxic == 0].predicted.mean() < 0.05, lang
 
 
 # odd tables

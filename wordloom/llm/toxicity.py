@@ -1,30 +1,30 @@
 """Toxicity (10): a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-Words are lower-cased, digits and marks that imitate letters are read as these, what is no letter is dropped ("i.d-i0t"
-is "idiot"), and single letters in a row are one word. The kernel of two words sums, over all subsequences of three
-letters, the product of their decayed occurrences, normalised; gaps and inserted letters only decay an occurrence, up
-to a span of SPAN letters. The machine is trained on words as the parts of labelled documents: a toxic document has at
-least one toxic word, a clean one has none, wrong labels apart. Suspected are words in more toxic documents than chance
-explains; first chosen are those in many different neighbourhoods, with words that cover the other documents, and the
-machine then chooses anew twice, each time with the harmless words that it took for toxic. Toxic words with a letter
-inserted are trained on too. Kernel values with the landmarks, whitened, are the features (Nystroem), and as these are
-linear in subsequences, the machine folds into one weight for each three letters.
-
-A text's score is its worst word's decision value through a logistic curve fitted on labelled documents.
-
-Machine and curve are fitted on a bounded sample of labelled documents that aren't held out (LABELLED, and of these
-BAGS, WORDS, CURVE); every document is scored. Null or wordless texts score like a text of harmless words. Without
-labels of both kinds all scores are 0. Rows of labels with the same doc_id count once, as toxic if one is. Repeated
-documents are each scored.
+Texts are cut into sentences, and these into phrases of PHRASE words; each phrase of a labelled document is a training
+sentence with its document's label. Words are lower-cased, digits and marks that imitate letters are read as these, what
+is no letter is dropped ("i.d-i0t" is "idiot"), and single letters in a row are one word. The kernel of two words sums,
+over all subsequences of three letters, the product of their decayed occurrences, normalised; gaps and inserted letters
+only decay an occurrence, up to a span of SPAN letters. The kernel of two phrases is the sum over their pairs of words.
+Kernel values with landmark phrases, whitened, are the features (Nystroem), and as these are linear in subsequences, the
+machine folds into one table of weights, looked up by a hash of three letters.
+
+Most phrases of a toxic document are harmless. So the machine is fitted in ROUNDS: each keeps of the toxic documents'
+phrases those that it places above nearly all clean ones (CUTS), adds variants of them with a letter inserted, and meets
+the clean phrases that came closest. A text is judged by its WORST distinct phrases: a logistic curve over their
+decision values, fitted on labelled documents that the machine hasn't seen, is the score; there a missed toxic document
+weighs as much as TOXIC_WEIGHT false alarms.
+
+Machine and curve are fitted on a bounded sample of labelled documents that aren't held out (LABELLED, PHRASES, TRAINED);
+the same rows give the same model on any run. Every document is scored. Null or wordless texts score like harmless ones.
+Without labels of both kinds all scores are 0. Rows of labels with the same doc_id count once, as toxic if one is.
+Repeated documents are each scored; phrases that are equally bad are the same to the score. Columns of the input named
+like results give way to them.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,42 +35,34 @@ from pyspark.sql import functions as F
 from .common import besides, resident, staged, table, text_batches, text_rows
 
 #: Clean and toxic documents to learn from at most, by a hash of their ids.
-LABELLED = (20_000, 5000)
-#: Of them, toxic documents, words of either kind, and documents for the curve that fitting takes at most.
-BAGS, WORDS, CURVE = 3000, 6000, 4000
-LANDMARKS = 600
-#: Weight of the words of either kind against the machine's norm.
-COST = 5000.0
+LABELLED = (6000, 1500)
+#: Of their distinct phrases, clean and toxic ones that are looked at, and that one round trains on, at most.
+PHRASES, TRAINED = (250_000, 120_000), (12_000, 6000)
+#: One labelled document in so many fits the curve and is kept from the machine.
+CURVE = 4
+LANDMARKS = 900
+#: Weight of the phrases of either kind against the machine's norm.
+COST = 10_000.0
+#: For each round the share of clean phrases that a toxic document's phrase must exceed to be kept.
+CUTS = (0.98, 0.99, 0.99, 0.995, 0.995)
+TOXIC_WEIGHT = 3.0
 DECAY = 0.6
 SPAN = 5
-#: Letters of a word that count; longer words are cut into overlapping parts of this length.
+#: Letters of a word that count at once; longer words are cut into overlapping parts of this length.
 LENGTH = 16
-CODES = 64
-HARMLESS = -2.0
-#: Standard deviations by which a word must be in more toxic documents than by chance to be suspected.
-SUSPECT = 3.5
+#: Words in a phrase.
+PHRASE = 2
+#: Cells of the table of weights. Three letters are looked up by a hash: all letters of all scripts differ.
+CELLS = 1 << 20
+#: Phrases that a text is judged by, and the value of a missing one; values are clipped to this and CEILING.
+WORST, HARMLESS, CEILING = 3, -2.0, 3.0
 #: Distinct words that a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
 #: Marks and digits that imitate letters.
 LOOKS = str.maketrans("013457@$!", "oleastasi")
 _marks = re.compile(r"[\W\d_]+")
-
-def words_of(text: str) -> list[str]:
-    """The words of a text, each with a sign for its beginning; single letters in a row make one more."""
-    out, single = [], []
-    for token in [*text.lower().split(), ""]:
-        word = token if token.isalpha() else letters(token)
-        if len(word) == 1:
-            single.append(word)
-            continue
-        for x in ("".join(single), word):
-            if 2 < len(x) < LENGTH:
-                out.append("^" + x)
-            elif len(x) > 2:
-                out += ["^" * (i == 0) + x[i : i + LENGTH - 1] for i in range(0, len(x) - LENGTH // 2, LENGTH // 2)]
-        single.clear()
-    return out
+_ENDS = frozenset(".!?。！？…")
 
 
 def letters(token: str) -> str:
@@ -80,286 +72,270 @@ def letters(token: str) -> str:
     return _marks.sub("", bare.translate(LOOKS))
 
 
-def alphabet(words: Iterable[str]) -> dict[str, int]:
-    """A code from 1 for each of the most frequent letters; others share the last."""
-    seen = Counter(c for w in words for c in w)
-    return {c: i + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: CODES - 2])}
-
-
-def occurrences(words: list[str], codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word its occurrences of three letters: cells of the weight table, and decays; cell 0 where there is none."""
-    table = np.zeros((len(words), LENGTH), np.int64)
-    for r, w in enumerate(words):
-        row = [codes.get(c, CODES - 1) for c in w]
-        table[r, : len(row)] = row
+def parts(word: str) -> list[str]:
+    """A word with a sign for its beginning, or the overlapping parts of a long one, the last of which reach its end."""
+    if len(word) < LENGTH:
+        return ["^" + word]
+    half = LENGTH // 2
+    return ["^" * (i == 0) + word[i : i + LENGTH - 1] for i in range(0, len(word) - LENGTH + 1 + half, half)]
+
+
+def phrases_of(text: str) -> tuple[list[str], list[int]]:
+    """The words of a text, and where its phrases begin among them."""
+    words: list[str] = []
+    starts: list[int] = []
+    single: list[str] = []
+    begun = 0
+    for line in text.lower().split("\n"):
+        for token in [*line.split(), ""]:
+            word = token if token.isalpha() else letters(token)
+            if len(word) == 1:
+                single.append(word)
+                continue
+            if single:
+                if len(single) > 1:
+                    words += parts("".join(single))
+                single.clear()
+            if word:
+                words += parts(word)
+            if len(words) > begun and (len(words) - begun >= PHRASE or not token or token[-1] in _ENDS):
+                starts.append(begun)
+                begun = len(words)
+    return words, starts
+
+
+def phrases(text: str) -> list[tuple[str, ...]]:
+    words, starts = phrases_of(text)
+    return [tuple(words[a:b]) for a, b in zip(starts, [*starts, len(words)][1:], strict=True)]
+
+
+def occurrences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word its occurrences of three letters: cells of the weight table (0: none), and their normalised decays."""
+    padded = "".join(w.ljust(LENGTH, "\0") for w in words)
+    codes = np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, LENGTH).astype(np.uint64)
     cells, decays = [], []
     for j in range(1, SPAN - 1):
         for k in range(j + 1, SPAN):
-            a, b, c = table[:, : LENGTH - k], table[:, j : LENGTH - k + j], table[:, k:]
-            cells.append(np.where(c > 0, (a * CODES + b) * CODES + c, 0))
+            a, b, c = codes[:, : LENGTH - k], codes[:, j : LENGTH - k + j], codes[:, k:]
+            mixed = (((a << np.uint64(42)) | (b << np.uint64(21)) | c) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(24)
+            cells.append(np.where(c > 0, (mixed % np.uint64(CELLS - 1)).astype(np.int64) + 1, 0))
             decays.append(np.full(LENGTH - k, DECAY ** (k + 1)))
-    return np.concatenate(cells, axis=1), np.concatenate(decays)
+    cells, decays = np.concatenate(cells, axis=1), np.concatenate(decays)
+    return cells, np.where(cells > 0, decays, 0.0) / np.sqrt(own_kernel(cells, decays))[:, None]
 
 
 def own_kernel(cells: np.ndarray, decays: np.ndarray) -> np.ndarray:
     """The kernel of each word with itself: occurrences of the same three letters are summed before they are squared."""
-    by = np.argsort(cells, axis=1)
-    cells, weight = np.take_along_axis(cells, by, axis=1), np.where(np.take_along_axis(cells, by, axis=1) > 0, decays[by], 0.0)
-    total = (weight**2).sum(axis=1)
-    for step in range(1, 6):  # occurrences repeat a few times at most
-        same = (cells[:, step:] == cells[:, :-step]) & (cells[:, step:] > 0)
-        if not same.any():
-            break
-        total += 2 * (same * weight[:, step:] * weight[:, :-step]).sum(axis=1)
-    return np.maximum(total, 1e-9)
-
-
-def maps(words: list[str], codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cells, decays = occurrences(words, codes)
-    return cells, np.where(cells > 0, decays, 0.0), 1 / np.sqrt(own_kernel(cells, decays))
-
-
-def decisions(words: list[str], model: dict) -> np.ndarray:
-    if not words:
-        return np.zeros(0)
-    cells, decays = occurrences(words, model["codes"])
-    return (model["weights"][cells] * decays).sum(axis=1) / np.sqrt(own_kernel(cells, decays)) + model["bias"]
-
-
-def kernel(words: list[str], landmarks: list[str], codes: dict[str, int]) -> np.ndarray:
-    """Normalised kernel values of words with landmarks."""
-    cells, decays, scale = maps(words, codes)
-    out = np.empty((len(words), len(landmarks)))
-    mine, own, by = maps(landmarks, codes)
-    for j in range(len(landmarks)):
-        dense = np.zeros(CODES**3)
-        np.add.at(dense, mine[j], own[j])
-        dense[0] = 0
-        out[:, j] = (dense[cells] * decays).sum(axis=1) * scale * by[j]
+    by = np.argsort(cells, axis=1, kind="stable")
+    ordered = np.take_along_axis(cells, by, axis=1)
+    weight = np.where(ordered > 0, decays[by], 0.0).ravel()
+    keys = (ordered + np.arange(len(cells))[:, None] * CELLS).ravel()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(weight, first) if len(first) else np.zeros(0)
+    return np.maximum(np.bincount(first // max(cells.shape[1], 1), sums**2, minlength=len(cells)), 1e-9)
+
+
+def word_values(words: list[str], weights: np.ndarray, step: int = 4096) -> np.ndarray:
+    out = [np.zeros(0)]
+    for at in range(0, len(words), step):
+        cells, decays = occurrences(words[at : at + step])
+        out.append((weights[cells] * decays).sum(axis=1))
+    return np.concatenate(out)
+
+
+class Phrases:
+    """Phrases as indexes of their distinct words."""
+
+    def __init__(self, items: list[tuple[str, ...]], words: list[str] | None = None):
+        self.words = words if words is not None else sorted({w for p in items for w in p})
+        number = {w: i for i, w in enumerate(self.words)}
+        self.index = np.array([number[w] for p in items for w in p], np.int64)
+        self.starts = np.cumsum([0, *(len(p) for p in items[:-1])]) if items else np.zeros(0, np.int64)
+
+    def sums(self, of_words: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(of_words[self.index], self.starts, axis=0) if len(self.starts) else of_words[:0]
+
+
+def kernels(words: list[str], marks: Phrases) -> np.ndarray:
+    """Kernel values of words with landmark phrases, whose words are among them."""
+    cells, decays = occurrences(words)
+    used, cells_of = np.unique(cells, return_inverse=True)
+    cells_of, decays = cells_of.reshape(cells.shape), decays.astype(np.float32)
+    out = np.empty((len(words), len(marks.starts)), np.float32)
+    for j, own in enumerate(np.split(marks.index, marks.starts[1:])):
+        dense = np.zeros(len(used), np.float32)
+        np.add.at(dense, cells_of[own], decays[own])
+        if used[0] == 0:
+            dense[0] = 0
+        out[:, j] = np.einsum("ij,ij->i", dense[cells_of], decays)
     return out
 
 
-def machine(toxic: list[str], clean: list[str], codes: dict[str, int]) -> dict:
-    """The machine of toxic and clean words, as weights of three letters and a bias."""
-    half = LANDMARKS // 2
-    spread = lambda x, n: [x[i] for i in np.unique(np.linspace(0, len(x) - 1, min(n, len(x))).astype(int))]
-    marks = spread(toxic, half) + spread(clean[:-half], half // 4) + clean[-half:]  # the last are the hardest
-    inner = kernel(marks, marks, codes)
-    values, vectors = np.linalg.eigh(inner + 1e-6 * np.eye(len(marks)))
+def machine(toxic: list[tuple[str, ...]], clean: list[tuple[str, ...]], marks: list[tuple[str, ...]]) -> dict:
+    """The machine of toxic and clean phrases: landmarks and their weights, folded into a table, and a bias."""
+    words = sorted({w for p in (*toxic, *clean, *marks) for w in p})
+    landmarks = Phrases(marks, words)
+    k = kernels(words, landmarks)
+    inner = landmarks.sums(k).astype(float)
+    values, vectors = np.linalg.eigh((inner + inner.T) / 2 + 1e-6 * np.eye(len(marks)))
     white = vectors / np.sqrt(np.maximum(values, 1e-6))
-    x = np.hstack([kernel(toxic + clean, marks, codes) @ white, np.ones((len(toxic) + len(clean), 1))])
+    x = Phrases([*toxic, *clean], words).sums(k @ white.astype(np.float32))
+    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
-    cost = np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)) * COST
+    w = squared_hinge(x, y, np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)) * COST)
+    alpha = white @ w[:-1]
+    weights = np.zeros(CELLS)
+    cells, decays = occurrences([words[i] for i in landmarks.index])
+    shares = np.repeat(alpha, np.diff(np.append(landmarks.starts, len(landmarks.index))))
+    np.add.at(weights, cells, decays * shares[:, None])
+    weights[0] = 0
+    return {"weights": weights.astype(np.float32), "bias": float(w[-1]), "marks": marks, "alpha": alpha}
+
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """The weights of least norm and squared hinge loss, by Newton steps; the last column is the bias."""
     w = np.zeros(x.shape[1])
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
-    for _ in range(30):  # Newton steps of the squared hinge loss
-        active = y * (x @ w) < 1
-        h = ridge + (x[active] * (2 * cost[active])[:, None]).T @ x[active]
-        step = np.linalg.solve(h, ridge @ w - x[active].T @ (2 * cost[active] * (y[active] - x[active] @ w)))
+    for _ in range(30):
+        active = np.flatnonzero(y * (x @ w) < 1)
+        h, g = ridge.copy(), ridge @ w
+        for at in range(0, len(active), 4096):
+            rows = active[at : at + 4096]
+            part, c = x[rows].astype(float), 2 * cost[rows]
+            h += (part * c[:, None]).T @ part
+            g -= part.T @ (c * (y[rows] - part @ w))
+        step = np.linalg.solve(h, g)
         w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    alpha = white @ w[:-1]
-    cells, decays, scale = maps(marks, codes)
-    weights = np.zeros(CODES**3)
-    np.add.at(weights, cells, decays * (alpha * scale)[:, None])
-    weights[0] = 0
-    return {"codes": codes, "weights": weights.astype(np.float32), "bias": float(w[-1])}
-
-
-def cover(bags: list[set[str]]) -> list[str]:
-    """Words that, taken together, are in all bags that share one: the one in most bags not yet covered, again and again."""
-    left = [b for b in bags if b]
-    chosen = []
-    while left:
-        seen = Counter(w for b in left for w in b)
-        best = min(seen, key=lambda w: (-seen[w], w))
-        if seen[best] < 2:
-            break  # labels may be wrong: one document proves no word
-        chosen.append(best)
-        left = [b for b in left if best not in b]
-    return chosen
-
-
-def certain(places: list[set[tuple[str, int]]], base: float, words: int) -> set[str]:
-    """Suspected words with so many different neighbourhoods that chance doesn't explain it; copies of a text have the same."""
-    contexts: dict[str, set[int]] = {}
-    for bag in places:
-        for w, context in bag:
-            contexts.setdefault(w, set()).add(context)
-    least = math.log(max(words, 2)) / -math.log(min(max(base, 1e-3), 0.5))
-    return {w for w, c in contexts.items() if len(c) > least}
-
-
-def witnesses(bags: list[set[str]], sure: set[str]) -> list[str]:
-    """The words that training begins with: the certain ones, and a cover of the documents without one."""
-    rest = [b for b in bags if not b & sure]
-    return sorted(sure | set(cover(rest))) or sorted({min(b) for b in bags if b})
-
-
-def chosen(bags: list[set[str]], sure: set[str], values: dict[str, float]) -> list[str]:
-    """Of each document the words that the machine finds toxic. If it finds none, the label may be wrong."""
-    found = set(sure)
-    for b in bags:
-        if b and (best := max(values[w] for w in b)) > 0:
-            found |= {w for w in b if values[w] >= min(best, 0.5)}
-    return sorted(found)
-
-
-def stretched(words: Iterable[str]) -> list[str]:
-    """Words with a letter inserted in each of three places, so that the machine learns to tolerate it."""
+    return w
+
+
+def spread(items: list, n: int) -> list:
+    return [items[i] for i in np.unique(np.linspace(0, len(items) - 1, min(n, len(items))).astype(int))]
+
+
+def stretched(toxic: list[tuple[str, ...]], weights: np.ndarray) -> list[tuple[str, ...]]:
+    """Phrases with a letter inserted in their most toxic word, so that the machine learns to tolerate it."""
+    words = sorted({w for p in toxic for w in p})
+    value = dict(zip(words, word_values(words, weights).tolist(), strict=True))
     out = []
-    for w in words:
+    for n, p in enumerate(toxic):
+        i = max(range(len(p)), key=lambda i: (value[p[i]], -i))
+        w = p[i]
         if len(w) > 5:
-            for n, at in enumerate(sorted({3, len(w) // 2 + 1, len(w) - 1})):
-                out.append((w[:at] + "xeo"[n] + w[at:])[:LENGTH])
+            at = (3, len(w) // 2 + 1, len(w) - 1)[n % 3]
+            out.append((*p[:i], (w[:at] + "xeo"[n % 3] + w[at:])[:LENGTH], *p[i + 1 :]))
     return out
 
 
+def fitted(toxic: list[tuple[str, ...]], clean: list[tuple[str, ...]]) -> dict:
+    """The machine, of phrases of toxic and of clean documents in random order."""
+    most_clean, most_toxic = TRAINED
+    half, known = LANDMARKS // 2, (Phrases(toxic), Phrases(clean))
+    chosen, met = toxic[:most_toxic], clean[:most_clean]
+    marks, more, model = [*spread(chosen, half), *spread(met, half)], [], {}
+    for cut in CUTS:
+        model = machine([*chosen, *more], met, list(dict.fromkeys(marks)))
+        of_toxic, of_clean = (x.sums(word_values(x.words, model["weights"])) for x in known)
+        by_toxic, by_clean = (np.argsort(-f, kind="stable") for f in (of_toxic, of_clean))
+        least = np.quantile(of_clean, cut)
+        chosen = spread([toxic[i] for i in by_toxic if of_toxic[i] > least], most_toxic) or chosen
+        hard = [clean[i] for i in by_clean[: most_clean // 3]]
+        met = list(dict.fromkeys([*clean[: most_clean * 2 // 3], *hard]))
+        marks = [*spread(chosen, half), *hard[: half // 2], *spread(clean[:most_clean], half // 2)]
+        more = stretched(chosen, model["weights"])
+    return model
+
+
 class Scorer:
     def __init__(self, model: dict):
-        self.model = model
+        self.weights, self.bias = model["weights"], model["bias"]
         self.known: dict[str, float] = {}
 
-    def worst(self, text: str) -> float:
-        words = set(words_of(text))
-        values = list(map(self.known.get, words))
-        if None in values:
+    def values(self, words: list[str]) -> list[float]:
+        found = list(map(self.known.get, words))
+        if None in found:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            new = [w for w in words if w not in self.known]
-            self.known.update(zip(new, decisions(new, self.model).tolist(), strict=True))
-            values = list(map(self.known.__getitem__, words))
-        return max(values, default=HARMLESS)
-
-
-def _scorer(key: str, shared) -> Scorer:
-    return resident(key, lambda: Scorer(shared.value))
-
-
-def worst_word(text: Column, spark: SparkSession, model: dict) -> Column:
-    """The decision value of each text's worst word."""
+            new = [w for w in dict.fromkeys(words) if w not in self.known]
+            self.known.update(zip(new, word_values(new, self.weights).tolist(), strict=True))
+            found = list(map(self.known.__getitem__, words))
+        return found
+
+    def worst(self, text: str) -> list[float]:
+        """The decision values of the text's worst phrases, clipped."""
+        words, starts = phrases_of(text)
+        out: dict[tuple[str, ...], float] = {}
+        if words:
+            decided = np.add.reduceat(np.array(self.values(words)), starts) + self.bias
+            ends = [*starts[1:], len(words)]
+            for i in np.argsort(-decided, kind="stable").tolist():
+                out.setdefault(tuple(words[starts[i] : ends[i]]), float(decided[i]))
+                if len(out) == WORST:
+                    break
+        return [min(max(x, HARMLESS), CEILING) for x in [*out.values(), *[HARMLESS] * (WORST - len(out))]]
+
+
+def worst_phrases(text: Column, spark: SparkSession, model: dict) -> Column:
+    """array<double>: the decision values of each text's worst phrases."""
     text_batches(spark)
-    key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast(model)  # one table of fixed size
+    key, shared = uuid.uuid4().hex, spark.sparkContext.broadcast({k: model[k] for k in ("weights", "bias")})  # one table of fixed size
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("array<double>")
     def scored(texts: pa.Array) -> pa.Array:
-        scorer = _scorer(key, shared)
-        return pa.array([scorer.worst(t or "") for t in text_rows(texts)], pa.float64())
+        scorer = resident(key, lambda: Scorer(shared.value))
+        return pa.array([scorer.worst(t or "") for t in text_rows(texts)], pa.list_(pa.float64()))
 
     return scored(text)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and clean documents each word is, summed within the task as far as memory allows."""
-    held: tuple[Counter, Counter] = Counter(), Counter()
-
-    def out() -> pa.RecordBatch:
-        words = list(held[0].keys() | held[1].keys())
-        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in held)], names=["word", "clean", "toxic"])
-        held[0].clear()
-        held[1].clear()
-        return batch
-
+def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """label, phrase: the distinct phrases of each document."""
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), text_rows(batch.column(1)), strict=True):
-            held[label].update(set(words_of(text or "")))
-            if len(held[0]) + len(held[1]) > 300_000:
-                yield out()
-    yield out()
-
-
-def _places(text: Column, spark: SparkSession, suspects: set[str]) -> Column:
-    """The suspected words of a text, each with a hash of its neighbours."""
-    shared = spark.sparkContext.broadcast(suspects)
-
-    @F.arrow_udf("array<struct<word:string,context:bigint>>")
-    def places(texts: pa.Array) -> pa.Array:
-        rows = []
-        for t in text_rows(texts):
-            words = ["", *words_of(t or ""), ""]
-            rows.append([{"word": w, "context": zlib.crc32((words[i] + words[i + 2]).encode())} for i, w in enumerate(words[1:-1]) if w in shared.value])
-        return pa.array(rows, pa.list_(pa.struct([("word", pa.string()), ("context", pa.int64())])))
-
-    return places(text)
-
-
-def _decisions(word: Column, spark: SparkSession, model: dict) -> Column:
-    shared = spark.sparkContext.broadcast(model)
-
-    @F.arrow_udf("double")
-    def decided(words: pa.Array) -> pa.Array:
-        return pa.array(decisions(words.to_pylist(), shared.value), pa.float64())
-
-    return decided(word)
+            found = list(dict.fromkeys(" ".join(p) for p in phrases(text or "")))
+            yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], names=["label", "phrase"])
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def _some(docs: DataFrame, n: int, most: int) -> DataFrame:
-    """About so many documents, the same ones on any run."""
-    return docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // most))) == 0).limit(2 * most)
-
-
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     """The machine with its curve, of docs(doc_id, text) and labels(doc_id, toxic); None without labels of both kinds."""
     spark = docs.sparkSession
+    text_batches(spark)
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("label"))
     few = [marks.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for label, most in enumerate(LABELLED)]
     # A broadcast of LABELLED rows at most, so that texts stay where they are
     known = docs.select("doc_id", "text").join(F.broadcast(few[0].union(few[1])), "doc_id")
-    known = staged(known, "labelled")
-    sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
-    if len(sizes) < 2:
+    known = staged(known.withColumn("kept", F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(CURVE)) == 0), "labelled")
+    counted = known.where("not kept").select("label", "text").mapInArrow(_phrase_rows, "label int, phrase string").groupBy("phrase").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    counted = staged(counted, "phrases")
+    some = lambda rule, most: [tuple(r.phrase.split(" ")) for r in counted.where(rule).orderBy(F.xxhash64("phrase"), "phrase").limit(most).collect()]
+    clean, toxic = some("clean > toxic", PHRASES[0]), some("toxic >= clean", PHRASES[1])
+    if not clean or not toxic:
         return None
-    seen = staged(known.select("label", "text").mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
-    base = sizes[1] / (sizes[0] + sizes[1])
-    n = F.col("clean") + F.col("toxic")
-    seen = seen.withColumn("excess", (F.col("toxic") - n * base) / F.sqrt(n * (base * (1 - base))))
-    suspects = {r.word for r in seen.where((F.col("excess") >= SUSPECT) & (F.col("toxic") > F.col("clean"))).orderBy(F.desc("excess"), "word").limit(4 * WORDS).collect()}
-    harmless = seen.where("clean > 0 and excess < 1")
-    toxic = _some(known.where("label = 1"), sizes[1], BAGS)
-    places = [{(p.word, p.context) for p in r.places} for r in toxic.select(_places(F.col("text"), spark, suspects).alias("places")).collect()]
-    bags = [{w for w, _ in p} for p in places]
-    if not any(bags):
-        return None
-    sure = certain(places, base, seen.count())
-    words = witnesses(bags, sure)
-    suspected = sorted({w for b in bags for w in b})
-    common = [r.word for r in harmless.orderBy(F.desc("clean"), "word").limit(WORDS // 4).collect()]
-    clean = list(dict.fromkeys([*common, *(r.word for r in harmless.orderBy(F.xxhash64("word")).limit(WORDS // 4).collect())]))
-    codes = alphabet([*clean, *suspected])
-    model = machine(words, clean, codes)
-    for _ in range(2):
-        # The harmless words, of all documents, that the machine finds most toxic
-        hard = harmless.select("word", _decisions(F.col("word"), spark, model).alias("f")).orderBy(F.desc("f"), "word").limit(WORDS // 4).collect()
-        clean = list(dict.fromkeys([*clean, *(r.word for r in hard)]))
-        words = chosen(bags, sure, dict(zip(suspected, decisions(suspected, model).tolist(), strict=True))) or words
-        model = machine([*words, *stretched(sure)], clean, codes)
-    sample = _some(known.where("label = 0"), sizes[0], CURVE).union(_some(known.where("label = 1"), sizes[1], CURVE // 4))
-    rows = sample.select("label", worst_word(F.col("text"), spark, model).alias("f")).collect()
+    model = fitted(toxic, clean)
+    rows = known.where("kept").select("label", worst_phrases(F.col("text"), spark, model).alias("f")).collect()
+    rows = rows if len({r.label for r in rows}) == 2 else known.select("label", worst_phrases(F.col("text"), spark, model).alias("f")).collect()
     return model | {"curve": curve(np.array([r.f for r in rows]), np.array([r.label for r in rows], float))}
 
 
-def curve(f: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve: Platt's smoothed targets."""
-    n1, n0 = max(label.sum(), 1), max((1 - label).sum(), 1)
-    target = np.where(label > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.full(len(f), 1 / len(f))
-    x = np.stack([f, np.ones(len(f))], axis=1)
-    w = np.array([1.0, 0.0])
-    for _ in range(50):
+def curve(f: np.ndarray, label: np.ndarray) -> list[float]:
+    """Weights of the worst phrases and an offset: logistic regression, where toxic documents weigh TOXIC_WEIGHT each."""
+    x = np.hstack([f, np.ones((len(f), 1))])
+    weight, w = np.where(label > 0, TOXIC_WEIGHT, 1.0), np.zeros(x.shape[1])
+    ridge = np.diag([0.1] * f.shape[1] + [1e-6])
+    for _ in range(80):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - target)) + 1e-4 * np.array([w[0], 0])
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag([1e-4, 1e-6])
-        step = np.linalg.solve(h, g)
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + ridge, x.T @ (weight * (p - label)) + ridge @ w)
         w = w - step / max(1.0, np.abs(step).max() / 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w.tolist()
 
 
 def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -367,9 +343,10 @@ def toxicity(docs: DataFrame, model: dict | None) -> DataFrame:
     docs = besides(docs, "score", "predicted")
     if model is None:
         return docs.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
-    slope, offset = model["curve"]
-    scored = docs.withColumn("score", 1 / (1 + F.exp(-(slope * worst_word(F.col("text"), docs.sparkSession, model) + offset))))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    *weights, offset = model["curve"]
+    worst = worst_phrases(F.col("text"), docs.sparkSession, model)
+    total = F.aggregate(F.zip_with(worst, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(float(offset)), lambda acc, x: acc + x)
+    return docs.withColumn("score", 1 / (1 + F.exp(-total))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
