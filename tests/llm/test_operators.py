@@ -254,6 +254,38 @@ def test_trees_add_loose_spans_and_keep_base_ones(spark):
     assert docs.select(personal.redacted(F.col("text"), F.col("s.found"))).first()[0] == "write to [email] or [phone]"
 
 
+def test_trees_find_what_formats_miss(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = personal.learn(docs)
+    rng, cases = random.Random(7), []
+    for i in range(300):
+        filler = " ".join(rng.choices(WORDS, k=12))
+        digits = "".join(rng.choices("0123456789", k=15))
+        card = next(digits + c for c in "0123456789" if personal.luhn(digits + c))
+        broken = digits + str((int(card[-1]) + 5) % 10)
+        secret = "%040x" % rng.getrandbits(160)
+        kind, span, sure = [("secret", secret, True), ("card", f"{card} {card}", True), ("card", broken, False), ("email", f"jo{i} at mail{i} dot example dot com", True), (None, "-" * 40, False)][i % 5]
+        cases.append((kind, f'{filler} {"token = " if kind == "secret" else ""}"{span}" {filler}', sure))
+    found = personal.find([t for _, t, _ in cases], model)
+    hit = [(sure, kind in {k for k, *_ in spans}) for (kind, _, sure), (_, spans) in zip(cases, found, strict=True)]
+    recall, clean = np.mean([h for sure, h in hit if sure]), np.mean([not h for sure, h in hit if not sure])
+    assert recall > 0.9 and clean > 0.97, (recall, clean)
+    texts = [r.text or "" for r in docs.orderBy("doc_id").limit(3000).collect()]
+    planted = sum(len(re.findall(r'token = "[0-9a-f]{40}"', t)) for t in texts)
+    assert sum(k == "secret" for _, spans in personal.find(texts, model) for k, *_ in spans) >= planted > 20
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = " ".join(f"+1 212 555 {i:04d} or 10.0.{i % 256}.7" for i in range(20_000))
+    began = time.perf_counter()
+    base = personal.base_spans(text)
+    personal.candidates(text, base)
+    assert time.perf_counter() - began < 10 and len(base) > 20_000
+
+
 # 6
 
 
