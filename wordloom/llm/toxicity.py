@@ -37,12 +37,12 @@ from .common import besides, resident, staged, table, text_batches, text_rows
 #: Clean and toxic documents to learn from at most, by a hash of their ids.
 LABELLED = (6000, 1500)
 #: Of their distinct phrases, clean and toxic ones that are looked at, and that one round trains on, at most.
-PHRASES, TRAINED = (250_000, 120_000), (12_000, 6000)
+PHRASES, TRAINED = (80_000, 40_000), (8000, 4000)
 #: One labelled document in so many fits the curve and is kept from the machine.
 CURVE = 4
-LANDMARKS = 900
+LANDMARKS = 700
 #: Weight of the phrases of either kind against the machine's norm.
-COST = 10_000.0
+COST = 4_000.0
 #: For each round the share of clean phrases that a toxic document's phrase must exceed to be kept.
 CUTS = (0.98, 0.99, 0.99, 0.995, 0.995)
 TOXIC_WEIGHT = 3.0
@@ -179,8 +179,9 @@ def machine(toxic: list[tuple[str, ...]], clean: list[tuple[str, ...]], marks: l
     inner = landmarks.sums(k).astype(float)
     values, vectors = np.linalg.eigh((inner + inner.T) / 2 + 1e-6 * np.eye(len(marks)))
     white = vectors / np.sqrt(np.maximum(values, 1e-6))
-    x = Phrases([*toxic, *clean], words).sums(k @ white.astype(np.float32))
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    k = k @ white.astype(np.float32)
+    x = np.hstack([Phrases([*toxic, *clean], words).sums(k), np.ones((len(toxic) + len(clean), 1), np.float32)])
+    del k
     y = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
     w = squared_hinge(x, y, np.where(y > 0, 0.5 / len(toxic), 0.5 / len(clean)) * COST)
     alpha = white @ w[:-1]
@@ -200,8 +201,8 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     for _ in range(30):
         active = np.flatnonzero(y * (x @ w) < 1)
         h, g = ridge.copy(), ridge @ w
-        for at in range(0, len(active), 4096):
-            rows = active[at : at + 4096]
+        for at in range(0, len(active), 2048):
+            rows = active[at : at + 2048]
             part, c = x[rows].astype(float), 2 * cost[rows]
             h += (part * c[:, None]).T @ part
             g -= part.T @ (c * (y[rows] - part @ w))
