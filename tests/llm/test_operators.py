@@ -328,11 +328,27 @@ def test_notices(spark):
 # 8
 
 
-def test_bad_hosts_lose_all(spark):
+def test_hosts_decide(spark):
     good = " ".join(f"w{i}" for i in range(80))
-    rows = [(i, good, "good") for i in range(100)] + [(100 + i, "short", "bad") for i in range(500)] + [(900, good, "bad")]
-    kept = {r.doc_id for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=0.9).where("kept").collect()}
-    assert kept == set(range(100))
+    symbols = " ".join(f"w{i} #" for i in range(80))
+    rows = [(i, good, "good") for i in range(400)] + [(400, symbols, "good")]  # trusted: its odd document stays
+    rows += [(1000 + i, symbols if i % 4 == 0 else good, "ordinary") for i in range(400)]
+    rows += [(2000 + i, "short" if i % 10 else good, "bad") for i in range(500)] + [(3000, good, None), (3001, symbols, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = quality.judged(docs)
+    kept = {r.doc_id for r in found.where("kept").collect()}
+    assert kept == {*range(401), *(1000 + i for i in range(400) if i % 4), 3000}
+    assert found.columns[:3] == docs.columns
+    alone = {r.doc_id for r in quality.judged(docs.drop("source")).where("kept").collect()}
+    assert 2010 in alone and 400 not in alone
+
+
+def test_hosts_change_rows_of_the_tables(spark):
+    found = quality.op8_quality(spark, "/root/testdata/sf0.1")
+    n, dropped = found.agg(F.count("*"), F.sum((~F.col("base_failed") & ~F.col("kept")).cast("int"))).first()
+    assert 0.01 * n < dropped < 0.1 * n
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    assert found.where("not base_failed and not kept").join(labels, "doc_id").agg(F.avg("quality")).first()[0] < 0.05
 
 
 # 10
