@@ -291,13 +291,18 @@ def test_many_spans_take_linear_time():
 
 def test_later_passages_go_and_first_ones_stay(spark):
     passage = " ".join(f"w{i}" for i in range(60))
-    rows = [(2, f"own start here\n{passage}\nown end"), (1, f"{passage}\nfirst one"), (3, "quite\nanother\ntext"), (4, passage)]
+    rows = [(2, f"own start here\n{passage}\nown end"), (1, f"{passage}\nfirst one"), (3, "quite\nanother\ntext"), (4, passage), (5, "x y\n quite \n\nanother\ntext"), (6, None), (7, " \n ")]
     found = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[1].text == rows[1][1] and found[3].text == rows[2][1]
-    assert found[2].text == "own start here\nown end" and found[2].n_removed == 5 and found[4].text == ""
+    assert found[1].text == rows[1][1] and found[3].text == rows[2][1] and found[6].text is None and found[7].text == " \n "
+    own = [w for w in found[2].text.split() if w[0] != "w"]
+    assert own == "own start here own end".split() and len(found[2].text.split()) - 5 == 60 - found[2].n_removed <= 2 * (lines.SPREAD - 1)
+    assert found[4].n_removed >= 60 - 2 * (lines.SPREAD - 1)
+    assert (found[5].text, found[5].n_removed) == ("x y\n", 3)
+    named = spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(named).collect()} == {f"d{i}": r.n_removed for i, r in found.items()}
 
 
-def test_stage_finds_passages_at_any_offset(spark):
+def test_passages_are_found_at_any_offset(spark):
     passage = [f"w{i}" for i in range(51)]
     ends = " ".join(passage[:20]) + "\n" + " ".join(passage[20:])
     rows = [(0, "first " + " ".join(passage) + " end", 0), (1, "begun " + ends + " done", 0)]
@@ -314,6 +319,25 @@ def test_stage_finds_passages_at_any_offset(spark):
         assert [w for w in found[i].split() if w[0] != "w"] == [w for w in known[i].split() if w[0] != "w"], i
 
 
+def test_recall_on_planted_passages(spark):
+    """Passages of 51 to 90 words of the tables' own texts, planted mid-line at any place of other texts."""
+    rng = random.Random(9)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("n_chars between 800 and 5000").orderBy("doc_id").limit(200).collect()]
+    rows, planted = [], {}
+    for i, text in docs:
+        words = text.split()
+        n = rng.randint(51, 90)
+        if len(words) > n:
+            at, host = rng.randrange(len(words) - n), [f"h{i}x{k}" for k in range(100)]
+            cut = rng.randrange(100)
+            rows += [(i, text), (100_000 + i, " ".join(host[:cut] + words[at : at + n] + host[cut:]))]
+            planted[100_000 + i] = n
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100000").select("doc_id", "n_removed", "text").collect()
+    assert len(planted) > 100 and all(r.n_removed > 0 for r in found)
+    assert sum(min(r.n_removed, planted[r.doc_id]) for r in found) > 0.65 * sum(planted.values())
+    assert all(sum(w[0] == "h" and "x" in w for w in r.text.split()) == 100 for r in found)
+
+
 # 7
 
 

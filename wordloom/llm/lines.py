@@ -1,20 +1,21 @@
 """Line dedup (6), in DataFrame operations only: overlapping windows of three lines, later occurrences removed.
 
-A line is what stands between line ends, wrapped after 12 words, with the white space before it and its line end. So a
-passage of over 50 words that stands alike behind a line end holds three whole lines, one window at least. A passage
-that begins mid-line at another count of words need not. Lines are hashed without the white space around them, three
-consecutive ones make a window, and windows are met across all documents by their hash. The first occurrence, by doc_id
-(null last), then text hash, then position, stays; the lines that any later occurrence covers are removed together.
-
-dedup_lines() and the query do this, as the query's SQL says. without_repeats(), the pipeline's stage, has further
-windows that begin where the content says so: of each SPREAD words in a row, at the one with the least hash (the last
-of such), they take that word and the WINDOW - 1 after it. So any passage of WINDOW + SPREAD - 1 = 51 words or more holds
-a whole one that begins alike wherever the passage stands, line ends or not; at most SPREAD - 1 words at either end of a
-passage stay. There the words that any later occurrence covers are removed.
-
-A text of fewer than three lines has no window and stays as it is, as does any text without a later occurrence; from
-others the white space at the end goes too. Rows with the same doc_id and the same text are one document: each gets its
-result. A null text stays null, with nothing removed. Extra columns pass through.
+Lines come in two kinds. Those that a text has are met three at a time, as they follow each other. And as a passage may
+begin anywhere in a line, lines of LINE words are also laid out from places that the content chooses: of each SPREAD
+words in a row the one with the least rank (the last of such) begins three of them. So any passage of
+3 * LINE + SPREAD - 1 = 51 words or more holds three whole lines that begin alike wherever it stands, line ends or not;
+at most SPREAD - 1 words at either end of a passage may stay.
+
+Lines are hashed without the white space around them, three consecutive ones make a window of two 64-bit hashes, and
+windows are met across all documents. The first occurrence, by doc_id (null last), then text hash, then place, stays; the
+words that any later occurrence covers are removed together. Windows are computed once and staged; the firsts of repeated
+windows are aggregated with partial minima and staged too, so that the join with all windows has its own exchange, which
+adaptive execution splits where one window is very frequent.
+
+A text without a later occurrence stays as it is; from others the white space at the end goes too. Texts with neither
+three lines nor 3 * LINE words have no window. Rows with the same doc_id and the same text are one document: each gets
+its result. doc_id may be of any type that can be ordered. A null text stays null, with nothing removed. An empty table
+gives an empty result. Extra columns pass through; a column named like a result gives way.
 """
 
 from __future__ import annotations
@@ -22,136 +23,121 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import OWN, besides, table
+from .common import OWN, besides, staged, table
 
 LINES = 3
-WRAP = 12
-#: Words in a window that begins by content, and words of which one at least begins a window.
-WINDOW, SPREAD = 36, 16
+#: Words in a line that begins by content, and words of which one at least begins a window.
+LINE, SPREAD = 11, 19
+WINDOW = LINES * LINE
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _INLINE = r"[\x20\x09\x0B-\x0D]"
 #: Java's possessive quantifiers keep long lines from backtracking.
-_LINE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}++{_WORD}++){{0,{WRAP - 1}}}+(?:{_INLINE}*+\n)?+"
+_LINE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}++{_WORD}++)*+(?:{_INLINE}*+\n)?+"
 _ONE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}*+\n)?+"
 _BLANKS = " \t\n\x0b\x0c\r"
-_LAST = (1 << 63) - 1
 #: Added to the places of windows that begin by content, which are words; other windows' places are lines.
 _BY_WORD = 1 << 30
 _LOW = (1 << 31) - 1
+_WINDOWS = f"array<struct<{OWN}pos:int,{OWN}h1:bigint,{OWN}h2:bigint>>"
 
 
-def lines_of(text: Column) -> Column:
-    """array<string>: the lines of a text; joined, they are the text without white space at its end."""
-    return F.regexp_extract_all(text, F.lit(_LINE), F.lit(0))
+def rank(word: Column) -> Column:
+    """A number under 2^20 by a word's first, third and last letter and its length, in whole numbers that any SQL has."""
+    part = lambda x, factor: x.cast("bigint") * factor
+    return (part(F.ascii(word), 7919) + part(F.ascii(F.substring(word, 3, 1)), 104729) + part(F.ascii(F.substring(word, -1, 1)), 1299709) + part(F.length(word), 15485863)) % 1000003
 
 
-def words_of(text: Column) -> Column:
-    """array<string>: the words of a text with the white space before each and its line end; joined like lines."""
-    return F.regexp_extract_all(text, F.lit(_ONE), F.lit(0))
+def _window(place: Column, hashes: Column) -> Column:
+    """A window with its place: two hashes of its lines' hashes."""
+    return F.struct(place.cast("int").alias(f"{OWN}pos"), F.xxhash64(hashes).alias(f"{OWN}h1"), F.xxhash64(F.lit("second"), hashes).alias(f"{OWN}h2"))
 
 
 def with_windows(docs: DataFrame) -> DataFrame:
-    """docs with windows, array<long>: a hash of each three consecutive lines, by the first one's place.
+    """docs with windows of both kinds.
 
-    The line hashes are a column of their own: inside a lambda an expression would be evaluated for each element.
+    What lambdas need is a column of its own: inside a lambda an expression would be evaluated for each element. A word's
+    rank and its place share a long, so that the least of SPREAD words, found by doubling, tells its place.
     """
-    hashed = docs.withColumn(f"{OWN}hashes", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.trim(x, F.lit(_BLANKS)))))
-    starts = F.sequence(F.lit(0), F.size(f"{OWN}hashes") - LINES)
-    windows = F.transform(starts, lambda i: F.xxhash64(*(F.get(f"{OWN}hashes", i + k) for k in range(LINES))))
-    return hashed.withColumn(f"{OWN}windows", F.when(F.size(f"{OWN}hashes") >= LINES, windows)).drop(f"{OWN}hashes")
-
-
-def with_word_windows(docs: DataFrame) -> DataFrame:
-    """docs with word_starts, array<long>, and word_windows, array<long>: where windows begin by content, and their hashes.
-
-    A word's hash and its place share a long, so that the least of SPREAD words, found by doubling, tells its place.
-    """
-    words, least, starts = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts"
-    found = docs.withColumn(words, F.transform(words_of(F.col("text")), lambda x: F.xxhash64(F.trim(x, F.lit(_BLANKS)))))
-    found = found.withColumn(least, F.transform(words, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(_LOW)), 32) + (_LOW - i)))
+    words, least, starts, lines = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts", f"{OWN}lines"
+    own_lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(_BLANKS))), lambda x: x != "")
+    found = docs.withColumn(lines, F.transform(own_lines, lambda x: F.xxhash64(x)))
+    found = found.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(f"{_WORD}+"), F.lit(0)))
+    found = found.withColumn(least, F.transform(words, lambda w, i: F.shiftleft(rank(w), 31) + (_LOW - i)))
+    found = found.withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     step = 1
     while step < SPREAD:
-        found = found.withColumn(least, F.zip_with(least, F.slice(least, step + 1, F.size(words)), lambda x, y: F.least(x, y)))
-        step *= 2
+        reach = min(step, SPREAD - step)
+        found = found.withColumn(least, F.zip_with(least, F.slice(least, reach + 1, F.size(words)), lambda x, y: F.least(x, y)))
+        step += reach
     places = F.array_distinct(F.transform(least, lambda x: _LOW - x.bitwiseAND(F.lit(_LOW))))
     found = found.withColumn(starts, F.filter(places, lambda p: p + WINDOW <= F.size(words)))
-    hashed = F.transform(starts, lambda p: F.xxhash64(F.lit("words"), F.slice(words, p.cast("int") + 1, WINDOW)))
-    return found.withColumn(f"{OWN}word_windows", hashed).drop(words, least)
+    by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, F.slice(words, p.cast("int") + 1, WINDOW)))
+    by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, F.slice(lines, i + 1, LINES))))
+    none = F.array().cast(_WINDOWS)
+    return found.withColumn(f"{OWN}windows", F.concat(F.coalesce(by_line, none), F.coalesce(by_word, none))).drop(words, least, starts, lines)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With the order among documents and a hash that tells documents apart."""
-    return docs.withColumn(f"{OWN}at", F.coalesce("doc_id", F.lit(_LAST))).withColumn(f"{OWN}key", F.xxhash64("doc_id", "text"))
-
+    """With a hash that, beside doc_id, tells documents apart."""
+    return docs.withColumn(f"{OWN}key", F.xxhash64("doc_id", "text"))
 
-def repeated_starts(docs: DataFrame, by_content: bool = False) -> DataFrame:
-    """The order, the key and where windows begin: for each document with later occurrences, where these windows begin.
 
-    by_content adds the windows that begin by content; their places have _BY_WORD added.
-    """
-    keyed = with_windows(_keyed(docs.select("doc_id", "text")))
-    if by_content:
-        keyed = with_word_windows(keyed)
-        line_places = F.transform(f"{OWN}windows", lambda w, i: F.struct(i.cast("int").alias(f"{OWN}pos"), w.alias(f"{OWN}window")))
-        word_places = F.zip_with(f"{OWN}word_starts", f"{OWN}word_windows", lambda p, w: F.struct((p + _BY_WORD).cast("int").alias(f"{OWN}pos"), w.alias(f"{OWN}window")))
-        none = F.array().cast(f"array<struct<{OWN}pos:int,{OWN}window:bigint>>")
-        both = F.concat(F.coalesce(line_places, none), F.coalesce(word_places, none))
-        windows = keyed.select(f"{OWN}at", f"{OWN}key", F.explode_outer(both).alias("w")).select(f"{OWN}at", f"{OWN}key", "w.*").where(f"{OWN}window is not null")
-    else:
-        # Not posexplode: from that a filter is inferred that would compute the windows a second time
-        windows = keyed.select(f"{OWN}at", f"{OWN}key", F.posexplode_outer(f"{OWN}windows").alias(f"{OWN}pos", f"{OWN}window")).where(f"{OWN}window is not null")
-    place = F.struct(f"{OWN}at", f"{OWN}key", f"{OWN}pos")
-    firsts = windows.groupBy(f"{OWN}window").agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
-    later = windows.join(firsts, f"{OWN}window").where(place > F.col(f"{OWN}first"))
-    return later.groupBy(f"{OWN}at", f"{OWN}key").agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts"))
+def repeated_starts(docs: DataFrame) -> DataFrame:
+    """For each document with later occurrences its doc_id and key, and where these begin; places of windows by content have _BY_WORD added."""
+    ids = [F.col("doc_id").alias(f"{OWN}id"), f"{OWN}key"]
+    marked = staged(with_windows(_keyed(docs.select("doc_id", "text"))).select(*ids, f"{OWN}windows"), "windows")
+    windows = marked.select(f"{OWN}id", f"{OWN}key", F.inline(f"{OWN}windows"))
+    place = F.struct(F.col(f"{OWN}id").isNull(), f"{OWN}id", f"{OWN}key", f"{OWN}pos")
+    same = [f"{OWN}h1", f"{OWN}h2"]
+    firsts = windows.groupBy(*same).agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
+    later = windows.join(staged(firsts, "firsts"), same).where(place > F.col(f"{OWN}first"))
+    return later.groupBy(f"{OWN}id", f"{OWN}key").agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts"))
 
 
 def _with_kept(docs: DataFrame) -> DataFrame:
-    """docs with their lines and the places of those kept; both null where nothing is removed."""
-    found = _keyed(docs).join(repeated_starts(docs), [f"{OWN}at", f"{OWN}key"], "left")
-    found = found.withColumn(f"{OWN}lines", F.when(F.col(f"{OWN}starts").isNotNull(), lines_of(F.col("text"))))
-    covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.sequence(s, s + (LINES - 1)))))
-    return found.withColumn(f"{OWN}kept", F.array_except(F.sequence(F.lit(0), F.size(f"{OWN}lines") - 1), covered))
-
-
-def _with_kept_words(docs: DataFrame) -> DataFrame:
-    """docs with their words, as lines, and the places of those kept, by windows of both kinds; both null where nothing is removed."""
-    lines, of_line, first = f"{OWN}lines", f"{OWN}of_line", f"{OWN}line_starts"
-    found = _keyed(docs).join(repeated_starts(docs, by_content=True), [f"{OWN}at", f"{OWN}key"], "left")
-    found = found.withColumn(lines, F.when(F.col(f"{OWN}starts").isNotNull(), F.transform(lines_of(F.col("text")), lambda x: words_of(x))))
-    found = found.withColumn(of_line, F.flatten(F.transform(lines, lambda x, i: F.array_repeat(i, F.size(x))))).withColumn(lines, F.flatten(lines))
-    every = F.sequence(F.lit(0), F.size(lines) - 1)
+    """docs with their words, each with the white space before it and its line end, and the places of those kept; both null where nothing is removed."""
+    words, of_line, first = f"{OWN}words", f"{OWN}of_line", f"{OWN}line_starts"
+    starts = repeated_starts(docs).withColumnRenamed(f"{OWN}key", f"{OWN}key2")
+    keyed = _keyed(docs)
+    found = keyed.join(starts, (F.col(f"{OWN}key") == F.col(f"{OWN}key2")) & F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")), "left")
+    lines = F.regexp_extract_all(F.col("text"), F.lit(_LINE), F.lit(0))
+    found = found.withColumn(words, F.when(F.col(f"{OWN}starts").isNotNull(), F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_ONE), F.lit(0)))))
+    found = found.withColumn(of_line, F.flatten(F.transform(words, lambda x, i: F.array_repeat(i, F.size(x))))).withColumn(words, F.flatten(words))
+    every = F.sequence(F.lit(0), F.size(words) - 1)
     found = found.withColumn(first, F.filter(every, lambda i: (i == 0) | (F.get(of_line, i) != F.get(of_line, i - 1))))
     by_word = lambda s: F.sequence(s - _BY_WORD, s - _BY_WORD + (WINDOW - 1))
-    by_line = lambda s: F.sequence(F.get(first, s), F.coalesce(F.get(first, s + LINES), F.size(lines)) - 1)
+    by_line = lambda s: F.sequence(F.get(first, s), F.coalesce(F.get(first, s + LINES), F.size(words)) - 1)
     covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.when(s >= _BY_WORD, by_word(s)).otherwise(by_line(s)))))
     return found.withColumn(f"{OWN}kept", F.array_except(every, covered))
 
 
 def _cleaned() -> Column:
-    return F.array_join(F.transform(f"{OWN}kept", lambda i: F.get(f"{OWN}lines", i)), "")
+    return F.array_join(F.transform(f"{OWN}kept", lambda i: F.get(f"{OWN}words", i)), "")
 
 
 def dedup_lines(docs: DataFrame, into: str = "n_removed") -> DataFrame:
-    """docs with text cleaned and, as another column, the number of lines removed; a column of docs that has its name gives way."""
+    """docs with text cleaned and, as another column, the number of words removed; a column of docs that has its name gives way."""
     docs = besides(docs, into)
     found = _with_kept(docs)
     whole = F.col(f"{OWN}starts").isNull()
-    removed = F.when(whole, 0).otherwise(F.size(f"{OWN}lines") - F.size(f"{OWN}kept")).cast("long")
-    return found.withColumn(into, removed).withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned())).select(*docs.columns, into)
+    removed = F.when(whole, 0).otherwise(F.size(f"{OWN}words") - F.size(f"{OWN}kept")).cast("long")
+    found = found.withColumn(into, removed).withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned()))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns), into)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with text cleaned by windows of both kinds and n_chars counted anew; documents of which no word is left go.
+    """docs with text cleaned, and n_chars, if they have it, counted anew; documents of which no word is left go.
 
     They go by what a generator leaves: any other filter on kept words would be pushed below the columns that these are
     made from, whose expressions would then be evaluated for each word.
     """
     whole, stays = F.col(f"{OWN}starts").isNull(), f"{OWN}stays"
-    found = _with_kept_words(docs).select("*", F.explode_outer(F.when(whole | (F.size(f"{OWN}kept") > 0), F.array(F.lit(True)))).alias(stays)).where(f"{stays} is not null")
+    found = _with_kept(docs).select("*", F.explode_outer(F.when(whole | (F.size(f"{OWN}kept") > 0), F.array(F.lit(True)))).alias(stays)).where(f"{stays} is not null")
     found = found.withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned()))
-    return found.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,18 +145,30 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
+#: Windows are met by their lines' and words' texts, and the least of 19 words by a frame of rows.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]+[^\x20\x09-\x0D]+){0,11}(?:[\x20\x09\x0B-\x0D]*\n)?') AS l FROM documents),
-u AS (SELECT doc_id, l, list_transform(l, lambda x: trim(x, e' \t\n\x0b\x0c\r')) AS h FROM d),
-w AS (SELECT doc_id, i, h[i:i + 2] AS win FROM (SELECT doc_id, h, unnest(range(1, len(h) - 1)) AS i FROM u)),
-later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM w) WHERE n > 1),
-covered AS (SELECT doc_id, list(DISTINCT p) AS c FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM later) GROUP BY doc_id),
-kept AS (
-  SELECT u.doc_id, string_agg(l[p], '' ORDER BY p) AS t
-  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS p FROM u) u JOIN covered c ON u.doc_id = c.doc_id WHERE NOT list_contains(c, p) GROUP BY u.doc_id),
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]*\n)?') AS t FROM documents),
+u AS (SELECT doc_id, t, list_transform(t, lambda x: trim(x, e' \t\n\x0b\x0c\r')) AS w FROM d),
+n AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS p FROM u),
+k AS (SELECT doc_id, n, p, ((ascii(x)::BIGINT * 7919 + ascii(substr(x, 3, 1))::BIGINT * 104729 + ascii(right(x, 1))::BIGINT * 1299709 + length(x)::BIGINT * 15485863) % 1000003) * 2147483648 + 2147483647 - p AS k FROM n),
+a AS (SELECT DISTINCT doc_id, n, 2147483647 - (min(k) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 18 FOLLOWING)) % 2147483648 AS p FROM k),
+by_word AS (SELECT a.doc_id, a.p AS p, 33 AS n, w[a.p + 1:a.p + 33] AS win, 'word' AS kind FROM a JOIN u USING (doc_id) WHERE a.p + 33 <= a.n),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
+c AS (SELECT doc_id, i, trim(line, e' \t\n\x0b\x0c\r') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+o AS (
+  SELECT doc_id, line, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p,
+    list(line) OVER f AS win, sum(n) OVER f AS n
+  FROM c WHERE n > 0 WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+by_line AS (SELECT doc_id, p, n, win, 'line' AS kind FROM o WHERE len(win) = 3),
+w AS (SELECT * FROM by_word UNION ALL SELECT * FROM by_line),
+later AS (SELECT doc_id, p, n FROM (SELECT *, row_number() OVER (PARTITION BY kind, win ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p::BIGINT, (p + n)::BIGINT)) AS p FROM later),
+pieces AS (SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS p FROM u WHERE doc_id IN (SELECT doc_id FROM covered)),
+kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS t FROM pieces ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n_removed FROM covered GROUP BY doc_id),
 r AS (
-  SELECT d.doc_id, coalesce(len(c), 0) AS n_removed, CASE WHEN c IS NULL THEN text ELSE coalesce(t, '') END AS t
-  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN kept USING (doc_id))
+  SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, CASE WHEN n_removed IS NULL THEN text ELSE coalesce(kept.t, '') END AS t
+  FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id))
 SELECT doc_id, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(t) AS BIGINT) AS n_chars, sha256(t) AS text_sha256 FROM r
 """
