@@ -349,6 +349,23 @@ def test_notices(spark):
     assert [len([p for p in r.places if p.base]) for r in found] == [1, 2, 1, 0, 0, 1]
 
 
+def test_whole_licence_texts_and_many_licence_words(spark):
+    import time
+
+    mit = next(x for x in licences.templates() if x["label"] == "mit-text")["words"]
+    worn = [w if i % 8 or "hereby" in mit[i - 3 : i + 5] else "xyz" for i, w in enumerate(mit)]
+    rows = [" ".join(mit).upper(), " ".join(["start", *worn, "end"]), " ".join(mit[: len(mit) // 2]), "mit license " * 32_000]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(1)
+    licences.places(docs.where("doc_id < 3")).collect()
+    began = time.perf_counter()
+    found = licences.places(docs).orderBy("doc_id").collect()
+    took = time.perf_counter() - began
+    labels = [{p.label for p in r.places} for r in found]
+    assert {"mit", "mit-text"} <= labels[0] and "mit-text" in labels[1] and "mit-text" not in labels[2] and labels[3] == {"mit"}
+    assert 0.8 <= next(p.share for p in found[1].places if p.label == "mit-text") < 0.95 and found[1].places[-1].at == 1
+    assert len(found[3].places) == 32_000 and took < 10, took
+
+
 # 8
 
 
