@@ -163,6 +163,18 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
         assert sorted(map(sorted, own.values())) == sorted(map(sorted, brute.values()))
 
 
+def test_shared_folder_is_needed_on_a_cluster():
+    from types import SimpleNamespace
+
+    from wordloom.llm.common import shared_dir
+
+    unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    assert shared_dir(unset("local[4]")).endswith("/wordloom-a")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(unset(master))
+
+
 def test_any_five_bytes_hold_a_set():
     import itertools
 
@@ -491,8 +503,10 @@ def test_odd_tables(spark, odd, name):
 
 def test_stages_on_odd_tables(spark, odd):
     ids = lambda df: sorted(r.doc_id if r.doc_id is not None else -1 for r in df.collect())
-    assert ids(simhash.one_of_each(odd)) == [-1, -1, 1, 3, 4, 5, 6, 7, 8]
+    assert ids(simhash.one_of_each(odd)) == [1, 3, 4, 5, 6, 7, 8]
     assert ids(lines.without_repeats(odd))[-1] == 8
+    same_id = spark.createDataFrame([(1, "one text of its own", "en"), (1, "quite another thing that it says", "en"), (None, "one text of its own", "en"), (None, "a third text without an id", "en"), (2, "quite another thing that it says", "fr")] * 2, "doc_id long, text string, lang string")
+    assert sorted((r.doc_id or -1, r.text[:3]) for r in simhash.one_of_each(same_id).collect()) == [(-1, "a t"), (1, "one"), (1, "qui")]
 
 
 # the pipeline

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,7 +30,8 @@ def besides(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in taken))
 
 
-#: Texts in an Arrow batch at most. Batches are held whole, off the heap and in a worker, and texts may be long.
+#: Texts in an Arrow batch at most. Batches are held whole, off the heap and in a worker, and texts may be long; their
+#: bytes are bounded by spark.sql.execution.arrow.maxBytesPerBatch besides.
 BATCH = 500
 
 
@@ -44,27 +47,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share, one for each application: within spark.checkpoint.dir.
+
+    Only where it is unset and all runs in one process, as in tests, it is a temporary folder of this machine.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wordloom-")
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    return f"{path.rstrip('/')}/wordloom-{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends here, and a lost executor takes nothing with it."""
+    """df as a Parquet table in the application's shared folder: its lineage ends here, and a lost executor takes nothing with it.
+
+    Results are lazy and may read their staged tables at any time, so these stay until the application's folder is removed.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def digest(content: str | bytes) -> str:
+    return hashlib.sha256(content.encode() if isinstance(content, str) else content).hexdigest()
+
+
 _resident: dict[str, Any] = {}
 
 
 def resident(key: str, make: Callable[[], Any]) -> Any:
-    """What a worker keeps from task to task, one thing at a time: workers outlive queries, and what they keep would add up."""
+    """What a worker keeps from task to task, one thing at a time: workers outlive queries, and what they keep would add up.
+
+    Things made of a file are keyed by its digest(), so that functions with the same file share one.
+    """
     if key not in _resident:
         _resident.clear()
         gc.collect()

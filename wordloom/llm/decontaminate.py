@@ -5,15 +5,16 @@ item (all of them, if it has fewer). The automaton's letters are word numbers, s
 with whole words, and each text is scanned once, whatever the number of windows. Matches are kept as word ranges, merged,
 and mapped back to character offsets of the original text.
 
-The benchmark is read in blocks of a bounded number of words, so that neither the driver nor a worker holds more than
-one block; a benchmark of one block needs one pass. Null or wordless texts and items have no words and no windows;
+The automaton is one for benchmarks of up to BLOCK_WORDS words. A larger one is read in blocks of that size, so that
+neither the driver nor a worker holds more than one, and texts are scanned once for each block; of all blocks but the
+last only what they hit is kept, by the text's hash, and joined at the end. Null or wordless texts and items have no words and no windows;
 items with the same id are one item; an item without an id marks words but isn't listed. Each row of documents stands
 for itself, repeated or not.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import re
 import uuid
 from collections.abc import Iterable
@@ -120,18 +121,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     A column of docs that has its name gives way; all others stay.
     """
-    spark = docs.sparkSession
-    out, n = besides(docs, into), 1
-    for k, (n, block) in enumerate(_blocks(benchmark, block_words)):
-        out = out.withColumn(into if n == 1 else f"{OWN}hits{k}", _hits(F.col("text"), spark, block, window))
-        if n > 1:
-            out = staged(out, "decontaminate")  # so that a worker holds one block's automaton at a time
-    if n == 1:
+    spark, docs, hit = docs.sparkSession, besides(docs, into), []
+    for k, (n, block) in enumerate(_blocks(benchmark, block_words), 1):
+        found = _hits(F.col("text"), spark, block, window)
+        if k == n:
+            out = docs.withColumn(into, found)
+            break
+        one = docs.select("text", found.alias("h")).where(F.size("h.ranges") > 0).select(*_ids(), "h.ranges", "h.spans", "h.items").dropDuplicates([f"{OWN}t1", f"{OWN}t2"])
+        hit.append(staged(one, "decontaminate"))
+    if not hit:
         return out
-    parts = [f"{OWN}hits{k}" for k in range(n)]
-    both = lambda field: _merged_column(F.flatten(F.array(*(F.col(f"{p}.{field}") for p in parts))))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{p}.items") for p in parts)))))
-    return out.withColumn(into, F.struct(F.col(f"{OWN}hits0.n_words").alias("n_words"), both("ranges").alias("ranges"), both("spans").alias("spans"), items.alias("items"))).drop(*parts)
+    # As many rows for a text as there are blocks at most
+    gather = [F.flatten(F.collect_list(x)).alias(f"{OWN}{x}") for x in ("ranges", "spans", "items")]
+    others = functools.reduce(DataFrame.union, hit).groupBy(f"{OWN}t1", f"{OWN}t2").agg(*gather)
+    joined = out.withColumns({c: x for c, x in zip((f"{OWN}t1", f"{OWN}t2"), _ids(), strict=True)}).join(others, [f"{OWN}t1", f"{OWN}t2"], "left")
+    both = lambda x: F.concat(F.col(f"{into}.{x}"), F.coalesce(F.col(f"{OWN}{x}"), F.slice(F.col(f"{into}.{x}"), 1, 0)))
+    whole = F.struct(F.col(f"{into}.n_words").alias("n_words"), _merged_column(both("ranges")).alias("ranges"), _merged_column(both("spans")).alias("spans"), F.array_sort(F.array_distinct(both("items"))).alias("items"))
+    return joined.withColumn(into, whole).select(*(F.col(f"`{c}`") for c in docs.columns), into)
+
+
+def _ids() -> tuple[Column, Column]:
+    """Two hashes of a text."""
+    return F.xxhash64("text").alias(f"{OWN}t1"), F.xxhash64(F.lit("second"), "text").alias(f"{OWN}t2")
 
 
 def _merged_column(ranges: Column) -> Column:

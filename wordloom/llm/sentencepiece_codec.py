@@ -15,14 +15,13 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import resident, struct, table, text_batches, text_rows
+from .common import digest, resident, struct, table, text_batches, text_rows
 
 SPACE = "▁"
 #: Distinct chunks that a worker remembers before it starts afresh.
@@ -161,8 +160,8 @@ def _codec(key: str, model) -> Codec:
 def _shared(spark: SparkSession, model_path: str):
     text_batches(spark)
     with open(model_path, "rb") as f:
-        model = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary
-    return uuid.uuid4().hex, model
+        content = f.read()
+    return digest(content), spark.sparkContext.broadcast(content)  # bounded by the vocabulary
 
 
 def encode(text: Column, spark: SparkSession, model_path: str) -> Column:

@@ -11,7 +11,8 @@ bits: first nibbles, then pairs of bits. That ends with 8 free bits, so no bucke
 fingerprints, whatever the data, and no link is lost.
 
 Null or wordless texts have fingerprint zero. A component's id is its smallest doc_id; a null doc_id gets the id of its
-component, null if all are null. Repeated rows are each returned.
+component, null if all are null. Repeated rows are each returned; ties don't arise. An empty table gives an empty result,
+and columns of the input named like results give way.
 """
 
 from __future__ import annotations
@@ -141,29 +142,38 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fp (a signed long) and component_id of each row of documents with doc_id and text."""
+    rows, groups = _grouped(docs, ["doc_id"], bucket)
+    return rows.join(groups, "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
+
+
+def _grouped(docs: DataFrame, order: list[str], bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """Rows with the order's columns and fp; and for each fp what is least in its component by these columns, nulls last."""
     text_batches(docs.sparkSession)
-    rows = staged(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")), "fingerprints")
-    prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
+    rows = staged(docs.select(*order, fingerprint(F.col("text")).alias("fp")), "fingerprints")
+    least = F.min(F.struct(*(x for c in order for x in (F.col(c).isNull().alias(f"{c}_null"), F.col(c)))))
+    prints = staged(rows.groupBy("fp").agg(least.alias("first")), "prints")
     stars = components(near_edges(prints, bucket))
     linked = stars.union(stars.select("root", "root").distinct())
-    ids = linked.join(prints, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("component_id"))
-    linked = staged(linked.join(staged(ids, "ids"), "root").select(F.col("node").alias("fp"), "component_id"), "linked")
-    whole = staged(prints.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "whole")
-    return rows.join(whole, "fp").select("doc_id", "fp", "component_id")
+    ids = linked.join(prints, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least"))
+    linked = staged(linked.join(staged(ids, "ids"), "root").select(F.col("node").alias("fp"), "least"), "linked")
+    return rows, staged(prints.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "whole")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group: that with the smallest doc_id stays.
+    """docs without all but one row of each group: that with the smallest doc_id (null last), then the least hash of its columns.
 
-    Of several rows with that doc_id one stays, the same on any run (by the hash of all columns); rows without a doc_id
-    can't be told apart by it and stay.
+    Rows without a doc_id are in groups like any other, and so are rows with the same doc_id and different texts, each in
+    the group of its own text. Of rows that are alike in all columns one stays.
     """
-    groups = near_duplicates(docs)
-    keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(staged(keep, "keep"), "doc_id", "left_semi")
-    by = Window.partitionBy("doc_id").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    named = named.withColumn(f"{OWN}nth", F.row_number().over(by)).where(f"{OWN}nth = 1").drop(f"{OWN}nth")
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    row, again = f"{OWN}row", f"{OWN}again"
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    docs = docs.withColumns({row: F.xxhash64(*columns), again: F.xxhash64(F.lit("second"), *columns)})
+    _, groups = _grouped(docs, ["doc_id", row, again])
+    keep = staged(groups.select(f"least.{row}", f"least.{again}").distinct(), "keep")
+    # Only rows alike in all columns are left for the window to choose from; the join's partitioning serves
+    by = Window.partitionBy(row, again).orderBy(F.lit(0))
+    kept = docs.join(keep, [row, again], "left_semi").withColumn(f"{OWN}nth", F.row_number().over(by))
+    return kept.where(f"{OWN}nth = 1").select(*columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

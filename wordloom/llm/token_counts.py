@@ -5,7 +5,10 @@ are proven to be one token whenever they stand as a pre-token. Texts are split i
 each, and only the rest go through the merges (each distinct one once, as a worker remembers its length).
 
 Null text counts as empty: 0 bytes, 0 tokens. Special strings inside a text count one token each and separate what
-stands around them, as is the library's default. Repeated rows are counted each; other columns pass through untouched.
+stands around them, as is the library's default. Repeated rows are counted each; other columns pass through, those named
+like results give way. Whole texts are counted, however long. The tokenizer must be of the kind that the shortcut knows
+(NFC, lower case and single spaces at most, a split by a pattern before byte-level pieces): others raise, and so does a worker whose
+first counts of a text's new pre-tokens aren't what the library makes of the whole text.
 """
 
 from __future__ import annotations
@@ -13,17 +16,22 @@ from __future__ import annotations
 import json
 import os
 import unicodedata
-import uuid
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import resident, struct, table, text_batches, text_rows
+from .common import besides, digest, resident, struct, table, text_batches, text_rows
 
 #: Distinct merged pre-tokens that a worker remembers before it starts afresh.
 REMEMBERED = 300_000
+#: Texts of up to 20,000 characters that each worker also puts through the library whole, the first ones it meets.
+CHECKED = 200
+
+
+#: White space to one space: it separates pre-tokens in any case, and is in none.
+SPACES = [{"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
 
 
 class PretokenCounter:
@@ -39,11 +47,15 @@ class PretokenCounter:
         self.lower = any(n["type"] == "Lowercase" for n in normalizers(spec))
         specials = [t["content"] for t in spec["added_tokens"]]
         self.specials = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
+        if unknown := [n for n in normalizers(spec) if n["type"] not in ("NFC", "Lowercase") and n not in SPACES]:
+            raise ValueError(f"normalizers that the shortcut doesn't know: {unknown}")
+        self.nfc = any(n["type"] == "NFC" for n in normalizers(spec))
+        self.checks = CHECKED
         self.whole = whole
         self.cost = dict.fromkeys(whole, 1)
 
     def normal(self, text: str) -> str:
-        text = unicodedata.normalize("NFC", text)
+        text = unicodedata.normalize("NFC", text) if self.nfc else text
         # Lower case goes character by character there: no final sigma
         return text.replace("Σ", "σ").lower() if self.lower else text
 
@@ -60,6 +72,14 @@ class PretokenCounter:
         return sum(costs)
 
     def count(self, text: str) -> int:
+        n = self.counted(text)
+        if self.checks and len(text) < 20_000:
+            self.checks -= 1
+            if n != len(self.tokenizer.encode(text, add_special_tokens=False).ids):
+                raise ValueError(f"not as the library counts it: {text[:80]!r}")
+        return n
+
+    def counted(self, text: str) -> int:
         if self.specials and self.specials.search(text):
             parts = self.specials.split(text)
             return len(parts) - 1 + sum(map(self.plain, parts))
@@ -68,7 +88,7 @@ class PretokenCounter:
 
 def normalizers(spec: dict) -> list[dict]:
     n = spec["normalizer"]
-    return n["normalizers"] if n["type"] == "Sequence" else [n]
+    return [] if n is None else n["normalizers"] if n["type"] == "Sequence" else [n]
 
 
 def pretoken_pattern(spec: dict) -> regex.Pattern:
@@ -115,7 +135,7 @@ def count_tokens(text: Column, spark: SparkSession, tokenizer_path: str) -> Colu
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     shared = spark.sparkContext.broadcast((spec, whole_tokens(spec)))  # bounded by the vocabulary
-    key = uuid.uuid4().hex
+    key = digest(spec)
 
     @F.arrow_udf("struct<n_tokens:bigint>")
     def counted(texts: pa.Array) -> pa.Array:
@@ -127,7 +147,7 @@ def count_tokens(text: Column, spark: SparkSession, tokenizer_path: str) -> Colu
 
 def token_report(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    docs, text = besides(docs, "n_bytes", "n_tokens", "over_limit"), F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("n_bytes", F.octet_length(text).cast("long")).withColumn("n_tokens", count_tokens(text, docs.sparkSession, tokenizer_path)).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
