@@ -79,32 +79,89 @@ def test_offsets_are_those_of_the_original(spark):
 
 
 def test_language_held_out(spark):
-    found = language.op2_language(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")
-    n, right, rejected = found.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.sum(F.col("rejected").cast("int"))).first()
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = language.op2_language(spark, "/root/testdata/sf0.1").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
+    n, right, rejected, score = found.agg(F.count("*"), F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.sum(F.col("rejected").cast("int")), F.avg("score")).first()
     assert right / n > 0.98 and rejected <= n * 0.01
-
-
-def test_kneser_ney_is_a_distribution():
-    keys, _ = language.streams(["the cat sat on the mat", "a cat ran"])
-    import pandas as pd
-
-    uniques, n = language.counted(keys)
-    model = language.fit(pd.DataFrame({"lang": "en", "key": uniques.view(np.int64), "n": n}))
-    letters = sorted({int(k) & 0xFFFF for k in uniques})
+    assert abs(score - right / n) < 0.02  # calibrated
+    model = language.learn(docs.select("doc_id", "text", "lang"))
+    rng = random.Random(8)
+    strange = ["".join(rng.choices("bcdfghjklmnpqrstvwxz ", k=400)) for _ in range(20)] + ["пример текста на русском языке " * 10, "これは日本語の文章です。" * 20, "ez egy magyar nyelvű szöveg a kutyákról " * 8]
+    assert all(r.rejected for r in language.identified(spark.createDataFrame([(t,) for t in strange], "text string"), model).collect())
+
+
+def brute_language(rows, texts):
+    """Cross-entropies of texts by language from rows (lang, text): interpolated Kneser-Ney over four letters by its definition."""
+    units = lambda s: "".join(chr(u) for u in np.frombuffer(s.encode("utf-16-le"), "<u2"))
+    stream = lambda t: units("\1\1\1" + "".join(c.lower() if c.isalpha() else " " for c in t))
+    out = []
+    for lang in sorted({x for x, _ in rows}):
+        count = [{}, {}, {}, {}]
+        for x, t in rows:
+            if x == lang:
+                s = re.sub(" +", " ", stream(t))
+                for i in range(3, len(s)):
+                    count[3][s[i - 3 : i + 1]] = count[3].get(s[i - 3 : i + 1], 0) + 1
+        for o in (2, 1, 0):
+            for longer in count[o + 1]:
+                count[o][longer[1:]] = count[o].get(longer[1:], 0) + 1
+
+        def p(s, count=count):
+            if not s:
+                return 1 / (len(count[0]) + 1)
+            c = count[len(s) - 1]
+            ones, twos = (sum(v == k for v in c.values()) for k in (1, 2))
+            d = ones / (ones + 2 * twos) if ones and twos else 0.5
+            same = {k: v for k, v in c.items() if k[:-1] == s[:-1]}
+            total = sum(same.values())
+            return (max(c.get(s, 0) - d, 0) / total if total and s in c else 0) + (d * len(same) / total if total else 1) * p(s[1:])
+
+        own = []
+        for t in texts:
+            s = re.sub(" +", " ", stream(t))
+            own.append(-sum(np.log2(p(s[i - 3 : i + 1])) for i in range(3, len(s))) / max(len(s) - 3, 1))
+        out.append(own)
+    return np.array(out).T
+
+
+@pytest.mark.parametrize("broadcast", [1 << 28, 0])
+def test_language_is_kneser_ney_by_its_definition(spark, broadcast):
+    rows = [("en", "the cat sat on the mat and a cat ran"), ("en", "that is that and this is this"), ("fr", "le chat est sur la table et il dort"), ("fr", "une table est une table"), ("xx", "𐐀𐐁𐐂 𐐀𐐁 𝒜 𐐃𐐀𐐁")] * 6
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(i, t, x) for i, (x, t) in zip(ids, rows)], "doc_id long, text string, lang string")
+    model = language.learn(docs, broadcast=broadcast)
+    assert (model["arrays"] is None) == (broadcast == 0)
+    kept = {r.doc_id for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0).collect()}
+    texts = ["the mat", "la chatte est là", "𐐂𐐀", "thesis unexampled", "cat!! cat"]
+    brute = brute_language([(x, t) for i, (x, t) in zip(ids, rows) if i not in kept], texts)
+    found = language.with_bits(spark.createDataFrame(list(enumerate([*texts, "", "12", None])), "i long, text string"), model).orderBy("i").collect()
+    assert np.allclose([r[language._BITS] for r in found[:5]], brute, atol=1e-4)
+    assert [r[language._N] for r in found[5:]] == [0, 0, 0]
+    named = language.identified(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), model).orderBy("i").collect()
+    assert [r.lang_pred for r in named] == [model["langs"][k] for k in brute.argmin(axis=1)] and named[2].lang_pred == "xx"
+    excess = (brute - brute.min(axis=1)[:, None]) * np.array([r[language._N] for r in found[:5]])[:, None]
+    assert np.allclose([r.score for r in named], 1 / np.exp2(-excess / model["temperature"]).sum(axis=1), atol=1e-3)
+
+
+def test_kneser_ney_is_a_distribution(spark):
+    docs = spark.createDataFrame([("en", "the cat sat on the mat"), ("en", "a cat ran")], "lang string, text string")
+    parts, weights, letters = language.tables(language.string_counts(docs))
+    model = language.arrays(parts.toPandas(), weights.toPandas(), letters)
+    uniques = np.unique(language.streams(["the cat sat on the mat", "a cat ran"])[0])
+    units = sorted({int(k) & 0xFFFF for k in uniques})
     for context in (int(uniques[0]) >> 16, int(uniques[7]) >> 16, 0x7A007A007A):
-        grams = np.array([((context << 16) | c) & ((1 << 64) - 1) for c in [*letters, 0x3042]], np.uint64)
+        grams = np.array([((context << 16) | c) & ((1 << 64) - 1) for c in [*units, 0x3042]], np.uint64)
         assert abs(np.exp2(language.log_probabilities(model, grams)[:, 0].astype(float)).sum() - 1) < 1e-4
 
 
 def test_a_hot_language_leaves_the_strings_of_others(spark):
     rng = np.random.default_rng(6)
-    hot = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 100_000))) for _ in range(11)]
+    hot = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 20_000))) for _ in range(11)]
     ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]  # not held out
-    rows = list(zip(ids, [*hot * 3, "quick brown fox jumps"], ["hot"] * 33 + ["small"]))
+    rows = list(zip(ids, [*hot * 3, *["quick brown fox jumps"] * 3], ["hot"] * 33 + ["small"] * 3))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert language.string_counts(language.learning(docs)).count() > 1_000_000
     model = language.learn(docs)
-    assert model["langs"] == ["hot", "small"]
+    assert model["langs"] == ["hot", "small"] and model["parts"].count() > 400_000
     assert {r.lang_pred for r in language.identified(docs.where("lang = 'small'"), model).collect()} == {"small"}
 
 
