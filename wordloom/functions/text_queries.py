@@ -25,9 +25,9 @@ def fn_preclean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", t.precleaned(F.col("html")).alias("clean"))
 
 
-@query(f"WITH {TOKENS_SQL} SELECT doc_id, pos, regexp_replace(token, '[^a-zA-Z0-9]', '', 'g') AS clean FROM tok WHERE length(token) > 10")
+@query(f"WITH {TOKENS_SQL} SELECT doc_id, pos, regexp_replace(token, '[^a-zA-Z0-9]', '', 'g') AS clean FROM tok")
 def fn_token_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus(spark, sf_dir).tokens().where(F.length("token") > 10).select("doc_id", "pos", t.cleaned_token(F.col("token")).alias("clean"))
+    return Corpus(spark, sf_dir).tokens().select("doc_id", "pos", t.cleaned_token(F.col("token")).alias("clean"))
 
 
 @query(r"SELECT doc_id, len(s) AS n, coalesce(s[1], '') AS first FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, e' \n\t')), lambda x: x <> '') AS s FROM documents)")

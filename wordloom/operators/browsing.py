@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..plans.star import MEDIA_TYPES, STAR_SQL, Star
-from .difficulty import DIFFICULTY_SQL, WEIGHTS, _zsql, measures, zscore
+from .difficulty import DIFFICULTY_SQL, WEIGHTS, _zsql, measures, with_moments, zscore
 from .frequency import totals_by_reading, totals_by_word
 from .ranking import competition_rank
 
@@ -18,6 +18,8 @@ _W = f"WITH {STAR_SQL}"
 #: Rows of a page of the deck list, of vocabulary, and of sub-decks.
 PAGE_DECKS, PAGE_WORDS, PAGE_CHILDREN = 50, 100, 25
 WORD, READING, DECK = 1, 0, 1
+#: Parts as senses, four to a word, so that words grow with the table.
+SENSE_WORD = "p_partkey div 4"
 
 
 def page(df: DataFrame, offset: int, size: int) -> DataFrame:
@@ -222,7 +224,7 @@ def deck_list(star: Star, sort: str = "title", descending: bool = False, offset:
     rows = star.decks() if media_type is None else star.decks().where(F.col("media_type") == media_type)
     if sort == "difficulty":
         parts = [zscore(k, w).cast("double") for k, w in WEIGHTS.items()]
-        scores = measures(star).select("deck_id", F.bround(sum(parts[1:], parts[0]), 0).cast("int").alias("difficulty"))
+        scores = with_moments(measures(star), list(WEIGHTS)).select("deck_id", F.bround(sum(parts[1:], parts[0]), 0).cast("int").alias("difficulty"))
         rows = rows.join(scores, "deck_id")
     rows = rows.where(condition) if condition else rows
     by = F.expr(key).desc_nulls_first() if descending else F.expr(key).asc_nulls_last()
@@ -341,30 +343,30 @@ def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary_page(Star(spark, sf_dir), -1).select("deck_word_id", "occurrences", "reading_rank")
 
 
-@query(f"{_W} SELECT word_id, p_type, row_number() OVER w AS definition_index, p_brand IS DISTINCT FROM lag(p_brand) OVER w AS changed FROM (SELECT p_size AS word_id, p_partkey, p_type, p_brand FROM part WHERE p_type <> '') WINDOW w AS (PARTITION BY word_id ORDER BY p_partkey)")
+@query(f"{_W} SELECT word_id, p_type, row_number() OVER w AS definition_index, p_brand IS DISTINCT FROM lag(p_brand) OVER w AS changed FROM (SELECT p_partkey // 4 AS word_id, p_partkey, p_type, p_brand FROM part WHERE p_type <> '') WINDOW w AS (PARTITION BY word_id ORDER BY p_partkey)")
 def definition_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Definitions numbered within their word, and whether the part of speech differs from the previous one's."""
     order = Window.partitionBy("word_id").orderBy("p_partkey")
-    rows = Star(spark, sf_dir).read("part").where("p_type <> ''").withColumn("word_id", F.col("p_size"))
+    rows = Star(spark, sf_dir).read("part").where("p_type <> ''").withColumn("word_id", F.expr(SENSE_WORD))
     before = F.lag("p_brand").over(order)
     first = F.row_number().over(order)
     return rows.select("word_id", "p_type", first.alias("definition_index"), (~F.col("p_brand").eqNullSafe(before)).alias("changed"))
 
 
-@query("SELECT p_partkey, p_brand IS DISTINCT FROM lag(p_brand) OVER (PARTITION BY p_size ORDER BY p_partkey) AS changed FROM part")
+@query("SELECT p_partkey, p_brand IS DISTINCT FROM lag(p_brand) OVER (PARTITION BY p_partkey // 4 ORDER BY p_partkey) AS changed FROM part")
 def lag_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before = F.lag("p_brand").over(Window.partitionBy("p_size").orderBy("p_partkey"))
+    before = F.lag("p_brand").over(Window.partitionBy(F.expr(SENSE_WORD)).orderBy("p_partkey"))
     return Star(spark, sf_dir).read("part").select("p_partkey", (~F.col("p_brand").eqNullSafe(before)).alias("changed"))
 
 
-@query("SELECT p_size AS word_id, array_to_string(list(p_type ORDER BY p_partkey), '; ') AS definitions FROM part GROUP BY p_size")
+@query("SELECT p_partkey // 4 AS word_id, array_to_string(list(p_type ORDER BY p_partkey), '; ') AS definitions FROM part GROUP BY ALL")
 def definitions_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = Star(spark, sf_dir).read("part").groupBy(F.col("p_size").alias("word_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))).alias("d"))
+    rows = Star(spark, sf_dir).read("part").groupBy(F.expr(SENSE_WORD).alias("word_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))).alias("d"))
     return rows.select("word_id", F.array_join("d.p_type", "; ").alias("definitions"))
 
 
-@query("SELECT word_id, string_agg(p_brand, ',' ORDER BY first_key) AS parts_of_speech FROM (SELECT p_size AS word_id, p_brand, min(p_partkey) AS first_key FROM part GROUP BY ALL) GROUP BY word_id")
+@query("SELECT word_id, string_agg(p_brand, ',' ORDER BY first_key) AS parts_of_speech FROM (SELECT p_partkey // 4 AS word_id, p_brand, min(p_partkey) AS first_key FROM part GROUP BY ALL) GROUP BY word_id")
 def word_pos_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of speech of a word's senses, each once, in the order of first appearance."""
-    firsts = Star(spark, sf_dir).read("part").groupBy(F.col("p_size").alias("word_id"), "p_brand").agg(F.min("p_partkey").alias("first"))
+    firsts = Star(spark, sf_dir).read("part").groupBy(F.expr(SENSE_WORD).alias("word_id"), "p_brand").agg(F.min("p_partkey").alias("first"))
     return firsts.groupBy("word_id").agg(F.array_sort(F.collect_list(F.struct("first", "p_brand"))).alias("p")).select("word_id", F.array_join("p.p_brand", ",").alias("parts_of_speech"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.staging import staged
 from ..plans.star import BUCKET, STAR_SQL, Star
 from .frequency import totals_by_reading, totals_by_word
 from .ranking import competition_rank
@@ -42,8 +43,10 @@ _W = f"WITH {DIFFICULTY_SQL}"
 
 def ranked_words(star: Star) -> DataFrame:
     """Deck words with their reading's rank, and the rank used: the word's own for kana readings."""
-    words = competition_rank(totals_by_word(star), "total", "frequency_rank").select("word_id", "frequency_rank")
-    readings = competition_rank(totals_by_reading(star), "total", "reading_rank").select("word_id", "reading_index", "reading_type", "reading_rank")
+    of_readings = staged(totals_by_reading(star), "reading-totals")
+    of_words = of_readings.groupBy("word_id").agg(F.sum("total").alias("total"))
+    words = competition_rank(of_words, "total", "frequency_rank").select("word_id", "frequency_rank")
+    readings = competition_rank(of_readings, "total", "reading_rank").select("word_id", "reading_index", "reading_type", "reading_rank")
     used = F.when(F.col("reading_type") == 1, F.col("frequency_rank")).otherwise(F.col("reading_rank"))
     return star.parent_words().join(readings.join(words, "word_id"), ["word_id", "reading_index"]).withColumn("used_rank", used)
 
@@ -76,12 +79,18 @@ def measures(star: Star) -> DataFrame:
     return decks.select("deck_id", "media_type", "word_difficulty", "peak_difficulty", *(F.col(c).cast("double").alias(c) for c in ("character_count", "unique_word_count", "unique_kanji_count")), length.alias("sentence_length"))
 
 
-def zscore(value: str, weight: int, within: str = "media_type") -> Column:
-    """Standard score among decks of the same kind, cut at two deviations, mapped to 0..weight."""
-    over = Window.partitionBy(within)
+def with_moments(decks: DataFrame, values: list[str], within: str = "media_type") -> DataFrame:
+    """decks with mean and deviation of each value among decks of the same kind: a row for each kind is broadcast, no kind is put into one task."""
+    decks = staged(decks, "measures")  # used twice
+    moments = decks.groupBy(within).agg(*(f(v).alias(f"{v}_{k}") for v in values for k, f in (("mean", F.avg), ("deviation", F.stddev_pop))))
+    return decks.join(F.broadcast(moments), within)
+
+
+def zscore(value: str, weight: int) -> Column:
+    """Standard score by with_moments(), cut at two deviations, mapped to 0..weight."""
     if not weight:
         return F.lit(0.0).cast("float")
-    z = F.try_divide(F.col(value) - F.avg(value).over(over), F.stddev_pop(value).over(over))
+    z = F.try_divide(F.col(value) - F.col(f"{value}_mean"), F.col(f"{value}_deviation"))
     mapped = (F.greatest(F.lit(-2.0), F.least(F.lit(2.0), z)) + 2) / 4 * weight
     return F.when(z.isNull(), weight / 2).otherwise(mapped).cast("float")  # least() and greatest() skip nulls
 
@@ -95,27 +104,27 @@ def _zsql(value: str, weight: int) -> str:
 
 @query(f"{_W} SELECT deck_id, deck_word_id, word_id, reading_index, reading_rank FROM marked WHERE peak")
 def peak_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marked_words(Star(spark, sf_dir)).where("peak").select("deck_id", "deck_word_id", "word_id", "reading_index", "reading_rank")
+    return marked_words(Star(spark, sf_dir, once=True)).where("peak").select("deck_id", "deck_word_id", "word_id", "reading_index", "reading_rank")
 
 
 @query(f"{_W} SELECT deck_id, peak, bucket, CAST(weight AS BIGINT) AS weight FROM buckets")
 def rank_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bucket_weights(Star(spark, sf_dir))
+    return bucket_weights(Star(spark, sf_dir, once=True))
 
 
 @query(f"{_W} SELECT deck_id, round(word_difficulty, 6) AS word_difficulty, round(peak_difficulty, 6) AS peak_difficulty FROM wd")
 def deck_word_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_difficulties(Star(spark, sf_dir)).select("deck_id", F.round("word_difficulty", 6).alias("word_difficulty"), F.round("peak_difficulty", 6).alias("peak_difficulty"))
+    return word_difficulties(Star(spark, sf_dir, once=True)).select("deck_id", F.round("word_difficulty", 6).alias("word_difficulty"), F.round("peak_difficulty", 6).alias("peak_difficulty"))
 
 
 @query(f"{_W} SELECT media_type, round(avg(word_difficulty), 6) AS mean, round(stddev_pop(word_difficulty), 6) AS deviation, round(avg(sentence_length), 4) AS mean_length FROM measures GROUP BY media_type")
 def deck_stat_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures(Star(spark, sf_dir)).groupBy("media_type").agg(F.round(F.avg("word_difficulty"), 6).alias("mean"), F.round(F.stddev_pop("word_difficulty"), 6).alias("deviation"), F.round(F.avg("sentence_length"), 4).alias("mean_length"))
+    return measures(Star(spark, sf_dir, once=True)).groupBy("media_type").agg(F.round(F.avg("word_difficulty"), 6).alias("mean"), F.round(F.stddev_pop("word_difficulty"), 6).alias("deviation"), F.round(F.avg("sentence_length"), 4).alias("mean_length"))
 
 
 @query(f"{_W} SELECT deck_id, round({_zsql('unique_kanji_count', 30)}, 4) AS kanji_part FROM measures")
 def zscore_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measures(Star(spark, sf_dir)).select("deck_id", F.round(zscore("unique_kanji_count", 30), 4).alias("kanji_part"))
+    return with_moments(measures(Star(spark, sf_dir, once=True)), ["unique_kanji_count"]).select("deck_id", F.round(zscore("unique_kanji_count", 30), 4).alias("kanji_part"))
 
 
 @query(f"{_W} SELECT deck_id, media_type, CAST(round_even({' + '.join(f'CAST({_zsql(k, w)} AS DOUBLE)' for k, w in WEIGHTS.items())}, 0) AS INTEGER) AS difficulty FROM measures")
@@ -124,7 +133,7 @@ def deck_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = parts[0]
     for p in parts[1:]:
         total = total + p
-    return measures(Star(spark, sf_dir)).select("deck_id", "media_type", F.bround(total, 0).cast("int").alias("difficulty"))
+    return with_moments(measures(Star(spark, sf_dir, once=True)), list(WEIGHTS)).select("deck_id", "media_type", F.bround(total, 0).cast("int").alias("difficulty"))
 
 
 @query(f"""WITH {STAR_SQL},
@@ -133,7 +142,7 @@ p AS (SELECT bucket, n, n / (SELECT sum(n) FROM h) * 100 AS pct FROM h)
 SELECT bucket, n, round(pct, 6) AS pct, round(pct * exp(bucket / 10.0), 6) AS points, round(pct * exp(bucket / 10.0) / sum(pct * exp(bucket / 10.0)) OVER () * 100, 6) AS share FROM p""")
 def debug_deck_histogram(spark: SparkSession, sf_dir: str, deck_id: int = 1) -> DataFrame:
     """One deck's words by bucket of ranks, with points and their shares."""
-    star = Star(spark, sf_dir)
+    star = Star(spark, sf_dir, once=True)
     own = star.parent_words().where(F.col("deck_id") == deck_id).select("word_id").distinct()
     ranks = competition_rank(totals_by_word(star), "total", "frequency_rank")
     by = own.join(ranks, "word_id").groupBy(F.expr(f"frequency_rank div {BUCKET}").alias("bucket")).agg(F.count("*").alias("n"))

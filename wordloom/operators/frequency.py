@@ -69,10 +69,8 @@ def reading_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM rt JOIN wr USING (word_id) GROUP BY word_id""")
 def global_frequency_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each word's most frequent reading, the first among equals, with the word's rank."""
-    star = Star(spark, sf_dir)
-    best = totals_by_reading(star).groupBy("word_id").agg(F.max_by("reading", F.struct("total", -F.col("reading_index"))).alias("reading"))
-    ranks = competition_rank(totals_by_word(star), "total", "rank")
-    return best.join(ranks, "word_id").select("reading", "rank", "word_id")
+    best = totals_by_reading(Star(spark, sf_dir)).groupBy("word_id").agg(F.max_by("reading", F.struct("total", -F.col("reading_index"))).alias("reading"), F.sum("total").alias("total"))
+    return competition_rank(best, "total", "rank").select("reading", "rank", "word_id")
 
 
 @query(f"{_W} SELECT word_id, reading_index, round(CASE WHEN wt.total = 0 THEN 0 ELSE rt.total / wt.total * 100 END, 6) AS percentage, row_number() OVER (PARTITION BY word_id ORDER BY rt.total DESC, reading_index) AS place FROM rt JOIN wt USING (word_id)")

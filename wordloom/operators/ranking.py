@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged
+
 
 def competition_rank(df: DataFrame, by: str, name: str) -> DataFrame:
     """df with rank() over by, descending: only the distinct values and their counts are ranked in one place, then joined back."""
+    df = staged(df, "to-rank")  # used twice
     levels = df.groupBy(by).agg(F.count("*").alias("_n"))
     before = Window.orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, -1)
     ranks = levels.select(by, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1).alias(name))

@@ -6,18 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import sentences
-from ..plans.documents import TOKENS_SQL, WORDS_SQL, Corpus
+from ..plans.documents import TOKENS_SQL, WORDS_SQL, Corpus, counted
 from ..plans.registry import query
 
 
 @query(f"WITH {TOKENS_SQL} SELECT doc_id, token, count(*) AS n, min(pos) AS first_pos FROM tok GROUP BY ALL")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus(spark, sf_dir).tokens().groupBy("doc_id", "token").agg(F.count("*").alias("n"), F.min("pos").alias("first_pos"))
+    return counted(Corpus(spark, sf_dir).token_arrays(), "n", "first_pos").withColumnRenamed("item", "token")
 
 
-@query(f"WITH {TOKENS_SQL} SELECT doc_id, pos, token FROM tok WHERE trim(token) <> '' AND length(token) > 12")
+@query(f"WITH {TOKENS_SQL} SELECT doc_id, pos, token FROM tok WHERE trim(token) <> ''")
 def tok_nonblank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Corpus(spark, sf_dir).tokens().where((F.trim("token") != "") & (F.length("token") > 12))
+    return Corpus(spark, sf_dir).tokens().where(F.trim("token") != "")
 
 
 def merged_variants(words: DataFrame, parity: bool = True) -> DataFrame:
@@ -111,9 +111,9 @@ g AS (SELECT *, sum(CASE WHEN attach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_i
 SELECT doc_id, CAST(island AS BIGINT) AS island, string_agg(token, '' ORDER BY pos) AS merged FROM g GROUP BY doc_id, island""")
 def tok_merge_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short tokens attached to a longer token before them: the shape of merges that look at original neighbours only."""
-    own = Window.partitionBy("doc_id").orderBy("pos")
-    attach = F.coalesce((F.length("token") <= 2) & (F.length(F.lag("token").over(own)) > 2), F.lit(False))
-    rows = Corpus(spark, sf_dir).tokens().withColumn("attach", attach)
-    rows = rows.withColumn("island", F.sum(F.when(F.col("attach"), 0).otherwise(1)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = rows.groupBy("doc_id", "island").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts"))
-    return parts.select("doc_id", "island", F.array_join("parts.token", "").alias("merged"))
+    rows = Corpus(spark, sf_dir).token_arrays()
+    short = lambda i: F.length(F.get("tokens", i)) <= 2
+    begins = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: (i == 0) | ~short(i) | short(i - 1))
+    rows = rows.withColumn("begins", F.when(F.size("tokens") > 0, begins))
+    islands = F.transform("begins", lambda i, k: F.struct((k + 1).cast("long").alias("island"), F.array_join(F.slice("tokens", i + 1, F.coalesce(F.get("begins", k + 1), F.size("tokens")) - i), "").alias("merged")))
+    return rows.withColumn("islands", islands).select("doc_id", F.inline_outer("islands")).where("island is not null")  # as in counted()

@@ -18,15 +18,19 @@ class Corpus:
         """doc_id, line_no from 0, line."""
         return self.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
+    def token_arrays(self) -> DataFrame:
+        """doc_id, tokens."""
+        return self.documents.select("doc_id", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
+
     def tokens(self) -> DataFrame:
         """doc_id, pos from 0, token."""
         return self.documents.select("doc_id", F.posexplode_outer(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("pos", "token")).where("token is not null")
 
     def deck_words(self) -> DataFrame:
         """(doc, word, reading) with occurrences and first position; the reading tells lower, mixed and upper case apart."""
-        low, up = F.lower("token"), F.upper("token")
-        reading = F.when(F.col("token") == low, 0).when(F.col("token") == up, 2).otherwise(1)
-        return self.tokens().groupBy("doc_id", low.alias("word"), reading.alias("reading_index")).agg(F.count("*").alias("occurrences"), F.min("pos").alias("first_pos"))
+        reading = lambda x: F.when(x == F.lower(x), 0).when(x == F.upper(x), 2).otherwise(1)
+        keyed = self.token_arrays().select("doc_id", F.transform("tokens", lambda x: F.struct(F.lower(x).alias("word"), reading(x).alias("reading_index"))).alias("tokens"))
+        return counted(keyed, "occurrences", "first_pos").select("doc_id", "item.*", "occurrences", "first_pos")
 
     def decks(self) -> DataFrame:
         """deck_id, media_type, parent_deck_id, deck_order of each document."""
@@ -38,6 +42,19 @@ class Corpus:
         return rows.where("parent_deck_id is not null").withColumn("deck_order", order).unionByName(rows.where("parent_deck_id is null").withColumn("deck_order", F.lit(0)))
 
 
+def counted(rows: DataFrame, n: str, first: str) -> DataFrame:
+    """doc_id, item, and how often and where first each distinct item stands in a document's tokens.
+
+    A document's tokens are one row, so they are sorted and counted there, and nothing is shuffled. Not inline(): from that
+    a filter is inferred, in which all columns up to here would be evaluated again, for each element.
+    """
+    ordered = rows.select("doc_id", F.sort_array(F.transform("tokens", lambda x, i: F.struct(x.alias("item"), i.alias("pos")))).alias("s"))
+    at = lambda i: F.get("s", i)["item"]
+    ordered = ordered.withColumn("starts", F.when(F.size("s") > 0, F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))))
+    groups = F.transform("starts", lambda i, k: F.struct(at(i).alias("item"), (F.coalesce(F.get("starts", k + 1), F.size("s")) - i).cast("long").alias(n), F.get("s", i)["pos"].alias(first)))
+    return ordered.withColumn("groups", groups).select("doc_id", F.inline_outer("groups")).where(f"{n} is not null")
+
+
 #: The same as SQL for DuckDB, to stand behind WITH.
 LINES_SQL = r"ln AS (SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 TOKENS_SQL = r"tok AS (SELECT doc_id, unnest(range(len(t))) AS pos, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS t FROM documents))"

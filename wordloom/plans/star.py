@@ -9,16 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Ids of a deck's words are deck_id * DECK_SPAN and a running number.
+from .staging import staged
+
+#: Ids of a deck's words are deck_id * DECK_SPAN and a running number; a deck with more words raises.
 DECK_SPAN = 1_000_000
 MEDIA_TYPES = {1: "Anime", 2: "Drama", 3: "Movie", 4: "Novel", 5: "Non-Fiction", 6: "Video Game", 7: "Visual Novel", 8: "Web Novel", 9: "Manga"}
 BUCKET = 100
 
 
 class Star:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    """The works of a folder of tables. With once, the rollup of their words is staged when it is first needed: for queries that use it in several places."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
         self.spark = spark
         self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        self._once, self._rollup = once, None
 
     def child_groups(self) -> DataFrame:
         """(child deck, word, reading) with occurrences and the first order."""
@@ -33,6 +38,7 @@ class Star:
     @staticmethod
     def numbered(groups: DataFrame) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("deck_id").orderBy("fo", "word_id", "reading_index"))
+        nth = F.when(nth < DECK_SPAN, nth).otherwise(F.raise_error(F.concat(F.lit("a deck has over DECK_SPAN words: "), F.col("deck_id").cast("string"))).cast("int"))
         return groups.select("deck_id", "word_id", "reading_index", "occurrences", (F.col("deck_id") * DECK_SPAN + nth).alias("deck_word_id"))
 
     def child_words(self) -> DataFrame:
@@ -40,8 +46,13 @@ class Star:
 
     def parent_words(self) -> DataFrame:
         """Words of primary decks: the sums over their children."""
+        if self._rollup is not None:
+            return self._rollup
         sums = self.child_groups().groupBy(F.col("parent_deck_id").alias("deck_id"), "word_id", "reading_index")
-        return self.numbered(sums.agg(F.sum("occurrences").alias("occurrences"), F.min("fo").alias("fo")))
+        out = self.numbered(sums.agg(F.sum("occurrences").alias("occurrences"), F.min("fo").alias("fo")))
+        if self._once:
+            out = self._rollup = staged(out, "rollup")
+        return out
 
     def readings(self) -> DataFrame:
         """Long form of the dictionary: word_id, reading_index, reading, reading_type."""
