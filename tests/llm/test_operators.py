@@ -223,7 +223,7 @@ def test_large_groups_of_near_copies_lose_no_link(spark):
 def test_shared_folder_is_needed_on_a_cluster():
     from types import SimpleNamespace
 
-    from wordloom.llm.common import shared_dir
+    from wordloom.plans.staging import shared_dir
 
     unset = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master, applicationId="a", getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
     assert shared_dir(unset("local[4]")).endswith("/wordloom-a")
@@ -366,7 +366,7 @@ def test_later_passages_go_and_first_ones_stay(spark):
     own = [w for w in found[2].text.split() if w[0] != "w"]
     assert own == "own start here own end".split() and len(found[2].text.split()) - 5 == 60 - found[2].n_removed <= 2 * (lines.SPREAD - 1)
     assert found[4].n_removed >= 60 - 2 * (lines.SPREAD - 1)
-    assert (found[5].text, found[5].n_removed) == ("x y\n", 3)
+    assert (found[5].text, found[5].n_removed) == ("x y", 3)
     named = spark.createDataFrame([(f"d{i}", t) for i, t in rows], "doc_id string, text string")
     assert {r.doc_id: r.n_removed for r in lines.dedup_lines(named).collect()} == {f"d{i}": r.n_removed for i, r in found.items()}
 

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.staging import staged  # noqa: F401
+
 #: ASCII upper case to lower case; every other byte stays. As 256 bytes for bytes.translate.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The same, with a space for each byte that is no ASCII letter, digit or part of a non-ASCII character.
@@ -46,31 +45,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, one for each application: within spark.checkpoint.dir.
-
-    Only where it is unset and all runs in one process, as in tests, it is a temporary folder of this machine.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="wordloom-")
-        spark.sparkContext.setCheckpointDir(path)
-    return f"{path.rstrip('/')}/wordloom-{spark.sparkContext.applicationId}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the application's shared folder: its lineage ends here, and a lost executor takes nothing with it.
-
-    Results are lazy and may read their staged tables at any time, so these stay until the application's folder is removed.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def digest(content: str | bytes) -> str:
     return hashlib.sha256(content.encode() if isinstance(content, str) else content).hexdigest()
 

@@ -27,14 +27,16 @@ from .common import OWN, besides, staged, table
 
 LINES = 3
 #: Words in a line that begins by content, and words of which one at least begins a window.
-LINE, SPREAD = 11, 19
+LINE, SPREAD = 10, 22
 WINDOW = LINES * LINE
+#: A window by words is told by a hash of its first words and one of the others: false meetings need a true half.
+HALF = (WINDOW + 1) // 2
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
 _INLINE = r"[\x20\x09\x0B-\x0D]"
 #: Java's possessive quantifiers keep long lines from backtracking.
-_LINE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}++{_WORD}++)*+(?:{_INLINE}*+\n)?+"
-_ONE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}*+\n)?+"
+_LINE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}++{_WORD}++)*+"
+_ONE = rf"{_SPACE}*+{_WORD}++"
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Added to the places of windows that begin by content, which are words; other windows' places are lines.
 _BY_WORD = 1 << 30
@@ -43,39 +45,39 @@ _WINDOWS = f"array<struct<{OWN}pos:int,{OWN}h1:bigint,{OWN}h2:bigint>>"
 
 
 def rank(word: Column) -> Column:
-    """A number under 2^20 by a word's first, third and last letter and its length, in whole numbers that any SQL has."""
-    part = lambda x, factor: x.cast("bigint") * factor
-    return (part(F.ascii(word), 7919) + part(F.ascii(F.substring(word, 3, 1)), 104729) + part(F.ascii(F.substring(word, -1, 1)), 1299709) + part(F.length(word), 15485863)) % 1000003
+    """A number by a word's first letter, its bytes and where it has an e, by operations that any SQL has."""
+    bits = lambda x, by: F.shiftleft(x.cast("bigint"), by)
+    return F.ascii(word).cast("bigint").bitwiseXOR(bits(F.octet_length(word), 5)).bitwiseXOR(bits(F.instr(word, "e"), 9))
 
 
-def _window(place: Column, hashes: Column) -> Column:
-    """A window with its place: two hashes of its lines' hashes."""
-    return F.struct(place.cast("int").alias(f"{OWN}pos"), F.xxhash64(hashes).alias(f"{OWN}h1"), F.xxhash64(F.lit("second"), hashes).alias(f"{OWN}h2"))
+def _window(place: Column, hashes: list[Column]) -> Column:
+    """A window with its place, and two hashes, of parts of it or by different seeds."""
+    return F.struct(place.cast("int").alias(f"{OWN}pos"), *(h.alias(f"{OWN}h{k}") for k, h in enumerate(hashes, 1)))
 
 
 def with_windows(docs: DataFrame) -> DataFrame:
     """docs with windows of both kinds.
 
     What lambdas need is a column of its own: inside a lambda an expression would be evaluated for each element. A word's
-    rank and its place share a long, so that the least of SPREAD words, found by doubling, tells its place.
+    rank and its place share a long, so that the least of SPREAD words, found in three steps, tells its place.
     """
     words, least, starts, lines = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts", f"{OWN}lines"
     own_lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(_BLANKS))), lambda x: x != "")
     found = docs.withColumn(lines, F.transform(own_lines, lambda x: F.xxhash64(x)))
     found = found.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(f"{_WORD}+"), F.lit(0)))
-    found = found.withColumn(least, F.transform(words, lambda w, i: F.shiftleft(rank(w), 31) + (_LOW - i)))
-    found = found.withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
-    step = 1
-    while step < SPREAD:
-        reach = min(step, SPREAD - step)
-        found = found.withColumn(least, F.zip_with(least, F.slice(least, reach + 1, F.size(words)), lambda x, y: F.least(x, y)))
-        step += reach
-    places = F.array_distinct(F.transform(least, lambda x: _LOW - x.bitwiseAND(F.lit(_LOW))))
+    found = found.withColumn(f"{least}1", F.transform(words, lambda w, i: rank(w) * (_LOW + 1) - i)).withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
+    held = 1
+    while held < SPREAD:  # the least of held words in a row becomes that of up to three times as many
+        step = min(held, -(-(SPREAD - held) // 2))
+        before, further = f"{least}{held}", min(2 * step, SPREAD - held)
+        held += further
+        found = found.withColumn(f"{least}{held}", F.transform(before, lambda x, i: F.least(x, F.get(before, i + step), F.get(before, i + further))))  # noqa: B023
+    places = F.array_distinct(F.transform(f"{least}{held}", lambda x: (-x).bitwiseAND(F.lit(_LOW))))
     found = found.withColumn(starts, F.filter(places, lambda p: p + WINDOW <= F.size(words)))
-    by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, F.slice(words, p.cast("int") + 1, WINDOW)))
-    by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, F.slice(lines, i + 1, LINES))))
+    by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, [F.xxhash64(F.slice(words, p.cast("int") + 1, HALF)), F.xxhash64(F.slice(words, p.cast("int") + 1 + HALF, WINDOW - HALF))]))
+    by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, [F.xxhash64(F.slice(lines, i + 1, LINES)), F.xxhash64(F.lit("second"), F.slice(lines, i + 1, LINES))])))
     none = F.array().cast(_WINDOWS)
-    return found.withColumn(f"{OWN}windows", F.concat(F.coalesce(by_line, none), F.coalesce(by_word, none))).drop(words, least, starts, lines)
+    return found.withColumn(f"{OWN}windows", F.concat(F.coalesce(by_line, none), F.coalesce(by_word, none))).select(*docs.columns, f"{OWN}windows")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -96,7 +98,7 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
 
 
 def _with_kept(docs: DataFrame) -> DataFrame:
-    """docs with their words, each with the white space before it and its line end, and the places of those kept; both null where nothing is removed."""
+    """docs with their words, each with the white space before it, and the places of those kept; both null where nothing is removed."""
     words, of_line, first = f"{OWN}words", f"{OWN}of_line", f"{OWN}line_starts"
     starts = repeated_starts(docs).withColumnRenamed(f"{OWN}key", f"{OWN}key2")
     keyed = _keyed(docs)
@@ -145,15 +147,15 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-#: Windows are met by their lines' and words' texts, and the least of 19 words by a frame of rows.
+#: Windows are met by their lines' and words' texts, and the least of 22 words by a frame of rows.
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09\x0B-\x0D]*\n)?') AS t FROM documents),
+  SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS t FROM documents),
 u AS (SELECT doc_id, t, list_transform(t, lambda x: trim(x, e' \t\n\x0b\x0c\r')) AS w FROM d),
 n AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS p FROM u),
-k AS (SELECT doc_id, n, p, ((ascii(x)::BIGINT * 7919 + ascii(substr(x, 3, 1))::BIGINT * 104729 + ascii(right(x, 1))::BIGINT * 1299709 + length(x)::BIGINT * 15485863) % 1000003) * 2147483648 + 2147483647 - p AS k FROM n),
-a AS (SELECT DISTINCT doc_id, n, 2147483647 - (min(k) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 18 FOLLOWING)) % 2147483648 AS p FROM k),
-by_word AS (SELECT a.doc_id, a.p AS p, 33 AS n, w[a.p + 1:a.p + 33] AS win, 'word' AS kind FROM a JOIN u USING (doc_id) WHERE a.p + 33 <= a.n),
+k AS (SELECT doc_id, n, p, xor(xor(ascii(x)::BIGINT, strlen(x)::BIGINT << 5), instr(x, 'e')::BIGINT << 9) * 2147483648 + 2147483647 - p AS k FROM n),
+a AS (SELECT DISTINCT doc_id, n, 2147483647 - (min(k) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 21 FOLLOWING)) % 2147483648 AS p FROM k),
+by_word AS (SELECT a.doc_id, a.p AS p, 30 AS n, w[a.p + 1:a.p + 30] AS win, 'word' AS kind FROM a JOIN u USING (doc_id) WHERE a.p + 30 <= a.n),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 c AS (SELECT doc_id, i, trim(line, e' \t\n\x0b\x0c\r') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
 o AS (
