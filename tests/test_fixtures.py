@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as t
 from wordloom.operators import browsing, hierarchy
-from wordloom.operators.difficulty import zscore
+from wordloom.operators.difficulty import with_moments, zscore
 from wordloom.operators.ranking import competition_rank
 from wordloom.operators.text_stats import merged_variants
 from wordloom.sources import dictionary, scripts
@@ -25,7 +25,7 @@ def test_competition_rank_has_ties_and_zeros_last(spark):
 
 def test_zscore_without_spread_is_half_the_weight(spark):
     df = spark.createDataFrame([(1, 3.0), (1, 3.0), (2, 0.0), (2, 10.0)], "media_type int, x double")
-    assert sorted(values(df.select("media_type", zscore("x", 30)))) == [(1, 15.0), (1, 15.0), (2, 7.5), (2, 22.5)]
+    assert sorted(values(with_moments(df, ["x"]).select("media_type", zscore("x", 30)))) == [(1, 15.0), (1, 15.0), (2, 7.5), (2, 22.5)]
 
 
 def test_variants_lose_occurrences_in_parity_only(spark):
@@ -142,14 +142,13 @@ def test_deconjugation(spark):
 
 
 def test_token_passes(spark):
-    from wordloom.functions.tokens import TOKEN, merged, with_gaps
+    from wordloom.functions.tokens import CASES, TOKEN, Token, honorifics_apart, merged, with_gaps
 
-    rows = [
-        ([("飲ん", "Verb", "飲む"), ("で", "Particle", "で"), ("笑っ", "Verb", "笑う"), ("ちゃ", "Particle", "ちゃ")], ["飲んで", "笑っちゃ"]), ([("に", "Particle", "に"), ("は", "Particle", "は")], ["には"]),
-        ([("３", "Numeral", "三"), ("人", "Counter", "人")], ["３人"]), ([("本", "Noun", "本"), ("を", "Particle", "を")], ["本", "を"]), ([], []),
-    ]
-    df = spark.createDataFrame(rows, f"tokens array<{TOKEN}>, wanted array<string>")
+    df = spark.createDataFrame([*CASES, (None, None)], f"tokens array<{TOKEN}>, wanted array<string>")
     for r in df.select(merged(F.col("tokens"))["text"].alias("found"), "wanted").collect():
         assert r.found == r.wanted
+    own = df.limit(9).select(merged(F.col("tokens"), frozenset({("３", "本")}))["text"].alias("found")).collect()[8].found
+    assert own == ["３", "人", "静かな"]
+    assert [x.text for x in honorifics_apart([Token("太郎さん", "Noun", "太郎さん", "PersonName"), Token("皆さん", "Noun")])] == ["太郎", "さん", "皆さん"]
     gaps = spark.createDataFrame([("本を、読んだ。", ["本", "を", "読んだ"])], "text string, words array<string>").select(with_gaps(F.col("text"), F.col("words")).alias("g")).first().g
     assert [(g.word, g.start, g.known) for g in gaps] == [("本", 1, True), ("を", 2, True), ("、", 3, False), ("読んだ", 4, True), ("。", 7, False)]
