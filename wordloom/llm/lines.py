@@ -10,7 +10,8 @@ Lines are hashed without the white space around them, three consecutive ones mak
 windows are met across all documents. The first occurrence, by doc_id (null last), then text hash, then place, stays; the
 words that any later occurrence covers are removed together. Windows are computed once and staged; the firsts of repeated
 windows are aggregated with partial minima and staged too, so that the join with all windows has its own exchange, which
-adaptive execution splits where one window is very frequent.
+adaptive execution splits where one window is very frequent. Bit tables of a fixed size keep windows that aren't repeated,
+and texts that nothing is removed from, out of the shuffles.
 
 A text without a later occurrence stays as it is; from others the white space at the end goes too. Texts with neither
 three lines nor 3 * LINE words have no window. Rows with the same doc_id and the same text are one document: each gets
@@ -41,6 +42,8 @@ _BLANKS = " \t\n\x0b\x0c\r"
 #: Added to the places of windows that begin by content, which are words; other windows' places are lines.
 _BY_WORD = 1 << 30
 _LOW = (1 << 31) - 1
+#: Size of the bit tables that keep rows without partners out of shuffles: 2^25 bits are half a million rows of 64.
+BITS = 25
 _WINDOWS = f"array<struct<{OWN}pos:int,{OWN}h1:bigint,{OWN}h2:bigint>>"
 
 
@@ -93,16 +96,34 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     place = F.struct(F.col(f"{OWN}id").isNull(), f"{OWN}id", f"{OWN}key", f"{OWN}pos")
     same = [f"{OWN}h1", f"{OWN}h2"]
     firsts = windows.groupBy(*same).agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
-    later = windows.join(staged(firsts, "firsts"), same).where(place > F.col(f"{OWN}first"))
-    return later.groupBy(f"{OWN}id", f"{OWN}key").agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts"))
+    firsts = staged(firsts, "firsts")
+    repeated = _perhaps(windows, f"{OWN}h1", firsts).where(f"{OWN}perhaps").drop(f"{OWN}perhaps")
+    later = repeated.join(firsts, same).where(place > F.col(f"{OWN}first"))
+    return staged(later.groupBy(f"{OWN}id", f"{OWN}key").agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts")), "starts")
 
 
-def _with_kept(docs: DataFrame) -> DataFrame:
-    """docs with their words, each with the white space before it, and the places of those kept; both null where nothing is removed."""
+def _perhaps(df: DataFrame, column: str, of: DataFrame) -> DataFrame:
+    """df with perhaps: false only where the hash in a column is none of those in the same column of another table.
+
+    They are told by a table of 2^BITS bits, which is broadcast, so that rows without a partner stay out of a shuffle. The
+    fuller it is the fewer it keeps out, but joins come after it in any case.
+    """
+    slot, bits, low = f"{OWN}slot", f"{OWN}bits", F.col(column).bitwiseAND(F.lit((1 << BITS) - 1))
+    place = F.shiftright(low, 6).alias(slot)
+    bit = low.bitwiseAND(F.lit(63)).cast("int")
+    marks = of.select(place, bit.alias("b")).groupBy(slot).agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias(bits))
+    joined = df.withColumn(slot, place).join(F.broadcast(marks), slot, "left")  # 2^BITS / 64 rows at most
+    return joined.withColumn(f"{OWN}perhaps", F.coalesce(F.getbit(bits, bit) == 1, F.lit(False))).drop(slot, bits)
+
+
+def _with_kept(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents that nothing is removed from, as they are; and others with their words, each with the white space before it, and the places of those kept, both null if these are whole too."""
     words, of_line, first = f"{OWN}words", f"{OWN}of_line", f"{OWN}line_starts"
-    starts = repeated_starts(docs).withColumnRenamed(f"{OWN}key", f"{OWN}key2")
-    keyed = _keyed(docs)
-    found = keyed.join(starts, (F.col(f"{OWN}key") == F.col(f"{OWN}key2")) & F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")), "left")
+    starts = repeated_starts(docs)
+    keyed = _perhaps(_keyed(docs), f"{OWN}key", starts)
+    rest = keyed.where(~F.col(f"{OWN}perhaps")).select(*_own(docs))
+    starts = starts.withColumnRenamed(f"{OWN}key", f"{OWN}key2")
+    found = keyed.where(f"{OWN}perhaps").join(starts, (F.col(f"{OWN}key") == F.col(f"{OWN}key2")) & F.col("doc_id").eqNullSafe(F.col(f"{OWN}id")), "left")
     lines = F.regexp_extract_all(F.col("text"), F.lit(_LINE), F.lit(0))
     found = found.withColumn(words, F.when(F.col(f"{OWN}starts").isNotNull(), F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_ONE), F.lit(0)))))
     found = found.withColumn(of_line, F.flatten(F.transform(words, lambda x, i: F.array_repeat(i, F.size(x))))).withColumn(words, F.flatten(words))
@@ -111,7 +132,11 @@ def _with_kept(docs: DataFrame) -> DataFrame:
     by_word = lambda s: F.sequence(s - _BY_WORD, s - _BY_WORD + (WINDOW - 1))
     by_line = lambda s: F.sequence(F.get(first, s), F.coalesce(F.get(first, s + LINES), F.size(words)) - 1)
     covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.when(s >= _BY_WORD, by_word(s)).otherwise(by_line(s)))))
-    return found.withColumn(f"{OWN}kept", F.array_except(every, covered))
+    return rest, found.withColumn(f"{OWN}kept", F.array_except(every, covered))
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def _cleaned() -> Column:
@@ -121,11 +146,11 @@ def _cleaned() -> Column:
 def dedup_lines(docs: DataFrame, into: str = "n_removed") -> DataFrame:
     """docs with text cleaned and, as another column, the number of words removed; a column of docs that has its name gives way."""
     docs = besides(docs, into)
-    found = _with_kept(docs)
+    rest, found = _with_kept(docs)
     whole = F.col(f"{OWN}starts").isNull()
     removed = F.when(whole, 0).otherwise(F.size(f"{OWN}words") - F.size(f"{OWN}kept")).cast("long")
     found = found.withColumn(into, removed).withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned()))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns), into)
+    return rest.withColumn(into, F.lit(0).cast("long")).union(found.select(*_own(docs), into))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -135,11 +160,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     made from, whose expressions would then be evaluated for each word.
     """
     whole, stays = F.col(f"{OWN}starts").isNull(), f"{OWN}stays"
-    found = _with_kept(docs).select("*", F.explode_outer(F.when(whole | (F.size(f"{OWN}kept") > 0), F.array(F.lit(True)))).alias(stays)).where(f"{stays} is not null")
+    rest, found = _with_kept(docs)
+    found = found.select("*", F.explode_outer(F.when(whole | (F.size(f"{OWN}kept") > 0), F.array(F.lit(True)))).alias(stays)).where(f"{stays} is not null")
     found = found.withColumn("text", F.when(whole, F.col("text")).otherwise(_cleaned()))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return rest.union(found.select(*_own(docs)))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
