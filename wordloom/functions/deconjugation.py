@@ -144,6 +144,91 @@ def retries(token: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(token, F.coalesce(shorter, polite, plain), F.coalesce(polite, plain), plain)))
 
 
+INFLECTING = ("Verb", "IAdjective", "NaAdjective", "Adjectival")
+
+
+def attempts(text: str) -> list[str]:
+    """What is looked up in turn: the text, then without ends that repeat or draw out, without leading お, without ー, as long as it changes."""
+    out = [text]
+    while True:
+        t = out[-1]
+        if len(t) > 2 and (t[-1] in "っー" or t[-1] == t[-2]):
+            t = t[:-1]
+        elif t.startswith("お"):
+            t = t[1:]
+        else:
+            t = t.replace("ー", "")
+        if not t or t == out[-1]:
+            return out
+        out.append(t)
+
+
+def _attempted(tokens: DataFrame) -> DataFrame:
+    """tokens with attempt, from 0, and its try."""
+
+    @F.arrow_udf("array<string>")
+    def tried(texts: pa.Array) -> pa.Array:
+        return pa.array([attempts(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+    return tokens.select("*", F.posexplode(tried(F.col("text"))).alias("attempt", "try"))
+
+
+def match_tokens(tokens: DataFrame, lookups: DataFrame, words: DataFrame, rules: str | None = None) -> DataFrame:
+    """text, pos, lemma, attempt, word_id of the distinct tokens(text, pos, lemma) that a dictionary word is found for.
+
+    lookups has (lookup_key, word_id), words has (word_id, parts_of_speech, kinds, score): the tags that deconjugation
+    ends with, and the kinds that tokens have. Each distinct token is matched once, by joins; the first attempt that finds
+    a word counts. Words that inflect are looked up by their forms: the one that is the lemma leads, then the surface,
+    then longer ones, then the highest score and the lowest id. If forms are in the dictionary but none of their words is
+    of the right kind, and for words that don't inflect, the hiragana is looked up, without and then with long vowels: the
+    highest score of the right kind, or the lowest id of any. Null texts match nothing.
+    """
+    from pyspark.sql import Window
+
+    from .text import to_hiragana
+
+    known = tokens.select("text", "pos", "lemma").where("text is not null").distinct()
+    tried = _attempted(known)
+    key = ["text", "pos", "lemma", "attempt"]
+    entries = lookups.join(words, "word_id")
+    # Words that inflect, by their forms
+    forms = deconjugated(tried.where(F.col("pos").isin(*INFLECTING)), rules, "try").withColumnRenamed("word", "try")
+    found = tried.where(F.col("pos").isin(*INFLECTING)).join(forms, "try").join(entries, F.col("form") == F.col("lookup_key"))
+    fits = ((F.size("tags") == 0) & F.array_contains("kinds", F.col("pos"))) | F.arrays_overlap("tags", "parts_of_speech")
+    lead = F.when(F.col("form") == F.col("lemma"), 0).when(F.col("form") == F.col("text"), 1).otherwise(2)
+    order = F.struct(lead, -F.length("form"), -F.col("score"), F.col("word_id"))
+    by_forms = found.groupBy(*key).agg(F.min(F.when(fits, order))["word_id"].alias("word_id"))
+    # The others, and those whose forms are no words of the right kind, by their hiragana
+    misfits = by_forms.where("word_id is null").drop("word_id")
+    plain = tried.join(misfits, _alike(tried, misfits, key), "left_semi").union(tried.where(~F.coalesce(F.col("pos").isin(*INFLECTING), F.lit(False))))
+    spelt = plain.select(*key, F.posexplode(F.array_distinct(F.array(to_hiragana(F.col("try")), to_hiragana(F.col("try"), True)))).alias("spelling", "lookup_key"))
+    right = F.coalesce(F.array_contains("kinds", F.col("pos")), F.lit(False))
+    by_kana = spelt.join(entries, "lookup_key").groupBy(*key, "spelling").agg(F.min(F.struct(~right, F.when(right, -F.col("score")), F.col("word_id")))["word_id"].alias("word_id"))
+    by_kana = by_kana.groupBy(*key).agg(F.min_by("word_id", "spelling").alias("word_id"))
+    whole = by_forms.where("word_id is not null").union(by_kana)
+    nth = F.row_number().over(Window.partitionBy("text", "pos", "lemma").orderBy("attempt"))  # as many rows as attempts
+    return whole.withColumn("n", nth).where("n = 1").drop("n")
+
+
+def _alike(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    out = F.lit(True)
+    for k in names:
+        out = out & left[k].eqNullSafe(right[k])
+    return out
+
+
+_WORDS = [(1, ["飲む", "のむ"], ["v5m"], ["Verb"], 10), (2, ["見る", "みる"], ["v1"], ["Verb"], 20), (3, ["みる"], ["n"], ["Noun"], 50), (4, ["ほん"], ["n"], ["Noun"], 5), (5, ["ほん"], ["n"], ["Noun"], 9), (6, ["らあめん"], ["n"], ["Noun"], 1), (7, ["すごい"], ["adj-i"], ["IAdjective"], 3), (8, ["ちゃ"], ["n"], ["Noun"], 2), (9, ["て"], ["prt"], ["Particle"], 2)]
+_TOKENS = [("飲んだ", "Verb", "飲む"), ("みて", "Verb", "みる"), ("みて", "Noun", "みて"), ("ホン", "Noun", "本"), ("ラーメン", "Noun", "ラーメン"), ("すごいーっ", "IAdjective", "すごい"), ("おちゃ", "Noun", "茶"), ("て", "Verb", "て"), ("ない物", "Noun", None), ("みる", "Adverb", None), (None, "Noun", None)]
+
+
+@query("SELECT * FROM (VALUES ('飲んだ', 'Verb', '飲む', 0, 1), ('みて', 'Verb', 'みる', 0, 2), ('ホン', 'Noun', '本', 0, 5), ('ラーメン', 'Noun', 'ラーメン', 0, 6), ('すごいーっ', 'IAdjective', 'すごい', 2, 7), ('おちゃ', 'Noun', '茶', 1, 8), ('て', 'Verb', 'て', 0, 9), ('みる', 'Adverb', NULL, 0, 2)) t(text, pos, lemma, attempt, word_id)")
+def deck_word_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary words of tokens: by form, by kana, by long vowel, by a second attempt, and of another kind."""
+    words = spark.createDataFrame([(i, pos, kinds, score) for i, _, pos, kinds, score in _WORDS], "word_id int, parts_of_speech array<string>, kinds array<string>, score int")
+    lookups = spark.createDataFrame([(k, i) for i, keys, *_ in _WORDS for k in keys], "lookup_key string, word_id int")
+    return match_tokens(spark.createDataFrame(_TOKENS, "text string, pos string, lemma string"), lookups, words)
+
+
 @query()
 def deconjugation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deconjugated(spark.createDataFrame([("終わってしまった",), ("わからない",), ("みて",), ("なかった",), ("飲んだ",)], "word string"))
