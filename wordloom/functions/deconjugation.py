@@ -229,6 +229,17 @@ def deck_word_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_tokens(spark.createDataFrame(_TOKENS, "text string, pos string, lemma string"), lookups, words)
 
 
-@query()
+#: Words and the forms that the short set of rules makes of them, with the steps; some are no words, as no dictionary has a say yet.
+_FORMS = {
+    "終わってしまった": [("終わってしまった", ""), ("終わってしまっる", "past"), ("終わってしまつ", "past"), ("終わってしまう", "past"), ("終わってしまる", "past"), ("終わって", "past completely"), ("終わっる", "past completely te form"), ("終わつ", "past completely te form"), ("終わう", "past completely te form"), ("終わる", "past completely te form")],
+    "わからない": [("わからない", ""), ("わからる", "negative"), ("わかる", "negative")],
+    "なかった": [("なかった", ""), ("なかっる", "past"), ("なかつ", "past"), ("なかう", "past"), ("なかる", "past"), ("ない", "past"), ("る", "past negative")],
+    "飲んだ": [("飲んだ", ""), ("飲む", "past"), ("飲ぶ", "past"), ("飲ぬ", "past")],
+    "みて": [("みて", ""), ("みる", "te form")],
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{form}', '{steps}')" for w, forms in _FORMS.items() for form, steps in forms) + ") t(word, form, steps)")
 def deconjugation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deconjugated(spark.createDataFrame([("終わってしまった",), ("わからない",), ("みて",), ("なかった",), ("飲んだ",)], "word string"))
+    found = deconjugated(spark.createDataFrame([(w,) for w in _FORMS], "word string"))
+    return found.select("word", "form", F.array_join("steps", " ").alias("steps"))

@@ -63,6 +63,44 @@ def is_kana(text: Column) -> Column:
     return text.rlike(r"^[぀-ヿ]+$")
 
 
+def is_kanji(text: Column) -> Column:
+    return text.rlike(r"^[一-龯々]+$")
+
+
+def is_romaji(text: Column) -> Column:
+    """Nothing but Latin letters, digits, marks and spaces."""
+    return text.rlike(r"^[\x00-\x7FĀāĒēĪīŌōŪūÂâÊêÎîÔôÛû‘’“”]+$")
+
+
+#: Fixed value: what a tokenizer is given.
+INPUT = r"[^\u3040-\u309F\u30A0-\u30FF\u4E00-\u9FAF\uFF21-\uFF3A\uFF41-\uFF5A\uFF10-\uFF19\u3005\u3001-\u3003\u3008-\u3011\u3014-\u301F\uFF01-\uFF0F\uFF1A-\uFF1F\uFF3B-\uFF3F\uFF5B-\uFF60\uFF62-\uFF65．\n…\u3000―\u2500() 」]"
+
+
+def tokenizer_input(text: Column) -> Column:
+    """A text with wide digits and without what a tokenizer isn't given; empty if nothing Japanese is left."""
+    kept = F.regexp_replace(wide_digits(text), INPUT, "")
+    return F.when((kept == "") | is_romaji(kept), "").otherwise(kept)
+
+
+def without_drawn_out(token: Column) -> Column:
+    return F.replace(token, F.lit("ッー"), F.lit(""))
+
+
+def large_wa(text: Column) -> Column:
+    """Small wa as wa."""
+    return F.translate(text, "ゎヮ", "わわ")
+
+
+def file_name(title: Column, most: int = 30) -> Column:
+    return F.substring(title, 1, most)
+
+
+def listed(json: Column) -> Column:
+    """array<string> of a JSON value that is one string or a list of them; null of null."""
+    one = F.array(F.get_json_object(F.concat(F.lit('{"x":'), json, F.lit("}")), "$.x"))
+    return F.when(F.trim(json).startswith("["), F.from_json(json, "array<string>")).when(json.isNotNull(), one)
+
+
 def kana_of(furigana: Column) -> Column:
     """The kana of a text with furigana in brackets."""
     return F.regexp_replace(furigana, r"[^぀-ヿ]", "")

@@ -117,13 +117,44 @@ def fn_priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tags.select("tags", t.priority_score(given, F.lit(False), F.lit(False)).alias("score"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('カタカナ', 'かたかな', 'かたかな', 'カタカナ'), ('ラーメン', 'らーめん', 'らあめん', 'ラーメン'), ('コーヒー', 'こーひー', 'こうひい', 'コーヒー'), ('ひらがな', 'ひらがな', 'ひらがな', 'ヒラガナ'), ('ケーキ', 'けーき', 'けえき', 'ケーキ')) t(word, plain, long, katakana)")
 def fn_to_hiragana(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([("カタカナ",), ("ラーメン",), ("コーヒー",), ("ひらがな",), ("ケーキ",)], "word string")
     return words.select("word", t.to_hiragana(F.col("word")).alias("plain"), t.to_hiragana(F.col("word"), True).alias("long"), t.to_katakana(F.col("word")).alias("katakana"))
 
 
-@query()
+_RUBY_SQL = r"regexp_replace(word, '([一-龯々]+)\[(.+?)\]', '<ruby>\1<rp>(</rp><rt>\2</rt><rp>)</rp></ruby>', 'g')"
+
+
+@query(rf"SELECT word, regexp_replace(word, '[^぀-ヿ]', '', 'g') AS kana, spaced, {_RUBY_SQL} AS ruby, pitch FROM (VALUES ('食[た]べ物[もの]', '食[た]べ 物[もの]', 'LHLLL'), ('日本[にほん]', '日本[にほん]', 'LHLL'), ('人[ひと]', '人[ひと]', 'LHH')) t(word, spaced, pitch)")
 def fn_furigana(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = spark.createDataFrame([("食[た]べ物[もの]", 2), ("日本[にほん]", 2), ("人[ひと]", 0)], "word string, accent int")
     return words.select("word", t.kana_of(F.col("word")).alias("kana"), t.spaced_furigana(F.col("word")).alias("spaced"), t.ruby_markup(F.col("word")).alias("ruby"), t.pitch_pattern(F.col("word"), F.col("accent")).alias("pitch"))
+
+
+_INPUTS = [("本を2冊、読んだ。", "本を２冊、読んだ。"), ("Hello, world 12", "  １２"), ("Hello, world", ""), ("<b>テスト</b>", "テスト"), ("～♪歌", "～歌"), ("一行\n二行", "一行\n二行"), ("", "")]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({a!r}, {b!r})' for a, b in _INPUTS)}) t(text, given)".replace("\\n", "' || chr(10) || '"))
+def fn_tokenizer_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(x,) for x, _ in _INPUTS], "text string").select("text", t.tokenizer_input(F.col("text")).alias("given"))
+
+
+@query("SELECT word, replace(word, 'ッー', '') AS plain, translate(word, 'ゎヮ', 'わわ') AS wa, regexp_full_match(word, '[一-龯々]+') AS kanji, regexp_full_match(word, '[ -~]+') AS romaji FROM (VALUES ('えッー'), ('くゎし'), ('人々'), ('abc 1'), ('ヮタシ'), ('漢字かな')) t(word)")
+def fn_word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spark.createDataFrame([(x,) for x in ("えッー", "くゎし", "人々", "abc 1", "ヮタシ", "漢字かな")], "word string")
+    word = F.col("word")
+    return words.select("word", t.without_drawn_out(word).alias("plain"), t.large_wa(word).alias("wa"), t.is_kanji(word).alias("kanji"), t.is_romaji(word).alias("romaji"))
+
+
+@query("SELECT s_suppkey, substr(s_name || '-' || s_suppkey || '-a rather long title of a work', 1, 30) AS file_name FROM supplier")
+def fn_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "supplier").select("s_suppkey", t.file_name(F.concat("s_name", F.lit("-"), F.col("s_suppkey").cast("string"), F.lit("-a rather long title of a work"))).alias("file_name"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE p_brand || '|' || p_type END AS parts FROM part""")
+def fn_json_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One string or a list of strings in JSON, as a list."""
+    part = _table(spark, sf_dir, "part")
+    json = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit('"'), "p_brand", F.lit('"'))).otherwise(F.to_json(F.array("p_brand", "p_type")))
+    return part.select("p_partkey", F.array_join(t.listed(json), "|").alias("parts"))

@@ -205,14 +205,10 @@ CASES = [
 ]
 
 
-def _sql_list(words: list[str]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
-
-
-@query(f"SELECT * FROM (VALUES {', '.join(f'({i}, {_sql_list(wanted)})' for i, (_, wanted) in enumerate(CASES))}) t(case_id, words)")
+@query(f"SELECT * FROM (VALUES {', '.join(f"({i}, '{'|'.join(wanted)}')" for i, (_, wanted) in enumerate(CASES))}) t(case_id, words)")
 def tok_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.createDataFrame([(i, tokens) for i, (tokens, _) in enumerate(CASES)], f"case_id int, tokens array<{TOKEN}>")
-    return docs.select("case_id", merged(F.col("tokens"))["text"].alias("words"))
+    return docs.select("case_id", F.array_join(merged(F.col("tokens"))["text"], "|").alias("words"))
 
 
 @query("SELECT * FROM (VALUES ('本', 1, true), ('を', 2, true), ('、', 3, false), ('読んだ', 4, true), ('。', 7, false)) t(word, start, known)")

@@ -337,10 +337,10 @@ def validated(text: str, limit: int = 200) -> str:
     return text
 
 
-@query()
-def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An unknown deck gives an empty page with the page's columns."""
-    return vocabulary_page(Star(spark, sf_dir), -1).select("deck_word_id", "occurrences", "reading_rank")
+@query("SELECT doc_id, length(text) > 200 AS refused FROM documents")
+def validation(spark: SparkSession, sf_dir: str, limit: int = 200) -> DataFrame:
+    """Texts that are too long to be parsed on request."""
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.length("text") > limit).alias("refused"))
 
 
 @query(f"{_W} SELECT word_id, p_type, row_number() OVER w AS definition_index, p_brand IS DISTINCT FROM lag(p_brand) OVER w AS changed FROM (SELECT p_partkey // 4 AS word_id, p_partkey, p_type, p_brand FROM part WHERE p_type <> '') WINDOW w AS (PARTITION BY word_id ORDER BY p_partkey)")

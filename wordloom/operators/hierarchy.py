@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.staging import staged
 from ..plans.star import STAR_SQL, Star
 
 _W = f"WITH {STAR_SQL}"
@@ -100,3 +101,46 @@ def union_custom_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
     custom = star.read("region").select((-1 - F.col("r_regionkey")).cast("long").alias("word_id"), F.lower("r_name").alias("word"))
     return star.read("part").select(F.col("p_partkey").alias("word_id"), F.col("p_name").alias("word")).unionByName(custom)
+
+
+def rolled_up(parents: DataFrame, values: DataFrame) -> DataFrame:
+    """node, total: sums of values(node, value) over each node and all nodes below it, by parents(node, parent) of any depth.
+
+    Pairs of nodes and ancestors grow to twice their reach in each round, so that a tree of depth d takes log2(d) rounds.
+    A node that is its own ancestor raises.
+    """
+    pairs = staged(parents.where("parent is not null").select("node", F.col("parent").alias("above")).distinct(), "ancestors")
+    n, before = pairs.count(), -1
+    while n != before:
+        further = pairs.join(pairs.toDF("above", "further"), "above").select("node", F.col("further").alias("above"))
+        pairs = staged(pairs.union(further).distinct(), "ancestors")
+        n, before = pairs.count(), n
+        if not pairs.where("node = above").isEmpty():
+            raise ValueError("a node is its own ancestor")
+    every = pairs.union(parents.select("node", "node")).union(parents.where("parent is not null").select("parent", "parent")).distinct()
+    own = values.groupBy("node").agg(F.sum("value").alias("value"))  # partial sums first: many values may be of one node
+    return every.join(own, "node").groupBy(F.col("above").alias("node")).agg(F.sum("value").alias("total"))
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL), c AS (SELECT c_custkey, c_nationkey, n FROM customer JOIN o ON o_custkey = c_custkey),
+x AS (SELECT c.*, n_regionkey FROM c JOIN nation ON n_nationkey = c_nationkey)
+SELECT 'c' || c_custkey AS node, n AS total FROM c UNION ALL SELECT 'n' || c_nationkey, CAST(sum(n) AS BIGINT) FROM c GROUP BY ALL
+UNION ALL SELECT 'r' || n_regionkey, CAST(sum(n) AS BIGINT) FROM x GROUP BY n_regionkey UNION ALL SELECT 'all', CAST(sum(n) AS BIGINT) FROM x""")
+def deep_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by customer, nation, region and in all: a rollup over four levels."""
+    star = Star(spark, sf_dir)
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    parents = star.read("customer").select(name("c", "c_custkey").alias("node"), name("n", "c_nationkey").alias("parent"))
+    parents = parents.union(star.read("nation").select(name("n", "n_nationkey"), name("r", "n_regionkey"))).union(star.read("region").select(name("r", "r_regionkey"), F.lit("all")))
+    return rolled_up(parents, star.read("orders").select(name("c", "o_custkey").alias("node"), F.lit(1).alias("value")))
+
+
+@query(f"""{_W} SELECT d.deck_id, to_json({{deck_id: d.deck_id, media_type: d.media_type, title: d.original_title, children: list({{'order': c.deck_order, 'title': c.original_title}} ORDER BY c.deck_order)}})::VARCHAR AS json
+FROM titles d JOIN children c ON c.parent_deck_id = d.deck_id GROUP BY d.deck_id, d.media_type, d.original_title""")
+def deck_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each work with children as a JSON document; children stand inside their work, which needs no references to parents."""
+    star = Star(spark, sf_dir)
+    child = F.struct(F.col("deck_order").alias("order"), F.col("original_title").alias("title"))
+    children = star.children().groupBy(F.col("parent_deck_id").alias("deck_id")).agg(F.array_sort(F.collect_list(child)).alias("children"))
+    rows = star.titles().join(children, "deck_id").select("deck_id", "media_type", F.col("original_title").alias("title"), "children")
+    return rows.select("deck_id", F.to_json(F.struct("deck_id", "media_type", "title", "children")).alias("json"))

@@ -78,56 +78,58 @@ def src_clean_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.clean_subtitles(_lines(spark, sf_dir))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 1, '「こんにちは」'), ('a', 2, '「漢字です」'), ('a', 3, '選ぶ')) t(file, line_no, text)")
 def src_cs2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.cs2(_script(spark, ["bg 01", r"「こん\nにちは」", "太郎\t「[漢字/かんじ]です」", "1 abc 選ぶ", ""]))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 1, 'こんにちは')) t(file, line_no, text)")
 def src_nexas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.nexas(_script(spark, ["○a", "@v001こんにちは@k", "次の行", "○b", "abc"]))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 0, '「はい」'), ('a', 1, 'これは地の文')) t(file, line_no, text)")
 def src_whale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.whale(_script(spark, ["【太郎】「はい」", "これは[n]地の文", "code = 1"]))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 0, '「はい」'), ('a', 1, '地の文')) t(file, line_no, text)")
 def src_yuris(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.yuris(_script(spark, ["太郎「はい」", "地の文", ""]))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a', 'こんにちは')) t(file, text)")
 def src_psb(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [("a", [([["x", "y", "こん[r]に\\nちは"], ["x", "y"], ["x", "y", None]],)])]
     return scripts.psb(spark.createDataFrame(rows, "file string, scenes array<struct<texts: array<array<string>>>>"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('v1', 'そうか'), ('v1', 'はい')) t(file, text)")
 def src_mokuro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.mokuro(spark.createDataFrame([("v1", [(["第１話", "そう．．．．．．か", "！？"],), (["ＡＢＣＤ", "はい"],)])], "file string, blocks array<struct<lines: array<string>>>"))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('a.srt', 2, 'こんにちは'), ('b.ass', 2, 'はい'), ('b.ass', 2, 'そうです')) t(file, line_no, text)")
 def src_subtitle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ass = ["[Events]", "; note", "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\an8}はい\\Nそうです"]
     return scripts.subtitle_lines(_script(spark, ["1", "00:00:01,000 --> 00:00:02,000", "<i>こんにちは</i>", ""], "a.srt").union(_script(spark, ass, "b.ass")))
 
 
-@query()
+@query("SELECT 1 AS word_id, '食べる,たべる' AS readings, '0,1' AS reading_types, 'たぶる' AS obsolete, 'v1,uk' AS parts_of_speech")
 def dict_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     xml = "<entry><ent_seq>1</ent_seq><k_ele><keb>食べる</keb><ke_pri>ichi1</ke_pri></k_ele><r_ele><reb>たべる</reb></r_ele><r_ele><reb>たぶる</reb><re_inf>&ok;</re_inf></r_ele><sense><pos>&v1;</pos><misc>&uk;</misc><gloss>to eat</gloss><gloss xml:lang='ger'>essen</gloss></sense></entry>"
-    return dictionary.words(spark.createDataFrame([(xml,)], "xml string").select(dictionary.entries(F.col("xml")).alias("entry")))
+    found = dictionary.words(spark.createDataFrame([(xml,)], "xml string").select(dictionary.entries(F.col("xml")).alias("entry")))
+    return found.select("word_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("readings", "reading_types", "obsolete", "parts_of_speech")))
 
 
-@query()
+@query("SELECT * FROM (VALUES ('食べ物', 'たべもの', '食[た]べ物[もの]')) t(text, reading, furigana)")
 def dict_furigana(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(0, "食べ物", "たべもの", [("食", "た"), ("べ", None), ("物", "もの")]), (1, "食べ物", "x", [("食べ物", "x")])]
     return dictionary.furigana(spark.createDataFrame(rows, "pos int, text string, reading string, furigana array<struct<ruby: string, rt: string>>"))
 
 
-@query()
+@query("SELECT '箸' AS word, '1' AS positions")
 def dict_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(0, '["箸","pitch",{"reading":"はし","pitches":[{"position":1}]}]'), (1, '["箸","pitch",{"reading":"はし","pitches":[{"position":2}]}]')]
-    return dictionary.pitches(spark.createDataFrame(rows, "pos int, bank string"))
+    found = dictionary.pitches(spark.createDataFrame(rows, "pos int, bank string"))
+    return found.select("word", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))

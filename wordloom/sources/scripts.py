@@ -85,10 +85,14 @@ def after_marker(lines: DataFrame, marker: str, pattern: str) -> DataFrame:
     return _kept(marked, F.regexp_extract("line", pattern, 1))
 
 
+#: Codes within messages.
+MSC_CODES = ("']", "_n_r", "'", "\\u3000", "_n", "\\\\n")
+
+
 def msc(lines: DataFrame, marker: str = "#1-MESSAGE") -> DataFrame:
     found = after_marker(lines, marker, r"'([^']*)'")
     text = F.col("text")
-    for literal in ("']", "_n_r", "'", "\\u3000", "_n", "\\\\n"):
+    for literal in MSC_CODES:
         text = F.replace(text, F.lit(literal), F.lit(""))
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "【.*?】", ""), "“<(.*?),.*?>”", "$1"), "<(.*?),.*?>", "$1")
     return _kept(found, _without(text, [TAGS]))
@@ -102,8 +106,7 @@ def cs2(lines: DataFrame) -> DataFrame:
     """Control codes and code lines dropped; choices without their code; ruby [k/r] as k; speakers before quotes dropped."""
     coded = lines.withColumn("line", F.trim(_without(F.col("line"), CS2_CODES)))
     text = F.regexp_replace(F.regexp_replace("line", r"^\d+\s+\S+\s+", ""), r"\[(.+?)/.*?\]", "$1")
-    for a, b in ("「」", "（）", "『』", "「」"):
-        text = F.regexp_replace(text, f"^.*?\t(?={a}.*?{b}$)", "")
+    text = F.regexp_replace(text, "^.*\t(?=(?:「.*」|（.*）|『.*』)$)", "")  # a speaker before a quoted line
     return _kept(coded.where((F.col("line") != "") & ~_starts(F.col("line"), CS2_CODE)), text)
 
 
