@@ -48,9 +48,8 @@ _WINDOWS = f"array<struct<{OWN}pos:int,{OWN}h1:bigint,{OWN}h2:bigint>>"
 
 
 def rank(word: Column) -> Column:
-    """A number by a word's first letter, its bytes and where it has an e, by operations that any SQL has."""
-    bits = lambda x, by: F.shiftleft(x.cast("bigint"), by)
-    return F.ascii(word).cast("bigint").bitwiseXOR(bits(F.octet_length(word), 5)).bitwiseXOR(bits(F.instr(word, "e"), 9))
+    """A number that is less for longer words, and among those of like length by where they have an e: operations that any SQL has."""
+    return F.instr(word, "e").cast("bigint") - F.shiftleft(F.octet_length(word).cast("bigint"), 6)
 
 
 def _window(place: Column, hashes: list[Column]) -> Column:
@@ -179,8 +178,8 @@ WITH d AS (
   SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS t FROM documents),
 u AS (SELECT doc_id, t, list_transform(t, lambda x: trim(x, e' \t\n\x0b\x0c\r')) AS w FROM d),
 n AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS p FROM u),
-k AS (SELECT doc_id, n, p, xor(xor(ascii(x)::BIGINT, strlen(x)::BIGINT << 5), instr(x, 'e')::BIGINT << 9) * 2147483648 + 2147483647 - p AS k FROM n),
-a AS (SELECT DISTINCT doc_id, n, 2147483647 - (min(k) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 21 FOLLOWING)) % 2147483648 AS p FROM k),
+k AS (SELECT doc_id, n, p, (instr(x, 'e') - (strlen(x)::BIGINT << 6)) * 2147483648 - p AS k FROM n),
+a AS (SELECT DISTINCT doc_id, n, -(min(k) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 21 FOLLOWING)) & 2147483647 AS p FROM k),
 by_word AS (SELECT a.doc_id, a.p AS p, 30 AS n, w[a.p + 1:a.p + 30] AS win, 'word' AS kind FROM a JOIN u USING (doc_id) WHERE a.p + 30 <= a.n),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 c AS (SELECT doc_id, i, trim(line, e' \t\n\x0b\x0c\r') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
