@@ -58,12 +58,18 @@ def resident(key: str, make: Callable[[], Any]) -> Any:
     Things made of a file are keyed by its digest(), so that functions with the same file share one.
     """
     if key not in _resident:
-        _resident.clear()
-        gc.collect()
+        release()
         _resident[key] = make()
     return _resident[key]
 
 
+def release() -> None:
+    """Gives up what the worker keeps; functions that keep nothing call it, as they may follow others in the same worker."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+
+
 def byte_rows(column: pa.Array, step: int = 256) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each value, made a few rows at a time so that a batch is never held twice."""
     for at in range(0, len(column), step):

@@ -25,7 +25,7 @@ from .common import digest, resident, struct, table, text_batches, text_rows
 
 SPACE = "▁"
 #: Distinct chunks that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Symbols up to which a list is a faster agenda than a heap.
 FEW = 48
 NEVER = float("inf")

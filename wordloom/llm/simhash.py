@@ -17,15 +17,13 @@ and columns of the input named like results give way.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, OWN, byte_rows, staged, table, text_batches
+from .common import LOWER, OWN, byte_rows, release, staged, table, text_batches
 from .components import components
 
 SHINGLE = 3
@@ -35,8 +33,6 @@ AGREEING = 5
 #: Fingerprints compared at once; at least 256, which the last split guarantees.
 BUCKET = 512
 
-_word = re.compile(rb"[^\x20\x09-\x0D]+")
-
 
 def fingerprint_of(text: bytes, block: int = 1 << 18) -> int:
     """A signed 64-bit fingerprint; long texts are hashed in blocks."""
@@ -57,6 +53,7 @@ def fingerprint_of(text: bytes, block: int = 1 << 18) -> int:
 def fingerprint(text: Column) -> Column:
     @F.arrow_udf("bigint")
     def fingerprints(texts: pa.Array) -> pa.Array:
+        release()
         return pa.array([fingerprint_of(t or b"") for t in byte_rows(texts)], pa.int64())
 
     return fingerprints(text)

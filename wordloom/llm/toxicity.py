@@ -25,14 +25,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import besides, resident, staged, table, text_batches, text_rows
+from .common import besides, release, resident, staged, table, text_batches, text_rows
 
 #: Clean and toxic documents to learn from at most, by a hash of their ids.
 LABELLED = (6000, 1500)
@@ -294,6 +294,7 @@ def worst_phrases(text: Column, spark: SparkSession, model: dict) -> Column:
 
 def _phrase_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, phrase: the distinct phrases of each document."""
+    release()
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), text_rows(batch.column(1)), strict=True):
             found = list(dict.fromkeys(" ".join(p) for p in phrases(text or "")))
