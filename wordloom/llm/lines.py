@@ -2,7 +2,7 @@
 
 Lines come in two kinds. Those that a text has are met three at a time, as they follow each other. And as a passage may
 begin anywhere in a line, lines of LINE words are also laid out from places that the content chooses: of each SPREAD
-words in a row the one with the least rank (the last of such) begins three of them. So any passage of
+words in a row the one with the least rank (the first of such) begins three of them. So any passage of
 3 * LINE + SPREAD - 1 = 51 words or more holds three whole lines that begin alike wherever it stands, line ends or not;
 at most SPREAD - 1 words at either end of a passage may stay.
 
@@ -67,14 +67,14 @@ def with_windows(docs: DataFrame) -> DataFrame:
     own_lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(_BLANKS))), lambda x: x != "")
     found = docs.withColumn(lines, F.transform(own_lines, lambda x: F.xxhash64(x)))
     found = found.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(f"{_WORD}+"), F.lit(0)))
-    found = found.withColumn(f"{least}1", F.transform(words, lambda w, i: rank(w) * (_LOW + 1) - i)).withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
+    found = found.withColumn(f"{least}1", F.transform(words, lambda w, i: rank(w) * (_LOW + 1) + i)).withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     held = 1
     while held < SPREAD:  # the least of held words in a row becomes that of up to three times as many
         step = min(held, -(-(SPREAD - held) // 2))
         before, further = f"{least}{held}", min(2 * step, SPREAD - held)
         held += further
         found = found.withColumn(f"{least}{held}", F.transform(before, lambda x, i: F.least(x, F.get(before, i + step), F.get(before, i + further))))  # noqa: B023
-    places = F.array_distinct(F.transform(f"{least}{held}", lambda x: (-x).bitwiseAND(F.lit(_LOW))))
+    places = F.array_distinct(F.transform(f"{least}{held}", lambda x: x.bitwiseAND(F.lit(_LOW))))
     found = found.withColumn(starts, F.filter(places, lambda p: p + WINDOW <= F.size(words)))
     by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, [F.xxhash64(F.slice(words, p.cast("int") + 1, HALF)), F.xxhash64(F.slice(words, p.cast("int") + 1 + HALF, WINDOW - HALF))]))
     by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, [F.xxhash64(F.slice(lines, i + 1, LINES)), F.xxhash64(F.lit("second"), F.slice(lines, i + 1, LINES))])))
@@ -178,8 +178,8 @@ WITH d AS (
   SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS t FROM documents),
 u AS (SELECT doc_id, t, list_transform(t, lambda x: trim(x, e' \t\n\x0b\x0c\r')) AS w FROM d),
 n AS (SELECT doc_id, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS p FROM u),
-k AS (SELECT doc_id, n, p, (instr(x, 'e') - (strlen(x)::BIGINT << 6)) * 2147483648 - p AS k FROM n),
-a AS (SELECT DISTINCT doc_id, n, -(min(k) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 21 FOLLOWING)) & 2147483647 AS p FROM k),
+k AS (SELECT doc_id, n, p, (instr(x, 'e') - (strlen(x)::BIGINT << 6)) * 2147483648 + p AS k FROM n),
+a AS (SELECT DISTINCT doc_id, n, (min(k) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 21 FOLLOWING)) & 2147483647 AS p FROM k),
 by_word AS (SELECT a.doc_id, a.p AS p, 30 AS n, w[a.p + 1:a.p + 30] AS win, 'word' AS kind FROM a JOIN u USING (doc_id) WHERE a.p + 30 <= a.n),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
 c AS (SELECT doc_id, i, trim(line, e' \t\n\x0b\x0c\r') AS line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
