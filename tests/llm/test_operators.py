@@ -51,7 +51,7 @@ def test_against_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert "pipeline" in __spark_entry__.queries()
 
 
