@@ -1,22 +1,30 @@
-"""Dictionary forms of conjugated words: rules applied backwards until nothing new comes.
+"""Dictionary forms of conjugated words, and the dictionary words that tokens match by them.
 
 Rules are data, in the public JSON form: type, context, endings before and after (dec_end, con_end), tags before and
 after (dec_tag, con_tag), detail; each list may be one string. They are read from a file of the caller's, or from the
-short set below. Distinct words are deconjugated once each, then joined back.
+short set below, applied backwards until nothing new comes. They are compiled into a trie of their conjugated endings,
+read from the end, with the rules of a node by the tag they ask for: a form meets only the rules that fit its ending and
+its last tag, however many there are. Distinct words are deconjugated once each, then joined back.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.documents import TOKENS_SQL, Corpus
 from ..plans.registry import query
+from ..plans.staging import shared_dir, staged
+from .text import is_kana, priority_score, to_hiragana
 
 #: A form may grow by so many characters, and its tags by so many beyond its length.
 GROWTH, DENSITY = 10, 6
@@ -93,58 +101,68 @@ def _apply(form: Form, rule: Rule, original: str) -> Form | None:
     return Form(stem + rule.dictionary_end, (*(tags or (rule.conjugated_tag,)), rule.dictionary_tag), (*form.steps, rule.detail))
 
 
-def forms_of(word: str, rules: list[Rule]) -> list[Form]:
+class Endings:
+    """Rules by their conjugated ending, letter by letter from the end, then by the tag a form must end with."""
+
+    def __init__(self, rules: list[Rule]):
+        self.root: dict = {}
+        for n, rule in enumerate(rules):
+            node = self.root
+            for c in reversed(rule.conjugated_end):
+                node = node.setdefault(c, {})
+            node.setdefault("", {}).setdefault(rule.conjugated_tag, []).append((n, rule))
+
+    def fitting(self, form: Form) -> list[Rule]:
+        """The rules whose ending and tag fit a form, in their own order."""
+        hits: list[tuple[int, Rule]] = []
+        node, at = self.root, len(form.text)
+        while True:
+            by_tag = node.get("", {})
+            for found in [by_tag.get(form.tags[-1], [])] if form.tags else by_tag.values():
+                hits += found
+            at -= 1
+            if at < 0 or form.text[at] not in node:
+                return [rule for _, rule in sorted(hits, key=lambda x: x[0])]
+            node = node[form.text[at]]
+
+
+def forms_of(word: str, rules: list[Rule] | Endings) -> list[Form]:
     """The word itself and all that the rules make of it, in the order found."""
+    endings = rules if isinstance(rules, Endings) else Endings(rules)
     found: dict[Form, None] = {}
     fresh = [Form(word, (), ())] if word else []
     while fresh:
         found.update(dict.fromkeys(fresh))
-        made = (new for form in fresh for rule in rules if (new := _apply(form, rule, word)))
+        made = (new for form in fresh for rule in endings.fitting(form) if (new := _apply(form, rule, word)))
         fresh = [f for f in dict.fromkeys(made) if f not in found]
     return list(found)
 
 
-def deconjugated(words: DataFrame, rules: str | None = None, column: str = "word") -> DataFrame:
-    """word, form, tags, steps of the distinct words of a column; rules is the JSON text."""
-    spark = words.sparkSession
-    shared = spark.sparkContext.broadcast(parse_rules(rules or _short_set()))  # a few hundred rules
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(w, f.text, list(f.tags), list(f.steps)) for w in batch.column(0).to_pylist() for f in forms_of(w, shared.value)]
-            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["word", "form", "tags", "steps"])
-
-    distinct = words.select(F.col(column).alias("word")).where("word is not null").distinct()
-    return distinct.mapInArrow(run, "word string, form string, tags array<string>, steps array<string>")
+_FORM_FIELDS = {"word": pa.string(), "form": pa.string(), "tags": pa.list_(pa.string()), "steps": pa.list_(pa.string()), "nth": pa.int32(), "first_alike": pa.bool_()}
 
 
-def matched(tokens: DataFrame, lookups: DataFrame, words: DataFrame, rules: str | None = None) -> DataFrame:
-    """token, word_id: the best dictionary word of tokens(token, normalized) by their forms.
+def deconjugated(words: DataFrame, rules: str | None = None, column: str = "word") -> DataFrame:
+    """word, form, tags, steps of the distinct words of a column, with nth, the order found, and whether no form before has its text.
 
-    lookups has (lookup_key, word_id), words has (word_id, parts_of_speech, score). Longer forms come first, but the
-    normalized form and then the surface lead; a part of speech among the form's tags is needed; then the highest score
-    and the lowest id.
+    rules is the JSON text, a few hundred rules. Null and empty words have no forms.
     """
-    forms = deconjugated(tokens, rules, "token").withColumnRenamed("word", "token")
-    found = tokens.select("token", "normalized").distinct().join(forms, "token").join(lookups, F.col("form") == F.col("lookup_key")).join(words, "word_id")
-    fits = (F.size("tags") == 0) | F.arrays_overlap("tags", "parts_of_speech")
-    lead = F.when(F.col("form") == F.col("token"), 0).when(F.col("form") == F.col("normalized"), 1).otherwise(2)
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("token").orderBy(lead, F.desc(F.length("form")), F.desc("score"), "word_id")
-    return found.where(fits).withColumn("n", F.row_number().over(best)).where("n = 1").select("token", "word_id")
+    shared = words.sparkSession.sparkContext.broadcast(Endings(parse_rules(rules or _short_set())))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for w in batch.column(0).to_pylist():
+                seen: set[str] = set()
+                for n, f in enumerate(forms_of(w, shared.value)):
+                    rows.append((w, f.text, list(f.tags), list(f.steps), n, f.text not in seen))
+                    seen.add(f.text)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(_FORM_FIELDS.values())], names=list(_FORM_FIELDS))
 
-def retries(token: Column) -> Column:
-    """array<string>: what to look up in turn: the token, without an end that repeats or draws out, without leading お, without ー."""
-    shorter = F.when((F.length(token) > 2) & token.rlike("([っー]|(.)\\2)$"), F.substring(token, F.lit(1), F.length(token) - 1))
-    polite = F.when(F.startswith(token, F.lit("お")), F.substring(token, F.lit(2), F.length(token)))
-    plain = F.when(F.contains(token, F.lit("ー")), F.replace(token, F.lit("ー"), F.lit("")))
-    return F.array_distinct(F.array_compact(F.array(token, F.coalesce(shorter, polite, plain), F.coalesce(polite, plain), plain)))
+    distinct = words.select(F.col(column).alias("word")).where("word is not null").distinct()
+    return distinct.mapInArrow(run, "word string, form string, tags array<string>, steps array<string>, nth int, first_alike boolean")
 
 
-INFLECTING = ("Verb", "IAdjective", "NaAdjective", "Adjectival")
+INFLECTING = ("Verb", "IAdjective", "NaAdjective")
 
 
 def attempts(text: str) -> list[str]:
@@ -173,41 +191,60 @@ def _attempted(tokens: DataFrame) -> DataFrame:
     return tokens.select("*", F.posexplode(tried(F.col("text"))).alias("attempt", "try"))
 
 
+#: What a token is matched by.
+KEY = ("text", "pos", "lemma", "normalized", "section")
+#: A reading index where no reading is spelt like the form.
+NO_READING = 255
+
+
+def _reading_index(spelling: Column) -> Column:
+    """The first reading that is spelt so in hiragana, first with long marks left alone, then written out."""
+    at = lambda long: F.array_position(F.transform("readings", lambda r: to_hiragana(r, long)), spelling).cast("int")
+    return F.when(at(False) > 0, at(False) - 1).when(at(True) > 0, at(True) - 1).otherwise(NO_READING)
+
+
+def _score(text: Column) -> Column:
+    return priority_score(F.col("priorities"), F.col("usually_kana"), is_kana(text))
+
+
 def match_tokens(tokens: DataFrame, lookups: DataFrame, words: DataFrame, rules: str | None = None) -> DataFrame:
-    """text, pos, lemma, attempt, word_id of the distinct tokens(text, pos, lemma) that a dictionary word is found for.
-
-    lookups has (lookup_key, word_id), words has (word_id, parts_of_speech, kinds, score): the tags that deconjugation
-    ends with, and the kinds that tokens have. Each distinct token is matched once, by joins; the first attempt that finds
-    a word counts. Words that inflect are looked up by their forms: the one that is the lemma leads, then the surface,
-    then longer ones, then the highest score and the lowest id. If forms are in the dictionary but none of their words is
-    of the right kind, and for words that don't inflect, the hiragana is looked up, without and then with long vowels: the
-    highest score of the right kind, or the lowest id of any. Null texts match nothing.
+    """The distinct tokens(text, pos, lemma, normalized, section) that a dictionary word is found for, with attempt, word_id, reading_index, steps.
+
+    lookups has (lookup_key, word_id), words has (word_id, readings, kinds, priorities, usually_kana): kinds are parts of
+    speech as tokens have them. Each distinct token is matched once, by joins; the first attempt that finds a word counts.
+
+    Tokens that inflect, by part of speech or as their section says, are looked up by the forms of their hiragana. Of all
+    entries of their part of speech the highest priority score wins; equal ones go by form: the text itself first, then the
+    lemma, then longer forms, then the order found, then the lowest id. If the normalized form isn't kana, the first entry
+    in that order which has it as a reading wins over any score. If no form is in the dictionary, that attempt fails; if
+    some are, but none of the right part of speech, and for all other tokens, the hiragana itself is looked up: the highest
+    score of the right part of speech, or else the lowest id of any. Null texts match nothing; steps are those of the form,
+    none for the hiragana itself.
     """
-    from pyspark.sql import Window
-
-    from .text import to_hiragana
-
-    known = tokens.select("text", "pos", "lemma").where("text is not null").distinct()
-    tried = _attempted(known)
-    key = ["text", "pos", "lemma", "attempt"]
-    entries = lookups.join(words, "word_id")
-    # Words that inflect, by their forms
-    forms = deconjugated(tried.where(F.col("pos").isin(*INFLECTING)), rules, "try").withColumnRenamed("word", "try")
-    found = tried.where(F.col("pos").isin(*INFLECTING)).join(forms, "try").join(entries, F.col("form") == F.col("lookup_key"))
-    fits = ((F.size("tags") == 0) & F.array_contains("kinds", F.col("pos"))) | F.arrays_overlap("tags", "parts_of_speech")
-    lead = F.when(F.col("form") == F.col("lemma"), 0).when(F.col("form") == F.col("text"), 1).otherwise(2)
-    order = F.struct(lead, -F.length("form"), -F.col("score"), F.col("word_id"))
-    by_forms = found.groupBy(*key).agg(F.min(F.when(fits, order))["word_id"].alias("word_id"))
+    known = tokens.select(*KEY).where("text is not null").distinct()
+    tried = _attempted(known).withColumn("spelling", to_hiragana(F.col("try"), True))
+    key = [*KEY, "attempt"]
+    inflects = F.coalesce(F.col("pos").isin(*INFLECTING), F.lit(False)) | F.array_contains(F.split(F.coalesce("section", F.lit("")), " "), "Adjectival")
+    inflecting = tried.where(inflects)
+    forms = deconjugated(inflecting, rules, "spelling").withColumnRenamed("word", "spelling")
+    entries = lookups.join(words, "word_id", "left")
+    found = inflecting.join(forms, "spelling").join(entries, F.col("form") == F.col("lookup_key"))
+    lead = F.when(F.col("form") == F.col("spelling"), 0).when((F.col("form") == to_hiragana(F.col("lemma"), True)) & F.col("first_alike"), 1).otherwise(2)
+    named = ~F.coalesce(is_kana(F.col("normalized")), F.lit(False)) & F.coalesce(F.array_contains("readings", F.col("normalized")), F.lit(False))
+    result = F.struct("word_id", _reading_index(F.col("form")).alias("reading_index"), "steps")
+    order = F.struct((~named).alias("a"), F.when(~named, -_score(F.col("try"))).alias("b"), lead.alias("c"), (-F.length("form")).alias("d"), F.col("nth").alias("e"), result.alias("r"))
+    fits = F.coalesce(F.array_contains("kinds", F.col("pos")), F.lit(False))
+    by_forms = found.groupBy(*key).agg(F.min(F.when(fits, order))["r"].alias("r"))
     # The others, and those whose forms are no words of the right kind, by their hiragana
-    misfits = by_forms.where("word_id is null").drop("word_id")
-    plain = tried.join(misfits, _alike(tried, misfits, key), "left_semi").union(tried.where(~F.coalesce(F.col("pos").isin(*INFLECTING), F.lit(False))))
-    spelt = plain.select(*key, F.posexplode(F.array_distinct(F.array(to_hiragana(F.col("try")), to_hiragana(F.col("try"), True)))).alias("spelling", "lookup_key"))
-    right = F.coalesce(F.array_contains("kinds", F.col("pos")), F.lit(False))
-    by_kana = spelt.join(entries, "lookup_key").groupBy(*key, "spelling").agg(F.min(F.struct(~right, F.when(right, -F.col("score")), F.col("word_id")))["word_id"].alias("word_id"))
-    by_kana = by_kana.groupBy(*key).agg(F.min_by("word_id", "spelling").alias("word_id"))
-    whole = by_forms.where("word_id is not null").union(by_kana)
-    nth = F.row_number().over(Window.partitionBy("text", "pos", "lemma").orderBy("attempt"))  # as many rows as attempts
-    return whole.withColumn("n", nth).where("n = 1").drop("n")
+    misfits = by_forms.where("r is null").drop("r")
+    plain = tried.join(misfits, _alike(tried, misfits, key), "left_semi").union(tried.where(~inflects))
+    plain = plain.withColumn("lookup_key", to_hiragana(F.col("try")))
+    result = F.struct("word_id", _reading_index(F.col("lookup_key")).alias("reading_index"), F.expr("cast(array() as array<string>)").alias("steps"))
+    order = F.struct((~fits).alias("a"), F.when(fits, -_score(F.col("try"))).alias("b"), F.col("word_id").alias("c"), F.when(F.col("readings").isNotNull(), result).alias("r"))
+    by_kana = plain.join(entries, "lookup_key").groupBy(*key).agg(F.min(order)["r"].alias("r"))
+    whole = by_forms.union(by_kana).where("r is not null")
+    first = whole.groupBy(*KEY).agg(F.min(F.struct("attempt", "r")).alias("x"))
+    return first.select(*KEY, "x.attempt", "x.r.*")
 
 
 def _alike(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -217,29 +254,130 @@ def _alike(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return out
 
 
-_WORDS = [(1, ["飲む", "のむ"], ["v5m"], ["Verb"], 10), (2, ["見る", "みる"], ["v1"], ["Verb"], 20), (3, ["みる"], ["n"], ["Noun"], 50), (4, ["ほん"], ["n"], ["Noun"], 5), (5, ["ほん"], ["n"], ["Noun"], 9), (6, ["らあめん"], ["n"], ["Noun"], 1), (7, ["すごい"], ["adj-i"], ["IAdjective"], 3), (8, ["ちゃ"], ["n"], ["Noun"], 2), (9, ["て"], ["prt"], ["Particle"], 2)]
-_TOKENS = [("飲んだ", "Verb", "飲む"), ("みて", "Verb", "みる"), ("みて", "Noun", "みて"), ("ホン", "Noun", "本"), ("ラーメン", "Noun", "ラーメン"), ("すごいーっ", "IAdjective", "すごい"), ("おちゃ", "Noun", "茶"), ("て", "Verb", "て"), ("ない物", "Noun", None), ("みる", "Adverb", None), (None, "Noun", None)]
+_MEMO = "text string, pos string, lemma string, normalized string, section string, attempt int, word_id long, reading_index int, steps array<string>, load int"
 
 
-@query("SELECT * FROM (VALUES ('飲んだ', 'Verb', '飲む', 0, 1), ('みて', 'Verb', 'みる', 0, 2), ('ホン', 'Noun', '本', 0, 5), ('ラーメン', 'Noun', 'ラーメン', 0, 6), ('すごいーっ', 'IAdjective', 'すごい', 2, 7), ('おちゃ', 'Noun', '茶', 1, 8), ('て', 'Verb', 'て', 0, 9), ('みる', 'Adverb', NULL, 0, 2)) t(text, pos, lemma, attempt, word_id)")
-def deck_word_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary words of tokens: by form, by kana, by long vowel, by a second attempt, and of another kind."""
-    words = spark.createDataFrame([(i, pos, kinds, score) for i, _, pos, kinds, score in _WORDS], "word_id int, parts_of_speech array<string>, kinds array<string>, score int")
-    lookups = spark.createDataFrame([(k, i) for i, keys, *_ in _WORDS for k in keys], "lookup_key string, word_id int")
-    return match_tokens(spark.createDataFrame(_TOKENS, "text string, pos string, lemma string"), lookups, words)
+def match_new(tokens: DataFrame, memo: str, lookups: DataFrame, words: DataFrame, load: int, rules: str | None = None) -> DataFrame:
+    """Matches of tokens, kept from load to load: only keys that the table at memo doesn't have yet are matched and appended to it.
 
-
-#: Words and the forms that the short set of rules makes of them, with the steps; some are no words, as no dictionary has a say yet.
-_FORMS = {
-    "終わってしまった": [("終わってしまった", ""), ("終わってしまっる", "past"), ("終わってしまつ", "past"), ("終わってしまう", "past"), ("終わってしまる", "past"), ("終わって", "past completely"), ("終わっる", "past completely te form"), ("終わつ", "past completely te form"), ("終わう", "past completely te form"), ("終わる", "past completely te form")],
-    "わからない": [("わからない", ""), ("わからる", "negative"), ("わかる", "negative")],
-    "なかった": [("なかった", ""), ("なかっる", "past"), ("なかつ", "past"), ("なかう", "past"), ("なかる", "past"), ("ない", "past"), ("る", "past negative")],
-    "飲んだ": [("飲んだ", ""), ("飲む", "past"), ("飲ぶ", "past"), ("飲ぬ", "past")],
-    "みて": [("みて", ""), ("みる", "te form")],
-}
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{form}', '{steps}')" for w, forms in _FORMS.items() for form, steps in forms) + ") t(word, form, steps)")
+    Keys without a match are kept too, with a null word_id, so that they aren't tried again. load numbers the batch from
+    0; a batch that was broken off is loaded again under its number. Returns the whole memo.
+    """
+    spark = tokens.sparkSession
+    held = spark.read.schema(_MEMO).parquet(*(f"{memo}/load={n}" for n in range(load))) if load else spark.createDataFrame([], _MEMO)
+    known = tokens.select(*KEY).where("text is not null").distinct()
+    new = staged(known.join(held, _alike(known, held, list(KEY)), "left_anti"), "new-keys")
+    matched = match_tokens(new, lookups, words, rules)
+    matched = matched.select(*(F.col(k).alias(f"_{k}") for k in KEY), "attempt", F.col("word_id").cast("long").alias("word_id"), "reading_index", "steps")
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in KEY))
+    rows = new.join(matched, same, "left").select(*KEY, "attempt", "word_id", "reading_index", "steps", F.lit(load).alias("load"))
+    rows.write.mode("overwrite").parquet(f"{memo}/load={load}")
+    return spark.read.schema(_MEMO).parquet(*(f"{memo}/load={n}" for n in range(load + 1)))
+
+
+#: Endings of the tables' languages, for the words of documents.
+SUFFIXES = [
+    Rule("stdrule", "", "", "s", "noun", "plural", "plural"), Rule("stdrule", "", "y", "ies", "noun", "plural", "plural"), Rule("stdrule", "", "", "ing", "verb", "noun", "gerund"), Rule("stdrule", "", "e", "ing", "verb", "noun", "gerund"),
+    Rule("stdrule", "", "", "ed", "verb", "past", "past"), Rule("stdrule", "", "", "er", "verb", "noun", "agent"), Rule("stdrule", "", "te", "tion", "verb", "noun", "act"), Rule("stdrule", "", "", "ment", "verb", "noun", "act"),
+    Rule("onlyfinalrule", "", "", "ly", "adjective", "adverb", "manner"), Rule("stdrule", "", "al", "aux", "noun", "plural", "plural"), Rule("stdrule", "", "", "able", "verb", "adjective", "able"), Rule("neverfinalrule", "", "", "re", "verb", "verb", "again"),
+    Rule("rewriterule", "", "be", "are", "verb", "past", "irregular"), Rule("stdrule", "", "ha", "ra", "verb", "verb", ""), Rule("stdrule", "saspecial", "st", "t", "verb", "verb", "strong"), Rule("stdrule", "", "en", "ein", "noun", "adverb", "article"),
+]
+
+
+def rules_json(rules: list[Rule]) -> str:
+    return json.dumps([{"type": r.kind, "contextrule": r.context, "dec_end": r.dictionary_end, "con_end": r.conjugated_end, "dec_tag": r.dictionary_tag, "con_tag": r.conjugated_tag, "detail": r.detail} for r in rules], ensure_ascii=False)
+
+
+#: Every rule tried on every form, until nothing new comes.
+FORMS_SQL = f"""rules AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{r.kind}', '{r.context}', '{r.dictionary_end}', '{r.conjugated_end}', '{r.dictionary_tag}', '{r.conjugated_tag}', '{r.detail}')" for i, r in enumerate(SUFFIXES))}) t(n, kind, context, dec, con, dec_tag, con_tag, detail)),
+forms AS (
+  SELECT word, word AS form, CAST([] AS VARCHAR[]) AS tags, CAST([] AS VARCHAR[]) AS steps FROM vocabulary
+  UNION SELECT word, left(form, length(form) - length(con)) || dec, list_append(CASE WHEN len(tags) = 0 THEN [con_tag] ELSE tags END, dec_tag), list_append(steps, detail)
+  FROM forms JOIN rules ON ends_with(form, con)
+  WHERE form <> '' AND length(form) <= length(word) + {GROWTH} AND len(tags) <= length(word) + {DENSITY} AND (len(tags) > 0 OR detail <> '') AND (len(tags) = 0 OR tags[-1] = con_tag)
+    AND CASE kind WHEN 'rewriterule' THEN form = con WHEN 'onlyfinalrule' THEN len(tags) = 0 WHEN 'neverfinalrule' THEN len(tags) > 0 ELSE true END
+    AND NOT (context = 'saspecial' AND ends_with(left(form, length(form) - length(con)), 'さ')) AND left(form, length(form) - length(con)) || dec <> word)"""
+
+
+@query(f"WITH RECURSIVE {TOKENS_SQL}, vocabulary AS (SELECT DISTINCT lower(token) AS word FROM tok), {FORMS_SQL} SELECT word, form, array_to_string(tags, ' ') AS tags, array_to_string(steps, ' ') AS steps FROM forms")
 def deconjugation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = deconjugated(spark.createDataFrame([(w,) for w in _FORMS], "word string"))
-    return found.select("word", "form", F.array_join("steps", " ").alias("steps"))
+    """All forms that the endings of the tables' languages make of the documents' words."""
+    words = Corpus(spark, sf_dir).tokens().select(F.lower("token").alias("word"))
+    found = deconjugated(words, rules_json(SUFFIXES))
+    return found.select("word", "form", F.array_join("tags", " ").alias("tags"), F.array_join("steps", " ").alias("steps"))
+
+
+def _corpus_tokens(words: DataFrame) -> DataFrame:
+    """Tokens of words(word): kinds by their endings, every fifth normalized to a spelling of its own."""
+    w, n = F.col("word"), F.length("word")
+    pos = F.when(w.rlike("(ing|ed|er|ment)$"), "Verb").when(w.rlike("(ly|able)$"), "IAdjective").when(n % 4 == 0, "Adverb").otherwise("Noun")
+    section = F.when(w.rlike("(en|ein)$"), "Common Adjectival")
+    lemma = F.when(n > 5, F.regexp_replace(w, "(ing|ed|s)$", "")).otherwise(w)
+    return words.select(w.alias("text"), pos.alias("pos"), lemma.alias("lemma"), F.when(n % 5 == 0, F.concat(F.lit("="), lemma)).otherwise(lemma).alias("normalized"), section.alias("section"))
+
+
+#: Uses that make a document's word an entry of the dictionary that deck_word_matching looks up.
+ENTRY_USES = 5
+
+
+def _corpus_entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """lookups and words: two entries for each frequent word of the documents, of kinds and priorities by how often it is used."""
+    used = Corpus(spark, sf_dir).tokens().groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n")).where(f"n >= {ENTRY_USES}")
+    w, n = F.col("word"), F.col("n")
+    number = F.conv(F.substring(F.md5(w), 1, 12), 16, 10).cast("long") * 2
+    texts = lambda *x: F.array(*map(F.lit, x))
+    tags = lambda k: F.when(k == 0, texts("ichi1")).when(k == 1, texts("news1", "nf15")).when(k == 2, texts("spec1")).otherwise(F.expr("cast(array() as array<string>)"))
+    kinds = F.when(n % 3 == 0, texts("Verb")).when(n % 3 == 1, texts("Noun")).otherwise(texts("Noun", "Verb"))
+    others = F.when(n % 2 == 0, texts("Noun", "Adverb")).otherwise(texts("Verb", "IAdjective"))
+    one = used.select(number.alias("word_id"), F.array(w).alias("readings"), kinds.alias("kinds"), tags(n % 4).alias("priorities"), (n % 5 == 0).alias("usually_kana"), w.alias("lookup_key"))
+    two = used.select((number + 1).alias("word_id"), F.array(F.concat(F.lit("="), w), w).alias("readings"), others.alias("kinds"), tags(n % 7).alias("priorities"), F.lit(False).alias("usually_kana"), w.alias("lookup_key"))
+    entries = staged(one.union(two), "dictionary")
+    return entries.select("lookup_key", "word_id"), entries.drop("lookup_key")
+
+
+#: Matching as a scan of all candidates, ranked by windows; attempts by hand, as words of these tables shorten only where letters repeat at their end.
+MATCH_SQL = f"""{TOKENS_SQL},
+w AS (SELECT lower(token) AS word, min(doc_id % 2) AS half FROM tok GROUP BY 1),
+t AS (
+  SELECT word AS text, CASE WHEN regexp_matches(word, '(ing|ed|er|ment)$') THEN 'Verb' WHEN regexp_matches(word, '(ly|able)$') THEN 'IAdjective' WHEN length(word) % 4 = 0 THEN 'Adverb' ELSE 'Noun' END AS pos,
+    CASE WHEN length(word) > 5 THEN regexp_replace(word, '(ing|ed|s)$', '') ELSE word END AS lemma, CASE WHEN regexp_matches(word, '(en|ein)$') THEN 'Common Adjectival' END AS section, half FROM w),
+k AS (SELECT *, CASE WHEN length(text) % 5 = 0 THEN '=' || lemma ELSE lemma END AS normalized, pos IN ('Verb', 'IAdjective') OR section IS NOT NULL AS inflects FROM t),
+tries AS (
+  SELECT *, 0 AS attempt, text AS try FROM k
+  UNION ALL SELECT * EXCLUDE (attempt, try), attempt + 1, left(try, length(try) - 1) FROM tries WHERE length(try) > 2 AND right(try, 1) = try[-2]),
+vocabulary AS (SELECT DISTINCT try AS word FROM tries WHERE inflects),
+{FORMS_SQL},
+used AS (SELECT lower(token) AS word, count(*) AS n, CAST('0x' || substr(md5(lower(token)), 1, 12) AS BIGINT) * 2 AS id FROM tok GROUP BY 1 HAVING count(*) >= {ENTRY_USES}),
+dic AS (
+  SELECT word, id, [word] AS readings, CASE n % 3 WHEN 0 THEN ['Verb'] WHEN 1 THEN ['Noun'] ELSE ['Noun', 'Verb'] END AS kinds, CASE n % 4 WHEN 0 THEN 20 WHEN 1 THEN 18 WHEN 2 THEN 15 ELSE 0 END - CASE WHEN n % 5 = 0 AND n % 4 < 3 THEN 10 ELSE 0 END AS score FROM used
+  UNION ALL SELECT word, id + 1, ['=' || word, word], CASE n % 2 WHEN 0 THEN ['Noun', 'Adverb'] ELSE ['Verb', 'IAdjective'] END, CASE n % 7 WHEN 0 THEN 20 WHEN 1 THEN 18 WHEN 2 THEN 15 ELSE 0 END FROM used),
+cand AS (SELECT tries.*, form, steps, readings, kinds, score, id, list_contains(kinds, pos) AS fits FROM tries JOIN forms ON tries.try = forms.word JOIN dic ON form = dic.word WHERE inflects),
+tested AS (SELECT text, attempt FROM cand GROUP BY ALL HAVING NOT bool_or(fits)),
+ranked AS (
+  SELECT text, attempt, id, list_position(readings, form) - 1 AS r, steps,
+    row_number() OVER (PARTITION BY text, attempt ORDER BY CASE WHEN list_contains(readings, normalized) THEN 0 ELSE 1 END, CASE WHEN list_contains(readings, normalized) THEN 0 ELSE -score END, CASE form WHEN try THEN 0 WHEN lemma THEN 1 ELSE 2 END, -length(form), len(steps), id) AS nth
+  FROM cand WHERE fits),
+plain AS (
+  SELECT tries.text, tries.attempt, id, list_position(readings, try) - 1 AS r, CAST([] AS VARCHAR[]) AS steps,
+    row_number() OVER (PARTITION BY tries.text, tries.attempt ORDER BY NOT list_contains(kinds, pos), CASE WHEN list_contains(kinds, pos) THEN -score END, id) AS nth
+  FROM tries JOIN dic ON try = dic.word LEFT JOIN tested ON tested.text = tries.text AND tested.attempt = tries.attempt WHERE NOT inflects OR tested.text IS NOT NULL),
+best AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY attempt) AS f FROM (SELECT * FROM ranked UNION ALL SELECT * FROM plain) WHERE nth = 1)"""
+
+
+@query(f"WITH RECURSIVE {MATCH_SQL} SELECT k.text, pos, lemma, normalized, section, attempt, id AS word_id, CAST(r AS INT) AS reading_index, array_to_string(steps, ' ') AS steps FROM best JOIN k USING (text) WHERE f = 1")
+def deck_word_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dictionary words, readings and conjugation steps of all words of the documents."""
+    tokens = _corpus_tokens(Corpus(spark, sf_dir).tokens().select(F.lower("token").alias("word")))
+    found = match_tokens(tokens, *_corpus_entries(spark, sf_dir), rules_json(SUFFIXES))
+    return found.withColumn("steps", F.array_join("steps", " "))
+
+
+@query(f"WITH RECURSIVE {MATCH_SQL} SELECT k.text, attempt, id AS word_id, CAST(r AS INT) AS reading_index, CAST(half AS INT) AS load FROM k LEFT JOIN (SELECT * FROM best WHERE f = 1) USING (text)")
+def deck_word_memo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in two loads, documents with even and then with odd ids: the second one matches only what the first hadn't met."""
+    tokens, (lookups, words) = Corpus(spark, sf_dir).tokens(), _corpus_entries(spark, sf_dir)
+    memo = f"{shared_dir(spark)}/memo-{uuid.uuid4().hex}"
+    for load in range(2):
+        batch = _corpus_tokens(tokens.where(F.col("doc_id") % 2 == load).select(F.lower("token").alias("word")))
+        out = match_new(batch, memo, lookups, words, load, rules_json(SUFFIXES))
+    return out.select("text", "attempt", "word_id", "reading_index", "load")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,20 +62,25 @@ def fn_media_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CODES = ["n", "adj-i", "adj-na", "adv", "v1", "v5k", "vs", "prt", "int", "exp", "conj", "pn", "pref", "suf", "ctr", "aux-v", "uk", "xyz"]
+_CODE_SQL = f"SELECT p_partkey, {_CODES!r}[p_partkey % {len(_CODES)} + 1] AS code FROM part"
 
 
-def _codes(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(c,) for c in _CODES], "code string")
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code for each part of the catalogue."""
+    code = F.get(F.array(*map(F.lit, _CODES)), (F.col("p_partkey") % len(_CODES)).cast("int"))
+    return _table(spark, sf_dir, "part").select("p_partkey", code.alias("code"))
 
 
-@query("SELECT * FROM (VALUES ('n', 'noun'), ('adj-i', 'i-adjective'), ('adj-na', 'na-adjective'), ('adv', 'adverb'), ('v1', 'ichidan verb'), ('v5k', 'v5k'), ('vs', 'suru verb'), ('prt', 'particle'), ('int', 'interjection'), ('exp', 'expression'), ('conj', 'conjunction'), ('pn', 'pronoun'), ('pref', 'prefix'), ('suf', 'suffix'), ('ctr', 'counter'), ('aux-v', 'aux-v'), ('uk', 'usually kana'), ('xyz', 'xyz')) t(code, label)")
+@query(f"""SELECT p_partkey, code, CASE code WHEN 'n' THEN 'noun' WHEN 'adj-i' THEN 'i-adjective' WHEN 'adj-na' THEN 'na-adjective' WHEN 'adv' THEN 'adverb' WHEN 'v1' THEN 'ichidan verb' WHEN 'vs' THEN 'suru verb' WHEN 'prt' THEN 'particle'
+  WHEN 'int' THEN 'interjection' WHEN 'exp' THEN 'expression' WHEN 'conj' THEN 'conjunction' WHEN 'pn' THEN 'pronoun' WHEN 'pref' THEN 'prefix' WHEN 'suf' THEN 'suffix' WHEN 'ctr' THEN 'counter' WHEN 'uk' THEN 'usually kana' ELSE code END AS label FROM ({_CODE_SQL})""")
 def fn_pos_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark).select("code", F.get(t.pos_labels(F.array("code")), F.lit(0)).alias("label"))
+    return _codes(spark, sf_dir).select("p_partkey", "code", F.get(t.pos_labels(F.array("code")), F.lit(0)).alias("label"))
 
 
-@query("SELECT * FROM (VALUES ('n', 'Noun'), ('adj-i', 'IAdjective'), ('adj-na', 'NaAdjective'), ('adv', 'Adverb'), ('v1', 'Verb'), ('v5k', 'Verb'), ('vs', 'Verb'), ('prt', 'Particle'), ('int', 'Interjection'), ('exp', 'Expression'), ('conj', 'Conjunction'), ('pn', 'Pronoun'), ('pref', 'Prefix'), ('suf', 'Suffix'), ('ctr', 'Counter'), ('aux-v', 'Auxiliary'), ('uk', 'Unknown'), ('xyz', 'Unknown')) t(code, kind)")
+@query(f"""SELECT p_partkey, code, CASE WHEN code = 'n' THEN 'Noun' WHEN code = 'adj-i' THEN 'IAdjective' WHEN starts_with(code, 'v') THEN 'Verb' WHEN code = 'adj-na' THEN 'NaAdjective' WHEN code = 'adv' THEN 'Adverb' WHEN code = 'prt' THEN 'Particle' WHEN code = 'conj' THEN 'Conjunction'
+  WHEN starts_with(code, 'aux') THEN 'Auxiliary' WHEN code = 'pn' THEN 'Pronoun' WHEN code = 'int' THEN 'Interjection' WHEN code = 'pref' THEN 'Prefix' WHEN code = 'suf' THEN 'Suffix' WHEN code = 'ctr' THEN 'Counter' WHEN code = 'exp' THEN 'Expression' ELSE 'Unknown' END AS kind FROM ({_CODE_SQL})""")
 def fn_pos_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _codes(spark).select("code", t.pos_kind(F.col("code")).alias("kind"))
+    return _codes(spark, sf_dir).select("p_partkey", "code", t.pos_kind(F.col("code")).alias("kind"))
 
 
 @query("SELECT c_custkey, c_mktsegment || ' ; ' || c_name AS shown FROM customer")
@@ -107,44 +114,80 @@ def fn_lenient_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", t.lenient_date(given).cast("string").alias("released"))
 
 
-_PRIORITIES = [("ichi1", 20), ("ichi2", 10), ("news1", 15), ("news2", 10), ("gai1", 5), ("gai2", 5), ("spec1", 15), ("spec2", 5), ("nf01", 5), ("nf15", 3), ("nf25", 3), ("nf30", 2), ("nf48", 0), ("ichi1,spec1", 20), ("", 0)]
+@query("""WITH p AS (
+  SELECT p_partkey, p_partkey % 2 = 0 AS ichi1, p_partkey % 3 = 0 AS news2, p_partkey % 5 = 0 AS gai1, p_partkey % 7 = 0 AS nf, p_size, p_partkey % 4 = 1 AS spec1, p_partkey % 11 < 5 AS uk, p_partkey % 13 < 6 AS kana FROM part),
+q AS (SELECT *, ichi1::INT * 20 + news2::INT * 10 + gai1::INT * 5 + CASE WHEN nf THEN greatest(0, 5 - CAST(round_even(p_size / 10, 0) AS INT)) ELSE 0 END AS points FROM p)
+SELECT p_partkey, CASE WHEN NOT (ichi1 OR news2 OR gai1 OR nf OR spec1) THEN 0 ELSE CASE WHEN points = 0 AND spec1 THEN 15 ELSE points END + CASE WHEN NOT uk THEN 0 WHEN kana THEN 10 ELSE -10 END END AS score FROM q""")
+def fn_priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags of priority by a part's key, the frequency band by its size."""
+    key = F.col("p_partkey")
+    band = F.concat(F.lit("nf"), F.lpad(F.col("p_size").cast("string"), 2, "0"))
+    tags = F.array_compact(F.array(F.when(key % 2 == 0, "ichi1"), F.when(key % 3 == 0, "news2"), F.when(key % 5 == 0, "gai1"), F.when(key % 7 == 0, band), F.when(key % 4 == 1, "spec1")))
+    return _table(spark, sf_dir, "part").select("p_partkey", t.priority_score(tags, key % 11 < 5, key % 13 < 6).alias("score"))
+
 
+#: Letters as katakana, so that names of parts are words of kana, with long marks.
+_LATIN, _KANA = "abcdefghijklmnopqrstuvwxyz ", "アカサデエフゲヒイジケレムノオプクルスーウヴワガヨゾン"
+_KANA_SQL = f"SELECT p_partkey, translate(lower(p_name), '{_LATIN}', '{_KANA}') AS word FROM part"
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'{(tags, n)}' for tags, n in _PRIORITIES)}) t(tags, score)")
-def fn_priority_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = spark.createDataFrame([(x,) for x, _ in _PRIORITIES], "tags string")
-    given = F.filter(F.split("tags", ","), lambda x: x != "")
-    return tags.select("tags", t.priority_score(given, F.lit(False), F.lit(False)).alias("score"))
 
+def _kana_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select("p_partkey", F.translate(F.lower("p_name"), _LATIN, _KANA).alias("word"))
 
-@query("SELECT * FROM (VALUES ('カタカナ', 'かたかな', 'かたかな', 'カタカナ'), ('ラーメン', 'らーめん', 'らあめん', 'ラーメン'), ('コーヒー', 'こーひー', 'こうひい', 'コーヒー'), ('ひらがな', 'ひらがな', 'ひらがな', 'ヒラガナ'), ('ケーキ', 'けーき', 'けえき', 'ケーキ')) t(word, plain, long, katakana)")
+
+def _long_sql(text: str) -> str:
+    vowels = {"あ": "あかさたなはまやらわがざだばぱぁゃゎ", "い": "いきしちにひみりぎじぢびぴぃ", "う": "うくすつぬふむゆるぐずづぶぷぅゅ", "え": "えけせてねへめれげぜでべぺぇ", "お": "おこそとのほもよろをごぞどぼぽぉょ"}
+    for vowel, kana in vowels.items():
+        text = f"regexp_replace({text}, '([{kana}])ー', '\\1{'う' if vowel == 'お' else vowel}', 'g')"
+    return text
+
+
+@query(f"SELECT p_partkey, word, h AS plain, {_long_sql('h')} AS long, translate(h, '{t.HIRAGANA}', '{t.KATAKANA}') AS katakana FROM (SELECT *, translate(word, '{t.KATAKANA}', '{t.HIRAGANA}') AS h FROM ({_KANA_SQL}))")
 def fn_to_hiragana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([("カタカナ",), ("ラーメン",), ("コーヒー",), ("ひらがな",), ("ケーキ",)], "word string")
-    return words.select("word", t.to_hiragana(F.col("word")).alias("plain"), t.to_hiragana(F.col("word"), True).alias("long"), t.to_katakana(F.col("word")).alias("katakana"))
+    word = F.col("word")
+    return _kana_words(spark, sf_dir).select("p_partkey", "word", t.to_hiragana(word).alias("plain"), t.to_hiragana(word, True).alias("long"), t.to_katakana(t.to_hiragana(word)).alias("katakana"))
 
 
 _RUBY_SQL = r"regexp_replace(word, '([一-龯々]+)\[(.+?)\]', '<ruby>\1<rp>(</rp><rt>\2</rt><rp>)</rp></ruby>', 'g')"
 
 
-@query(rf"SELECT word, regexp_replace(word, '[^぀-ヿ]', '', 'g') AS kana, spaced, {_RUBY_SQL} AS ruby, pitch FROM (VALUES ('食[た]べ物[もの]', '食[た]べ 物[もの]', 'LHLLL'), ('日本[にほん]', '日本[にほん]', 'LHLL'), ('人[ひと]', '人[ひと]', 'LHH')) t(word, spaced, pitch)")
+@query(rf"""WITH w AS (SELECT p_partkey, CAST(p_size % 5 AS INT) AS accent, translate(word, '{t.KATAKANA}', '{t.HIRAGANA}') AS r, CASE p_partkey % 3 WHEN 0 THEN '食' WHEN 1 THEN '日本' ELSE '人々' END AS k FROM ({_KANA_SQL}) JOIN part USING (p_partkey)),
+f AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN k || '[' || r || ']' ELSE k || '[' || r || ']べ物[もの]' END AS word FROM w),
+m AS (SELECT *, len(regexp_extract_all(regexp_replace(word, '[一-鿿\[\]]', '', 'g'), '[぀-ヿ][ぁぃぅぇぉゃゅょゎァィゥェォャュョヮ]?')) AS n FROM f)
+SELECT p_partkey, word, regexp_replace(word, '[^぀-ヿ]', '', 'g') AS kana, regexp_replace(word, '([^\s一-鿿])([一-鿿]+\[)', '\1 \2', 'g') AS spaced, {_RUBY_SQL} AS ruby,
+  array_to_string(list_transform(range(1, n + 2), lambda i: CASE WHEN CASE accent WHEN 0 THEN i > 1 WHEN 1 THEN i = 1 ELSE i > 1 AND i <= accent END THEN 'H' ELSE 'L' END), '') AS pitch FROM m""")
 def fn_furigana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([("食[た]べ物[もの]", 2), ("日本[にほん]", 2), ("人[ひと]", 0)], "word string, accent int")
-    return words.select("word", t.kana_of(F.col("word")).alias("kana"), t.spaced_furigana(F.col("word")).alias("spaced"), t.ruby_markup(F.col("word")).alias("ruby"), t.pitch_pattern(F.col("word"), F.col("accent")).alias("pitch"))
+    """Words of kanji with kana made of a part's name, and an accent by its size."""
+    key = F.col("p_partkey")
+    kanji = F.when(key % 3 == 0, "食").when(key % 3 == 1, "日本").otherwise("人々")
+    given = _kana_words(spark, sf_dir).join(_table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 5).cast("int").alias("accent")), "p_partkey")
+    bracketed = F.concat(kanji, F.lit("["), t.to_hiragana(F.col("word")), F.lit("]"))
+    word = F.col("furigana")
+    given = given.select("p_partkey", "accent", F.when(key % 2 == 0, bracketed).otherwise(F.concat(bracketed, F.lit("べ物[もの]"))).alias("furigana"))
+    return given.select("p_partkey", word.alias("word"), t.kana_of(word).alias("kana"), t.spaced_furigana(word).alias("spaced"), t.ruby_markup(word).alias("ruby"), t.pitch_pattern(word, F.col("accent")).alias("pitch"))
 
 
-_INPUTS = [("本を2冊、読んだ。", "本を２冊、読んだ。"), ("Hello, world 12", "  １２"), ("Hello, world", ""), ("<b>テスト</b>", "テスト"), ("～♪歌", "～歌"), ("一行\n二行", "一行\n二行"), ("", "")]
+#: Vowels as kana, so that documents have what a tokenizer is given, among what it isn't.
+_VOWELS, _VOWEL_KANA = "aeiou", "あえいおう"
+_GIVEN_SQL = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", t.INPUT)
 
 
-@query(f"SELECT * FROM (VALUES {', '.join(f'({a!r}, {b!r})' for a, b in _INPUTS)}) t(text, given)".replace("\\n", "' || chr(10) || '"))
+@query(rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE translate(text, '{_VOWELS}', '{_VOWEL_KANA}') END AS t FROM documents),
+k AS (SELECT doc_id, regexp_replace(translate(t, '0123456789', '{t.WIDE_DIGITS}'), '{_GIVEN_SQL}', '', 'g') AS g FROM d)
+SELECT doc_id, CASE WHEN regexp_full_match(g, '[\x00-\x7FĀāĒēĪīŌōŪūÂâÊêÎîÔôÛû‘’“”]*') THEN '' ELSE g END AS given FROM k""")
 def fn_tokenizer_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x, _ in _INPUTS], "text string").select("text", t.tokenizer_input(F.col("text")).alias("given"))
+    """All documents with their vowels as kana, but for every fifth one, which has nothing Japanese."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(F.translate("text", _VOWELS, _VOWEL_KANA))
+    return _table(spark, sf_dir, "documents").select("doc_id", t.tokenizer_input(text).alias("given"))
 
 
-@query("SELECT word, replace(word, 'ッー', '') AS plain, translate(word, 'ゎヮ', 'わわ') AS wa, regexp_full_match(word, '[一-龯々]+') AS kanji, regexp_full_match(word, '[ -~]+') AS romaji FROM (VALUES ('えッー'), ('くゎし'), ('人々'), ('abc 1'), ('ヮタシ'), ('漢字かな')) t(word)")
+@query(f"SELECT p_partkey, word, replace(word, 'ッー', '') AS plain, translate(word, 'ゎヮ', 'わわ') AS wa, regexp_full_match(word, '[一-龯々]+') AS kanji, regexp_full_match(word, '[ -~]+') AS romaji FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN word || 'ッー' WHEN 1 THEN 'ヮ' || word || 'ゎ' WHEN 2 THEN '人々' ELSE p_name END AS word FROM ({_KANA_SQL}) JOIN part USING (p_partkey))")
 def fn_word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = spark.createDataFrame([(x,) for x in ("えッー", "くゎし", "人々", "abc 1", "ヮタシ", "漢字かな")], "word string")
+    key = F.col("p_partkey")
+    words = _kana_words(spark, sf_dir).join(_table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    words = words.select("p_partkey", F.when(key % 4 == 0, F.concat("word", F.lit("ッー"))).when(key % 4 == 1, F.concat(F.lit("ヮ"), "word", F.lit("ゎ"))).when(key % 4 == 2, "人々").otherwise(F.col("p_name")).alias("word"))
     word = F.col("word")
-    return words.select("word", t.without_drawn_out(word).alias("plain"), t.large_wa(word).alias("wa"), t.is_kanji(word).alias("kanji"), t.is_romaji(word).alias("romaji"))
+    return words.select("p_partkey", "word", t.without_drawn_out(word).alias("plain"), t.large_wa(word).alias("wa"), t.is_kanji(word).alias("kanji"), t.is_romaji(word).alias("romaji"))
 
 
 @query("SELECT s_suppkey, substr(s_name || '-' || s_suppkey || '-a rather long title of a work', 1, 30) AS file_name FROM supplier")

@@ -1,12 +1,15 @@
-"""The extractors as queries: over the documents' lines where these have what the format needs, else over small scripts."""
+"""The extractors as queries: over the documents' lines, put into what each format has around them."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.documents import LINES_SQL, Corpus
 from ..plans.registry import query
+from ..plans.staging import shared_dir
 from . import dictionary, scripts
 
 
@@ -14,10 +17,6 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Corpus(spark, sf_dir).lines().withColumnRenamed("doc_id", "file")
 
 
-def _script(spark: SparkSession, lines: list[str], file: str = "a") -> DataFrame:
-    return spark.createDataFrame([(file, i, x) for i, x in enumerate(lines)], "file string, line_no int, line string")
-
-
 @query(f"WITH {LINES_SQL} SELECT doc_id AS file, line_no, trim(line) AS text FROM ln WHERE trim(line, e' \\t　') <> ''")
 def src_txt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.plain(_lines(spark, sf_dir))
@@ -78,58 +77,147 @@ def src_clean_subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.clean_subtitles(_lines(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, '「こんにちは」'), ('a', 2, '「漢字です」'), ('a', 3, '選ぶ')) t(file, line_no, text)")
+#: SQL for the codes that an extractor drops within lines.
+def _dropped(text: str, patterns: list[str]) -> str:
+    for p in patterns:
+        text = f"regexp_replace({text}, '{p}', '', 'g')"
+    return text
+
+
+@query(f"""WITH {LINES_SQL}, s AS (SELECT doc_id, line_no, CASE line_no % 4 WHEN 0 THEN 'bg 01 ' || line WHEN 1 THEN '太郎' || chr(9) || '「[漢字/かんじ]' || line || '\\n」' WHEN 2 THEN '1 abc ' || line ELSE '\\f12;' || line END AS line FROM ln),
+c AS (SELECT doc_id AS file, line_no, trim({_dropped("line", scripts.CS2_CODES)}) AS t FROM s),
+k AS (SELECT file, line_no, regexp_replace(regexp_replace(regexp_replace(t, '^\\d+\\s+\\S+\\s+', ''), '\\[(.+?)/.*?\\]', '\\1', 'g'), '^.*\\t((?:「.*」|（.*）|『.*』)$)', '\\1') AS text FROM c WHERE t <> '' AND NOT ({_starting(scripts.CS2_CODE)}))
+SELECT * FROM k WHERE trim(text, e' \\t　') <> ''""")
 def src_cs2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.cs2(_script(spark, ["bg 01", r"「こん\nにちは」", "太郎\t「[漢字/かんじ]です」", "1 abc 選ぶ", ""]))
+    """Lines of the documents as code, as a speaker's, as choices, and with a control code."""
+    n, line = F.col("line_no") % 4, F.col("line")
+    coded = F.when(n == 0, F.concat(F.lit("bg 01 "), line)).when(n == 1, F.concat(F.lit("太郎\t「[漢字/かんじ]"), line, F.lit(r"\n」"))).when(n == 2, F.concat(F.lit("1 abc "), line)).otherwise(F.concat(F.lit(r"\f12;"), line))
+    return scripts.cs2(_lines(spark, sf_dir).withColumn("line", coded))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 'こんにちは')) t(file, line_no, text)")
+@query(f"WITH {LINES_SQL} SELECT doc_id AS file, 3 * line_no AS line_no, 'え' || replace(replace(line, '@', ' '), '2', '') || 'です' AS text FROM ln WHERE line_no % 2 = 0")
 def src_nexas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.nexas(_script(spark, ["○a", "@v001こんにちは@k", "次の行", "○b", "abc"]))
+    """Every second line of the documents as a voiced line behind a mark, the others without kana."""
+    lines = _lines(spark, sf_dir).withColumn("line", F.replace("line", F.lit("@"), F.lit(" ")))
+    voiced = F.when(F.col("line_no") % 2 == 0, F.concat(F.lit("@v001え"), "line", F.lit("です@k"))).otherwise(F.col("line"))
+    spoken = lines.select("file", (3 * F.col("line_no")).alias("line_no"), voiced.alias("line"))
+    return scripts.nexas(spoken.union(lines.select("file", 3 * F.col("line_no") - 1, F.concat(F.lit("○"), "line"))).union(lines.select("file", 3 * F.col("line_no") + 1, F.lit("次の行"))))
 
 
-@query("SELECT * FROM (VALUES ('a', 0, '「はい」'), ('a', 1, 'これは地の文')) t(file, line_no, text)")
+@query(f"""WITH {LINES_SQL}, s AS (SELECT doc_id AS file, line_no, CASE line_no % 3 WHEN 0 THEN '【太郎】「' || line || '」' WHEN 1 THEN '地[n]' || line ELSE line END AS line FROM ln),
+q AS (SELECT *, regexp_extract(line, '[「（](.+?)[」）s]', 0) AS quoted FROM s)
+SELECT file, line_no, trim(replace(CASE WHEN line LIKE '【%' AND quoted <> '' THEN quoted ELSE line END, '[n]', '')) AS text FROM q WHERE regexp_matches(line, '^[぀-ヿ一-鿿【]')""")
 def src_whale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.whale(_script(spark, ["【太郎】「はい」", "これは[n]地の文", "code = 1"]))
+    n, line = F.col("line_no") % 3, F.col("line")
+    return scripts.whale(_lines(spark, sf_dir).withColumn("line", F.when(n == 0, F.concat(F.lit("【太郎】「"), line, F.lit("」"))).when(n == 1, F.concat(F.lit("地[n]"), line)).otherwise(line)))
 
 
-@query("SELECT * FROM (VALUES ('a', 0, '「はい」'), ('a', 1, '地の文')) t(file, line_no, text)")
+@query(f"WITH {LINES_SQL} SELECT doc_id AS file, line_no, CASE WHEN line_no % 2 = 0 THEN '「' || line || '」' ELSE line END AS text FROM ln WHERE line_no % 2 = 0 OR trim(line, e' \\t　') <> ''")
 def src_yuris(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.yuris(_script(spark, ["太郎「はい」", "地の文", ""]))
+    return scripts.yuris(_lines(spark, sf_dir).withColumn("line", F.when(F.col("line_no") % 2 == 0, F.concat("line", F.lit("「"), "line", F.lit("」"))).otherwise(F.col("line"))))
 
 
-@query("SELECT * FROM (VALUES ('a', 'こんにちは')) t(file, text)")
+@query(f"WITH {LINES_SQL}, s AS (SELECT *, lag(line_no) OVER (PARTITION BY doc_id ORDER BY line_no) AS b FROM ln) SELECT doc_id AS file, 2 * line_no AS line_no, trim(replace(line, chr(34), '')) AS text FROM ln WHERE line_no % 2 = 0 AND trim(replace(line, chr(34), ''), e' \\t　') <> ''")
+def src_mes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quoted texts behind marker lines, which every second line has before it."""
+    lines = _lines(spark, sf_dir)
+    quoted = F.concat(F.lit(' a " '), F.replace("line", F.lit('"'), F.lit("")), F.lit(' " '))
+    return scripts.mes(lines.select("file", (2 * F.col("line_no")).alias("line_no"), quoted.alias("line")).union(lines.where("line_no % 2 = 0").select("file", 2 * F.col("line_no") - 1, F.lit("#1-STR_UNCRYPT"))))
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id AS file, line AS text FROM ln WHERE trim(line) <> ''")
 def src_psb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", [([["x", "y", "こん[r]に\\nちは"], ["x", "y"], ["x", "y", None]],)])]
-    return scripts.psb(spark.createDataFrame(rows, "file string, scenes array<struct<texts: array<array<string>>>>"))
+    """A scene for each document: the third item of each text, blank lines without one."""
+    text = lambda x: F.when(F.trim(x) != "", F.array(F.lit("x"), F.lit("y"), F.concat(F.lit("[r]"), x, F.lit("\\n")))).otherwise(F.array(F.lit("x"), F.lit("y")))
+    scenes = F.array(F.struct(F.transform(F.split("text", "\n"), text).alias("texts")))
+    return scripts.psb(Corpus(spark, sf_dir).documents.select(F.col("doc_id").alias("file"), scenes.alias("scenes")))
 
 
-@query("SELECT * FROM (VALUES ('v1', 'そうか'), ('v1', 'はい')) t(file, text)")
+@query(f"WITH {LINES_SQL} SELECT doc_id AS file, trim(line) || CASE WHEN length(line) % 2 = 0 THEN 'そう．．．か' ELSE '' END AS text FROM ln")
 def src_mokuro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scripts.mokuro(spark.createDataFrame([("v1", [(["第１話", "そう．．．．．．か", "！？"],), (["ＡＢＣＤ", "はい"],)])], "file string, blocks array<struct<lines: array<string>>>"))
+    """A page for each document, a block for each line, between what the reader of pictures makes of noise."""
+    block = lambda x: F.struct(F.array(F.lit("第１話"), x, F.when(F.length(x) % 2 == 0, "そう．．．．．．か").otherwise("え！"), F.lit("ＡＢＣＤ"), F.lit("！？")).alias("lines"))
+    return scripts.mokuro(Corpus(spark, sf_dir).documents.select(F.col("doc_id").alias("file"), F.transform(F.split("text", "\n"), block).alias("blocks")))
 
 
-@query("SELECT * FROM (VALUES ('a.srt', 2, 'こんにちは'), ('b.ass', 2, 'はい'), ('b.ass', 2, 'そうです')) t(file, line_no, text)")
+@query(f"""WITH {LINES_SQL}
+SELECT doc_id || '.srt' AS file, 3 * line_no + 2 AS line_no, trim(line) AS text FROM ln WHERE doc_id % 2 = 0 AND trim(line) <> ''
+UNION ALL SELECT doc_id || '.ass', 3 * line_no + 2, trim(unnest([line, 'そうです'])) FROM ln WHERE doc_id % 2 = 1 AND NOT contains(line, 'cn') AND trim(line) <> ''""")
 def src_subtitle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ass = ["[Events]", "; note", "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\an8}はい\\Nそうです"]
-    return scripts.subtitle_lines(_script(spark, ["1", "00:00:01,000 --> 00:00:02,000", "<i>こんにちは</i>", ""], "a.srt").union(_script(spark, ass, "b.ass")))
-
-
-@query("SELECT 1 AS word_id, '食べる,たべる' AS readings, '0,1' AS reading_types, 'たぶる' AS obsolete, 'v1,uk' AS parts_of_speech")
+    """Documents as subtitle files of both kinds: numbers, times and notes between the spoken lines."""
+    lines = _lines(spark, sf_dir).where(F.trim("line") != "")
+    srt = F.col("file") % 2 == 0
+    name = F.concat(F.col("file").cast("string"), F.when(srt, ".srt").otherwise(".ass"))
+    spoken = F.when(srt, F.concat(F.lit("<i>"), "line", F.lit("</i>"))).otherwise(F.concat(F.lit(r"Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\an8}"), "line", F.lit(r"\Nそうです")))
+    kinds = [F.when(srt, F.col("line_no").cast("string")).otherwise("; note"), F.when(srt, "00:00:01,000 --> 00:00:02,000").otherwise("[Events]"), spoken]
+    rows = lines.select(name.alias("file"), F.posexplode(F.array(*kinds)).alias("k", "l"), "line_no")
+    return scripts.subtitle_lines(rows.select("file", (3 * F.col("line_no") + F.col("k")).alias("line_no"), F.col("l").alias("line")))
+
+
+@query(f"WITH {LINES_SQL} SELECT line, count(*) AS n FROM ln GROUP BY line")
+def src_file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files: the documents are written as text files, and read again line by line."""
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    Corpus(spark, sf_dir).documents.select("text").write.text(path)
+    lines = scripts.read_lines(spark, path).where(F.col("file").endswith(".txt"))
+    # A file ends with a line end, behind which nothing stands
+    last = lines.groupBy("file").agg(F.max("line_no").alias("line_no"))
+    return lines.join(last, ["file", "line_no"], "left_anti").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CAST(p_partkey AS INT) AS word_id, string_split(p_name, ' ')[1] || ',' || p_brand AS readings, '0,1' AS reading_types, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS obsolete,
+  CASE WHEN p_partkey % 2 = 0 THEN 'v1,uk,n' ELSE 'v1,n' END AS parts_of_speech, 'to ' || p_name AS english FROM part""")
 def dict_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    xml = "<entry><ent_seq>1</ent_seq><k_ele><keb>食べる</keb><ke_pri>ichi1</ke_pri></k_ele><r_ele><reb>たべる</reb></r_ele><r_ele><reb>たぶる</reb><re_inf>&ok;</re_inf></r_ele><sense><pos>&v1;</pos><misc>&uk;</misc><gloss>to eat</gloss><gloss xml:lang='ger'>essen</gloss></sense></entry>"
-    found = dictionary.words(spark.createDataFrame([(xml,)], "xml string").select(dictionary.entries(F.col("xml")).alias("entry")))
-    return found.select("word_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("readings", "reading_types", "obsolete", "parts_of_speech")))
-
-
-@query("SELECT * FROM (VALUES ('食べ物', 'たべもの', '食[た]べ物[もの]')) t(text, reading, furigana)")
+    """Parts of the catalogue as entries in XML: two senses, a reading out of use for every third one, glosses in two languages."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key = F.col("p_partkey")
+    tag = lambda name, *x: F.concat(F.lit(f"<{name}>"), *x, F.lit(f"</{name}>"))
+    old = F.when(key % 3 == 0, tag("r_ele", tag("reb", "p_type"), F.lit("<re_inf>&ok;</re_inf>"))).otherwise("")
+    misc = F.when(key % 2 == 0, "<misc>&uk;</misc>").otherwise("")
+    senses = F.concat(tag("sense", F.lit("<pos>&v1;</pos>"), misc, tag("gloss", F.lit("to "), "p_name"), F.lit("<gloss xml:lang='ger'>essen</gloss>")), F.lit("<sense><pos>&n;</pos><gloss>thing</gloss></sense>"))
+    xml = tag("entry", tag("ent_seq", key.cast("string")), tag("k_ele", tag("keb", F.substring_index("p_name", " ", 1)), F.lit("<ke_pri>ichi1</ke_pri>")), tag("r_ele", tag("reb", "p_brand")), old, senses)
+    parsed = p.select(dictionary.entries(xml).alias("entry"))
+    found = dictionary.words(parsed).select("word_id", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("readings", "reading_types", "obsolete", "parts_of_speech")))
+    meanings = dictionary.definitions(parsed).where("sense = 0").select("word_id", F.get(F.element_at("meanings", "eng"), F.lit(0)).alias("english"))
+    return found.join(meanings, "word_id")
+
+
+@query("SELECT p_brand AS text, arg_min('r' || p_partkey, p_partkey) AS reading, arg_min(p_brand || '[r' || p_partkey || ']' || p_type, p_partkey) AS furigana FROM part GROUP BY p_brand")
 def dict_furigana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, "食べ物", "たべもの", [("食", "た"), ("べ", None), ("物", "もの")]), (1, "食べ物", "x", [("食べ物", "x")])]
-    return dictionary.furigana(spark.createDataFrame(rows, "pos int, text string, reading string, furigana array<struct<ruby: string, rt: string>>"))
+    """Of a text's readings the first one, with its furigana."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    reading = F.concat(F.lit("r"), F.col("p_partkey").cast("string"))
+    ruby = F.array(F.struct(F.col("p_brand").alias("ruby"), reading.alias("rt")), F.struct(F.col("p_type").alias("ruby"), F.lit(None).cast("string").alias("rt")))
+    return dictionary.furigana(p.select(F.col("p_partkey").alias("pos"), F.col("p_brand").alias("text"), reading.alias("reading"), ruby.alias("furigana")))
 
 
-@query("SELECT '箸' AS word, '1' AS positions")
+@query("SELECT p_name AS word, arg_min(p_size || ',' || p_size % 3, p_partkey) AS positions FROM part GROUP BY p_name")
 def dict_pitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(0, '["箸","pitch",{"reading":"はし","pitches":[{"position":1}]}]'), (1, '["箸","pitch",{"reading":"はし","pitches":[{"position":2}]}]')]
-    found = dictionary.pitches(spark.createDataFrame(rows, "pos int, bank string"))
+    """Of a word's lines in a bank the first one's accents."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    bank = F.concat(F.lit('["'), "p_name", F.lit('","pitch",{"reading":"はし","pitches":[{"position":'), F.col("p_size").cast("string"), F.lit('},{"position":'), (F.col("p_size") % 3).cast("string"), F.lit("}]}]"))
+    found = dictionary.pitches(p.select(F.col("p_partkey").alias("pos"), bank.alias("bank")))
     return found.select("word", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query("SELECT 'n' || p_partkey AS name, p_name AS value FROM part WHERE p_partkey % 3 <> 0")
+def dict_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of entities among the lines of a document type, every third of which declares something else."""
+    kind = F.when(F.col("p_partkey") % 3 == 0, "<!ELEMENT n").otherwise("<!ENTITY n")
+    line = F.concat(kind, F.col("p_partkey").cast("string"), F.lit(' "'), "p_name", F.lit('">'))
+    return dictionary.entity_names(spark.read.parquet(f"{sf_dir}/part.parquet").select(line.alias("line")))
+
+
+@query("SELECT p_partkey, p_partkey % 4 = 0 OR list_has_any(CASE WHEN p_partkey % 4 = 0 THEN [] ELSE string_split(p_name, ' ') END, ['red', 'small', 'widget']) AS allowed FROM part")
+def dict_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings restricted to forms, some of which have been seen."""
+    given = F.when(F.col("p_partkey") % 4 != 0, F.split("p_name", " "))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", dictionary.allowed_readings(given, F.array(*map(F.lit, ("red", "small", "widget")))).alias("allowed"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '本[' || p_type || ']' WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_name END AS shown FROM part")
+def dict_shown_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A single kanji with its first kana reading, else the known form, else the word."""
+    key = F.col("p_partkey")
+    shown = dictionary.shown_reading(F.when(key % 2 == 0, "本").otherwise(F.col("p_name")), F.col("p_type"), F.when(key % 3 == 0, F.col("p_brand")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", shown.alias("shown"))
