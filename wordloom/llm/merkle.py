@@ -53,7 +53,8 @@ def leaves(docs: DataFrame, tampered: Callable[[dict[str, Column]], dict[str, Co
     tree = F.coalesce(F.concat(F.lit("1"), values["source"].cast("string")), F.lit("0"))
     own = leaf(values)
     rows = docs.select(tree.alias("tree"), values["doc_id"].alias("doc_id"), own.alias("digest"), (leaf(tampered(values)) if tampered else own).alias("offered"))
-    return numbered(rows, [F.col("doc_id"), F.col("digest")], ("tree",), total="n")
+    # Staged, as ranges are sampled first: texts are read and hashed once
+    return numbered(staged(rows, "leaves"), [F.col("doc_id"), F.col("digest")], ("tree",), total="n")
 
 
 def height(n: int) -> int:
@@ -93,26 +94,26 @@ def proof_digest(proof: list[tuple[str, str]]) -> str:
     return digest("".join(before + after for before, after in proof))
 
 
-_SPAN = FANOUT**DEPTH
 _NODE = "tree string, index long, n long, digest string"
 
 
-def _block(nodes: pd.DataFrame) -> list[list[str]]:
-    ordered = nodes.sort_values("index")
-    return levels_of(ordered["digest"].tolist(), min(DEPTH, height(int(ordered["n"].iloc[0]))))
+def _block(nodes: pd.DataFrame, depth: int) -> list[list[str]]:
+    """The levels of a bucket, whose nodes are given in order."""
+    return levels_of(nodes["digest"].tolist(), min(depth, height(int(nodes["n"].iloc[0]))))
 
 
-def _collapsed(nodes: pd.DataFrame) -> pd.DataFrame:
+def _collapsed(nodes: pd.DataFrame, depth: int) -> pd.DataFrame:
     release()
+    nodes, span = nodes.sort_values("index"), FANOUT**depth
     n = int(nodes["n"].iloc[0])
-    return pd.DataFrame({"tree": [nodes["tree"].iloc[0]], "index": [int(nodes["index"].min()) // _SPAN], "n": [-(-n // _SPAN)], "digest": [_block(nodes)[-1][0]]})
+    return pd.DataFrame({"tree": [nodes["tree"].iloc[0]], "index": [int(nodes["index"].iloc[0]) // span], "n": [-(-n // span)], "digest": [_block(nodes, depth)[-1][0]]})
 
 
-def reduced(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def reduced(nodes: DataFrame, depth: int = DEPTH) -> tuple[list[DataFrame], DataFrame]:
     """The nodes of each round of superblocks, and the roots of all trees."""
     rounds = [nodes]
     while True:
-        blocks = rounds[-1].groupBy("tree", F.expr(f"index div {_SPAN}").alias("bucket")).applyInPandas(lambda rows: _collapsed(rows), _NODE)
+        blocks = rounds[-1].groupBy("tree", F.expr(f"index div {FANOUT**depth}").alias("bucket")).applyInPandas(lambda rows: _collapsed(rows, depth), _NODE)
         blocks = staged(blocks, "superblocks")
         if (blocks.agg(F.max("n")).first()[0] or 1) == 1:
             return rounds, blocks
@@ -122,60 +123,61 @@ def reduced(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 _PROOF = "tree string, index long, name string, subroot string, before array<string>, after array<string>"
 
 
-def _proved(nodes: pd.DataFrame, upper: pd.DataFrame) -> list[tuple[int, list[tuple[str, str]]]]:
-    """Row number and whole proof of each node of a bucket."""
-    levels = _block(nodes)
+def _proved(nodes: pd.DataFrame, upper: pd.DataFrame, depth: int) -> list[list[tuple[str, str]]]:
+    """The whole proof of each node of a bucket, given in order: the lower one, then that of the bucket's root."""
+    levels = _block(nodes, depth)
     above = list(zip(upper["before"].iloc[0], upper["after"].iloc[0], strict=True))
-    places = (nodes["index"] % _SPAN).tolist()
-    return [(i, path(levels, place) + above) for i, place in enumerate(places)]
+    return [path(levels, place) + above for place in range(len(nodes))]
 
 
-def _node_proofs(nodes: pd.DataFrame, upper: pd.DataFrame) -> pd.DataFrame:
+def _node_proofs(nodes: pd.DataFrame, upper: pd.DataFrame, depth: int) -> pd.DataFrame:
     release()
-    proofs = [p for _, p in _proved(nodes, upper)]
+    nodes = nodes.sort_values("index")
+    proofs = _proved(nodes, upper, depth)
     names = nodes["name"].tolist() if "name" in nodes else [None] * len(nodes)
     subroots = nodes["digest"].tolist() if "name" in nodes else [upper["subroot"].iloc[0]] * len(nodes)
     return pd.DataFrame({"tree": nodes["tree"], "index": nodes["index"], "name": names, "subroot": subroots, "before": [[b for b, _ in p] for p in proofs], "after": [[a for _, a in p] for p in proofs]})
 
 
-def _beside(nodes: DataFrame, upper: DataFrame):
+def _beside(nodes: DataFrame, upper: DataFrame, depth: int):
     """Each bucket of nodes with the proof of its root."""
     above = upper.select("tree", F.col("index").alias("bucket"), "subroot", "before", "after")
-    return nodes.withColumn("bucket", F.expr(f"index div {_SPAN}")).groupBy("tree", "bucket").cogroup(above.groupBy("tree", "bucket"))
+    return nodes.withColumn("bucket", F.expr(f"index div {FANOUT**depth}")).groupBy("tree", "bucket").cogroup(above.groupBy("tree", "bucket"))
 
 
-def _downwards(rounds: list[DataFrame], upper: DataFrame) -> DataFrame:
+def _downwards(rounds: list[DataFrame], upper: DataFrame, depth: int) -> DataFrame:
     """Proofs of the buckets of the first round, given those of the last."""
     for nodes in reversed(rounds):
-        upper = staged(_beside(nodes, upper).applyInPandas(lambda rows, above: _node_proofs(rows, above), _PROOF), "proofs")
+        upper = staged(_beside(nodes, upper, depth).applyInPandas(lambda rows, above: _node_proofs(rows, above, depth), _PROOF), "proofs")
     return upper
 
 
-def manifest(docs: DataFrame, tampered: Callable[[dict[str, Column]], dict[str, Column]] | None = None, with_proofs: bool = False) -> DataFrame:
+def manifest(docs: DataFrame, tampered: Callable[[dict[str, Column]], dict[str, Column]] | None = None, with_proofs: bool = False, depth: int = DEPTH) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified; with_proofs adds proof, the siblings before and after by level.
 
     Without tampering the folded root is that of the leaf itself.
     """
     spark = docs.sparkSession
-    rounds, subroots = reduced(leaves(docs, tampered))
+    rounds, subroots = reduced(leaves(docs, tampered), depth)
     sources = numbered(subroots.select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), [F.col("name")], ("tree",), total="n")
-    source_rounds, top = reduced(sources)
+    source_rounds, top = reduced(sources, depth)
     root = (top.first() or {"digest": None})["digest"]
-    whole = spark.createDataFrame([("", 0, None, root, [], [])], _PROOF)
-    of_sources = _downwards(source_rounds, whole)
+    whole = spark.createDataFrame([("", 0, None, root, [], [])] if root else [], _PROOF)
+    of_sources = _downwards(source_rounds, whole, depth)
     upper = of_sources.select(F.col("name").alias("tree"), F.lit(0).cast("long").alias("index"), F.col("name"), "subroot", "before", "after")
-    upper = _downwards(rounds[1:], upper)
+    upper = _downwards(rounds[1:], upper, depth)
 
     def results(rows: pd.DataFrame, above: pd.DataFrame) -> pd.DataFrame:
         release()
-        proofs = [p for _, p in _proved(rows, above)]
+        rows = rows.sort_values("index")
+        proofs = _proved(rows, above, depth)
         roots = [folded(x, p) for x, p in zip(rows["offered"], proofs, strict=True)]
         out = {"doc_id": rows["doc_id"], "leaf": rows["digest"], "subroot": above["subroot"].iloc[0], "root": root, "proof_sha256": [proof_digest(p) for p in proofs], "folded_root": roots, "verified": [r == root for r in roots]}
         return pd.DataFrame(out | ({"proof": [[{"before": b, "after": a} for b, a in p] for p in proofs]} if with_proofs else {}))
 
     kind = dict(rounds[0].dtypes)["doc_id"]
     schema = f"doc_id {kind}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean" + ", proof array<struct<before:string,after:string>>" * with_proofs
-    return _beside(rounds[0], upper).applyInPandas(results, schema)
+    return _beside(rounds[0], upper, depth).applyInPandas(results, schema)
 
 
 def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
