@@ -62,11 +62,10 @@ def gains(corpus: DataFrame, target: DataFrame, orders: int = ORDERS, buckets: i
     """bucket, gain: one row for each bucket."""
     both = corpus.sparkSession.range(buckets).withColumnRenamed("id", "bucket")
     both = both.join(counts(corpus, orders, "s"), "bucket", "left").join(counts(target, orders, "t"), "bucket", "left").fillna(0, ["s", "t"])
-    sums = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    of = both.crossJoin(F.broadcast(sums))  # with one row
-    real = lambda x: F.col(x).cast("double")
-    ratio = (real("t") + 1) * (real("all_s") + buckets) / ((real("s") + 1) * (real("all_t") + buckets))
-    return of.select(F.col("bucket").cast("int").alias("bucket"), F.floor(1000 * F.log(ratio)).alias("gain"))
+    both = staged(both, "bucket-counts")
+    all_s, all_t = (float(x or 0) for x in both.agg(F.sum("s"), F.sum("t")).first())
+    ratio = (F.col("t").cast("double") + 1) * (all_s + buckets) / ((F.col("s").cast("double") + 1) * (all_t + buckets))
+    return both.select(F.col("bucket").cast("int").alias("bucket"), F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
 def gumbel(id_column: str, seed: int = SEED) -> Column:
@@ -80,7 +79,7 @@ def weighted(docs: DataFrame, target: DataFrame, orders: int = ORDERS, buckets:
     """doc_id, n_words, n_features, weight of each document."""
     own = staged(features(docs, "doc_id", orders, buckets), "features")
     theirs = staged(features(target.select("text", F.lit(0).alias("item")), "item", orders, buckets), "target-features")
-    gain = staged(gains(own, theirs, orders, buckets), "gains")
+    gain = gains(own, theirs, orders, buckets)
     rows = own
     for n in range(1, orders + 1):  # as many rows as buckets
         rows = rows.join(F.broadcast(gain.select(F.col("bucket").alias(f"b{n}"), F.col("gain").alias(f"g{n}"))), f"b{n}", "left")
