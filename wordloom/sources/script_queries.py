@@ -133,7 +133,7 @@ def src_psb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scripts.psb(Corpus(spark, sf_dir).documents.select(F.col("doc_id").alias("file"), scenes.alias("scenes")))
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id AS file, trim(line) || CASE WHEN length(line) % 2 = 0 THEN 'そう．．．か' ELSE '' END AS text FROM ln")
+@query(f"WITH {LINES_SQL} SELECT doc_id AS file, trim(line) || CASE WHEN length(line) % 2 = 0 THEN 'そうか' ELSE '' END AS text FROM ln")
 def src_mokuro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each document, a block for each line, between what the reader of pictures makes of noise."""
     block = lambda x: F.struct(F.array(F.lit("第１話"), x, F.when(F.length(x) % 2 == 0, "そう．．．．．．か").otherwise("え！"), F.lit("ＡＢＣＤ"), F.lit("！？")).alias("lines"))
