@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import numbered
 from ..plans.registry import query
 from ..plans.star import MEDIA_TYPES, STAR_SQL, Star
 from .difficulty import DIFFICULTY_SQL, WEIGHTS, _zsql, measures, with_moments, zscore
@@ -28,6 +29,14 @@ def page(df: DataFrame, offset: int, size: int) -> DataFrame:
     return df.offset(offset).limit(size)
 
 
+def deep_page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+    """The same in an order, at any depth: rows are found by their place, and those before them don't pass through one task."""
+    if offset < 0:
+        raise ValueError("the offset can't be negative")
+    rows = numbered(df, order, index="_place")
+    return rows.where(F.col("_place").between(offset, offset + size - 1)).orderBy("_place").drop("_place")
+
+
 def ranked_readings(star: Star) -> DataFrame:
     ranks = competition_rank(totals_by_reading(star), "total", "reading_rank")
     return ranks.select("word_id", "reading_index", "reading", "reading_type", "reading_rank")
@@ -250,7 +259,8 @@ VOCAB_SORTS = {"chrono": "deck_word_id", "deck_freq": "-occurrences", "global_fr
 def vocabulary_page(star: Star, deck_id: int, sort: str = "chrono", offset: int = 0, descending: bool = False) -> DataFrame:
     words = with_rank(star.parent_words().where(F.col("deck_id") == deck_id), star)
     key = F.expr(VOCAB_SORTS[sort])
-    return page(words.orderBy(key.desc_nulls_first() if descending else key.asc_nulls_last(), "deck_word_id"), offset, PAGE_WORDS)
+    order = [key.desc_nulls_first() if descending else key.asc_nulls_last(), F.col("deck_word_id")]
+    return deep_page(words, order, offset, PAGE_WORDS) if offset else page(words.orderBy(*order), 0, PAGE_WORDS)
 
 
 def _vocab_query(spark: SparkSession, sf_dir: str, sort: str, offset: int = 0) -> DataFrame:

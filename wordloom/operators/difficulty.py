@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.numbering import summed_before
 from ..plans.registry import query
 from ..plans.staging import staged
 from ..plans.star import BUCKET, STAR_SQL, Star
@@ -46,17 +47,21 @@ def ranked_words(star: Star) -> DataFrame:
     of_readings = staged(totals_by_reading(star), "reading-totals")
     of_words = of_readings.groupBy("word_id").agg(F.sum("total").alias("total"))
     words = competition_rank(of_words, "total", "frequency_rank").select("word_id", "frequency_rank")
-    readings = competition_rank(of_readings, "total", "reading_rank").select("word_id", "reading_index", "reading_type", "reading_rank")
+    readings = competition_rank(of_readings, "total", "reading_rank", ready=True).select("word_id", "reading_index", "reading_type", "reading_rank")
     used = F.when(F.col("reading_type") == 1, F.col("frequency_rank")).otherwise(F.col("reading_rank"))
     return star.parent_words().join(readings.join(words, "word_id"), ["word_id", "reading_index"]).withColumn("used_rank", used)
 
 
 def marked_words(star: Star) -> DataFrame:
-    """With peak: the rarest words up to a share of the deck's occurrences, the crossing one included."""
-    rarest = Window.partitionBy("deck_id").orderBy(F.desc("reading_rank"), "deck_word_id")
-    so_far = F.sum("occurrences").over(rarest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("occurrences")
-    target = F.floor(F.sum("occurrences").over(Window.partitionBy("deck_id")) * PEAK_SHARE)
-    return ranked_words(star).withColumn("peak", (F.row_number().over(rarest) == 1) | (so_far < target)).withColumn("bucket", F.expr(f"used_rank div {BUCKET}"))
+    """With peak: the rarest words up to a share of the deck's occurrences, the crossing one and in any case the first included.
+
+    Words that occur are meant: each has one occurrence at least. A deck's sums run over ranges of its words, so that a
+    large deck is no single task's.
+    """
+    rarest = [F.desc("reading_rank"), F.col("deck_word_id")]
+    rows = summed_before(ranked_words(star), "occurrences", rarest, ("deck_id",), "_so_far", "_of_deck")
+    target = F.greatest(F.floor(F.col("_of_deck") * PEAK_SHARE), F.lit(1))
+    return rows.withColumn("peak", F.col("_so_far") < target).withColumn("bucket", F.expr(f"used_rank div {BUCKET}")).drop("_so_far", "_of_deck")
 
 
 def bucket_weights(star: Star) -> DataFrame:

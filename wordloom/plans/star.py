@@ -23,7 +23,7 @@ class Star:
     def __init__(self, spark: SparkSession, sf_dir: str, once: bool = False):
         self.spark = spark
         self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        self._once, self._rollup = once, None
+        self._once, self._rollup, self._stats = once, None, None
 
     def child_groups(self) -> DataFrame:
         """(child deck, word, reading) with occurrences and the first order."""
@@ -72,6 +72,8 @@ class Star:
 
     def stats(self) -> DataFrame:
         """Statistics of primary decks: words from the rollup, lines (as sentences) and sizes (as kanji) from the order lines."""
+        if self._stats is not None:
+            return self._stats
         words = self.parent_words().join(self.words().select("word_id", F.length("p_name").alias("length"), "p_size"), "word_id")
         per_word = words.groupBy("deck_id", "word_id").agg(F.sum("occurrences").alias("occ"), F.max((F.col("occurrences") == 1).cast("int")).alias("once"), F.first("length").alias("length"), F.first("p_size").alias("p_size"))
         by_words = per_word.groupBy("deck_id").agg(
@@ -79,7 +81,10 @@ class Star:
             F.sum("once").cast("long").alias("unique_word_used_once_count"), F.countDistinct("p_size").alias("unique_kanji_count"),
         )
         lines = self.read("lineitem").groupBy((F.col("l_suppkey") + 1).alias("deck_id")).agg(F.countDistinct("l_orderkey").alias("sentence_count"))
-        return by_words.join(lines, "deck_id")
+        out = by_words.join(lines, "deck_id")
+        if self._once:
+            out = self._stats = staged(out, "stats")
+        return out
 
     def decks(self) -> DataFrame:
         return self.titles().join(self.stats(), "deck_id", "left").fillna(0, ["character_count", "word_count", "unique_word_count", "unique_word_used_once_count", "unique_kanji_count", "sentence_count"])
