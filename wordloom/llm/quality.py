@@ -8,7 +8,10 @@ the host is, by that rule,
 
 - bad if it fails more often than not, surely: two posterior standard deviations over HOST_LIMIT. All its documents go.
 - trusted if its rate is under TRUST of the mean of all hosts. Its odd documents are taken as odd, not as junk.
-- ordinary otherwise. Its documents that fail a soft rule (SOFT) go.
+- else strict, usual or lenient: APART standard deviations of all hosts' shrunk rates above their mean, between, or below.
+
+What is borderline in a document is so decided by its host: a soft rule drops it beyond the limit for such hosts (SOFT, in
+percent), which is lower where failures are frequent. All that hosts are measured by are sums over them.
 
 Null texts have no words and fail. Null is a host of its own; without the host's column all documents have that. Repeated
 rows each count, and rows with equal rates are treated alike. Other columns stay; those named like results give way. An
@@ -32,10 +35,12 @@ RULES = {
     "symbols": "10 * n_symbols > n_words",
     "dup_lines": "2 * n_dup_lines > n_lines",
 }
-#: Rules that drop a document only if its host isn't trusted by them.
-SOFT = ("symbols", "dup_lines")
+#: Soft rules: a measure, what it is a part of, and the percentage of it that is allowed in strict, usual and lenient hosts.
+SOFT = {"symbols": ("n_symbols", "n_words", (5, 10, 20)), "dup_lines": ("n_dup_lines", "n_lines", (40, 50, 60))}
 HOST_LIMIT = 0.5
 TRUST = 0.5
+APART = 0.67
+_TINY = 1e-9  # between rates that are equal but for rounding
 #: Bounds of the prior's weight in documents.
 PRIOR = (2.0, 1000.0)
 
@@ -76,7 +81,7 @@ def metrics(text: Column) -> Column:
 
 
 def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: n, each rule's shrunk rate, bad, and whether each soft rule trusts it. measured has the metrics and the host column."""
+    """One row per host: n, each rule's shrunk rate, bad, and the limit of each soft rule, null where the host is trusted. measured has the metrics and the host column."""
     fails = measured.groupBy(host).agg(F.count("*").alias("n"), *(F.sum(F.expr(f"cast({rule} as int)")).alias(name) for name, rule in RULES.items()))
     rate = {name: F.col(name) / F.col("n") for name in RULES}
     moments = fails.agg(F.avg(1 / F.col("n")).alias("share"), *(f(rate[name]).alias(f"{name}_{k}") for name in RULES for k, f in (("m", F.avg), ("v", F.var_pop)))).first()
@@ -88,7 +93,13 @@ def host_verdicts(measured: DataFrame, host: str = "source") -> DataFrame:
         shrunk = (F.col(name) + m * weight) / (F.col("n") + weight)
         fails = fails.withColumn(f"{name}_rate", shrunk).withColumn(f"{name}_trusted", shrunk < TRUST * m)
         bad.append(shrunk - 2 * F.sqrt(shrunk * (1 - shrunk) / (F.col("n") + weight + 1)))
-    return fails.withColumn("bad", F.greatest(*bad) > HOST_LIMIT)
+    fails = staged(fails.withColumn("bad", F.greatest(*bad) > HOST_LIMIT), "hosts")
+    spread = fails.agg(*(f(f"{name}_rate").alias(f"{name}_{k}") for name in SOFT for k, f in (("m", F.avg), ("d", F.stddev_pop)))).first()
+    for name, (_, _, (strict, usual, lenient)) in SOFT.items():
+        rate, m, apart = F.col(f"{name}_rate"), spread[f"{name}_m"] or 0.0, APART * (spread[f"{name}_d"] or 0.0) + _TINY
+        limit = F.when(F.col(f"{name}_trusted"), None).when(rate > m + apart, strict).when(rate < m - apart, lenient).otherwise(usual)
+        fails = fails.withColumn(f"{name}_limit", limit.cast("int"))
+    return fails
 
 
 def judged(docs: DataFrame, host: str = "source", with_text: bool = True) -> DataFrame:
@@ -101,10 +112,10 @@ def judged(docs: DataFrame, host: str = "source", with_text: bool = True) -> Dat
     rows = rows.select("*", f"{OWN}m.*").drop(f"{OWN}m")
     rows = staged(rows.withColumn("base_failed", F.expr(f"({RULES['short']}) or ({RULES['repeats']})")), "quality")
     hosts = host_verdicts(rows, f"{OWN}host")
-    hosts = hosts.select(F.col(f"{OWN}host").alias(f"{OWN}of"), F.col("bad").alias(f"{OWN}bad"), *(F.col(f"{name}_trusted").alias(f"{OWN}{name}") for name in SOFT))
+    hosts = hosts.select(F.col(f"{OWN}host").alias(f"{OWN}of"), F.col("bad").alias(f"{OWN}bad"), *(F.col(f"{name}_limit").alias(f"{OWN}{name}") for name in SOFT))
     fails = F.lit(False)
-    for name in SOFT:
-        fails = fails | (F.expr(RULES[name]) & ~F.col(f"{OWN}{name}"))
+    for name, (part, whole, _) in SOFT.items():
+        fails = fails | F.coalesce(100 * F.col(part) > F.col(f"{OWN}{name}") * F.col(whole), F.lit(False))
     out = rows.join(hosts, F.col(f"{OWN}host").eqNullSafe(F.col(f"{OWN}of")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col(f"{OWN}bad") & ~fails).select(*rows.drop(f"{OWN}host").columns, "kept")
 
@@ -132,13 +143,15 @@ r AS (
 p AS (SELECT rule, avg(k / n) AS mu, var_pop(k / n) - avg(k / n) * (1 - avg(k / n)) * avg(1 / n) AS v FROM r GROUP BY rule),
 w AS (SELECT rule, mu, CASE WHEN v > 0 THEN least(greatest(mu * (1 - mu) / v - 1, 2), 1000) ELSE 1000 END AS weight FROM p),
 s AS (SELECT source, rule, mu, n + weight AS many, (k + mu * weight) / (n + weight) AS rate FROM r JOIN w USING (rule)),
+z AS (SELECT rule, avg(rate) AS m, 0.67 * stddev_pop(rate) + 1e-9 AS apart FROM s GROUP BY rule),
+c AS (SELECT *, CASE WHEN rate < 0.5 * mu THEN NULL WHEN rate > m + apart THEN 1 WHEN rate < m - apart THEN 3 ELSE 2 END AS class FROM s JOIN z USING (rule)),
 h AS (
   SELECT source, max(rate - 2 * sqrt(rate * (1 - rate) / (many + 1))) > 0.5 AS bad,
-    bool_or(rule = 'symbols' AND rate < 0.5 * mu) AS odd_symbols, bool_or(rule = 'dup_lines' AND rate < 0.5 * mu) AS odd_lines
-  FROM s GROUP BY source)
+    [5, 10, 20][max(class) FILTER (rule = 'symbols')] AS symbols, [40, 50, 60][max(class) FILTER (rule = 'dup_lines')] AS dups
+  FROM c GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT bad
-    AND NOT (10 * n_symbols > n_words AND NOT odd_symbols) AND NOT (2 * n_dup_lines > n_lines AND NOT odd_lines) AS kept
+    AND NOT coalesce(100 * n_symbols > symbols * n_words, false) AND NOT coalesce(100 * n_dup_lines > dups * n_lines, false) AS kept
 FROM m LEFT JOIN h ON m.source IS NOT DISTINCT FROM h.source
 """
