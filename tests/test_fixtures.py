@@ -124,7 +124,7 @@ def test_rates_run_on_a_stream(spark):
 
 
 def test_deconjugation(spark):
-    from wordloom.functions.deconjugation import deconjugated, forms_of, matched, parse_rules, retries
+    from wordloom.functions.deconjugation import deconjugated, forms_of, parse_rules
 
     words = spark.createDataFrame([(w,) for w in ("終わってしまった", "わからない", "みて", "作る", "なかった")], "word string")
     forms = {}
@@ -134,11 +134,6 @@ def test_deconjugation(spark):
         assert wanted in forms[word]
     rules = parse_rules('[\n// note\n{"type": "onlyfinalrule", "dec_end": ["b", "c"], "con_end": "a", "dec_tag": "t", "con_tag": "u", "detail": "d"}, {"type": "neverfinalrule", "dec_end": "z", "con_end": "b", "dec_tag": "v", "con_tag": "t", "detail": "e"}, {"type": "rewriterule", "dec_end": "q", "con_end": "xb", "dec_tag": "w", "con_tag": "t", "detail": "f"}]')
     assert [f.text for f in forms_of("xa", rules)] == ["xa", "xb", "xc", "xz", "q"]
-    tokens = spark.createDataFrame([("みて", "見る")], "token string, normalized string")
-    lookups = spark.createDataFrame([("みる", 5), ("みる", 4), ("みて", 9)], "lookup_key string, word_id int")
-    known = spark.createDataFrame([(5, ["v1"], 10), (4, ["n"], 50), (9, ["n"], 1)], "word_id int, parts_of_speech array<string>, score int")
-    assert values(matched(tokens, lookups, known)) == [("みて", 9)]
-    assert values(tokens.select(retries(F.lit("おーい")))) == [(["おーい", "ーい", "おい"],)]
 
 
 def test_token_passes(spark):

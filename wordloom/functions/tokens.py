@@ -219,7 +219,7 @@ CASES = [
     ([("それ", "Pronoun", "それ", ""), ("で", "Particle", "で", ""), ("も", "Particle", "も", ""), ("飲み", "Verb", "飲む", ""), ("きっ", "Verb", "きる", "PossibleDependant"), ("た", "Auxiliary", "た", "")], ["それでも", "飲みきった"]),
     ([("帰る", "Verb", "帰る", ""), ("で", "Particle", "で", "CaseMarkingParticle"), ("で", "Particle", "で", ""), ("さえ", "Particle", "さえ", "")], ["帰る", "で", "でさえ"]),
     ([("な", "Particle", "な", ""), ("の", "Particle", "の", ""), ("で", "Particle", "で", ""), ("食べ", "Verb", "食べる", ""), ("っ", "Auxiliary", "た", ""), ("て", "Particle", "て", "")], ["なので", "食べって"]),
-    ([("見", "Verb", "見る", ""), ("やすい", "Suffix", "やすい", ""), ("事", "Suffix", "事", ""), ("書き", "Verb", "書く", ""), ("始め", "Verb", "始める", "Dependant"), ("れ", "Auxiliary", "れる", ""), ("ば", "Particle", "ば", "")], ["見やすい", "事", "書き始めれ", "ば"]),
+    ([("見", "Verb", "見る", ""), ("やすい", "Suffix", "やすい", ""), ("事", "Suffix", "事", ""), ("書き", "Verb", "書く", ""), ("始め", "Verb", "始める", "Dependant"), ("れ", "Auxiliary", "れる", ""), ("ば", "Particle", "ば", "")], ["見やすい", "事", "書き始めれば"]),
 ]
 #: What a line of an order stands for: the tokens of a case, or one token.
 PHRASES = [tokens for tokens, _ in CASES] + [[t] for t in dict.fromkeys(t for tokens, _ in CASES for t in tokens)]
