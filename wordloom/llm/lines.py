@@ -8,7 +8,7 @@ at most SPREAD - 1 words at either end of a passage may stay.
 
 Lines are hashed without the white space around them, three consecutive ones make a window of two 64-bit hashes, and
 windows are met across all documents. The first occurrence, by doc_id (null last), then text hash, then place, stays; the
-words that any later occurrence covers are removed together. Windows are computed once and staged; the first documents of
+words that any later occurrence covers are removed together. Windows are computed once and staged; the firsts of
 repeated windows are hash-aggregated with partial minima and staged too, so that the join with all windows has its own exchange, which
 adaptive execution splits where one window is very frequent. Bit tables of a fixed size keep windows that aren't repeated,
 and texts that nothing is removed from, out of the shuffles.
@@ -43,7 +43,7 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _BY_WORD = 1 << 30
 _LOW = (1 << 31) - 1
 #: What a document's order keeps of its hash.
-_KEY_RANGE = 1 << 55
+_KEY_RANGE = 1 << 24
 #: Size of the bit tables that keep rows without partners out of shuffles: 2^25 bits are half a million rows of 64.
 BITS = 25
 _WINDOWS = f"array<struct<{OWN}pos:int,{OWN}h1:bigint,{OWN}h2:bigint>>"
@@ -76,8 +76,10 @@ def with_windows(docs: DataFrame) -> DataFrame:
         before, further = f"{least}{held}", min(2 * step, SPREAD - held)
         held += further
         found = found.withColumn(f"{least}{held}", F.transform(before, lambda x, i: F.least(x, F.get(before, i + step), F.get(before, i + further))))  # noqa: B023
-    places = F.array_distinct(F.transform(f"{least}{held}", lambda x: x.bitwiseAND(F.lit(_LOW))))
-    found = found.withColumn(starts, F.filter(places, lambda p: p + WINDOW <= F.size(words)))
+    # The least of neighbouring runs is often the same word, and never goes back
+    last = f"{least}{held}"
+    found = found.withColumn(starts, F.filter(last, lambda x, i: (i == 0) | (x != F.get(last, i - 1))))
+    found = found.withColumn(starts, F.filter(F.transform(starts, lambda x: x.bitwiseAND(F.lit(_LOW))), lambda p: p + WINDOW <= F.size(words)))
     by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, [F.xxhash64(F.slice(words, p.cast("int") + 1, HALF)), F.xxhash64(F.slice(words, p.cast("int") + 1 + HALF, WINDOW - HALF))]))
     by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, [F.xxhash64(F.slice(lines, i + 1, LINES)), F.xxhash64(F.lit("second"), F.slice(lines, i + 1, LINES))])))
     none = F.array().cast(_WINDOWS)
@@ -85,36 +87,36 @@ def with_windows(docs: DataFrame) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With a hash that, beside doc_id, tells documents apart, and a document's place in the order: by doc_id (null last), then hash.
+    """With a hash that, beside doc_id, tells documents apart, and a document's order: by doc_id (null last), then hash.
 
-    For whole numbers that is one number of fixed width, of which hash aggregates can keep the least; for other ids a struct.
+    For whole numbers that is one number, of which and of a place in the text hash aggregates can keep the least; for other
+    ids it is a struct. It keeps _KEY_RANGE values of the hash, which order the texts of one doc_id.
     """
     keyed, key = docs.withColumn(f"{OWN}key", F.xxhash64("doc_id", "text")), F.col(f"{OWN}key")
     if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
         number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-        low = key.bitwiseAND(F.lit(_KEY_RANGE - 1)).cast("decimal(17,0)")
-        return keyed.withColumn(f"{OWN}order", (number * F.lit(_KEY_RANGE).cast("decimal(17,0)") + low).cast("decimal(38,0)"))
+        low = key.bitwiseAND(F.lit(_KEY_RANGE - 1)).cast("decimal(8,0)")
+        return keyed.withColumn(f"{OWN}order", (number * F.lit(_KEY_RANGE).cast("decimal(8,0)") + low).cast("decimal(28,0)"))
     return keyed.withColumn(f"{OWN}order", F.struct(F.col("doc_id").isNull(), "doc_id", key))
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """For each document with later occurrences its order and key, and where these begin; places of windows by content have _BY_WORD added.
+def _place(docs: DataFrame) -> Column:
+    """Where a window stands, as something that orders all windows."""
+    order, pos = F.col(f"{OWN}order"), F.col(f"{OWN}pos")
+    if dict(docs.dtypes)[f"{OWN}order"].startswith("decimal"):
+        return (order * F.lit(_LOW + 1).cast("decimal(10,0)") + pos.cast("decimal(10,0)")).cast("decimal(38,0)")
+    return F.struct(order, pos)
 
-    A window that stood before in its own document is found there, among its sorted windows; so the firsts of the corpus
-    are documents, not places.
-    """
+
+def repeated_starts(docs: DataFrame) -> DataFrame:
+    """For each document with later occurrences its order and key, and where these begin; places of windows by content have _BY_WORD added."""
     own, same = [f"{OWN}order", f"{OWN}key"], [f"{OWN}h1", f"{OWN}h2"]
-    ordered, h1, h2 = f"{OWN}ordered", f"{OWN}h1", f"{OWN}h2"
-    found = with_windows(_keyed(docs.select("doc_id", "text")))
-    found = found.withColumn(ordered, F.sort_array(F.transform(f"{OWN}windows", lambda w: F.struct(w[h1].alias(h1), w[h2].alias(h2), w[f"{OWN}pos"].alias(f"{OWN}pos")))))
-    again = lambda w, i: F.coalesce((F.get(ordered, i - 1)[h1] == w[h1]) & (F.get(ordered, i - 1)[h2] == w[h2]), F.lit(False))
-    flagged = F.transform(ordered, lambda w, i: F.struct(w[h1].alias(h1), w[h2].alias(h2), w[f"{OWN}pos"].alias(f"{OWN}pos"), again(w, i).alias(f"{OWN}again")))
-    marked = staged(found.select(*own, flagged.alias(f"{OWN}windows")), "windows")
-    windows = marked.select(*own, F.inline(f"{OWN}windows"))
-    firsts = windows.groupBy(*same).agg(F.count("*").alias(f"{OWN}n"), F.min(f"{OWN}order").alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
+    marked = staged(with_windows(_keyed(docs.select("doc_id", "text"))).select(*own, f"{OWN}windows"), "windows")
+    windows, place = marked.select(*own, F.inline(f"{OWN}windows")), _place(marked)
+    firsts = windows.groupBy(*same).agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
     firsts = staged(firsts, "firsts")
-    repeated = _perhaps(windows, h1, firsts).where(f"{OWN}perhaps").drop(f"{OWN}perhaps")
-    later = repeated.join(firsts, same).where(F.col(f"{OWN}again") | (F.col(f"{OWN}order") > F.col(f"{OWN}first")))
+    repeated = _perhaps(windows, f"{OWN}h1", firsts).where(f"{OWN}perhaps").drop(f"{OWN}perhaps")
+    later = repeated.join(firsts, same).where(place > F.col(f"{OWN}first"))
     return staged(later.groupBy(*own).agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts")), "starts")
 
 
@@ -138,7 +140,7 @@ def _with_kept(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     starts = repeated_starts(docs)
     keyed = _perhaps(_keyed(docs), f"{OWN}key", starts)
     rest = keyed.where(~F.col(f"{OWN}perhaps")).select(*_own(docs))
-    found = keyed.where(f"{OWN}perhaps").join(starts.drop(f"{OWN}key"), f"{OWN}order", "left")
+    found = keyed.where(f"{OWN}perhaps").join(starts, [f"{OWN}order", f"{OWN}key"], "left")
     lines = F.regexp_extract_all(F.col("text"), F.lit(_LINE), F.lit(0))
     found = found.withColumn(words, F.when(F.col(f"{OWN}starts").isNotNull(), F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_ONE), F.lit(0)))))
     found = found.withColumn(of_line, F.flatten(F.transform(words, lambda x, i: F.array_repeat(i, F.size(x))))).withColumn(words, F.flatten(words))
