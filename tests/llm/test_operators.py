@@ -66,6 +66,14 @@ def test_blocks_of_the_benchmark_give_the_same_hits(spark):
     assert any(r.hits["items"] for r in one)
 
 
+def test_blocks_are_bounded_for_repeated_items(spark):
+    items = spark.createDataFrame([(1, "one two three four")] * 50 + [(i, f"item {i} has five words") for i in range(2, 40)] + [(50, "w " * 300), (51, None)], "item_id long, text string")
+    blocks = [b for _, b in decontaminate._blocks(items, 100)]
+    words = lambda b: sum(len(t.split()) for _, t in b)
+    assert sorted(i for b in blocks for i, _ in b) == sorted(str(i) for i in [*range(1, 40), 50, 51])
+    assert all(words(b) - max(len(t.split()) for _, t in b) <= 100 for b in blocks) and len(blocks) > 3
+
+
 def test_offsets_are_those_of_the_original(spark):
     text = "Ünü — " + " ".join(WORDS[:20]).upper() + "!"
     docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.numbering import summed_before
 from .common import OWN, WORDS, besides, byte_rows, resident, staged, table, text_batches
 
 WINDOW = 13
@@ -106,14 +107,17 @@ def _hits(text: Column, spark: SparkSession, block: list[tuple[str | None, bytes
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
-    """The items in blocks of so many words; one block at a time reaches the driver."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    """The distinct items in blocks of so many words, or of the one item that goes beyond; one block at a time reaches the driver."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     sized = items.withColumn("words", F.size(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")))
     total = sized.agg(F.sum("words")).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    for k in range(n):
-        part = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) if n > 1 else sized
-        yield n, [(r.item, r.text.encode()) for r in part.toLocalIterator()]
+    if total <= block_words:
+        yield 1, [(r.item, r.text.encode()) for r in sized.toLocalIterator()]
+        return
+    cut = staged(summed_before(sized, "words", [F.xxhash64("item", "text")], into="before").withColumn("block", F.expr(f"before div {block_words}")), "benchmark")
+    found = [r.block for r in cut.select("block").distinct().orderBy("block").collect()]
+    for k in found:
+        yield len(found), [(r.item, r.text.encode()) for r in cut.where(F.col("block") == k).toLocalIterator()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, into: str = "hits") -> DataFrame:
