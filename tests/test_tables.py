@@ -90,6 +90,17 @@ def test_searches_read_no_texts_and_only_their_grams(spark, index):
     assert "PushedFilters" in plan and "In(gram" in plan and "StringStartsWith(gram,at)" in plan
 
 
+def test_served_tables_are_read_without_a_shuffle(spark, tmp_path):
+    from wordloom.operators import serving
+    from wordloom.plans.star import Star
+
+    path = str(tmp_path / "served")
+    serving.build(Star(spark, "/root/testdata/sf0.001", once=True), path)
+    for found, pushed in ((serving.words_of_deck(spark, path, 3), "EqualTo(deck_id,3)"), (serving.decks_with_word(spark, path, 5, 1), "EqualTo(word_id,5)")):
+        plan = found._jdf.queryExecution().toString()
+        assert found.count() and pushed in plan and "Exchange" not in plan
+
+
 def test_loads_leave_untouched_parts_alone(spark, tmp_path):
     path, keys = str(tmp_path / "t"), ("k", "g")
     rows = [(i, i % 4, 1, f"v{i}") for i in range(40)] + [(None, 0, 1, "null")]

@@ -380,3 +380,28 @@ def word_pos_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of speech of a word's senses, each once, in the order of first appearance."""
     firsts = Star(spark, sf_dir).read("part").groupBy(F.expr(SENSE_WORD).alias("word_id"), "p_brand").agg(F.min("p_partkey").alias("first"))
     return firsts.groupBy("word_id").agg(F.array_sort(F.collect_list(F.struct("first", "p_brand"))).alias("p")).select("word_id", F.array_join("p.p_brand", ",").alias("parts_of_speech"))
+
+
+def in_given_order(rows: DataFrame, column: str, ids: list[int]) -> DataFrame:
+    """The rows of some ids in the order in which these were given, with their place from 0; an id given twice has its first place."""
+    places = rows.sparkSession.createDataFrame([(x, i) for i, x in enumerate(dict.fromkeys(ids))], f"{column} long, place int")
+    return rows.join(F.broadcast(places), column).orderBy("place")  # as many as were asked for
+
+
+#: Words asked for in an order of their own.
+ASKED = [42, 7, 19, 3, 42, 100, 11]
+
+
+@query(f"SELECT p_partkey AS word_id, p_name AS word, CAST(i AS INT) AS place FROM part JOIN (SELECT row_number() OVER (ORDER BY min(i)) - 1 AS i, w FROM (SELECT unnest({ASKED}) AS w, unnest(range({len(ASKED)})) AS i) GROUP BY w) ON p_partkey = w")
+def words_as_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = Star(spark, sf_dir).words().select("word_id", F.col("p_name").alias("word"))
+    return in_given_order(words, "word_id", ASKED)
+
+
+@query("SELECT s_suppkey + 1 AS deck_id, s_suppkey % 3 = 0 AS defaulted, CASE WHEN s_suppkey % 3 <> 0 THEN '2020-01-01' END AS given FROM supplier")
+def deck_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works without a date of creation get the time of the load."""
+    titles = Star(spark, sf_dir).titles()
+    given = F.when((F.col("deck_id") - 1) % 3 != 0, F.to_timestamp(F.lit("2020-01-01")))
+    created = F.coalesce(given, F.current_timestamp())
+    return titles.select("deck_id", (created >= F.current_timestamp()).alias("defaulted"), F.date_format(given, "yyyy-MM-dd").alias("given"))

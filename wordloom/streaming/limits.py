@@ -41,7 +41,7 @@ def admitted(segments: list[int | None], held: Counts, limit: int, kept: int) ->
 
 def _segmented(events: DataFrame, key: str, seconds: int, kept: int) -> DataFrame:
     length = seconds * 1_000_000 // kept
-    return events.select(F.col("event_id").cast("long").alias("event_id"), F.col(key).cast("string").alias("key"), "ts", F.expr(f"unix_micros(cast(ts as timestamp)) div {length}").alias("segment"))
+    return events.select(F.col("event_id").cast("long").alias("event_id"), F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.expr(f"unix_micros(cast(ts as timestamp)) div {length}").alias("segment"))
 
 
 def limited(events: DataFrame, key: str, limit: int, seconds: int, kept: int) -> DataFrame:
@@ -63,8 +63,8 @@ def limited(events: DataFrame, key: str, limit: int, seconds: int, kept: int) ->
     return ordered.mapInPandas(walk, "event_id long, key string, ts timestamp, admitted boolean")
 
 
-def limited_stream(events: DataFrame, key: str, limit: int, seconds: int, kept: int) -> DataFrame:
-    """The same of a stream; the counts of a key's window are its state, which goes when no event has come for a window."""
+def limited_stream(events: DataFrame, key: str, limit: int, seconds: int, kept: int, late: str = "10 minutes") -> DataFrame:
+    """The same of a stream; the counts of a key's window are its state, which goes when time has passed it by a window. Events later than the watermark are dropped."""
 
     def walk(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -73,12 +73,13 @@ def limited_stream(events: DataFrame, key: str, limit: int, seconds: int, kept:
         held: Counts = dict(zip(*state.get, strict=True)) if state.exists else {}
         rows = pd.concat(frames).sort_values(["ts", "event_id"])
         said = admitted([None if pd.isna(x) else int(x) for x in rows["segment"]], held, limit, kept)
-        state.update((list(held), list(held.values())))
-        state.setTimeoutDuration(seconds * 1000)
+        if held:
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp((max(held) + kept + 1) * seconds * 1000 // kept)
         yield rows.assign(admitted=said, key=keys[0])[["event_id", "key", "ts", "admitted"]]
 
-    rows = _segmented(events, key, seconds, kept)
-    return rows.groupBy("key").applyInPandasWithState(walk, "event_id long, key string, ts timestamp, admitted boolean", "segments array<long>, counts array<long>", "append", "ProcessingTimeTimeout")
+    rows = _segmented(events, key, seconds, kept).withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(walk, "event_id long, key string, ts timestamp, admitted boolean", "segments array<long>, counts array<long>", "append", "EventTimeTimeout")
 
 
 #: Events of the table are far apart, so the queries' windows are days.
