@@ -36,7 +36,7 @@ RULES = {
     "dup_lines": "2 * n_dup_lines > n_lines",
 }
 #: Soft rules: a measure, what it is a part of, and the percentage of it that is allowed in strict, usual and lenient hosts.
-SOFT = {"symbols": ("n_symbols", "n_words", (5, 10, 20)), "dup_lines": ("n_dup_lines", "n_lines", (40, 50, 60))}
+SOFT = {"symbols": ("n_symbols", "n_words", (5, 10, 40)), "dup_lines": ("n_dup_lines", "n_lines", (40, 50, 60))}
 HOST_LIMIT = 0.5
 TRUST = 0.5
 APART = 0.67
@@ -147,7 +147,7 @@ z AS (SELECT rule, avg(rate) AS m, 0.67 * stddev_pop(rate) + 1e-9 AS apart FROM
 c AS (SELECT *, CASE WHEN rate < 0.5 * mu THEN NULL WHEN rate > m + apart THEN 1 WHEN rate < m - apart THEN 3 ELSE 2 END AS class FROM s JOIN z USING (rule)),
 h AS (
   SELECT source, max(rate - 2 * sqrt(rate * (1 - rate) / (many + 1))) > 0.5 AS bad,
-    [5, 10, 20][max(class) FILTER (rule = 'symbols')] AS symbols, [40, 50, 60][max(class) FILTER (rule = 'dup_lines')] AS dups
+    [5, 10, 40][max(class) FILTER (rule = 'symbols')] AS symbols, [40, 50, 60][max(class) FILTER (rule = 'dup_lines')] AS dups
   FROM c GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
