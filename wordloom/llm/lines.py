@@ -3,14 +3,16 @@
 Lines come in two kinds. Those that a text has are met three at a time, as they follow each other. And as a passage may
 begin anywhere in a line, lines of LINE words are also laid out from places that the content chooses: of each SPREAD
 words in a row the one with the least rank (the first of such) begins three of them. So any passage of
-3 * LINE + SPREAD - 1 = 51 words or more holds three whole lines that begin alike wherever it stands, line ends or not;
-at most SPREAD - 1 words at either end of a passage may stay.
+3 * LINE + SPREAD - 1 = 51 words or more holds three whole lines that begin alike wherever it stands, line ends or not.
+At most SPREAD - 1 words at either end of it are in no such window, so a later occurrence is extended to both sides, word
+by word up to so many, as long as the words are those beside the window's first occurrence.
 
 Lines are hashed without the white space around them, three consecutive ones make a window of two 64-bit hashes, and
 windows are met across all documents. The first occurrence, by doc_id (null last), then text hash, then place, stays; the
-words that any later occurrence covers are removed together. Windows are computed once and staged; the firsts of
-repeated windows are hash-aggregated with partial minima and staged too, so that the join with all windows has its own exchange, which
-adaptive execution splits where one window is very frequent. Bit tables of a fixed size keep windows that aren't repeated,
+words that any later occurrence covers are removed together. Windows are computed once and staged, with a hash of each
+word; the firsts of repeated windows are hash-aggregated with partial minima and staged too, then with the words beside
+them, so that the joins with all windows have their own exchanges, which adaptive execution splits where one window is
+very frequent. Bit tables of a fixed size keep windows that aren't repeated,
 and texts that nothing is removed from, out of the shuffles.
 
 A text without a later occurrence stays as it is; from others the white space at the end goes too. Texts with neither
@@ -60,12 +62,12 @@ def _window(place: Column, hashes: list[Column]) -> Column:
 
 
 def with_windows(docs: DataFrame) -> DataFrame:
-    """docs with windows of both kinds.
+    """docs with windows of both kinds, and a brief hash of each word.
 
     What lambdas need is a column of its own: inside a lambda an expression would be evaluated for each element. A word's
     rank and its place share a long, so that the least of SPREAD words, found in three steps, tells its place.
     """
-    words, least, starts, lines = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts", f"{OWN}lines"
+    words, least, starts, lines, brief = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts", f"{OWN}lines", f"{OWN}brief"
     own_lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(_BLANKS))), lambda x: x != "")
     found = docs.withColumn(lines, F.transform(own_lines, lambda x: F.xxhash64(x)))
     found = found.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(f"{_WORD}+"), F.lit(0)))
@@ -83,7 +85,23 @@ def with_windows(docs: DataFrame) -> DataFrame:
     by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, [F.xxhash64(F.slice(words, p.cast("int") + 1, HALF)), F.xxhash64(F.slice(words, p.cast("int") + 1 + HALF, WINDOW - HALF))]))
     by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, [F.xxhash64(F.slice(lines, i + 1, LINES)), F.xxhash64(F.lit("second"), F.slice(lines, i + 1, LINES))])))
     none = F.array().cast(_WINDOWS)
-    return found.withColumn(f"{OWN}windows", F.concat(F.coalesce(by_line, none), F.coalesce(by_word, none))).select(*docs.columns, f"{OWN}windows")
+    return found.withColumn(f"{OWN}windows", F.concat(F.coalesce(by_line, none), F.coalesce(by_word, none))).withColumn(brief, F.transform(words, lambda h: h.bitwiseAND(F.lit(_LOW)).cast("int"))).select(*docs.columns, f"{OWN}windows", brief)
+
+
+def _beside(window: Column) -> Column:
+    """A window with the words, as brief hashes, that stand before it (the nearest first) and after it; none for windows of lines."""
+    brief, place = F.col(f"{OWN}brief"), window[f"{OWN}pos"] - _BY_WORD
+    start = F.greatest(place - (SPREAD - 1), F.lit(0))
+    none = F.array().cast("array<int>")
+    before = F.when(place >= 0, F.reverse(F.slice(brief, start + 1, place - start))).otherwise(none)
+    after = F.when(place >= 0, F.slice(brief, place + WINDOW + 1, SPREAD - 1)).otherwise(none)
+    return F.struct(*(window[c].alias(c) for c in (f"{OWN}pos", f"{OWN}h1", f"{OWN}h2")), before.alias(f"{OWN}before"), after.alias(f"{OWN}after"))
+
+
+def _agreeing(a: str, b: str) -> Column:
+    """How many values two arrays begin with alike."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+    return F.when(differs == 0, F.size(a)).otherwise((differs - 1).cast("int"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -109,15 +127,24 @@ def _place(docs: DataFrame) -> Column:
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
-    """For each document with later occurrences its order and key, and where these begin; places of windows by content have _BY_WORD added."""
-    own, same = [f"{OWN}order", f"{OWN}key"], [f"{OWN}h1", f"{OWN}h2"]
-    marked = staged(with_windows(_keyed(docs.select("doc_id", "text"))).select(*own, f"{OWN}windows"), "windows")
+    """For each document with later occurrences its order and key, and of these the windows' places and the words to either side that are repeated too.
+
+    Places of windows by content have _BY_WORD added.
+    """
+    own, same, beside = [f"{OWN}order", f"{OWN}key"], [f"{OWN}h1", f"{OWN}h2"], [f"{OWN}before", f"{OWN}after"]
+    marked = staged(with_windows(_keyed(docs.select("doc_id", "text"))).select(*own, f"{OWN}windows", f"{OWN}brief"), "windows")
     windows, place = marked.select(*own, F.inline(f"{OWN}windows")), _place(marked)
     firsts = windows.groupBy(*same).agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
     firsts = staged(firsts, "firsts")
-    repeated = _perhaps(windows, f"{OWN}h1", firsts).where(f"{OWN}perhaps").drop(f"{OWN}perhaps")
-    later = repeated.join(firsts, same).where(place > F.col(f"{OWN}first"))
-    return staged(later.groupBy(*own).agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts")), "starts")
+    placed = marked.select(*own, F.inline(F.transform(f"{OWN}windows", _beside))).withColumn(f"{OWN}place", place)
+    repeated = _perhaps(placed, f"{OWN}h1", firsts).where(f"{OWN}perhaps").drop(f"{OWN}perhaps")
+    mark = lambda at: F.xxhash64(*same, at)
+    heads = _perhaps(repeated.withColumn(f"{OWN}mark", mark(f"{OWN}place")), f"{OWN}mark", firsts.withColumn(f"{OWN}mark", mark(f"{OWN}first")))
+    heads = heads.where(f"{OWN}perhaps").join(firsts, same).where(F.col(f"{OWN}place") == F.col(f"{OWN}first"))
+    heads = heads.groupBy(*same, f"{OWN}first").agg(*(F.first(c).alias(f"{c}_first") for c in beside))  # repeated rows have one place
+    later = repeated.join(staged(heads, "heads"), same).where(F.col(f"{OWN}place") > F.col(f"{OWN}first"))
+    start = F.struct(F.col(f"{OWN}pos").alias("pos"), *(_agreeing(c, f"{c}_first").alias(name) for c, name in zip(beside, ("before", "after"), strict=True)))
+    return staged(later.groupBy(*own).agg(F.collect_set(start).alias(f"{OWN}starts")), "starts")
 
 
 def _perhaps(df: DataFrame, column: str, of: DataFrame) -> DataFrame:
@@ -146,9 +173,9 @@ def _with_kept(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = found.withColumn(of_line, F.flatten(F.transform(words, lambda x, i: F.array_repeat(i, F.size(x))))).withColumn(words, F.flatten(words))
     every = F.sequence(F.lit(0), F.size(words) - 1)
     found = found.withColumn(first, F.filter(every, lambda i: (i == 0) | (F.get(of_line, i) != F.get(of_line, i - 1))))
-    by_word = lambda s: F.sequence(s - _BY_WORD, s - _BY_WORD + (WINDOW - 1))
-    by_line = lambda s: F.sequence(F.get(first, s), F.coalesce(F.get(first, s + LINES), F.size(words)) - 1)
-    covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.when(s >= _BY_WORD, by_word(s)).otherwise(by_line(s)))))
+    by_word = lambda s: F.sequence(s.pos - _BY_WORD - s.before, s.pos - _BY_WORD + (WINDOW - 1) + s.after)
+    by_line = lambda s: F.sequence(F.get(first, s.pos), F.coalesce(F.get(first, s.pos + LINES), F.size(words)) - 1)
+    covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.when(s.pos >= _BY_WORD, by_word(s)).otherwise(by_line(s)))))
     return rest, found.withColumn(f"{OWN}kept", F.array_except(every, covered))
 
 
@@ -190,7 +217,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 
-#: Windows are met by their lines' and words' texts, and the least of 22 words by a frame of rows.
+#: Windows are met by their lines' and words' texts, and the least of 22 words by a frame of rows; words beside windows are compared as lists.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') AS t FROM documents),
@@ -207,7 +234,18 @@ o AS (
   FROM c WHERE n > 0 WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
 by_line AS (SELECT doc_id, p, n, win, 'line' AS kind FROM o WHERE len(win) = 3),
 w AS (SELECT * FROM by_word UNION ALL SELECT * FROM by_line),
-later AS (SELECT doc_id, p, n FROM (SELECT *, row_number() OVER (PARTITION BY kind, win ORDER BY doc_id, p) AS nth FROM w) WHERE nth > 1),
+met AS (
+  SELECT doc_id, p, n, kind, row_number() OVER o AS nth, first_value(doc_id) OVER o AS doc_1, first_value(p) OVER o AS p_1
+  FROM w WINDOW o AS (PARTITION BY kind, win ORDER BY doc_id, p)),
+beside AS (
+  SELECT m.doc_id, m.p, list_reverse(b.w[greatest(m.p - 20, 1):m.p]) AS b, list_reverse(f.w[greatest(p_1 - 20, 1):p_1]) AS b_1, b.w[m.p + 31:m.p + 51] AS a, f.w[p_1 + 31:p_1 + 51] AS a_1
+  FROM met m JOIN u b USING (doc_id) JOIN u f ON f.doc_id = m.doc_1 WHERE kind = 'word' AND nth > 1),
+alike AS (
+  SELECT doc_id, p, len(list_filter(range(1, 22), lambda k: k <= least(len(b), len(b_1)) AND b[1:k] = b_1[1:k])) AS before, len(list_filter(range(1, 22), lambda k: k <= least(len(a), len(a_1)) AND a[1:k] = a_1[1:k])) AS after
+  FROM beside),
+later AS (
+  SELECT doc_id, p - before AS p, before + 30 + after AS n FROM alike
+  UNION ALL SELECT doc_id, p, n FROM met WHERE kind = 'line' AND nth > 1),
 covered AS (SELECT DISTINCT doc_id, unnest(range(p::BIGINT, (p + n)::BIGINT)) AS p FROM later),
 pieces AS (SELECT doc_id, unnest(t) AS x, unnest(range(len(t))) AS p FROM u WHERE doc_id IN (SELECT doc_id FROM covered)),
 kept AS (SELECT doc_id, string_agg(x, '' ORDER BY p) AS t FROM pieces ANTI JOIN covered USING (doc_id, p) GROUP BY doc_id),
