@@ -59,29 +59,39 @@ def _window(place: Column, hashes: list[Column]) -> Column:
     return F.struct(place.cast("int").alias(f"{OWN}pos"), *(h.alias(f"{OWN}h{k}") for k, h in enumerate(hashes, 1)))
 
 
+def _words(text: Column) -> Column:
+    """The words of a text: white space made one kind, then cut at it, without regular expressions."""
+    for blank in _BLANKS.replace(" ", ""):
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _least_beside(numbers: str, step: int) -> Column:
+    """For each number the lesser of it and the one step further on."""
+    return F.zip_with(numbers, F.slice(numbers, step + 1, F.size(numbers)), lambda x, y: F.least(x, y))
+
+
 def with_windows(docs: DataFrame) -> DataFrame:
     """docs with windows of both kinds.
 
     What lambdas need is a column of its own: inside a lambda an expression would be evaluated for each element. A word's
-    rank and its place share a long, so that the least of SPREAD words, found in three steps, tells its place.
+    rank and its place share a long, so that the least of SPREAD words, found by doubling, tells its place.
     """
     words, least, starts, lines = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts", f"{OWN}lines"
     own_lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(_BLANKS))), lambda x: x != "")
     found = docs.withColumn(lines, F.transform(own_lines, lambda x: F.xxhash64(x)))
-    found = found.withColumn(words, F.regexp_extract_all(F.col("text"), F.lit(f"{_WORD}+"), F.lit(0)))
+    found = found.withColumn(words, _words(F.col("text")))
     found = found.withColumn(f"{least}1", F.transform(words, lambda w, i: rank(w) * (_LOW + 1) + i)).withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     held = 1
-    while held < SPREAD:  # the least of held words in a row becomes that of up to three times as many
-        step = min(held, -(-(SPREAD - held) // 2))
-        before, further = f"{least}{held}", min(2 * step, SPREAD - held)
-        held += further
-        found = found.withColumn(f"{least}{held}", F.transform(before, lambda x, i: F.least(x, F.get(before, i + step), F.get(before, i + further))))  # noqa: B023
-    # The least of neighbouring runs is often the same word, and never goes back
-    last = f"{least}{held}"
-    found = found.withColumn(starts, F.filter(last, lambda x, i: (i == 0) | (x != F.get(last, i - 1))))
-    found = found.withColumn(starts, F.filter(F.transform(starts, lambda x: x.bitwiseAND(F.lit(_LOW))), lambda p: p + WINDOW <= F.size(words)))
-    by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, [F.xxhash64(F.slice(words, p.cast("int") + 1, HALF)), F.xxhash64(F.slice(words, p.cast("int") + 1 + HALF, WINDOW - HALF))]))
-    by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, [F.xxhash64(F.slice(lines, i + 1, LINES)), F.xxhash64(F.lit("second"), F.slice(lines, i + 1, LINES))])))
+    while held < SPREAD:  # the least of held words in a row becomes that of up to twice as many
+        step = min(held, SPREAD - held)
+        found = found.withColumn(f"{least}{held + step}", _least_beside(f"{least}{held}", step))
+        held += step
+    starts_at = F.transform(F.array_distinct(f"{least}{held}"), lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int"))  # runs share their least
+    found = found.withColumn(starts, F.filter(starts_at, lambda p: p + WINDOW <= F.size(words)))
+    some = lambda of, at, ks: [F.get(of, at + k) for k in ks]  # noqa: E731  (slices would be copied value by value)
+    by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, [F.xxhash64(*some(words, p, range(HALF))), F.xxhash64(*some(words, p, range(HALF, WINDOW)))]))
+    by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, [F.xxhash64(*some(lines, i, range(LINES))), F.xxhash64(F.lit("second"), *some(lines, i, range(LINES)))])))
     none = F.array().cast(_WINDOWS)
     return found.withColumn(f"{OWN}windows", F.concat(F.coalesce(by_line, none), F.coalesce(by_word, none))).select(*docs.columns, f"{OWN}windows")
 
