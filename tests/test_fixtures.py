@@ -102,6 +102,19 @@ def test_encodings_and_books(spark, tmp_path):
         z.writestr("o/1.html", "<p><ruby>漢字<rt>かんじ</rt></ruby>。次の<script>x</script>文</p>")
     books = spark.createDataFrame([("b", bytearray(buffer.getvalue()))], "path string, content binary")
     assert texts(scripts.epub(books)) == ["漢字。", "次の文"]
+    assert texts(scripts.epub(books, scripts.CHAPTERS)) == []  # no file is named like a chapter
+
+
+def test_chapters_of_books(spark):
+    names = ["cover.xhtml", "p-001.xhtml", "part00012.html", "nav.xhtml", "0003.html", "index_split_004.html", "p-1.xhtml"]
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("c.opf", "".join(f'<item id="i{k}" href="{n}"/>' for k, n in enumerate(names)) + "<spine>" + "".join(f'<itemref idref="i{k}"/>' for k in range(len(names))) + "</spine>")
+        for n in names:
+            z.writestr(n, f"<html><head><title>題</title></head><body><p>{n}。</p></body></html>")
+    books = spark.createDataFrame([("b", bytearray(buffer.getvalue()))], "path string, content binary")
+    assert texts(scripts.epub(books)) == [f"{n}。" for n in names]
+    assert texts(scripts.epub(books, scripts.CHAPTERS)) == ["p-001.xhtml。", "part00012.html。", "0003.html。", "index_split_004.html。"]
 
 
 def test_dictionary(spark):

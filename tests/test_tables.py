@@ -7,9 +7,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wordloom.operators import difficulty, loading, search
+from wordloom.operators import browsing, difficulty, export, loading, search
 from wordloom.operators.ranking import competition_rank
 from wordloom.plans.numbering import numbered, summed_before
+from wordloom.plans.star import DECK_SPAN, Star
 from wordloom.streaming import limits
 
 EVENTS = "/root/testdata/sf0.001/events.parquet"
@@ -159,3 +160,32 @@ def test_limits_of_odd_events(spark):
     found = {r.event_id: r.admitted for r in limits.limited(events, "u", 1, 60, 10).collect()}
     assert found == {1: True, 2: False, 3: False, 4: True, 5: False}
     assert limits.limited(events.limit(0), "u", 1, 60, 10).collect() == []
+
+
+def test_answers_to_requests(spark):
+    decks = spark.createDataFrame([(1,), (2,), (2,), (None,)], "deck_id int")
+    requests = [(1, "2-HIGH", "a"), (2, "1-URGENT", "b"), (2, "1-URGENT", "b"), (9, "3-MEDIUM", "c"), (1, "6-NONE", "d"), (9, "6-NONE", "e"), (None, "2-HIGH", "f"), (1, None, "g")]
+    found = browsing.answers(spark.createDataFrame(requests, "deck_id int, kind string, at string"), decks)
+    assert sorted((r["at"], r.status) for r in found.collect()) == [("a", 200), ("b", 200), ("b", 200), ("c", 404), ("d", 400), ("e", 400), ("f", 404), ("g", 400)]
+    assert browsing.choice("desc", ("Asc", "Desc")) == "Desc"
+    with pytest.raises(ValueError):
+        browsing.choice("upwards", ("Asc", "Desc"))
+    assert browsing.found(decks, deck_id=2).count() == 2
+    with pytest.raises(LookupError):
+        browsing.found(decks, deck_id=7)
+    with pytest.raises(LookupError):
+        export.export_rows(Star(spark, "/root/testdata/sf0.001"), 10_000_000)
+
+
+def test_cards_have_all_fields(spark):
+    row = export.cards(spark.range(1), {"FreqSort": F.col("id"), "Expression": F.lit("語")}).collect()[0]
+    assert tuple(row.__fields__) == export.CARD and len(export.CARD) == 22
+    assert {k: v for k, v in row.asDict().items() if v} == {"Expression": "語", "FreqSort": "0"}
+    with pytest.raises(ValueError):
+        export.cards(spark.range(1), {"Sound": F.lit("")})
+
+
+def test_a_deck_of_more_than_a_million_words(spark):
+    groups = spark.range(1_000_050).select(F.lit(2_000_000_000).alias("deck_id"), F.col("id").alias("word_id"), F.lit(0).alias("reading_index"), F.lit(1).alias("occurrences"), F.col("id").alias("fo"))
+    ids = Star.numbered(groups).agg(F.min("deck_word_id").alias("low"), F.max("deck_word_id").alias("high"), F.countDistinct("deck_word_id").alias("n")).collect()[0]
+    assert (ids.low, ids.high, ids.n) == (2_000_000_000 * DECK_SPAN + 1, 2_000_000_000 * DECK_SPAN + 1_000_050, 1_000_050)

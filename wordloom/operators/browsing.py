@@ -258,7 +258,7 @@ VOCAB_SORTS = {"chrono": "deck_word_id", "deck_freq": "-occurrences", "global_fr
 
 def vocabulary_page(star: Star, deck_id: int, sort: str = "chrono", offset: int = 0, descending: bool = False) -> DataFrame:
     words = with_rank(star.parent_words().where(F.col("deck_id") == deck_id), star)
-    key = F.expr(VOCAB_SORTS[sort])
+    key = F.expr(VOCAB_SORTS[choice(sort, tuple(VOCAB_SORTS))])
     order = [key.desc_nulls_first() if descending else key.asc_nulls_last(), F.col("deck_word_id")]
     return deep_page(words, order, offset, PAGE_WORDS) if offset else page(words.orderBy(*order), 0, PAGE_WORDS)
 
@@ -347,6 +347,48 @@ def validated(text: str, limit: int = 200) -> str:
     return text
 
 
+def choice(value: str, allowed: tuple[str, ...] | list[str]) -> str:
+    """One of the allowed values, met without regard to case; another is refused."""
+    for known in allowed:
+        if known.lower() == value.lower():
+            return known
+    raise ValueError(f"{value!r} is none of {', '.join(allowed)}")
+
+
+def found(rows: DataFrame, **key: int) -> DataFrame:
+    """The rows of a key; refused if there are none, such as for an unknown deck. The key reaches the scan, and one row is read to know."""
+    for column, value in key.items():
+        rows = rows.where(F.col(column) == value)
+    if rows.isEmpty():
+        raise LookupError(f"there is nothing with {key}")
+    return rows
+
+
+#: Answers to requests, by their status.
+OK, REFUSED, UNKNOWN = 200, 400, 404
+#: Kinds of order that the requests of request_answers may name.
+KINDS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+
+
+def answers(requests: DataFrame, decks: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """requests(deck_id, kind and others) with the status of their answer: a kind that isn't known is refused, then a deck that isn't is unknown.
+
+    Nulls are neither known kinds nor known decks. Repeated requests are each answered, and decks' repeated rows count once.
+    """
+    known = decks.select("deck_id").distinct().withColumn("_known", F.lit(True))
+    status = F.when(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)), REFUSED).when(F.col("_known"), OK).otherwise(UNKNOWN)
+    return requests.join(known, "deck_id", "left").withColumn("status", status).drop("_known")
+
+
+@query(f"""{_W} SELECT o_orderkey AS request_id, CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 400 WHEN d.deck_id IS NULL THEN 404 ELSE 200 END AS status
+FROM orders LEFT JOIN titles d ON d.deck_id = o_custkey""")
+def request_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statuses of requests, which orders stand for: each asks for the deck of its customer's number and an order by its priority."""
+    star = Star(spark, sf_dir)
+    requests = star.read("orders").select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("deck_id"), F.col("o_orderpriority").alias("kind"))
+    return answers(requests, star.titles()).select("request_id", "status")
+
+
 @query("SELECT doc_id, length(text) > 200 AS refused FROM documents")
 def validation(spark: SparkSession, sf_dir: str, limit: int = 200) -> DataFrame:
     """Texts that are too long to be parsed on request."""

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
 from ..plans.star import STAR_SQL, Star
-from .browsing import DECK, with_rank
+from .browsing import DECK, found, with_rank
 
 _W = f"WITH {STAR_SQL}"
 
 
 def export_rows(star: Star, deck_id: int = DECK) -> DataFrame:
+    """A deck's words with readings, ranks and definitions; an unknown deck is refused."""
+    found(star.titles(), deck_id=deck_id)
     words = with_rank(star.parent_words().where(F.col("deck_id") == deck_id), star)
     return words.join(star.readings().drop("reading_type"), ["word_id", "reading_index"]).join(star.words(), "word_id")
 
@@ -38,16 +40,39 @@ def export_txt_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("reading").agg(F.count("*").alias("lines"))
 
 
-@query(f"""{_W} SELECT reading AS "Expression", regexp_replace(reading, '#', '[') || ']' AS "ExpressionFurigana", regexp_replace(reading, '[^A-Z]', '', 'g') AS "ExpressionReading", '<ul><li>' || p_type || '</li><li>' || p_brand || '</li></ul>' AS "MainDefinition", CAST(p_size AS VARCHAR) AS "PitchPosition",
-  '<ul><li>In-deck: ' || occurrences || '</li><li>Global: ' || reading_rank || '</li></ul>' AS "Frequency", CAST(reading_rank AS VARCHAR) AS "FreqSort" FROM pw JOIN rr USING (word_id, reading_index) JOIN part ON p_partkey = word_id WHERE deck_id = 1""")
+#: The fields of a card, in order.
+CARD = (
+    "Expression", "ExpressionFurigana", "ExpressionReading", "ExpressionAudio", "SelectionText", "MainDefinition", "DefinitionPicture", "Sentence", "SentenceFurigana", "SentenceAudio", "Picture",
+    "Glossary", "Hint", "IsWordAndSentenceCard", "IsClickCard", "IsSentenceCard", "PitchPosition", "PitchCategories", "Frequency", "FreqSort", "Occurrences", "MiscInfo",
+)
+
+
+def cards(rows: DataFrame, filled: dict[str, Column]) -> DataFrame:
+    """All fields of flash cards as strings, in order: those given, and empty ones."""
+    unknown = set(filled) - set(CARD)
+    if unknown:
+        raise ValueError(f"a card has no such fields: {sorted(unknown)}")
+    return rows.select(*(filled.get(name, F.lit("")).cast("string").alias(name) for name in CARD))
+
+
+_FILLED = {
+    "Expression": "reading", "ExpressionFurigana": "regexp_replace(reading, '#', '[') || ']'", "ExpressionReading": "regexp_replace(reading, '[^A-Z]', '', 'g')",
+    "MainDefinition": "'<ul><li>' || p_type || '</li><li>' || p_brand || '</li></ul>'", "PitchPosition": "CAST(p_size AS VARCHAR)",
+    "Frequency": "'<ul><li>' || occurrences || ' occurrences ; #' || reading_rank || ' global rank</li></ul>'", "FreqSort": "CAST(reading_rank AS VARCHAR)", "Occurrences": "CAST(occurrences AS VARCHAR)", "MiscInfo": "'From ' || original_title",
+}
+_FIELDS = ", ".join(f"""{_FILLED.get(name, "''")} AS "{name}\"""" for name in CARD)
+
+
+@query(f"{_W} SELECT {_FIELDS} FROM pw JOIN rr USING (word_id, reading_index) JOIN part ON p_partkey = word_id JOIN titles USING (deck_id) WHERE deck_id = 1")
 def export_anki_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The filled fields of flash cards; the others of a card are empty."""
-    rows = export_rows(Star(spark, sf_dir))
-    items = lambda *of: F.concat(F.lit("<ul>"), *(F.concat(F.lit("<li>"), x, F.lit("</li>")) for x in of), F.lit("</ul>"))
-    return rows.select(
-        F.col("reading").alias("Expression"), F.concat(F.regexp_replace("reading", "#", "["), F.lit("]")).alias("ExpressionFurigana"), F.regexp_replace("reading", "[^A-Z]", "").alias("ExpressionReading"), items(F.col("p_type"), F.col("p_brand")).alias("MainDefinition"), F.col("p_size").cast("string").alias("PitchPosition"),
-        items(F.concat(F.lit("In-deck: "), F.col("occurrences").cast("string")), F.concat(F.lit("Global: "), F.col("reading_rank").cast("string"))).alias("Frequency"), F.col("reading_rank").cast("string").alias("FreqSort"),
-    )
+    """Flash cards of a deck's words: every field, in the order of the note type."""
+    star = Star(spark, sf_dir)
+    rows = export_rows(star).join(star.titles().select("deck_id", "original_title"), "deck_id")
+    definitions = F.concat(F.lit("<ul>"), *(F.concat(F.lit("<li>"), F.col(c), F.lit("</li>")) for c in ("p_type", "p_brand")), F.lit("</ul>"))
+    return cards(rows, {
+        "Expression": F.col("reading"), "ExpressionFurigana": F.concat(F.regexp_replace("reading", "#", "["), F.lit("]")), "ExpressionReading": F.regexp_replace("reading", "[^A-Z]", ""), "MainDefinition": definitions, "PitchPosition": F.col("p_size"),
+        "Frequency": F.format_string("<ul><li>%d occurrences ; #%d global rank</li></ul>", "occurrences", "reading_rank"), "FreqSort": F.col("reading_rank"), "Occurrences": F.col("occurrences"), "MiscInfo": F.concat(F.lit("From "), F.col("original_title")),
+    })
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

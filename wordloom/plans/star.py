@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from .staging import staged
 
-#: Ids of a deck's words are deck_id * DECK_SPAN and a running number; a deck with more words raises.
-DECK_SPAN = 1_000_000
+#: Ids of a deck's words are deck_id * DECK_SPAN and a running number: 31 bits for the deck, 32 for its words, of which it
+#: has no more than the dictionary has readings.
+DECK_SPAN = 1 << 32
 MEDIA_TYPES = {1: "Anime", 2: "Drama", 3: "Movie", 4: "Novel", 5: "Non-Fiction", 6: "Video Game", 7: "Visual Novel", 8: "Web Novel", 9: "Manga"}
 BUCKET = 100
 
@@ -38,8 +39,7 @@ class Star:
     @staticmethod
     def numbered(groups: DataFrame) -> DataFrame:
         nth = F.row_number().over(Window.partitionBy("deck_id").orderBy("fo", "word_id", "reading_index"))
-        nth = F.when(nth < DECK_SPAN, nth).otherwise(F.raise_error(F.concat(F.lit("a deck has over DECK_SPAN words: "), F.col("deck_id").cast("string"))).cast("int"))
-        return groups.select("deck_id", "word_id", "reading_index", "occurrences", (F.col("deck_id") * DECK_SPAN + nth).alias("deck_word_id"))
+        return groups.select("deck_id", "word_id", "reading_index", "occurrences", (F.col("deck_id").cast("long") * DECK_SPAN + nth).alias("deck_word_id"))
 
     def child_words(self) -> DataFrame:
         return self.numbered(self.child_groups())
@@ -103,8 +103,8 @@ child AS (
     CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS reading_index, CAST(sum(l_quantity) AS BIGINT) AS occurrences, min(l_orderkey) AS fo
   FROM lineitem GROUP BY ALL),
 rolled AS (SELECT parent_deck_id AS deck_id, word_id, reading_index, CAST(sum(occurrences) AS BIGINT) AS occurrences, min(fo) AS fo FROM child GROUP BY ALL),
-pw AS (SELECT deck_id, word_id, reading_index, occurrences, deck_id * 1000000 + row_number() OVER (PARTITION BY deck_id ORDER BY fo, word_id, reading_index) AS deck_word_id FROM rolled),
-cw AS (SELECT deck_id, word_id, reading_index, occurrences, deck_id * 1000000 + row_number() OVER (PARTITION BY deck_id ORDER BY fo, word_id, reading_index) AS deck_word_id FROM child),
+pw AS (SELECT deck_id, word_id, reading_index, occurrences, CAST(deck_id AS BIGINT) * 4294967296 + row_number() OVER (PARTITION BY deck_id ORDER BY fo, word_id, reading_index) AS deck_word_id FROM rolled),
+cw AS (SELECT deck_id, word_id, reading_index, occurrences, CAST(deck_id AS BIGINT) * 4294967296 + row_number() OVER (PARTITION BY deck_id ORDER BY fo, word_id, reading_index) AS deck_word_id FROM child),
 readings AS (SELECT p_partkey AS word_id, i AS reading_index, p_name || '#' || ['A', 'N', 'R'][i + 1] AS reading, CASE i WHEN 0 THEN 1 ELSE 0 END AS reading_type FROM part, (VALUES (0), (1), (2)) t(i)),
 titles AS (
   SELECT s_suppkey + 1 AS deck_id, s_nationkey % 9 + 1 AS media_type, s_name AS original_title, n_name || '-' || s_suppkey AS romaji_title,

@@ -186,6 +186,10 @@ def episode(name: Column) -> Column:
     return F.coalesce(F.regexp_replace(found, r"^S\d{2}E", "").try_cast("int"), F.lit((1 << 31) - 1))
 
 
+#: Elements whose text isn't the book's.
+SILENT = ("script", "style", "title", "rt", "rp")
+
+
 class _Text(HTMLParser):
     """Text nodes without scripts, styles and ruby readings."""
 
@@ -195,18 +199,22 @@ class _Text(HTMLParser):
         self.silent = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.silent += tag in ("script", "style", "rt", "rp")
+        self.silent += tag in SILENT
 
     def handle_endtag(self, tag: str) -> None:
-        self.silent -= tag in ("script", "style", "rt", "rp") and self.silent > 0
+        self.silent -= tag in SILENT and self.silent > 0
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
             self.out.append(data)
 
 
-def book_lines(content: bytes) -> list[str]:
-    """Sentences of an e-book's chapters in reading order, cut behind 。！？."""
+#: Names of files that are chapters.
+CHAPTERS = r"\b(part\d{4,5}\.x?html|p-\d{3}\.x?html|\d{4}\.x?html)|text\d{4,5}\.x?html|index_split_\d{3}\.x?html|a_\d_\d{2}.x?html|k\d+_\d{4}.x?html\b|kd\d+_\d{4}.x?html\b"
+
+
+def book_lines(content: bytes, chapters: str | None = None) -> list[str]:
+    """Sentences of an e-book's files in reading order, cut behind 。！？; with chapters only of files whose names it is found in."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         package = next(n for n in book.namelist() if n.endswith(".opf"))
         opf = book.read(package).decode("utf-8", errors="replace")
@@ -215,20 +223,24 @@ def book_lines(content: bytes) -> list[str]:
         text = []
         for ref in re.findall(r'<itemref\b[^>]*idref="([^"]*)"', opf):
             name = f"{folder}/{items.get(ref, '')}".lstrip("/")
-            if name in book.namelist():
+            if name in book.namelist() and (chapters is None or re.search(chapters, items[ref], re.ASCII)):
                 parser = _Text()
                 parser.feed(book.read(name).decode("utf-8", errors="replace"))
                 text.append(re.sub(r"\s+", "", "".join(parser.out)))
     return [x for x in re.split("(?<=[。！？])", "".join(text)) if x.strip()]
 
 
-def epub(files: DataFrame) -> DataFrame:
-    """file, line_no, text of files(path, content); a book is one row, and its lines leave the worker one batch at a time."""
+def epub(files: DataFrame, chapters: str | None = None) -> DataFrame:
+    """file, line_no, text of files(path, content); a book is one row, and its lines leave the worker one batch at a time.
+
+    chapters is a pattern for names of files, such as CHAPTERS, that keeps title pages, contents and notes out; a book
+    without such files gives no lines.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = book_lines(content)
+                lines = book_lines(content, chapters)
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(lines), pa.string()), pa.array(range(len(lines)), pa.int32()), pa.array(lines, pa.string())], names=["file", "line_no", "text"])
 
     return files.select("path", "content").mapInArrow(read, "file string, line_no int, text string")
