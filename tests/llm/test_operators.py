@@ -353,6 +353,23 @@ def test_trees_find_what_formats_miss(spark):
     assert sum(k == "secret" for _, spans in personal.find(texts, model) for k, *_ in spans) >= planted > 20
 
 
+@pytest.mark.parametrize("collected", [personal.COLLECTED, 0])
+def test_trees_learn_from_the_candidates_of_all_documents(spark, monkeypatch, collected):
+    monkeypatch.setattr(personal, "TREES", 6)
+    places = spark.range(9000).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 1).limit(400)  # of 8000 documents or more, those in the other half were left out
+    rows = [(r.id, f"call me at +1 (212) 555-{i:04d} now, order {10**11 + i * 7919}ef" + (f" from 10.0.{i % 200}.7" if i % 3 else f" or joe{i}@mail.example.com")) for i, r in enumerate(places.orderBy("id").collect())]
+    docs = spark.range(9000).withColumnRenamed("id", "doc_id").join(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "left")
+    model = personal.learn(docs, collected)
+    seen = []
+    for _, text in rows:
+        base = personal.base_spans(text)
+        seen += [(k, *personal.around(text, a, b), own) for own, of in ((True, base), (False, personal.candidates(text, base))) for k, a, b in of]
+    brute = personal.train(seen)  # the same in memory
+    assert model["start"] == pytest.approx(brute["start"]) and model["least"] == pytest.approx(brute["least"])
+    x = np.array([v for c in seen for v, _, _ in personal.examples(*c)])
+    assert len(x) > 2000 and np.allclose(personal.probability(model, x), personal.probability(brute, x))
+
+
 def test_many_spans_take_linear_time():
     import time
 

@@ -3,7 +3,7 @@
 Base spans (emails, IP addresses, card and phone numbers in plain formats) always stay. Generators propose more, looser
 spans that may overlap: written-out emails; of any run of digits with separators each part between separators, as each
 kind it might be; and secrets (keys, tokens, passwords), a kind of the method's own. Features of a span's format and of
-the text around it go through boosted trees, trained on candidates of a bounded sample of documents (TRAINING). There are
+the text around it go through boosted trees, trained on the candidates of all documents, by sums that Spark makes. There are
 no labelled spans, so formats label some: base spans, assigned keys, and reformatted variants of both are positive;
 candidates that their own kind's check refutes (checked()), and variants with the checks broken, are negative; what no
 check can settle isn't trained on. Per kind the threshold is the lowest at which candidates kept from training reach
@@ -20,21 +20,26 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_batches, text_rows
+from .common import staged, table, text_batches, text_rows
 
 #: The kinds of base spans, and the method's own one.
 KINDS = ("email", "ip", "card", "phone")
 ALL_KINDS = (*KINDS, "secret")
-#: Documents and candidates to train on at most.
-TRAINING = (4000, 20_000)
 PRECISION = 0.99
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
+#: Quantiles that features are binned at.
+PLACES = np.linspace(0, 1, BINS)[1:-1].tolist()
+#: Gradients are summed as whole numbers of so many parts, and thresholds are told by so many levels of log-odds to one.
+SCALE, LEVELS = 1 << 24, 256
+#: Different binned examples, of some 40 bytes, up to which their counts are summed in the driver.
+COLLECTED = 50_000
 CONTEXT = 24
 
 _local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -221,80 +226,140 @@ def variants(kind: str, left: str, span: str, right: str) -> list[tuple[tuple[st
     ]
 
 
-def boost(x: np.ndarray, y: np.ndarray) -> dict:
-    """Boosted trees for log-odds: second-order gains over binned features, grown to a depth."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS)[1:-1])) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(edges[j], x[:, j], side="left") for j in range(x.shape[1])], axis=1)
-    start = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    margin, trees = np.full(len(y), start), []
+def boost(edges: list[np.ndarray], start: float, histograms: Callable) -> dict:
+    """Boosted trees for log-odds: second-order gains over binned features, grown level by level from sums over all examples.
+
+    histograms(trees, tree) sums gradients, curvatures and numbers of examples by leaf of the growing tree, feature and
+    bin. They are whole numbers (SCALE), so trees don't depend on how examples are dealt.
+    """
+    trees: list = []
     for _ in range(TREES):
-        p = 1 / (1 + np.exp(-margin))
-        tree = _grow(binned, edges, p - y, np.maximum(p * (1 - p), 1e-6), np.arange(len(y)), DEPTH)
+        tree: tuple | float | int = 0
+        for depth in range(DEPTH + 1):
+            if not _open(tree):
+                break
+            tree = _split(tree, histograms(trees, tree), edges, depth == DEPTH)
         trees.append(tree)
-        margin = margin + _tree(tree, x)
-    return {"start": start, "trees": trees}
-
-
-def _grow(binned: np.ndarray, edges: list, g: np.ndarray, h: np.ndarray, rows: np.ndarray, depth: int):
-    leaf = float(-RATE * g[rows].sum() / (h[rows].sum() + 1))
-    if depth == 0 or len(rows) < 8:
-        return leaf
-    best, where = 1e-3, None
-    total_g, total_h = g[rows].sum(), h[rows].sum()
-    for j in range(binned.shape[1]):
-        gl = np.cumsum(np.bincount(binned[rows, j], g[rows], minlength=len(edges[j]) + 1))[:-1]
-        hl = np.cumsum(np.bincount(binned[rows, j], h[rows], minlength=len(edges[j]) + 1))[:-1]
-        gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
-        if len(gain) and gain.max() > best:
-            best, where = gain.max(), (j, int(gain.argmax()))
-    if where is None:
-        return leaf
-    j, cut = where
-    low = binned[rows, j] <= cut
-    return (j, float(edges[j][cut]), _grow(binned, edges, g, h, rows[low], depth - 1), _grow(binned, edges, g, h, rows[~low], depth - 1))
+    return {"start": start, "trees": [_by_value(t, edges) for t in trees]}
+
+
+def _open(tree) -> list[int]:
+    """Leaves of a growing tree, which are whole numbers until their values are settled."""
+    return [tree] if isinstance(tree, int) else [] if isinstance(tree, float) else [*_open(tree[2]), *_open(tree[3])]
+
+
+def _split(tree, sums: np.ndarray, edges: list, last: bool):
+    """The tree with each open leaf split where that gains most, or closed."""
+    fresh = iter(range(2 ** (DEPTH + 1)))
+
+    def grown(node):
+        if isinstance(node, float):
+            return node
+        if isinstance(node, tuple):
+            return (*node[:2], grown(node[2]), grown(node[3]))
+        own = sums[node]
+        total_g, total_h, n = own[0].sum(axis=0)
+        if last or n < 8:
+            return float(-RATE * total_g / (total_h + 1))
+        best, where = 1e-3, None
+        for j, e in enumerate(edges):
+            gl, hl, _ = np.cumsum(own[j], axis=0)[: len(e)].T
+            gain = gl**2 / (hl + 1) + (total_g - gl) ** 2 / (total_h - hl + 1) - total_g**2 / (total_h + 1)
+            if len(gain) and gain.max() > best:
+                best, where = gain.max(), (j, int(gain.argmax()))
+        return float(-RATE * total_g / (total_h + 1)) if where is None else (*where, next(fresh), next(fresh))
+
+    return grown(tree)
+
+
+def _by_value(tree, edges: list):
+    return tree if isinstance(tree, float) else (tree[0], float(edges[tree[0]][tree[1]]), _by_value(tree[2], edges), _by_value(tree[3], edges))
 
 
 def _tree(tree, x: np.ndarray) -> np.ndarray:
-    if isinstance(tree, float):
+    if not isinstance(tree, tuple):
         return np.full(len(x), tree)
     j, cut, low, high = tree
     return np.where(x[:, j] <= cut, _tree(low, x), _tree(high, x))
 
 
+def _margin(start: float, trees: list, x: np.ndarray) -> np.ndarray:
+    return start + sum((_tree(t, x) for t in trees), np.zeros(len(x)))
+
+
 def probability(model: dict, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-(model["start"] + sum(_tree(t, x) for t in model["trees"]))))
+    return 1 / (1 + np.exp(-_margin(model["start"], model["trees"], x)))
+
+
+def histogram(start: float, trees: list, tree, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of binned examples x with labels y, each n times: sums by leaf, feature, bin, and of what (gradient, curvature, number), as whole numbers."""
+    p = 1 / (1 + np.exp(-_margin(start, trees, x)))
+    leaf, nodes = _tree(_leaves(tree), x), len(_open(tree))
+    parts = [np.round(SCALE * v) * n for v in (p - y, np.maximum(p * (1 - p), 1e-6))] + [n * float(SCALE)]
+    held = leaf >= 0
+    cells = leaf[held] * BINS
+    out = np.zeros((nodes, x.shape[1], BINS, 3))
+    for j in range(x.shape[1]):
+        for k, v in enumerate(parts):
+            out[:, j, :, k] = np.bincount(cells + x[held, j], v[held], minlength=nodes * BINS).reshape(nodes, BINS)
+    return out
+
+
+def _leaves(tree):
+    """The growing tree with -1 for leaves whose value is settled."""
+    return -1 if isinstance(tree, float) else tree if isinstance(tree, int) else (*tree[:2], _leaves(tree[2]), _leaves(tree[3]))
+
+
+def binned(edges: list[np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1)
+
+
+def examples(kind: str, left: str, span: str, right: str, base: bool) -> list[tuple[list[float], int, bool]]:
+    """What a candidate teaches: features, label and side. Variants are on their source's side: either fitted on, or calibrated by (True)."""
+    c, out = (kind, left, span, right), []
+    sure = True if base else checked(*c)
+    if sure is not None and not (base and kind == "email"):
+        out.append((c, int(sure)))
+    if sure:
+        out += variants(*c)
+    side = int(hashlib.md5("\0".join(c).encode()).hexdigest(), 16) % 4 == 0 if out else False
+    return [(features(*v), y, side) for v, y in out]
+
+
+def _start(mean: float) -> float:
+    return float(np.log((mean + 1e-3) / (1 - mean + 1e-3)))
 
 
 def train(rows: list[tuple[str, str, str, str, bool]]) -> dict | None:
-    """Trees and thresholds of candidates (kind, left, span, right, base). Variants are on their source's side: either fitted on, or calibrated by."""
-    data: list[tuple[tuple[str, str, str, str], int]] = []
-    source: list[tuple[str, str, str, str]] = []
-    for *c, base in rows:
-        sure = True if base else checked(*c)
-        if sure is not None and not (base and c[0] == "email"):
-            data.append((tuple(c), int(sure)))
-        if sure:
-            data += variants(*c)
-        source += [tuple(c)] * (len(data) - len(source))
-    if len({y for _, y in data}) < 2:
-        return None
-    x, y = np.array([features(*c) for c, _ in data]), np.array([y for _, y in data], float)
-    check = np.array([int(hashlib.md5("\0".join(c).encode()).hexdigest(), 16) % 4 == 0 for c in source])
+    """Trees and thresholds of candidates (kind, left, span, right, base) in memory; learn() does the same over a table."""
+    data = [e for r in rows for e in examples(*r)]
+    x, y, check = np.array([v for v, _, _ in data]), np.array([v for _, v, _ in data], float), np.array([v for _, _, v in data], bool)
     if len(set(y[~check])) < 2 or not check.any():
         return None
-    model = boost(x[~check], y[~check])
-    p, kind = probability(model, x[check]), x[check][:, 0]
-    return model | {"least": [_threshold(p[kind == k], y[check][kind == k]) for k in range(len(ALL_KINDS))]}
+    edges = [np.unique(np.quantile(v, PLACES, method="inverted_cdf")) for v in x[~check].T]
+    fit, start = (binned(edges, x[~check]), y[~check], np.ones((~check).sum())), _start(y[~check].mean())
+    model = boost(edges, start, lambda trees, tree: histogram(start, trees, tree, *fit) / SCALE)
+    level, kind = _level(_margin(start, model["trees"], x[check])), x[check][:, 0]
+    return model | {"least": [_threshold(*_by_level(level[kind == k], y[check][kind == k])) for k in range(len(ALL_KINDS))]}
+
+
+def _level(margin: np.ndarray) -> np.ndarray:
+    return np.round(margin * LEVELS).astype(int)
+
 
+def _by_level(level: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    at, of = np.unique(level, return_inverse=True)
+    return at, np.bincount(of, y, minlength=len(at)), np.bincount(of, minlength=len(at))
 
-def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Halfway from the lowest probability down to which enough are right to the next one; over 1 if there is none."""
-    by = np.argsort(-p, kind="stable")
-    ranked = np.append(p[by], 0.0)
-    last = np.flatnonzero(ranked[:-1] > ranked[1:])  # equal ones pass or fail together
-    right = np.cumsum(y[by])[last] / (last + 1)
-    good = last[right >= PRECISION]
-    return float(ranked[good[-1]] + ranked[good[-1] + 1]) / 2 if len(good) else 1.1
+
+def _threshold(level: np.ndarray, right: np.ndarray, n: np.ndarray) -> float:
+    """Of ascending levels the probability halfway from the lowest one down to which enough are right to the next one; over 1 if there is none."""
+    good = np.flatnonzero(np.cumsum(right[::-1]) / np.cumsum(n[::-1]) >= PRECISION) if len(level) else []
+    if not len(good):
+        return 1.1
+    p = np.append(0.0, 1 / (1 + np.exp(-level / LEVELS)))
+    k = len(level) - good[-1]
+    return float(p[k] + p[k - 1]) / 2
 
 
 def around(text: str, a: int, b: int) -> tuple[str, str, str]:
@@ -338,23 +403,92 @@ def spans(text: Column, spark: SparkSession, model: dict | None) -> Column:
     return searched(text)
 
 
-def learn(docs: DataFrame) -> dict | None:
-    """The trees, from candidates of a bounded sample of docs(doc_id, text)."""
-
-    @F.arrow_udf("array<struct<kind:string,left:string,span:string,right:string,base:boolean>>")
-    def proposed(texts: pa.Array) -> pa.Array:
+def _taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The examples of all candidates in whole texts."""
+    for batch in batches:
         out = []
-        for t in text_rows(texts):
-            base = base_spans(t or "")
-            own = [(s, True) for s in base] + [(s, False) for s in candidates(t or "", base)]
-            out.append([dict(zip(("kind", "left", "span", "right"), (k, *around(t, a, b)), strict=True)) | {"base": is_base} for (k, a, b), is_base in own])
-        return pa.array(out, pa.list_(pa.struct([*((n, pa.string()) for n in ("kind", "left", "span", "right")), ("base", pa.bool_())])))
-
-    most_docs, most = TRAINING
-    every = max(1, docs.count() // most_docs)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * most_docs)
-    rows = sample.select(F.explode(proposed(F.col("text"))).alias("c")).select("c.*").orderBy(F.xxhash64("left", "span", "right"), "kind").limit(most).collect()
-    return train([tuple(r) for r in rows])
+        for text in text_rows(batch.column(0)):
+            base = base_spans(text or "")
+            for own, is_base in ((base, True), (candidates(text or "", base), False)):
+                out += [e for k, a, b in own for e in examples(k, *around(text, a, b), is_base)]
+        x, y, check = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.int32()), pa.array(check, pa.bool_())], names=["x", "y", "check"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]]:
+    """Binned examples of a task in blocks of about so many: bins, labels, numbers, and the rows."""
+    held: list[pa.RecordBatch] = []
+
+    def block() -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]:
+        rows = pa.Table.from_batches(held)
+        x = np.frombuffer(b"".join(rows["bins"].to_pylist()), np.uint8).reshape(len(rows), -1).astype(int)
+        return x, rows["y"].to_numpy(), rows["n"].to_numpy(), rows
+
+    for batch in batches:
+        held += [batch] * (batch.num_rows > 0)
+        if sum(b.num_rows for b in held) >= size:
+            yield block()
+            held.clear()
+    if held:
+        yield block()
+
+
+def learn(docs: DataFrame, collected: int = COLLECTED) -> dict | None:
+    """The trees, from the candidates of all whole texts of docs(text).
+
+    Examples are binned by quantiles over all of them and counted by their bins. Up to so many different ones the driver
+    gets their counts, and grows the trees from these. Of more each level of a tree is one aggregate over the counts, of
+    which it gets a row for each leaf, feature and bin. Both give the same. Thresholds come from counts by kind and level
+    of log-odds.
+    """
+    text_batches(docs.sparkSession)
+    all_examples = staged(docs.select("text").mapInArrow(_taught, "x array<double>, y int, check boolean"), "examples")
+    fitted = all_examples.where("not check")
+    sides = {r["check"]: r for r in all_examples.groupBy("check").agg(F.avg("y").alias("mean"), F.min("y").alias("low"), F.max("y").alias("high"), F.max(F.size("x")).alias("n")).collect()}
+    if len(sides) < 2 or sides[False].low == sides[False].high:
+        return None
+    width, start = sides[False].n, _start(sides[False]["mean"])
+    edges = [np.unique(e) for e in fitted.agg(*(F.percentile_approx(F.get("x", F.lit(j)), PLACES, 10_000).alias(f"e{j}") for j in range(width))).first()]
+
+    def as_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(0).flatten()).reshape(batch.num_rows, width)
+            bins = [row.tobytes() for row in binned(edges, x).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([pa.array(bins, pa.binary()), pa.array(x[:, 0].astype(np.int32)), batch.column(1), batch.column(2)], names=["bins", "kind", "y", "check"])
+
+    counted = all_examples.mapInArrow(as_bins, "bins binary, kind int, y int, check boolean").groupBy("bins", "kind", "y", "check").agg(F.count("*").alias("n"))
+    counted = staged(counted, "binned-examples")
+    fit, calibrating = counted.where("not check").select("bins", "y", "n"), counted.where("check").select("bins", "kind", "y", "n")
+
+    def histograms(trees: list, tree) -> np.ndarray:
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if parts := [histogram(start, trees, tree, *block[:3]) for block in _blocks(batches)]:
+                sums = sum(parts).reshape(-1, 3)
+                cells = np.flatnonzero(sums[:, 2])
+                yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(v.astype(np.int64)) for v in sums[cells].T)], names=["cell", "g", "h", "n"])
+
+        out = np.zeros((len(_open(tree)) * width * BINS, 3))
+        for cell, *v in fit.mapInArrow(summed, "cell long, g long, h long, n long").groupBy("cell").agg(F.sum("g"), F.sum("h"), F.sum("n")).collect():
+            out[cell] = v
+        return out.reshape(-1, width, BINS, 3) / SCALE
+
+    if fit.count() <= collected:
+        held = next((block[:3] for block in _blocks(iter(fit.toArrow().combine_chunks().to_batches()), collected + 1)))
+        histograms = lambda trees, tree: histogram(start, trees, tree, *held) / SCALE
+    model = boost(edges, start, histograms)
+    in_bins = [_by_bin(t, edges) for t in model["trees"]]
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, y, n, rows in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([rows["kind"].combine_chunks(), pa.array(_level(_margin(start, in_bins, x))), pa.array(y * n), pa.array(n)], names=["kind", "level", "good", "n"])
+
+    by_level = calibrating.mapInArrow(levels, "kind int, level long, good long, n long").groupBy("kind", "level").agg(F.sum("good").alias("good"), F.sum("n").alias("n")).orderBy("kind", "level").collect()
+    of = lambda k: np.array([r[1:] for r in by_level if r.kind == k], float).reshape(-1, 3).T
+    return model | {"least": [_threshold(*of(k)) for k in range(len(ALL_KINDS))]}
+
+
+def _by_bin(tree, edges: list):
+    return tree if isinstance(tree, float) else (tree[0], int(np.searchsorted(edges[tree[0]], tree[1])), _by_bin(tree[2], edges), _by_bin(tree[3], edges))
 
 
 def redacted(text: Column, found: Column) -> Column:
