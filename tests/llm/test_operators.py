@@ -173,6 +173,33 @@ def test_a_hot_language_leaves_the_strings_of_others(spark):
     assert {r.lang_pred for r in language.identified(docs.where("lang = 'small'"), model).collect()} == {"small"}
 
 
+def test_language_is_calibrated_by_all_documents_that_are_not_counted(spark, monkeypatch):
+    seen, calibrated = [], language.calibrated
+    monkeypatch.setattr(language, "calibrated", lambda langs, judged: seen.append(judged.count()) or calibrated(langs, judged))
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the cat sat on "), "id").alias("text"), F.lit("en").alias("lang"))
+    language.learn(docs)
+    assert seen == [language.learning(docs).where(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(5)) == 0).count()] and seen[0] > 3000
+
+
+def test_calibration_against_numpy(spark):
+    rng, langs = np.random.default_rng(4), ["de", "en", "xx"]
+    rows = [(langs[i % 2], (rng.normal(3, 0.3, 3) + 0.4 * (np.arange(3) != i % 2)).tolist(), int(rng.integers(5, 400))) for i in range(2001)]
+    found = language.calibrated(langs, spark.createDataFrame([*rows, ("none", [1.0, 1.0, 1.0], 9), ("en", [0.0, 0.0, 0.0], 0)], "lang string, bits array<double>, n long").repartition(3))
+    own, bits, n = np.array([langs.index(r[0]) for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
+    excess, z = (bits - bits[np.arange(len(rows)), own][:, None]) * n[:, None], []
+    assert found["temperature"] == min(np.geomspace(1, 1e5, 201), key=lambda t: np.logaddexp2.reduce(-excess / t, axis=1).mean())
+    median = lambda x: np.quantile(x, 0.5, method="inverted_cdf")
+    for k in (0, 1):
+        mine = (own == k) & (bits.argmin(axis=1) == k)
+        b, m = bits[mine, k], n[mine]
+        off = b - median(b[m >= median(m)])
+        far, near = 1.4826 * median(np.abs(off[m >= median(m)])), 1.4826 * median((np.abs(off) * np.sqrt(m))[m <= median(m)])
+        assert np.allclose([found["mean"][k], found["far"][k], found["near"][k]], [b[0] - off[0], far, near])
+        z += (off / np.sqrt(far**2 + near**2 / m)).tolist()
+    assert found["limit"] == pytest.approx(max(language.LEAST_LIMIT, language.MARGIN * np.quantile(z, 1 - language.REJECTED, method="inverted_cdf")))
+    assert (found["mean"][2], found["far"][2], found["near"][2]) == (8.0, 0.02, 0.5)
+
+
 # 3
 
 

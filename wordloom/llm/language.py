@@ -12,7 +12,8 @@ contexts. A larger one stays a table: the distinct strings of the texts are join
 counts. Both give the same. The language with the lowest cross-entropy per letter is chosen, of equal ones the first by
 name.
 
-Calibration uses learning documents kept out of the model (CALIBRATION): a temperature is fitted by their likelihood and
+Every learning document is either counted or calibrates (CALIBRATION), whatever their number, by sums and quantiles that
+Spark makes: a temperature is fitted by the likelihood of those that calibrate and
 turns cross-entropies into the score, a probability. Rejection is by how far a text's cross-entropy is above its
 language's mean, in deviations that have a part for short texts; the limit is such that of the calibration documents
 REJECTED are rejected, with a margin. A text beyond it is rejected as in none of the languages.
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from .common import OWN, besides, release, resident, staged, struct, table, text_batches, text_rows
 
 ORDER = 4
-#: Learning documents that are kept out of the model for temperature and rejection limits, about; at most a fifth of all.
-CALIBRATION = 2000
+#: One of so many learning documents is kept out of the model and calibrates it; all others are counted.
+CALIBRATION = 5
+#: Ranks of quantiles by which a limit is found are right to one in so many rows.
+ACCURACY = 100_000
 #: Share of calibration documents beyond the limit of rejection, and the margin it is multiplied by.
 REJECTED, MARGIN = 0.002, 1.25
 #: The limit in deviations is this at least: fewer calibration documents than 1 / REJECTED don't tell.
@@ -178,14 +181,6 @@ def tables(counts: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     return (whole(parts, "parts"), whole(weights, "weights"), letters) if letters else (counts, counts, {})
 
 
-def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
-    return keys & np.uint64((1 << 16 * order) - 1)
-
-
-def _hashed(keys: np.ndarray, order: int) -> np.ndarray:
-    return (keys ^ np.uint64(order)) * _ODD
-
-
 def arrays(parts, weights, letters: dict[str, int]) -> dict:
     """The sorted hash arrays of pandas frames parts and weights(order, lang, key, value)."""
     langs = sorted(letters)
@@ -324,8 +319,7 @@ def held_out() -> Column:
 def learn(docs: DataFrame, calibration: int = CALIBRATION, broadcast: int = BROADCAST) -> dict | None:
     """The calibrated model of docs(doc_id, text, lang), or None if they have nothing to learn from."""
     known = learning(docs)
-    kept = F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(max(5, known.count() // calibration))) == 0
-    kept = F.coalesce(kept, F.lit(False))
+    kept = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(calibration)) == 0, F.lit(False))
     parts, weights, letters = tables(string_counts(known.where(~kept)))
     if not letters:
         parts, weights, letters = tables(string_counts(known))  # so few documents that all of them calibrate
@@ -335,31 +329,39 @@ def learn(docs: DataFrame, calibration: int = CALIBRATION, broadcast: int = BROA
     if (parts.count() + weights.count()) * (8 + 4 * len(letters)) <= broadcast:
         rows = [x.select(F.col("order").cast("byte").alias("order"), "lang", "key", F.col("value").cast("double").alias("value")).toArrow().to_pandas(strings_to_categorical=True) for x in (parts, weights)]
         model["arrays"] = arrays(*rows, letters)
-    sample = with_bits(known.where(kept).select("lang", "text"), model).where(f"{_N} > 0").select("lang", _BITS, _N).limit(4 * calibration).collect()
-    return model | calibrated(model["langs"], [tuple(r) for r in sample])
-
-
-def calibrated(langs: list[str], rows: list[tuple[str, list[float], int]]) -> dict:
-    """Temperature, and means, deviations and limit for rejection, of rows (language, cross-entropies, letters)."""
-    rows = [r for r in rows if r[0] in langs]
-    number = {x: i for i, x in enumerate(langs)}
-    temperature, mean, far, near, z = 1.0, [], [], [], []
-    if rows:
-        own, bits, n = np.array([number[r[0]] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float)
-        excess = (bits - bits[np.arange(len(rows)), own][:, None]) * n[:, None]
-        loss = lambda t: np.logaddexp2.reduce(np.clip(-excess / t, -1e6, 1e6), axis=1).mean()
-        temperature = float(min(np.geomspace(1, 1e5, 201), key=loss))
-        right = bits.argmin(axis=1) == own
-    for k in range(len(langs)):
-        mine = (own == k) & right if rows else np.zeros(0, bool)
-        b, m = (bits[mine, k], n[mine]) if mine.any() else (np.array([8.0]), np.array([1.0]))
-        mean.append(float(np.median(b[m >= np.median(m)])))
-        spread = lambda x: 1.4826 * float(np.median(np.abs(x))) if len(x) else 0.0
-        far.append(max(spread((b - mean[-1])[m >= np.median(m)]), 0.02))
-        near.append(max(spread(((b - mean[-1]) * np.sqrt(m))[m <= np.median(m)]), 0.5))
-        z += ((b - mean[-1]) / np.sqrt(far[-1] ** 2 + near[-1] ** 2 / m)).tolist() if mine.any() else []
-    limit = max(float(np.quantile(z, 1 - REJECTED)) * MARGIN if z else 0.0, LEAST_LIMIT)
-    return {"temperature": temperature, "mean": mean, "far": far, "near": near, "limit": limit}
+    judged = with_bits(known.where(kept).select("lang", "text"), model).select("lang", F.col(_BITS).alias("bits"), F.col(_N).alias("n"))
+    return model | calibrated(model["langs"], judged)
+
+
+def calibrated(langs: list[str], judged: DataFrame) -> dict:
+    """Temperature, and means, deviations and limit for rejection, of all rows of judged(lang, bits, n): cross-entropies by language, and letters."""
+    own = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    rows = staged(judged.where(F.col("lang").isin(langs)).where("n > 0").select(own.alias("own"), "bits", "n"), "calibration")
+    grid = np.geomspace(1, 1e5, 201)
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_row = np.zeros(len(grid)), False
+        for batch in batches:
+            k, bits, n = np.array(batch.column(0)), np.array(batch.column(1).flatten()).reshape(-1, len(langs)), np.array(batch.column(2), float)
+            excess, any_row = (bits - bits[np.arange(len(k)), k][:, None]) * n[:, None], any_row or len(k) > 0
+            sums += [np.logaddexp2.reduce(np.clip(-excess / t, -1e6, 1e6), axis=1).sum() for t in grid]
+        if any_row:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(sums)], names=["i", "loss"])
+
+    best = rows.mapInArrow(losses, "i int, loss double").groupBy("i").agg(F.sum("loss").alias("loss")).orderBy("loss", "i").first()
+    by_language = lambda values, otherwise: [float(values.get(k, otherwise)) for k in range(len(langs))]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("own") + 1)
+    half = lambda x: F.percentile_approx(x, 0.5, ACCURACY)
+    right = rows.where(F.array_position("bits", F.array_min("bits")) == F.col("own") + 1).select("own", "n", F.element_at("bits", F.col("own") + 1).alias("b"))
+    median = by_language(dict(right.groupBy("own").agg(half("n")).collect()), 1)  # a row for each language, as below
+    long, short = F.col("n") >= of(median), F.col("n") <= of(median)
+    mean = by_language(dict(right.where(long).groupBy("own").agg(half("b")).collect()), 8)
+    off = F.col("b") - of(mean)
+    spreads = right.groupBy("own").agg(half(F.when(long, F.abs(off))).alias("far"), half(F.when(short, F.abs(off) * F.sqrt("n"))).alias("near")).collect()
+    far, near = ([max(1.4826 * x, least) for x in by_language({r.own: r[name] for r in spreads}, 0)] for name, least in (("far", 0.02), ("near", 0.5)))
+    z = off / F.sqrt(F.pow(of(far), 2) + F.pow(of(near), 2) / F.col("n"))
+    limit = right.agg(F.percentile_approx(z, 1 - REJECTED, ACCURACY)).first()[0]
+    return {"temperature": float(grid[best.i]) if best else 1.0, "mean": mean, "far": far, "near": near, "limit": max((limit or 0.0) * MARGIN, LEAST_LIMIT)}
 
 
 def _judged(docs: DataFrame, model: dict) -> tuple[DataFrame, Column, Column, Column]:
