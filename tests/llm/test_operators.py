@@ -304,6 +304,17 @@ def test_both_agendas_agree():
             assert list(codec.merged_few(text)) == list(codec.merged_many(text))
 
 
+def test_codec_keeps_the_chunks_in_use(monkeypatch):
+    codec = sentencepiece_codec.Codec(open(sentencepiece_codec.model_path(), "rb").read())
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 300)
+    merged, merge = [], codec.merge
+    monkeypatch.setattr(codec, "merge", lambda chunk: merged.append(chunk) or merge(chunk))
+    monkeypatch.setattr(sentencepiece_codec, "BLOCK", 50)
+    texts = [f"the cat sat on the mat w{i}x and ran" for i in range(2000)]
+    assert list(codec.encode(texts)) == codec.library.encode(texts)
+    assert merged.count("▁cat") == 1 and len(codec.known) + len(codec.older) < 700
+
+
 def test_token_counts_are_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import digest, resident, struct, table, text_batches, text_rows
 
 SPACE = "▁"
-#: Distinct chunks that a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+#: Distinct chunks that a worker remembers as recent; when they are more, those used since then are kept, and the rest is learned anew.
+REMEMBERED = 400_000
+#: Characters of texts whose new chunks are learned together.
+BLOCK = 200_000
 #: Symbols up to which a list is a faster agenda than a heap.
 FEW = 48
 NEVER = float("inf")
@@ -48,6 +50,7 @@ class Codec:
         bare = f"{SPACE}*{LETTER}++(?:{separable(self.id)})|"
         self.chunks = re.compile(f"{bare}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk by the agenda of its adjacent pairs."""
@@ -112,11 +115,15 @@ class Codec:
         return self.text_of(ids).removeprefix(" ") if ids and ids[0] not in self.byte else self.text_of(ids)
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode chunks that are new here, checking each against the library."""
+        """Encode chunks that are new here, checking each against the library; chunks that aren't used for long are forgotten."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            return
-        new = [c for c in chunks if c not in self.known]
+            self.older, self.known = self.known, {}
+        new = []
+        for c in chunks.difference(self.known):
+            if c in self.older:
+                self.known[c] = self.older.pop(c)
+            else:
+                new.append(c)
         # The library puts a space before each text; behind a line end, which is a token of its own, chunks stand as they are
         theirs = [ids[2:] for ids in self.library.encode(["\n" + c for c in new], num_threads=1)]
         back = self.library.decode(theirs, num_threads=1)
@@ -125,19 +132,33 @@ class Codec:
             shown = self.text_of(own)
             if own != ids or (shown[1:] if c[0] == SPACE else shown) != text:
                 raise ValueError(f"not as the library has it: {c!r}")
-            self.known[c] = len(own), ",".join(map(str, own)), shown
-
-    def parts(self, text: str) -> list[tuple[int, str, str]]:
-        """Of each chunk of a text, its number of ids, the ids in decimal joined by commas, and its decoding."""
-        if not text:
-            return []
-        chunks = self.chunks(SPACE + text.replace(" ", SPACE))
-        while None in (found := list(map(self.known.get, chunks))):
-            self.learn(set(chunks))
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(",")]
+            self.known[c] = len(own), ",".join(map(str, own)), c if shown == c else shown
+
+    def parts(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, str, str]]]:
+        """Of each chunk of each text, its number of ids, the ids in decimal joined by commas, and its decoding.
+
+        Texts are taken in blocks, whose new chunks are learned at once.
+        """
+        for block in self.blocks(texts):
+            self.learn(set().union(*block))
+            for chunks in block:
+                yield list(map(self.known.__getitem__, chunks))
+
+    def blocks(self, texts: Iterable[str | None]) -> Iterator[list[list[str]]]:
+        """The chunks of texts, in blocks of about BLOCK characters."""
+        block, held = [], 0
+        for text in texts:
+            block.append(self.chunks(SPACE + text.replace(" ", SPACE)) if text else [])
+            held += len(text or "")
+            if held >= BLOCK:
+                yield block
+                block, held = [], 0
+        if block:
+            yield block
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+        for parts in self.parts(texts):
+            yield [int(i) for _, ids, _ in parts for i in ids.split(",")]
 
 
 LETTER = r"[^\W\d_]"
@@ -171,7 +192,7 @@ def encode(text: Column, spark: SparkSession, model_path: str) -> Column:
     @F.arrow_udf("array<int>")
     def encoded(texts: pa.Array) -> pa.Array:
         codec = _codec(key, model)
-        return pa.array([codec.encode(t or "") for t in text_rows(texts)], pa.list_(pa.int32()))
+        return pa.array(list(codec.encode(text_rows(texts))), pa.list_(pa.int32()))
 
     return encoded(text)
 
@@ -196,11 +217,11 @@ def round_trip(text: Column, spark: SparkSession, model_path: str) -> Column:
     def there_and_back(texts: pa.Array) -> pa.Array:
         codec = _codec(key, model)
         n, ids, texts_out, digests = [], [], [], []
-        for t in text_rows(texts):
-            parts = codec.parts(t or "")
-            n.append(sum(p[0] for p in parts))
-            ids.append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-            texts_out.append("".join([p[2] for p in parts]).removeprefix(" "))
+        for parts in codec.parts(text_rows(texts)):
+            counts, numbers, shown = zip(*parts, strict=True) if parts else ((), (), ())
+            n.append(sum(counts))
+            ids.append(hashlib.sha256(",".join(numbers).encode()).hexdigest())
+            texts_out.append("".join(shown).removeprefix(" "))
             digests.append(hashlib.sha256(texts_out[-1].encode()).hexdigest())
         return struct(n_tokens=(n, pa.int64()), ids_sha256=(ids, pa.string()), decoded=(texts_out, pa.string()), decoded_sha256=(digests, pa.string()))
 
