@@ -470,6 +470,30 @@ def test_recall_on_planted_passages(spark):
     assert all(sum(w[0] == "h" and "x" in w for w in r.text.split()) == 100 for r in found)
 
 
+def test_windows_are_rows_of_generated_code(spark):
+    """Their places against brute force; ranks are the only pass over words by a lambda."""
+    rng = random.Random(5)
+    texts = [rng.choice(["", " ", "\n\t"]) + "".join(rng.choice(["a", "e", "be", "eb", "é", "seen", "word", "z" * 70]) + rng.choice([" ", " ", "  ", "\n", "\t\r\n", "\x0b", "\x0c "]) for _ in range(n)) for n in [*range(60), 200, 700]]
+    rows = [*enumerate(texts), (100, None), (101, " ".join(["same"] * 90)), (102, "a\nb"), (103, "a\n \nb\nc")]
+    found = lines.windows_of(spark.createDataFrame(rows, "n int, text string")).drop("doc_id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with(" not in plan and sum(line.count("transform(") for line in plan.splitlines() if "octet_length" in line) == 1
+    expected, by_hash = set(), {}
+    for i, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        ranks = [(w.find("e") + 1 - 64 * len(w.encode()), k) for k, w in enumerate(words)]
+        starts = {min(ranks[k : k + lines.SPREAD])[1] for k in range(len(words))}
+        expected |= {(i, k + (1 << 30), tuple(words[k : k + 30])) for k in starts if k + 30 <= len(words)}
+        own = [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in (text or "").split("\n")) if x]
+        expected |= {(i, k, ("lines", *own[k : k + 3])) for k in range(len(own) - 2)}
+    known = {(i, at): window for i, at, window in expected}
+    got = found.collect()
+    assert len(got) == len(expected) > 300 and {(r[0], r[1]) for r in got} == set(known)
+    for r in got:
+        by_hash.setdefault((r[2], r[3]), set()).add(known[r[0], r[1]])
+    assert all(len(w) == 1 for w in by_hash.values()) and len(by_hash) == len(set(known.values()))
+
+
 # 7
 
 

@@ -34,11 +34,10 @@ WINDOW = LINES * LINE
 HALF = (WINDOW + 1) // 2
 _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]"
-_INLINE = r"[\x20\x09\x0B-\x0D]"
-#: Java's possessive quantifiers keep long lines from backtracking.
-_LINE = rf"{_SPACE}*+{_WORD}++(?:{_INLINE}++{_WORD}++)*+"
+#: Java's possessive quantifiers keep long words from backtracking.
 _ONE = rf"{_SPACE}*+{_WORD}++"
-_BLANKS = " \t\n\x0b\x0c\r"
+_RARE = "\t\x0b\x0c\r"
+_BLANKS = f" \n{_RARE}"
 #: Added to the places of windows that begin by content, which are words; other windows' places are lines.
 _BY_WORD = 1 << 30
 _LOW = (1 << 31) - 1
@@ -46,88 +45,105 @@ _LOW = (1 << 31) - 1
 _KEY_RANGE = 1 << 24
 #: Size of the bit tables that keep rows without partners out of shuffles: 2^25 bits are half a million rows of 64.
 BITS = 25
-_WINDOWS = f"array<struct<{OWN}pos:int,{OWN}h1:bigint,{OWN}h2:bigint>>"
 
 
-def rank(word: Column) -> Column:
-    """A number that is less for longer words, and among those of like length by where they have an e: operations that any SQL has."""
-    return F.instr(word, "e").cast("bigint") - F.shiftleft(F.octet_length(word).cast("bigint"), 6)
+def rank(word: Column, place: Column) -> Column:
+    """A number that is less for longer words, among those of like length by where they have an e, then by place, which its last 31 bits are."""
+    number = lambda c: c.cast("bigint")
+    return F.shiftleft(number(F.instr(word, "e")), 31).bitwiseOR(number(place)) - F.shiftleft(number(F.octet_length(word)), 37)
 
 
-def _window(place: Column, hashes: list[Column]) -> Column:
-    """A window with its place, and two hashes, of parts of it or by different seeds."""
-    return F.struct(place.cast("int").alias(f"{OWN}pos"), *(h.alias(f"{OWN}h{k}") for k, h in enumerate(hashes, 1)))
+def _words(text: Column) -> Column:
+    """The words of a text: white space made one kind, then cut at it. One search tells whether there are kinds that texts rarely have."""
+    spaced = text
+    for blank in _RARE:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    spaced = F.when(text.rlike(f"[{_RARE}]"), spaced).otherwise(text)
+    return F.array_remove(F.split(F.replace(spaced, F.lit("\n"), F.lit(" ")), " "), "")
 
 
-def _words(text: Column) -> Column:
-    """The words of a text: white space made one kind, then cut at it, without regular expressions."""
-    for blank in _BLANKS.replace(" ", ""):
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+def _each(docs: DataFrame, array: str, at: str) -> DataFrame:
+    """A row for each value of an array, with its place.
 
+    An array without values leaves a row whose place is null, which conditions on places drop: for the inner form Spark infers
+    a filter on the array, and evaluates what the array is made from once more for it.
+    """
+    return docs.select("*", F.posexplode_outer(array).alias(at, f"{OWN}value")).drop(f"{OWN}value")
 
-def _least_beside(numbers: str, step: int) -> Column:
-    """For each number the lesser of it and the one step further on."""
-    return F.zip_with(numbers, F.slice(numbers, step + 1, F.size(numbers)), lambda x, y: F.least(x, y))
 
+def _run(array: str, start: Column, length: int) -> Column:
+    return F.slice(array, start + 1, length)
 
-def with_windows(docs: DataFrame) -> DataFrame:
-    """docs with windows of both kinds.
 
-    What lambdas need is a column of its own: inside a lambda an expression would be evaluated for each element. A word's
-    rank and its place share a long, so that the least of SPREAD words, found by doubling, tells its place.
+def _by_content(docs: DataFrame, own: list[str]) -> DataFrame:
+    """The windows that begin by content, with the columns named own.
+
+    A word's rank and its place share a long, so that the least of SPREAD words tells its place. Only ranks are made by a
+    lambda, which is interpreted for each word; the rest is generated code on a row for each SPREAD words in a row. That row
+    counts where its least isn't that of the row before: where the word left behind or the one added is less than all that both
+    have. At a text's end rows have fewer words, and too few follow for a window.
     """
-    words, least, starts, lines = f"{OWN}words", f"{OWN}least", f"{OWN}word_starts", f"{OWN}lines"
+    words, ranks, at, start = f"{OWN}words", f"{OWN}ranks", f"{OWN}at", f"{OWN}start"
+    cut = docs.select(*own, _words(F.col("text")).alias(words))
+    cut = cut.withColumn(ranks, F.transform(words, rank))
+    shared = F.array_min(_run(ranks, F.col(at), SPREAD - 1))
+    before, added = F.get(ranks, F.col(at) - 1), F.get(ranks, F.col(at) + (SPREAD - 1))
+    found = _each(cut, ranks, at).where((F.col(at) == 0) | (F.least(before, added) < shared))
+    found = found.select(*own, words, F.least(shared, added).bitwiseAND(F.lit(_LOW)).cast("int").alias(start)).where(F.col(start) + WINDOW <= F.size(words))
+    halves = [_run(words, F.col(start), HALF), _run(words, F.col(start) + HALF, WINDOW - HALF)]
+    return found.select(*own, (F.col(start) + _BY_WORD).alias(f"{OWN}pos"), *(F.xxhash64(h).alias(f"{OWN}h{k}") for k, h in enumerate(halves, 1)))
+
+
+def _by_line(docs: DataFrame, own: list[str]) -> DataFrame:
+    """The windows of a text's own lines, with the columns named own; the second hash has another seed."""
+    lines, at = f"{OWN}lines", f"{OWN}pos"
     own_lines = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(x, F.lit(_BLANKS))), lambda x: x != "")
-    found = docs.withColumn(lines, F.transform(own_lines, lambda x: F.xxhash64(x)))
-    found = found.withColumn(words, _words(F.col("text")))
-    found = found.withColumn(f"{least}1", F.transform(words, lambda w, i: rank(w) * (_LOW + 1) + i)).withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
-    held = 1
-    while held < SPREAD:  # the least of held words in a row becomes that of up to twice as many
-        step = min(held, SPREAD - held)
-        found = found.withColumn(f"{least}{held + step}", _least_beside(f"{least}{held}", step))
-        held += step
-    starts_at = F.transform(F.array_distinct(f"{least}{held}"), lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int"))  # runs share their least
-    found = found.withColumn(starts, F.filter(starts_at, lambda p: p + WINDOW <= F.size(words)))
-    some = lambda of, at, ks: [F.get(of, at + k) for k in ks]  # noqa: E731  (slices would be copied value by value)
-    by_word = F.transform(starts, lambda p: _window(p + _BY_WORD, [F.xxhash64(*some(words, p, range(HALF))), F.xxhash64(*some(words, p, range(HALF, WINDOW)))]))
-    by_line = F.when(F.size(lines) >= LINES, F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), lambda i: _window(i, [F.xxhash64(*some(lines, i, range(LINES))), F.xxhash64(F.lit("second"), *some(lines, i, range(LINES)))])))
-    none = F.array().cast(_WINDOWS)
-    return found.withColumn(f"{OWN}windows", F.concat(F.coalesce(by_line, none), F.coalesce(by_word, none))).select(*docs.columns, f"{OWN}windows")
+    found = _each(docs.select(*own, F.transform(own_lines, lambda x: F.xxhash64(x)).alias(lines)), lines, at).where(F.col(at) + LINES <= F.size(lines))
+    window = _run(lines, F.col(at), LINES)
+    return found.select(*own, at, F.xxhash64(window).alias(f"{OWN}h1"), F.xxhash64(F.lit("second"), window).alias(f"{OWN}h2"))
+
+
+def windows_of(docs: DataFrame) -> DataFrame:
+    """A row for each window of both kinds: docs' columns but the text, the window's place and two hashes, of parts of it or by different seeds."""
+    own = [c for c in docs.columns if c != "text"]
+    return _by_content(docs, own).union(_by_line(docs, own))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """With a hash that, beside doc_id, tells documents apart, and a document's order: by doc_id (null last), then hash.
 
-    For whole numbers that is one number, of which and of a place in the text hash aggregates can keep the least; for other
-    ids it is a struct. It keeps _KEY_RANGE values of the hash, which order the texts of one doc_id.
+    For whole numbers that is one number; for other ids it is a struct. It keeps _KEY_RANGE values of the hash, which order
+    the texts of one doc_id.
     """
-    keyed, key = docs.withColumn(f"{OWN}key", F.xxhash64("doc_id", "text")), F.col(f"{OWN}key")
-    if dict(docs.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
-        number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
-        low = key.bitwiseAND(F.lit(_KEY_RANGE - 1)).cast("decimal(8,0)")
-        return keyed.withColumn(f"{OWN}order", (number * F.lit(_KEY_RANGE).cast("decimal(8,0)") + low).cast("decimal(28,0)"))
-    return keyed.withColumn(f"{OWN}order", F.struct(F.col("doc_id").isNull(), "doc_id", key))
+    keyed = docs.withColumn(f"{OWN}key", F.xxhash64("doc_id", "text"))
+    return keyed.withColumn(f"{OWN}order", _order(keyed, F.lit(0), 0))
+
 
+def _order(keyed: DataFrame, place: Column, bits: int) -> Column:
+    """What orders documents, then places in their texts, which have so many bits.
 
-def _place(docs: DataFrame) -> Column:
-    """Where a window stands, as something that orders all windows."""
-    order, pos = F.col(f"{OWN}order"), F.col(f"{OWN}pos")
-    if dict(docs.dtypes)[f"{OWN}order"].startswith("decimal"):
-        return (order * F.lit(_LOW + 1).cast("decimal(10,0)") + pos.cast("decimal(10,0)")).cast("decimal(38,0)")
-    return F.struct(order, pos)
+    For whole numbers it is one number, of which hash aggregates can keep the least. It is made from doc_id and hash where it
+    is needed: wide numbers cost more to stage and to read than to make.
+    """
+    key = F.col(f"{OWN}key")
+    if dict(keyed.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint"):
+        number = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)"))
+        low = F.shiftleft(key.bitwiseAND(F.lit(_KEY_RANGE - 1)), bits) + place
+        return (number * F.lit(_KEY_RANGE << bits).cast("decimal(17,0)") + low.cast("decimal(20,0)")).cast("decimal(38,0)")
+    return F.struct(F.col("doc_id").isNull(), "doc_id", key, place)
 
 
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """For each document with later occurrences its order and key, and where these begin; places of windows by content have _BY_WORD added."""
-    own, same = [f"{OWN}order", f"{OWN}key"], [f"{OWN}h1", f"{OWN}h2"]
-    marked = staged(with_windows(_keyed(docs.select("doc_id", "text"))).select(*own, f"{OWN}windows"), "windows")
-    windows, place = marked.select(*own, F.inline(f"{OWN}windows")), _place(marked)
-    firsts = windows.groupBy(*same).agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(f"{OWN}first")).where(f"{OWN}n > 1").drop(f"{OWN}n")
+    own, same, first = ["doc_id", f"{OWN}key"], [f"{OWN}h1", f"{OWN}h2"], f"{OWN}first"
+    windows = staged(windows_of(_keyed(docs.select("doc_id", "text")).drop(f"{OWN}order")), "windows")
+    place = _order(windows, F.col(f"{OWN}pos"), 31)
+    firsts = windows.groupBy(*same).agg(F.count("*").alias(f"{OWN}n"), F.min(place).alias(first)).where(f"{OWN}n > 1").drop(f"{OWN}n")
     firsts = staged(firsts, "firsts")
     repeated = _perhaps(windows, f"{OWN}h1", firsts).where(f"{OWN}perhaps").drop(f"{OWN}perhaps")
-    later = repeated.join(firsts, same).where(place > F.col(f"{OWN}first"))
-    return staged(later.groupBy(*own).agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts")), "starts")
+    later = repeated.join(firsts, same).where(place > F.col(first))
+    starts = later.groupBy(*own).agg(F.collect_set(f"{OWN}pos").alias(f"{OWN}starts"))
+    return staged(starts.select(_order(starts, F.lit(0), 0).alias(f"{OWN}order"), f"{OWN}key", f"{OWN}starts"), "starts")
 
 
 def _perhaps(df: DataFrame, column: str, of: DataFrame) -> DataFrame:
@@ -146,16 +162,14 @@ def _perhaps(df: DataFrame, column: str, of: DataFrame) -> DataFrame:
 
 def _with_kept(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that nothing is removed from, as they are; and others with their words, each with the white space before it, and the places of those kept, both null if these are whole too."""
-    words, of_line, first = f"{OWN}words", f"{OWN}of_line", f"{OWN}line_starts"
+    words, first = f"{OWN}words", f"{OWN}line_starts"
     starts = repeated_starts(docs)
     keyed = _perhaps(_keyed(docs), f"{OWN}key", starts)
     rest = keyed.where(~F.col(f"{OWN}perhaps")).select(*_own(docs))
     found = keyed.where(f"{OWN}perhaps").join(starts, [f"{OWN}order", f"{OWN}key"], "left")
-    lines = F.regexp_extract_all(F.col("text"), F.lit(_LINE), F.lit(0))
-    found = found.withColumn(words, F.when(F.col(f"{OWN}starts").isNotNull(), F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(_ONE), F.lit(0)))))
-    found = found.withColumn(of_line, F.flatten(F.transform(words, lambda x, i: F.array_repeat(i, F.size(x))))).withColumn(words, F.flatten(words))
+    found = found.withColumn(words, F.when(F.col(f"{OWN}starts").isNotNull(), F.regexp_extract_all(F.col("text"), F.lit(_ONE), F.lit(0))))
     every = F.sequence(F.lit(0), F.size(words) - 1)
-    found = found.withColumn(first, F.filter(every, lambda i: (i == 0) | (F.get(of_line, i) != F.get(of_line, i - 1))))
+    found = found.withColumn(first, F.when(F.array_min(f"{OWN}starts") < _BY_WORD, F.filter(every, lambda i: (i == 0) | F.get(words, i).contains("\n"))))
     by_word = lambda s: F.sequence(s - _BY_WORD, s - _BY_WORD + (WINDOW - 1))
     by_line = lambda s: F.sequence(F.get(first, s), F.coalesce(F.get(first, s + LINES), F.size(words)) - 1)
     covered = F.array_distinct(F.flatten(F.transform(f"{OWN}starts", lambda s: F.when(s >= _BY_WORD, by_word(s)).otherwise(by_line(s)))))
