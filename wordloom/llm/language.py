@@ -336,7 +336,8 @@ def learn(docs: DataFrame, calibration: int = CALIBRATION, broadcast: int = BROA
 def calibrated(langs: list[str], judged: DataFrame) -> dict:
     """Temperature, and means, deviations and limit for rejection, of all rows of judged(lang, bits, n): cross-entropies by language, and letters."""
     own = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
-    rows = staged(judged.where(F.col("lang").isin(langs)).where("n > 0").select(own.alias("own"), "bits", "n"), "calibration")
+    # Staged before n is looked at: a filter on it would be pushed below, and judge each text a second time, by workers of its own
+    rows = staged(judged.where(F.col("lang").isin(langs)).select(own.alias("own"), "bits", "n"), "calibration").where("n > 0")
     grid = np.geomspace(1, 1e5, 201)
 
     def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import digest, resident, struct, table, text_batches, text_rows
 
 SPACE = "▁"
-#: Distinct chunks that a worker remembers as recent; when they are more, those used since then are kept, and the rest is learned anew.
-REMEMBERED = 400_000
+#: Distinct chunks that a worker remembers as recent, and their characters with those of their ids; when they are more, those
+#: used since then are kept, and the rest is learned anew.
+REMEMBERED, CHARACTERS = 400_000, 12_000_000
 #: Characters of texts whose new chunks are learned together.
 BLOCK = 200_000
 #: Symbols up to which a list is a faster agenda than a heap.
@@ -47,10 +48,15 @@ class Codec:
         self.shown = [None if sp.is_byte(i) else "" if sp.is_control(i) else self.piece[i].replace(SPACE, " ") for i in ids]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) or ("\n" in p and p != "\n") for p in self.id):
             raise ValueError("a piece spans what is cut at: this vocabulary has pieces over more than one word")
-        bare = f"{SPACE}*{LETTER}++(?:{separable(self.id)})|"
-        self.chunks = re.compile(f"{bare}{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n").findall
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        bare = f" *{LETTER}++(?:{separable(self.id)})|"
+        #: Chunks have plain spaces, which take a third of the bytes of the space symbol or less
+        self.chunks = re.compile(f"{bare} *[^ \n]+| +|\n").findall
+        #: A chunk's ids in decimal, joined by commas
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        self.characters = 0
+        #: The decoding of those known chunks that aren't decoded to themselves
+        self.differs: dict[str, str] = {}
 
     def merge(self, chunk: str) -> list[int]:
         """Ids of a chunk by the agenda of its adjacent pairs."""
@@ -116,39 +122,46 @@ class Codec:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode chunks that are new here, checking each against the library; chunks that aren't used for long are forgotten."""
-        if len(self.known) > REMEMBERED:
-            self.older, self.known = self.known, {}
+        if len(self.known) > REMEMBERED or self.characters > CHARACTERS:
+            self.older, self.known, self.characters = self.known, {}, 0
+            self.differs = {c: self.differs[c] for c in self.differs if c in self.older}
         new = []
         for c in chunks.difference(self.known):
-            if c in self.older:
-                self.known[c] = self.older.pop(c)
+            if (ids := self.older.pop(c, None)) is not None:
+                self.known[c] = ids
+                self.characters += len(c) + len(ids)
             else:
                 new.append(c)
+        symbols = [c.replace(" ", SPACE) for c in new]
         # The library puts a space before each text; behind a line end, which is a token of its own, chunks stand as they are
-        theirs = [ids[2:] for ids in self.library.encode(["\n" + c for c in new], num_threads=1)]
+        theirs = [ids[2:] for ids in self.library.encode(["\n" + s for s in symbols], num_threads=1)]
         back = self.library.decode(theirs, num_threads=1)
-        for c, ids, text in zip(new, theirs, back, strict=True):
-            own = self.merge(c)
+        for c, s, ids, text in zip(new, symbols, theirs, back, strict=True):
+            own = self.merge(s)
             shown = self.text_of(own)
-            if own != ids or (shown[1:] if c[0] == SPACE else shown) != text:
+            if own != ids or (shown[1:] if s[0] == SPACE else shown) != text:
                 raise ValueError(f"not as the library has it: {c!r}")
-            self.known[c] = len(own), ",".join(map(str, own)), c if shown == c else shown
+            self.known[c] = joined = ",".join(map(str, own))
+            self.characters += len(c) + len(joined)
+            if shown != c:
+                self.differs[c] = shown
 
-    def parts(self, texts: Iterable[str | None]) -> Iterator[list[tuple[int, str, str]]]:
-        """Of each chunk of each text, its number of ids, the ids in decimal joined by commas, and its decoding.
+    def parts(self, texts: Iterable[str | None]) -> Iterator[tuple[list[str], str]]:
+        """Of each text, the ids of each chunk, in decimal joined by commas, and the decoding of all, behind the space of the dummy prefix.
 
         Texts are taken in blocks, whose new chunks are learned at once.
         """
         for block in self.blocks(texts):
             self.learn(set().union(*block))
             for chunks in block:
-                yield list(map(self.known.__getitem__, chunks))
+                as_is = self.differs.keys().isdisjoint(chunks)
+                yield list(map(self.known.__getitem__, chunks)), "".join(chunks if as_is else [self.differs.get(c, c) for c in chunks])
 
     def blocks(self, texts: Iterable[str | None]) -> Iterator[list[list[str]]]:
         """The chunks of texts, in blocks of about BLOCK characters."""
         block, held = [], 0
         for text in texts:
-            block.append(self.chunks(SPACE + text.replace(" ", SPACE)) if text else [])
+            block.append(self.chunks(" " + text.replace(SPACE, " ")) if text else [])
             held += len(text or "")
             if held >= BLOCK:
                 yield block
@@ -157,8 +170,8 @@ class Codec:
             yield block
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
-        for parts in self.parts(texts):
-            yield [int(i) for _, ids, _ in parts for i in ids.split(",")]
+        for parts, _ in self.parts(texts):
+            yield [int(i) for ids in parts for i in ids.split(",")]
 
 
 LETTER = r"[^\W\d_]"
@@ -217,11 +230,11 @@ def round_trip(text: Column, spark: SparkSession, model_path: str) -> Column:
     def there_and_back(texts: pa.Array) -> pa.Array:
         codec = _codec(key, model)
         n, ids, texts_out, digests = [], [], [], []
-        for parts in codec.parts(text_rows(texts)):
-            counts, numbers, shown = zip(*parts, strict=True) if parts else ((), (), ())
-            n.append(sum(counts))
-            ids.append(hashlib.sha256(",".join(numbers).encode()).hexdigest())
-            texts_out.append("".join(shown).removeprefix(" "))
+        for parts, shown in codec.parts(text_rows(texts)):
+            joined = ",".join(parts)
+            n.append(joined.count(",") + 1 if parts else 0)
+            ids.append(hashlib.sha256(joined.encode()).hexdigest())
+            texts_out.append(shown.removeprefix(" "))
             digests.append(hashlib.sha256(texts_out[-1].encode()).hexdigest())
         return struct(n_tokens=(n, pa.int64()), ids_sha256=(ids, pa.string()), decoded=(texts_out, pa.string()), decoded_sha256=(digests, pa.string()))
 

@@ -110,13 +110,18 @@ def links_within(bucket: list[int]) -> list[dict[str, int]]:
     return out
 
 
+def _pairs(spark: SparkSession, rows: list[tuple[int, int]]) -> DataFrame:
+    """Rows of mask and finer. A list would pass through Python workers of another kind, which stay in memory beside the others."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, pa.int64()) for name, values in zip(("mask", "finer"), zip(*rows, strict=True), strict=True)}))
+
+
 def near_edges(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Edges a, b that connect all fingerprints (distinct fp) with at most 3 differing bits."""
     spark, masks, found = prints.sparkSession, [0], []
     rest = prints.select(F.lit(0).cast("long").alias("mask"), "fp")
     for unit_bits in (8, 4, 2):
         step = {m: refinements(m & (1 << 64) - 1, unit_bits) for m in masks}
-        finer = spark.createDataFrame([(_signed(m), _signed(x)) for m, xs in step.items() for x in xs], "mask long, finer long")  # 2,744 rows at most
+        finer = _pairs(spark, [(_signed(m), _signed(x)) for m, xs in step.items() for x in xs])  # 2,744 rows at most
         masks = sorted({x for xs in step.values() for x in xs})
         keys = rest.join(F.broadcast(finer), "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "fp")
         keys = keys if unit_bits == 8 else staged(keys.distinct(), "keys")
