@@ -28,6 +28,26 @@ def test_zscore_without_spread_is_half_the_weight(spark):
     assert sorted(values(with_moments(df, ["x"]).select("media_type", zscore("x", 30)))) == [(1, 15.0), (1, 15.0), (2, 7.5), (2, 22.5)]
 
 
+def test_moments_that_overflow_are_those_of_sql(spark):
+    import duckdb
+
+    from wordloom.operators.difficulty import _zsql, moments
+
+    inf = float("inf")
+    kinds = [[1e187, 3e186, 5e187, 1e187], [inf, 1.0, 2.0], [inf, inf], [inf], [1e200], [1e200] * 3, [1e100, 1e200], [0.1] * 3, [3e30, 1e30, 7.0], [None, 4.0]]
+    rows = [(kind, x) for kind, xs in enumerate(kinds) for x in xs]
+    df = spark.createDataFrame(rows, "media_type int, x double").repartition(7)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (media_type INT, x DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    of_kinds = con.execute("SELECT media_type, avg(x), stddev_pop(x) FROM t GROUP BY 1 ORDER BY 1").fetchall()
+    for (kind, *own), (_, *theirs) in zip(sorted(values(moments(df, ["x"]))), of_kinds, strict=True):
+        assert own == pytest.approx(theirs, rel=1e-12, nan_ok=True), kind
+    scores = con.execute(f"SELECT media_type, {_zsql('x', 30)} FROM t WHERE x IS NOT NULL ORDER BY ALL").fetchall()
+    found = with_moments(df, ["x"]).where("x is not null").select("media_type", zscore("x", 30))
+    assert [x for r in sorted(values(found)) for x in r] == pytest.approx([x for r in scores for x in r])
+
+
 def test_variants_lose_occurrences_in_parity_only(spark):
     df = spark.createDataFrame([(1, "a", 0, 5, 0), (1, "a", 1, 3, 4)], "doc_id int, word string, reading_index int, occurrences int, first_pos int")
     assert values(merged_variants(df).select("occurrences")) == [(6,)]
