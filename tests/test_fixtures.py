@@ -48,6 +48,20 @@ def test_moments_that_overflow_are_those_of_sql(spark):
     assert [x for r in sorted(values(found)) for x in r] == pytest.approx([x for r in scores for x in r])
 
 
+def test_decks_sorted_by_difficulties_that_overflow(spark, monkeypatch):
+    names = ["word_difficulty", "peak_difficulty", "character_count", "unique_word_count", "unique_kanji_count", "sentence_length"]
+    rows = [(1, 1, 1e187, float("inf"), *[1.0] * 4), (2, 1, 3e186, float("inf"), *[3.0] * 4)]
+    monkeypatch.setattr(browsing, "measures", lambda star: spark.createDataFrame(rows, "deck_id int, media_type int, " + ", ".join(f"{n} double" for n in names)).repartition(2))
+
+    class Decks:
+        @staticmethod
+        def decks():
+            return spark.createDataFrame([(1,), (2,)], "deck_id int")
+
+    # Halves of 25 and, by deviations of one, a quarter and three quarters of 60; the whole of 15, as all are at infinity
+    assert values(browsing.deck_list(Decks, "difficulty")) == [(1, "42"), (2, "72")]
+
+
 def test_variants_lose_occurrences_in_parity_only(spark):
     df = spark.createDataFrame([(1, "a", 0, 5, 0), (1, "a", 1, 3, 4)], "doc_id int, word string, reading_index int, occurrences int, first_pos int")
     assert values(merged_variants(df).select("occurrences")) == [(6,)]
