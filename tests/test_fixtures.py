@@ -48,6 +48,15 @@ def test_moments_that_overflow_are_those_of_sql(spark):
     assert [x for r in sorted(values(found)) for x in r] == pytest.approx([x for r in scores for x in r])
 
 
+def test_deck_moments_that_overflow(spark, monkeypatch):
+    from wordloom.operators import difficulty
+
+    rows = [(1, 1e187, 1.0), (1, 3e186, 2.0), (2, 1e200, 3.0), (None, 2.0, 4.0), (None, 4.0, 5.0)]
+    monkeypatch.setattr(difficulty, "measures", lambda star: spark.createDataFrame(rows, "media_type int, word_difficulty double, sentence_length double").repartition(3))
+    found = {r.media_type: (r.mean, r.deviation, r.mean_length) for r in difficulty.deck_stat_moments(spark, "").collect()}
+    assert found == {1: (pytest.approx(6.5e186), float("inf"), 1.5), 2: (1e200, 0.0, 3.0), None: (3.0, 1.0, 4.5)}
+
+
 def test_decks_sorted_by_difficulties_that_overflow(spark, monkeypatch):
     names = ["word_difficulty", "peak_difficulty", "character_count", "unique_word_count", "unique_kanji_count", "sentence_length"]
     rows = [(1, 1, 1e187, float("inf"), *[1.0] * 4), (2, 1, 3e186, float("inf"), *[3.0] * 4)]
