@@ -91,6 +91,34 @@ def test_searches_read_no_texts_and_only_their_grams(spark, index):
     assert "PushedFilters" in plan and "In(gram" in plan and "StringStartsWith(gram,at)" in plan
 
 
+def test_index_has_a_row_for_each_gram_of_a_block(spark, tmp_path):
+    texts = [*TEXTS, "the cat sat", "\0a\0", "𝒳cat" * 500, "x" * 63 + "cat", "y" * 62, "cat"]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, "no cats"), (3, TEXTS[3]), (None, "cat")]
+    path = str(tmp_path / "grams")
+    search.build_index(spark.createDataFrame(rows, "id int, text string").coalesce(1), path)
+    index = spark.read.parquet(path)
+    grams = {t.lower()[i : i + search.GRAM] for _, t in rows for i in range(len(t or ""))}
+    assert index.count() == len(grams) + 1 and {r.gram for r in index.select("gram").collect()} == grams | {""}
+    terms = ["cat", "the cat", "at", "catc", "xcat", "\0", "a\0", "ycat", "catcat", "𝒳cat𝒳"]
+    found = {(r.term, r.id): r.n for r in search.occurrences(index, terms).collect()}
+    want = {(term, i): n for term in terms for i in {i for i, _ in rows} if (n := sum(count_in(t, term.lower()) for j, t in rows if i == j))}
+    assert found == want and found["cat", 0] == 2 and found["cat", 3] == 4
+
+
+def test_blocks_of_an_index(spark):
+    r = random.Random(8)
+    texts = [t * r.randrange(1, 6) for t in ("ab", "日本語", "x", "a b\0", "ab" * 33, "".join(map(chr, range(0x4E00, 0x5600))))]
+    for chosen in (texts, texts[:1], ["".join(map(chr, r.choices(range(0x20000, 0x2A000), k=150_000))), "ab"]):
+        grams, places, owner = search._block(chosen)
+        want: dict = {}
+        for k, t in enumerate(chosen):
+            for i in range(len(t)):
+                want.setdefault(t[i : i + search.GRAM], []).append((k, i))
+        begins = [owner.tolist().index(k) * search.SLOT for k in range(len(chosen))]
+        found = {g: [(k := int(owner[p // search.SLOT]), p - begins[k]) for p in ps] for g, ps in zip(grams, places.to_pylist(), strict=True)}
+        assert len(grams) == len(want) and found == want
+
+
 def test_served_tables_are_read_without_a_shuffle(spark, tmp_path):
     from wordloom.operators import serving
     from wordloom.plans.star import Star
