@@ -94,6 +94,23 @@ def test_gaps_of_odd_texts(spark):
     assert len(plain[7]) == 100_000 and plain[7][-1] == (" ", 100_000, False)
 
 
+def test_gaps_of_a_batch_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None, None, "", *["one two "] * 2, *["one two " * 1000] * 150, None]
+    words = [["one"], None, ["one"], ["two"], None, *[["one", "two"] * 1000] * 150, []]
+    rows = pa.array(texts), pa.array(words, pa.list_(pa.string()))
+    tracemalloc.start()
+    found = tokens._with_gaps(*rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20 and len(found) > 5  # 600,000 pieces
+    for t, ws, got in zip(texts, words, pa.concat_arrays(found).to_pylist(), strict=True):
+        assert got == (None if t is None else [dict(zip(("word", "start", "known"), p, strict=True)) for p in tokens.pieces(t, ws or [])])
+
+
 def every_rule(word, rules):
     """Forms by trying every rule on every form."""
     found, fresh = {}, [deconjugation.Form(word, (), ())] if word else []

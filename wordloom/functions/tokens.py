@@ -12,10 +12,12 @@ import re
 from collections.abc import Callable
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.documents import text_batches
 from ..plans.registry import query
 
 TOKEN = "struct<text:string,pos:string,lemma:string,section:string>"
@@ -173,6 +175,10 @@ def merged(tokens: Column, allowed_amounts: frozenset[tuple[str, str]] | None =
     return run_all(tokens)
 
 
+#: Pieces of texts that are Python objects at a time, but for the last text's.
+PIECES = 1 << 16
+
+
 def pieces(text: str, words: list[str | None]) -> list[tuple[str, int, bool]]:
     """Words found in turn in a text, each from where the last one ended, with what lies between them; starts from 1."""
     out, at = [], 0
@@ -192,17 +198,39 @@ def pieces(text: str, words: list[str | None]) -> list[tuple[str, int, bool]]:
 def with_gaps(text: Column, words: Column) -> Column:
     """array<struct<word, start, known>>: words found in turn in a text, with what lies between them; words that don't follow are left out.
 
-    One scan of the text, however many words. A null text gives null, null words are none: the text is one gap.
+    One scan of the text, however many words. A null text gives null, null words are none: the text is one gap. Of a batch's
+    pieces no more than PIECES and one text's are Python objects at a time.
     """
 
     @F.arrow_udf("array<struct<word:string,start:int,known:boolean>>")
     def aligned(texts: pa.Array, rows: pa.Array) -> pa.Array:
-        out = [None if t is None else [{"word": w, "start": s, "known": k} for w, s, k in pieces(t, ws or [])] for t, ws in zip(texts.to_pylist(), rows.to_pylist(), strict=True)]
-        return pa.array(out, pa.list_(pa.struct([("word", pa.string()), ("start", pa.int32()), ("known", pa.bool_())])))
+        return pa.concat_arrays(_with_gaps(texts, rows))
 
     return aligned(text, words)
 
 
+def _with_gaps(texts: pa.Array, rows: pa.Array) -> list[pa.Array]:
+    out, found, ends = [], [], [0]
+
+    def done() -> None:
+        offsets = pa.array([e or 0 for e in ends], pa.int32(), mask=np.array([e is None for e in ends]))
+        columns = zip(("word", "start", "known"), (pa.string(), pa.int32(), pa.bool_()), strict=True)
+        items = pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, (_, kind) in enumerate(columns)], ["word", "start", "known"])
+        out.append(pa.ListArray.from_arrays(offsets, items))
+
+    for t, ws in zip(texts, rows, strict=True):
+        if t.is_valid:
+            found += pieces(t.as_py(), ws.as_py() or [])
+        else:  # a null is where the row would begin
+            ends[-1] = None
+        ends.append(len(found))
+        if len(found) >= PIECES:
+            done()
+            found, ends = [], [0]
+    done()
+    return out
+
+
 #: Tokenised by hand: text, part of speech, lemma, section; and the words they make.
 CASES = [
     ([("飲ん", "Verb", "飲む", ""), ("で", "Particle", "で", "ConjunctionParticle"), ("笑っ", "Verb", "笑う", ""), ("ちゃえ", "Auxiliary", "ちゃう", ""), ("ば", "Particle", "ば", "ConjunctionParticle")], ["飲んで", "笑っちゃえば"]),
@@ -314,5 +342,6 @@ p AS (
 SELECT doc_id, word, CAST(start AS INT) AS start, known FROM (SELECT doc_id, word, known, sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i, known) - length(word) + 1 AS start FROM p) WHERE word <> ''""")
 def gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of four letters or more of all documents, at their places, with what lies between them."""
+    text_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", F.inline(with_gaps(F.col("text"), F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]{4,}"), F.lit(0)))))
