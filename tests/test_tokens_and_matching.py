@@ -77,6 +77,28 @@ def test_tokens_feed_the_passes(spark):
     assert [r.w for r in found.collect()] == [tokens.CASES[i][1] for i in chosen]
 
 
+def test_tokens_of_a_large_dictionary_go_to_blocks(spark):
+    dictionary = spark.createDataFrame(lexicon_rows(9), "surface string, cost int, pos string, lemma string, section string")
+    texts = ["ab3 a ba", "", None, "x", "ab3 ab3"] * 700  # several blocks
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, tokens string").coalesce(2)
+    one = tokenizer.tokenized(docs, dictionary, F.col("tokens")).collect()
+    joined = tokenizer.tokenized(docs, dictionary, F.col("tokens"), most=0)
+    assert joined.columns == ["i", "tokens"] and sorted(joined.collect()) == sorted(one)
+    plan = joined._jdf.queryExecution().toString()
+    assert "CoGroups" in plan and "posexplode" not in plan  # no row for each place of a text
+
+
+def test_substrings_by_length():
+    texts = ["abab", "x", "ab", "日本ab"]
+    found, hashes = [], {}
+    for of, start, value, n in tokenizer._cuts(texts, 3):
+        for i, s, h in zip(of.tolist(), start.tolist(), value.tolist(), strict=True):
+            found.append(texts[i][s : s + n])
+            assert hashes.setdefault(found[-1], h) == h and 0 <= h < 1 << tokenizer.BITS
+    assert sorted(found) == sorted(t[s : s + n] for t in texts for s in range(len(t)) for n in (1, 2, 3) if s + n <= len(t))
+    assert len(set(hashes.values())) == len(hashes)
+
+
 def test_passes_by_hand(spark):
     docs = spark.createDataFrame([(i, case) for i, (case, _) in enumerate(tokens.CASES)] + [(99, None), (100, [])], f"i int, t array<{tokens.TOKEN}>")
     found = docs.select("i", tokens.merged(F.col("t"))["text"].alias("w")).orderBy("i").collect()

@@ -7,20 +7,22 @@ UNKNOWN; unknown neighbours of one kind become one token. Of equally cheap paths
 one whose last words begin first.
 
 Dictionaries of up to MOST entries are counted, broadcast as a table of prefixes, and walked in Arrow batches; each
-distinct run of a batch is solved once. Larger ones are never collected: distinct runs are cut into substrings that are
-joined with the dictionary, and only the edges found go on. Both ways give the same tokens.
+distinct run of a batch is solved once. Larger ones are never collected: distinct runs are cut into substrings, those that a
+bit table of the surfaces admits are joined with the dictionary, and only the edges found go on. Each run is solved once, and
+its tokens go to the blocks of documents that have it, not to its places. Both ways give the same tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.documents import TOKENS_SQL, Corpus
+from ..plans.documents import TOKENS_SQL, Corpus, text_batches
 from ..plans.registry import query
 from ..plans.staging import staged
 from .tokens import TOKEN
@@ -31,7 +33,9 @@ MOST = 200_000
 #: Cost of a character that no word covers.
 UNKNOWN = 6000
 _ARROW = pa.list_(pa.struct([(n, pa.string()) for n in ("text", "pos", "lemma", "section")]))
-_ROW, _AT, _RUN = "_wordloom_row", "_wordloom_at", "_wordloom_run"
+#: Documents that get their tokens together, and the logarithm of the bits that tell what may be a surface.
+TOGETHER, BITS = 1000, 25
+_BLOCK, _RUN = "_wordloom_block", "_wordloom_run"
 
 
 class Entry(NamedTuple):
@@ -113,14 +117,15 @@ def tokenized(docs: DataFrame, dictionary: DataFrame, text: Column, into: str =
     """docs with the tokens (text, pos, lemma, section) of a text; a null text has none, not an empty array.
 
     dictionary has surface, cost, pos, lemma, section; entries without a part of speech or surface are left out. links are
-    costs by (pos, pos), few. Whole texts are read; repeated rows each get their tokens; a column named like into gives way.
+    costs by (pos, pos), few. Whole texts are read; repeated rows each get their tokens; a column named like into gives way,
+    and may be what the text is made of.
     """
     spark, links = docs.sparkSession, links or {}
-    docs = docs.select(*(c for c in docs.columns if c.lower() != into.lower()))
+    docs = docs.select(*(f"`{c}`" for c in docs.columns if c.lower() != into.lower()), runs_of(text).alias(_RUN))
     entries = dictionary.select("surface", F.col("cost").cast("long").alias("cost"), "pos", "lemma", "section").where("surface <> '' and pos is not null").distinct()
     rows = entries.limit(most + 1).collect()
     if len(rows) > most:
-        return _by_join(docs, entries, text, into, links)
+        return _by_join(docs, entries, into, links)
     shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
     made: list[Lexicon] = []  # a worker's own
 
@@ -137,17 +142,77 @@ def tokenized(docs: DataFrame, dictionary: DataFrame, text: Column, into: str =
             out.append(None if runs is None else [t for run in runs for t in known[run]])
         return pa.array(out, _ARROW)
 
-    return docs.withColumn(into, solved(runs_of(text)))
-
-
-def _by_join(docs: DataFrame, entries: DataFrame, text: Column, into: str, links: dict[tuple[str, str], int]) -> DataFrame:
-    rows = staged(docs.select("*", text.alias(_RUN), F.monotonically_increasing_id().alias(_ROW)), "to-tokenize")
+    return docs.withColumn(into, solved(_RUN)).drop(_RUN)
+
+
+def _cuts(texts: list[str], longest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Substrings of each length: which text's, from where, their hashes of BITS bits, and the length. No text is empty."""
+    lengths = np.array([len(t) for t in texts])
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(texts)), lengths)
+    start = np.arange(len(letters)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = lengths[of] - start
+    at, value = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+    for n in range(1, min(longest, int(lengths.max())) + 1):
+        more = left >= n
+        of, start, left, at, value = of[more], start[more], left[more], at[more], value[more]
+        value = (value ^ letters[at + n - 1]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+        yield of, start, (value >> np.uint64(64 - BITS)).astype(np.int64), n
+
+
+def _bits_of(entries: DataFrame, longest: int) -> np.ndarray:
+    """A table of BITS bits, set at the surfaces' hashes; at most 2^(BITS - 5) rows reach the driver."""
+
+    def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            surfaces = batch.column("surface").to_pylist()
+            for of, _, value, n in _cuts(surfaces, longest) if surfaces else ():
+                whole = np.array([len(surfaces[i]) for i in of.tolist()], np.int64) == n
+                yield pa.RecordBatch.from_arrays([pa.array(value[whole])], ["h"])
+
+    words = entries.select("surface").mapInArrow(hashes, "h long").groupBy(F.expr("h div 32").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, int(h % 32))")).alias("bits"))
+    found = words.toArrow()
+    table = np.zeros(1 << (BITS - 5), np.uint32)
+    table[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    return table
+
+
+def _by_join(docs: DataFrame, entries: DataFrame, into: str, links: dict[tuple[str, str], int]) -> DataFrame:
+    spark = docs.sparkSession
+    text_batches(spark)
+    columns = [c for c in docs.columns if c != _RUN]
+    # No run has a zero character
+    rows = staged(docs.withColumn(_RUN, F.array_join(_RUN, "\0")).withColumn(_BLOCK, F.expr(f"monotonically_increasing_id() div {TOGETHER}")), "to-tokenize")
     entries = staged(entries, "entries")
     longest = entries.agg(F.max(F.length("surface"))).first()[0] or 0
-    placed = rows.select(_ROW, F.posexplode(runs_of(F.col(_RUN))).alias(_AT, "run"))
-    runs = placed.select("run").distinct()
-    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
-    cuts = starts.select("run", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - F.col("start") + 1))).alias("n")).select("run", "start", F.substring(F.col("run"), F.col("start"), F.col("n")).alias("surface"))
+    bits = spark.sparkContext.broadcast(_bits_of(entries, longest))
+
+    def runs_of_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, set()
+        for batch in batches:
+            for block, text in zip(batch.column(_BLOCK).to_pylist(), batch.column(_RUN).to_pylist(), strict=True):
+                if block != last and found:
+                    yield pa.RecordBatch.from_arrays([pa.array([last] * len(found)), pa.array(list(found))], [_BLOCK, "run"])
+                    found = set()
+                last = block
+                found.update(text.split("\0"))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([last] * len(found)), pa.array(list(found))], [_BLOCK, "run"])
+
+    def possible(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column("run").to_pylist()
+            for of, start, value, n in _cuts(runs, longest) if runs else ():
+                hit = np.flatnonzero(bits.value[value >> 5] >> (value & 31).astype(np.uint32) & 1)
+                begun = start[hit].tolist()
+                of_run = [runs[i] for i in of[hit].tolist()]
+                surfaces = [run[i : i + n] for run, i in zip(of_run, begun, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(of_run, pa.string()), pa.array(begun, pa.int32()), pa.array(surfaces, pa.string())], ["run", "start", "surface"])
+
+    of_blocks = rows.where(f"{_RUN} <> ''").select(_BLOCK, _RUN).mapInArrow(runs_of_blocks, f"{_BLOCK} long, run string")
+    runs = of_blocks.select("run").distinct()
+    cuts = runs.mapInArrow(possible, "run string, start int, surface string").withColumn("start", F.col("start") + 1)
     edge = F.struct(F.col("start"), F.length("surface").alias("n"), "cost", "pos", "lemma", "section")
     edges = cuts.join(entries, "surface").groupBy("run").agg(F.sort_array(F.collect_list(edge)).alias("edges"))  # of one run
 
@@ -162,10 +227,15 @@ def _by_join(docs: DataFrame, entries: DataFrame, text: Column, into: str, links
         return pa.array(out, _ARROW)
 
     tokens = runs.join(edges, "run", "left").select("run", solved("run", "edges").alias("t"))
-    of_row = placed.join(tokens, "run").groupBy(_ROW).agg(F.sort_array(F.collect_list(F.struct(_AT, "t"))).alias("parts"))  # of one text
-    none = F.expr(f"cast(array() as array<{TOKEN}>)")
-    found = F.when(F.col(_RUN).isNotNull(), F.coalesce(F.flatten(F.transform("parts", lambda p: p["t"])), none))
-    return rows.join(of_row, _ROW, "left").select(*docs.columns, found.alias(into))
+    of_blocks = of_blocks.join(tokens, "run")
+
+    def told(known: pa.Table, texts: pa.Table) -> pa.Table:
+        tokens_of = dict(zip(known["run"].to_pylist(), known["t"].to_pylist(), strict=True))
+        found = [None if t is None else [x for run in t.split("\0") for x in tokens_of[run]] if t else [] for t in texts[_RUN].to_pylist()]
+        return texts.select(columns).append_column(into, pa.array(found, _ARROW))
+
+    schema = docs.select(*(f"`{c}`" for c in columns), F.lit(None).cast(f"array<{TOKEN}>").alias(into)).schema
+    return of_blocks.groupBy(_BLOCK).cogroup(rows.groupBy(_BLOCK)).applyInArrow(told, schema)
 
 
 #: Least uses of a word of the documents that makes it an entry, and its length at least and at most.
@@ -218,9 +288,9 @@ step AS (
 @query(f"WITH {LATTICE_SQL} SELECT doc_id, CAST(sum(len(string_split(path, '|')) - 1) AS BIGINT) AS n_tokens, CAST(sum(len(regexp_extract_all(path, '[|][?]'))) AS BIGINT) AS n_unknown, md5(string_agg(path, '' ORDER BY pos)) AS paths FROM tok JOIN step ON lower(token) = run GROUP BY doc_id")
 def tok_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents cut into the dictionary's, with a digest of each document's tokens, unknown ones marked."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     letters = F.array_join(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
-    found = tokenized(docs, corpus_dictionary(spark, sf_dir), letters).where(F.size("tokens") > 0)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", letters.alias("tokens"))
+    found = tokenized(docs, corpus_dictionary(spark, sf_dir), F.col("tokens")).where(F.size("tokens") > 0)
     unknown = lambda t: t["pos"] == "Unknown"
     path = F.array_join(F.transform("tokens", lambda t: F.concat(F.when(unknown(t), "|?").otherwise("|"), t["text"])), "")
     return found.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), F.size(F.filter("tokens", unknown)).cast("long").alias("n_unknown"), F.md5(path).alias("paths"))
